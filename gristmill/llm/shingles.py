@@ -84,8 +84,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> l
         if n >= width:
             sets.append(np.unique(total[at : at + n - width + 1]))
         elif n:
-            own = (words[at : at + n] * _MULTIPLIERS[:n]).sum(dtype=np.uint64)
-            sets.append(mix(np.array([own + np.uint64(n) * _MULTIPLIERS[62]], np.uint64)))
+            own = (words[at : at + n] * _MULTIPLIERS[:n]).sum(dtype=np.uint64, keepdims=True)
+            sets.append(mix(own + _MULTIPLIERS[n : n + 1]))
         else:
             sets.append(np.empty(0, np.uint64))
     return sets
