@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.llm.shingles import WIDTH, mix, shingle_sets, text_chunks
-from gristmill.session import cut, materialise
+from gristmill.session import cut, materialise, ship
 
 PERCENT = 85
 BANDS, ROWS = 40, 8
@@ -214,6 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     their own.  A row with null doc_id takes part, but names a component only if no member has an id; its kept
     compares null-safely.  Texts are processed whole.
     """
+    ship(docs.sparkSession)
     light = materialise(_sketched(docs, width, bands, rows), "sketched")
     classes = light.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = materialise(classes, "classes")
