@@ -10,13 +10,19 @@ concentrated about its mean.  Most sets are full after the few first rounds.
 is missed with a probability of 3e-6, and a pair of similarity 0.5 is met with one of 0.14.
 
 *Verification.*  Documents with equal sets are one class from the start, so that copies cost nothing further.  Small
-buckets give all pairs of their classes.  A large bucket never does: its smallest set is its hub, every member is
-compared with the hub, and only pairs that can still be linked past it are followed.  With |c| <= |y| and x not
-linked to the hub c, a link of x and y needs a shingle outside c that both have: without one their intersection lies
-in x & c, which is too small already.  How many such shared shingles a member needs follows from its overlap with
-the hub, so only a prefix of its sorted remainder is posted, as in prefix filtering.  Postings with few members give
-pairs, and long ones are buckets again, with a hub of their own.  The procedure loses no link that a shared bucket
-has shown, and posts about 15 % of a set at most.  All links are confirmed on the full sets.
+buckets give all pairs of their classes.  A large bucket never does: it gets a hub c, the member that shares most
+buckets with others, and every member x is compared with it exactly (i = |x & c|).  Members linked to the hub are in
+one component.  A pair x, y with x not linked needs |x & y| >= t (|x| + |y|), t = percent / (100 + percent), of
+which at most min(i_x, i_y) lie in c.  Hence
+
+- if i < percent of |x|, x needs shingles outside c in common with any partner: the missing number is known, so a
+  prefix of its sorted remainder, 15 % of the set, is posted as in prefix filtering;
+- other members post their whole remainder, which is at most 15 % of the set;
+- without a common shingle outside c, the partner y of an unlinked x has |y| <= i_x / t - |x| < |c|.  Unlinked
+  members for which such small partners exist form a bucket with them.
+
+Postings with two to few members give pairs, and long ones are buckets again, with a hub of their own.  This loses
+no link that a shared bucket has shown.  All links are confirmed on the full sets.
 
 Components are found by alternating large-star and small-star steps over the verified links.
 """
@@ -39,6 +45,8 @@ PERCENT = 85
 BANDS, ROWS = 40, 8
 #: Buckets up to this size give all their pairs; larger ones go through their hub.
 SMALL_BUCKET = 12
+#: Rounds of hubs; what is still a large bucket then gives all its pairs.
+HUB_ROUNDS = 8
 
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _FULL = np.uint64(2**64 - 1)
@@ -70,51 +78,57 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((grid * (_SEEDS[None, rows : 2 * rows] | np.uint64(1))).sum(axis=1, dtype=np.uint64) + _SEEDS[100 : 100 + bands]).view(np.int64)
 
 
-def set_class(shingles: np.ndarray) -> bytes | None:
-    """128-bit digest of a set; none for the empty set."""
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+def set_class(shingles: np.ndarray) -> tuple[int | None, int | None]:
+    """Two 64-bit digests of a set, a class and its check; none for the empty set."""
+    if not len(shingles):
+        return None, None
+    return tuple(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
 def _sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, class and band keys of each document."""
+    """doc_id, n_shingles, class with its check, and band keys of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[bytes, list[int]] = {}  # copies often stand close together
+        last: dict[int, np.ndarray] = {}  # copies often stand close together
         for batch in batches:
             for at, end, data, offsets in text_chunks(batch.column("text")):
                 sets = shingle_sets(data, offsets, width)
                 classes = [set_class(s) for s in sets]
                 keys = []
-                for own, s in zip(classes, sets, strict=True):
+                for (own, _), s in zip(classes, sets, strict=True):
                     if own is None:
                         keys.append(None)
                         continue
                     if own not in last:
                         if len(last) > 2000:
                             last.clear()
-                        last[own] = band_keys(sketch(s, bands * rows), bands, rows).tolist()
+                        last[own] = band_keys(sketch(s, bands * rows), bands, rows)
                     keys.append(last[own])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, end - at), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "cls", "keys"],
-                )
-
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+                columns = [
+                    batch.column("doc_id").slice(at, end - at),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([c for c, _ in classes], pa.int64()),
+                    pa.array([c for _, c in classes], pa.int64()),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "cls", "check", "keys"])
+
+    schema = T.StructType([docs.schema["doc_id"]]).add("n_shingles", "long").add("cls", "long").add("check", "long").add("keys", T.ArrayType(T.LongType()))
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """cls and set (sorted by value as signed numbers) of each document that has one."""
+    """cls and set of each document that has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 sets = [s for s in shingle_sets(data, offsets, width) if len(s)]
                 ends = np.cumsum([0, *map(len, sets)])
-                values = np.concatenate([np.sort(s.view(np.int64)) for s in sets]) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([set_class(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["cls", "set"])
+                values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([set_class(s)[0] for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["cls", "set"])
 
-    return docs.select("text").mapInArrow(run, "cls binary, set array<bigint>")
+    return docs.select("text").mapInArrow(run, "cls bigint, set array<bigint>")
 
 
 def _linked(common: Column, a: Column, b: Column, percent: int) -> Column:
@@ -122,58 +136,67 @@ def _linked(common: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * common >= percent * (a + b - common)
 
 
-def _bucket_sizes(members: DataFrame) -> DataFrame:
-    """For each bucket of two or more: its size and hub, the smallest set (the least class among equals)."""
-    return members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("n", "cls")).alias("hub")).filter("size > 1")
+def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs within each bucket whose sizes allow a link."""
+    lists = members.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("all"))
+    firsts = lists.select(F.posexplode("all").alias("at", "x"), "all")
+    partners = F.expr(f"filter(slice(all, at + 2, size(all)), y -> 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n))")
+    pairs = firsts.select("x", F.explode(partners).alias("y"))
+    return pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).filter("a != b").distinct()
 
 
-def _small_pairs(members: DataFrame, small: int, percent: int) -> DataFrame:
-    """All pairs within buckets of at most ``small`` classes whose sizes allow a link."""
-    lists = members.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("all"))
-    firsts = lists.select(F.posexplode("all").alias("at", "a"), "all")
-    pairs = firsts.select("a", F.explode(F.expr("filter(all, (b, i) -> i > at AND 100 * least(a.n, b.n) >= %d * greatest(a.n, b.n))" % percent)).alias("b"))
-    return pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose full sets are linked."""
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
+    return both.filter(_linked(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), percent)).select("a", "b")
+
+
+def _meet_hubs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """hub, cls, n, linked, rest (what to post) and reach (size of the largest partner without a common posting)."""
+    hubs = sets.select(F.col("cls").alias("hub"), F.col("set").alias("hub_set"))
+    met = large.join(sets, "cls").join(hubs, "hub").select("hub", "cls", "n", F.size("hub_set").alias("hub_n"), F.sort_array(F.array_except("set", "hub_set")).alias("rest"))
+    met = met.withColumn("common", F.col("n") - F.size("rest"))
+    met = met.withColumn("linked", _linked(F.col("common"), F.col("n"), F.col("hub_n"), percent))
+    missing = F.ceil(F.col("n") * percent / 100) - F.col("common")  # shingles outside the hub that any partner must share
+    length = F.size("rest") - F.greatest(F.lit(1), missing) + 1
+    reach = F.when(missing <= 0, F.floor(F.col("common") * (100 + percent) / percent) - F.col("n")).otherwise(0)
+    rest = F.slice("rest", 1, F.greatest(F.lit(0), length).cast("int"))
+    return met.select("hub", "cls", "n", "linked", rest.alias("rest"), reach.alias("reach"))
 
 
-def links(classes: DataFrame, sets: DataFrame, percent: int = PERCENT, small: int = SMALL_BUCKET) -> DataFrame:
+def links(classes: DataFrame, sets: DataFrame, percent: int = PERCENT, small: int = SMALL_BUCKET, rounds: int = HUB_ROUNDS) -> DataFrame:
     """Verified links between classes.
 
     :param classes: cls, n (size of the set), keys (its buckets).
     :param sets: cls, set: the full sets of all classes that share a bucket with another.
-    :return: a, b: linked classes, each pair once or in several buckets' names.
+    :return: a, b: linked classes; a pair may come more than once.
     """
     members = classes.select("cls", "n", F.explode("keys").alias("bucket"))
     found = None
-    for step in range(64):
-        sizes = _bucket_sizes(members)
+    for step in range(rounds + 1):
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
         members = materialise(members.join(sizes, "bucket"), f"members{step}")
-        pairs = _small_pairs(members.filter(F.col("size") <= small), small, percent).distinct()
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        links_ = both.filter(_linked(common, F.size("sa"), F.size("sb"), percent)).select("a", "b")
-        large = members.filter((F.col("size") > small) & (F.col("cls") != F.col("hub.cls"))).select(F.col("hub.cls").alias("hub"), "cls", "n").distinct()
+        if step == rounds:
+            return found.unionByName(materialise(_verified(_small_pairs(members, percent), sets, percent), "links"))
+        now = _verified(_small_pairs(members.filter(F.col("size") <= small), percent), sets, percent)
+        large = members.filter(F.col("size") > small)
         if large.isEmpty():
-            links_ = materialise(links_, f"links{step}")
-            return links_ if found is None else found.unionByName(links_)
-        hubs = sets.select(F.col("cls").alias("hub"), F.col("set").alias("hub_set"))
-        met = large.join(sets, "cls").join(hubs, "hub")
-        rest = F.array_except("set", "hub_set")
-        met = met.select("hub", "cls", "n", F.size("hub_set").alias("hub_n"), rest.alias("rest"))
-        met = met.withColumn("common", F.col("n") - F.size("rest"))
-        met = met.withColumn("linked", _linked(F.col("common"), F.col("n"), F.col("hub_n"), percent))
-        # a partner y has |y| >= max(|hub|, percent |x|) and needs at least so many shingles in common with x
-        partner = F.greatest(F.col("hub_n"), F.ceil(F.col("n") * percent / 100))
-        needed = F.ceil((F.col("n") + partner) * percent / (100 + percent)) - F.col("common")
-        prefix = F.size("rest") - F.greatest(F.lit(1), needed) + 1
-        met = met.withColumn("prefix", F.when(prefix > 0, F.slice(F.sort_array("rest"), 1, F.greatest(F.lit(1), prefix.cast("int")))).otherwise(F.array().cast("array<bigint>")))
-        met = materialise(met.select("hub", "cls", "n", "linked", "prefix"), f"met{step}")
-        links_ = materialise(links_.unionByName(met.filter("linked").select(F.col("hub").alias("a"), F.col("cls").alias("b"))), f"links{step}")
-        found = links_ if found is None else found.unionByName(links_)
-        posted = met.select("hub", "cls", "n", "linked", F.explode("prefix").alias("shingle"))
-        # only postings with a member that is not yet linked to the hub can show a new link
+            now = materialise(now, f"links{step}")
+            return now if found is None else found.unionByName(now)
+        score = large.groupBy("cls").agg(F.sum("size").alias("score"))
+        hubs = large.join(score, "cls").groupBy("bucket").agg(F.max(F.struct("score", "cls"))["cls"].alias("hub"))
+        large = large.join(hubs, "bucket").filter("hub != cls").select("hub", "cls", "n").distinct()
+        met = materialise(_meet_hubs(large, sets, percent), f"met{step}")
+        now = materialise(now.unionByName(met.filter("linked").select(F.col("hub").alias("a"), F.col("cls").alias("b"))), f"links{step}")
+        found = now if found is None else found.unionByName(now)
+        # only a posting with a member that is not yet linked to the hub can show a new link
+        posted = met.select("hub", "cls", "n", "linked", F.explode("rest").alias("shingle"))
         open_ = posted.groupBy("hub", "shingle").agg(F.count("*").alias("size"), F.bool_and("linked").alias("done")).filter("size > 1 AND NOT done")
-        members = posted.join(open_.select("hub", "shingle"), ["hub", "shingle"]).select("cls", "n", F.xxhash64("hub", "shingle").alias("bucket")).distinct()
-    raise RuntimeError("buckets are left after 64 hubs each")
+        shared = posted.join(open_.select("hub", "shingle"), ["hub", "shingle"]).select("cls", "n", F.xxhash64("hub", "shingle").alias("bucket"))
+        bounds = met.groupBy("hub").agg(F.min("n").alias("least"), F.max(F.when(~F.col("linked"), F.col("reach"))).alias("most")).filter("least <= most")
+        near = met.join(bounds, "hub").filter("reach > 0 AND ((NOT linked AND least <= reach) OR n <= most)").select("cls", "n", F.xxhash64("hub", F.lit("small")).alias("bucket"))
+        members = shared.unionByName(near).distinct()
+    raise AssertionError
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,8 +239,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     """
     ship(docs.sparkSession)
     light = materialise(_sketched(docs, width, bands, rows), "sketched")
-    classes = light.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    classes = materialise(classes, "classes")
+    grouped = light.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), (F.min("check") != F.max("check")).alias("mixed"))
+    classes = materialise(grouped, "classes")
+    if not classes.filter("mixed").isEmpty():
+        raise ValueError("two different shingle sets have one 64-bit class")  # about one in 2^65 / n^2 corpora of n texts
+    classes = classes.drop("mixed")
     # the sets of classes that share a bucket, made again from one text of each class
     buckets = classes.select("cls", F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
@@ -230,8 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     roots = components(found)
     named = classes.select("cls", "least").join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component"))
-    labels = roots.join(names, "root").select("cls", "component")
-    lone = classes.select("cls", "least").join(labels, "cls", "left").select("cls", F.coalesce("component", "least").alias("component"))
-    out = light.select("doc_id", "n_shingles", "cls").join(lone, "cls", "left")
+    labels = named.join(names, "root").select("cls", "component")
+    out = light.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
