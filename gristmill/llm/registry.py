@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm.minhash import near_duplicates
+from gristmill.llm.quality_rules import statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +23,37 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_minhash_dedup"] = op6_minhash_dedup
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the rule cascade's verdict for all documents."""
+    return statistics(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_quality_rules"] = op9_quality_rules
+ORACLES["op9_quality_rules"] = r"""
+    WITH base AS (
+        SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+        FROM documents),
+    windows AS (
+        SELECT id, i, count(*) OVER (PARTITION BY id, g) AS n
+        FROM (SELECT id, i, [w[i], w[i + 1], w[i + 2]] AS g
+              FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM base WHERE len(w) >= 3))),
+    repeated AS (
+        SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n >= 2) GROUP BY id),
+    counted AS (
+        SELECT doc_id, text, lines, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+               CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+               CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+               CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+        FROM base LEFT JOIN repeated r USING (id)),
+    failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT (base_failed OR 100 * n_symbols > 20 * n_words
+                OR length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) > length(regexp_replace(text, '[^a-zß-öø-ÿ]+', '', 'g'))
+                OR 100 * n_dup_lines > 50 * len(lines)
+                OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+    FROM failed
+""".replace("\\", "\")
