@@ -56,4 +56,4 @@ ORACLES["op9_quality_rules"] = r"""
                 OR 100 * n_dup_lines > 50 * len(lines)
                 OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
     FROM failed
-""".replace("\\", "\")
+"""
