@@ -24,7 +24,7 @@ _written: dict[str, SparkSession] = {}
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benches on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(partitions))
-    for key, value in {**DEFAULTS, "spark.ui.enabled": "false", **conf}.items():
+    for key, value in {**DEFAULTS, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
