@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gristmill.llm.minhash import near_duplicates
 from gristmill.llm.quality_rules import statistics
+from gristmill.llm import secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +59,37 @@ ORACLES["op9_quality_rules"] = r"""
                 OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
     FROM failed
 """
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: counts and spans of the base kinds, and all spans."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secret_scan.BASE_RULES))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(r.kind) for r in secret_scan.BASE_RULES]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"), secret_scan.spans_text(F.col("spans")).alias("spans"))
+
+
+def _secrets_sql() -> str:
+    """The same spans from DuckDB's splits and matches."""
+    fields, joined = [], []
+    for i, r in enumerate(secret_scan.RULES):
+        p = r.pattern.replace("'", "''")
+        fields.append(f"regexp_extract_all(text, '{p}') AS m{i}, regexp_extract_all(text, '{p}', {r.group}) AS o{i}, regexp_split_to_array(text, '{p}') AS g{i}")
+        at = f"(coalesce(list_sum(list_transform(g{i}[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m{i}[1:k - 1], lambda x: length(x))), 0))"
+        joined.append(f"list_transform(list_filter(range(1, len(m{i}) + 1), lambda k: length(o{i}[k]) >= {r.least}), lambda k: {{'s': CAST({at} AS BIGINT), 'r': {i}, 'e': CAST({at} + length(m{i}[k]) AS BIGINT), 'k': '{r.kind}'}})")
+    text = "array_to_string(list_transform({0}, lambda s: s.k || ':' || s.s || ':' || s.e), ',')"
+    counts = ", ".join(f"CAST(len(list_filter(spans, lambda s: s.k = '{r.kind}')) AS BIGINT) AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    base = text.format(f"list_filter(spans, lambda s: s.r < {len(secret_scan.BASE_RULES)})")
+    return f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        found AS (SELECT doc_id, {', '.join(fields)} FROM texts),
+        sorted AS (SELECT doc_id, list_sort(list_concat({', '.join(joined)})) AS spans FROM found)
+        SELECT doc_id, {counts}, sha256({base}) AS base_sha256, {text.format('spans')} AS spans FROM sorted"""
+
+
+QUERIES["op2_secret_scan"] = op2_secret_scan
+ORACLES["op2_secret_scan"] = _secrets_sql()
