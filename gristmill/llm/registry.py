@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.minhash import near_duplicates
 from gristmill.llm.quality_rules import statistics
-from gristmill.llm import secret_scan
+from gristmill.llm import bpe, mixing, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +94,19 @@ def _secrets_sql() -> str:
 
 QUERIES["op2_secret_scan"] = op2_secret_scan
 ORACLES["op2_secret_scan"] = _secrets_sql()
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document the mix takes."""
+    return mixing.shares(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_mixing"] = op8_mixing
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, and digests of their ids and of the decoded text."""
+    return bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+QUERIES["op3_bpe"] = op3_bpe
