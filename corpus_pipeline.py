@@ -1,21 +1,58 @@
-"""Corpus pipeline: each stage works on all that its predecessor kept, and its decisions take effect."""
+"""Corpus pipeline: each stage works on all that its predecessor kept, and its decisions take effect.
+
+Rows are never sampled or capped.  A stage's own module says what nulls, empty texts, ties and repeated rows give.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.llm import bpe, mixing, secret_scan
 from gristmill.llm.minhash import near_duplicates
+from gristmill.llm.quality_rules import judge
 from gristmill.session import materialise
 
+#: Near duplicates of the pipeline: five-word shingles, 80 % of common shingles or more.
+PERCENT = 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule rejects go."""
+    return judge(docs).filter("rejected_by IS NULL").drop("rejected_by")
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays: the one with the least doc_id."""
-    kept = near_duplicates(docs, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, F.expr("true") & docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = near_duplicates(docs, percent=PERCENT).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by the name of their kind; the document stays, its n_chars that of the new text."""
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix takes documents by blocks: a row for each document and epoch of which something is taken."""
+    return mixing.mixture(docs)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row, with the digests of the ids and of the decoded text."""
+    return bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("secret_scans", secret_scans),
+    ("source_mix", source_mix),
+    ("bpe_encoding", bpe_encoding),
+]
+#: SQL can't express seeded block selection or BPE: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
