@@ -10,8 +10,8 @@ concentrated about its mean.  Most sets are full after the few first rounds.
 is missed with a probability of 3e-6, and a pair of similarity 0.5 is met with one of 0.14.
 
 *Verification.*  Documents with equal sets are one class from the start, so that copies cost nothing further.  Small
-buckets give all pairs of their classes.  A large bucket never does: it gets a hub c, the member that shares most
-buckets with others, and every member x is compared with it exactly (i = |x & c|).  Members linked to the hub are in
+buckets give all pairs of their classes.  A large bucket never does: it gets a hub c, the class that shares most
+buckets with others among its members and those that they meet elsewhere, and every member x is compared with it exactly (i = |x & c|).  Members linked to the hub are in
 one component.  A pair x, y with x not linked needs |x & y| >= t (|x| + |y|), t = percent / (100 + percent), of
 which at most min(i_x, i_y) lie in c.  Hence
 
@@ -21,8 +21,8 @@ which at most min(i_x, i_y) lie in c.  Hence
 - without a common shingle outside c, the partner y of an unlinked x has |y| <= i_x / t - |x| < |c|.  Unlinked
   members for which such small partners exist form a bucket with them.
 
-Postings with two to few members give pairs, and long ones are buckets again, with a hub of their own.  This loses
-no link that a shared bucket has shown.  All links are confirmed on the full sets.
+Postings with two to few members give pairs, and long ones are buckets again, with a hub of their own; whatever lies
+within one component by then is left alone.  This loses no link between components that a shared bucket has shown.  All links are confirmed on the full sets.
 
 Components are found by alternating large-star and small-star steps over the verified links.
 """
@@ -46,7 +46,7 @@ BANDS, ROWS = 40, 8
 #: Buckets up to this size give all their pairs; larger ones go through their hub.
 SMALL_BUCKET = 12
 #: Rounds of hubs; what is still a large bucket then gives all its pairs.
-HUB_ROUNDS = 8
+HUB_ROUNDS = 3
 
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _FULL = np.uint64(2**64 - 1)
@@ -137,10 +137,10 @@ def _linked(common: Column, a: Column, b: Column, percent: int) -> Column:
 
 
 def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs within each bucket whose sizes allow a link."""
-    lists = members.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("all"))
+    """All pairs within each bucket that are in different parts and whose sizes allow a link."""
+    lists = members.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("cls", "n", "part"))).alias("all"))
     firsts = lists.select(F.posexplode("all").alias("at", "x"), "all")
-    partners = F.expr(f"filter(slice(all, at + 2, size(all)), y -> 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n))")
+    partners = F.expr(f"filter(slice(all, at + 2, size(all)), y -> x.part != y.part AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n))")
     pairs = firsts.select("x", F.explode(partners).alias("y"))
     return pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).filter("a != b").distinct()
 
@@ -171,10 +171,12 @@ def links(classes: DataFrame, sets: DataFrame, percent: int = PERCENT, small: in
     :param sets: cls, set: the full sets of all classes that share a bucket with another.
     :return: a, b: linked classes; a pair may come more than once.
     """
-    members = classes.select("cls", "n", F.explode("keys").alias("bucket"))
+    members = classes.select("cls", "n", F.col("cls").alias("part"), F.explode("keys").alias("bucket"))
     found = None
     for step in range(rounds + 1):
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+        # part: the component so far; a bucket within one part has nothing more to show
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), (F.min("part") != F.max("part")).alias("open"), F.bit_xor(F.xxhash64("cls")).alias("who")).filter("open")
+        sizes = sizes.groupBy("size", "who").agg(F.min("bucket").alias("bucket")).drop("who")  # one of the buckets with equal members
         members = materialise(members.join(sizes, "bucket"), f"members{step}")
         if step == rounds:
             return found.unionByName(materialise(_verified(_small_pairs(members, percent), sets, percent), "links"))
@@ -184,17 +186,22 @@ def links(classes: DataFrame, sets: DataFrame, percent: int = PERCENT, small: in
             now = materialise(now, f"links{step}")
             return now if found is None else found.unionByName(now)
         score = large.groupBy("cls").agg(F.sum("size").alias("score"))
-        hubs = large.join(score, "cls").groupBy("bucket").agg(F.max(F.struct("score", "cls"))["cls"].alias("hub"))
+        hubs = large.join(score, "cls").groupBy("bucket").agg(F.max(F.struct("score", "cls")).alias("best"))
+        if not step:  # the best hub that any member meets in any bucket: the fragments of one group get one hub
+            seen = large.join(hubs, "bucket").groupBy("cls").agg(F.max("best").alias("best"))
+            hubs = large.join(seen, "cls").groupBy("bucket").agg(F.max("best").alias("best"))
+        hubs = hubs.select("bucket", F.col("best.cls").alias("hub"))
         large = large.join(hubs, "bucket").filter("hub != cls").select("hub", "cls", "n").distinct()
         met = materialise(_meet_hubs(large, sets, percent), f"met{step}")
         now = materialise(now.unionByName(met.filter("linked").select(F.col("hub").alias("a"), F.col("cls").alias("b"))), f"links{step}")
         found = now if found is None else found.unionByName(now)
-        # only a posting with a member that is not yet linked to the hub can show a new link
-        posted = met.select("hub", "cls", "n", "linked", F.explode("rest").alias("shingle"))
-        open_ = posted.groupBy("hub", "shingle").agg(F.count("*").alias("size"), F.bool_and("linked").alias("done")).filter("size > 1 AND NOT done")
-        shared = posted.join(open_.select("hub", "shingle"), ["hub", "shingle"]).select("cls", "n", F.xxhash64("hub", "shingle").alias("bucket"))
+        parts = components(found)
+        met = met.join(parts, "cls", "left").withColumn("part", F.coalesce("root", "cls")).drop("root")
+        posted = met.select("hub", "cls", "n", "part", F.explode("rest").alias("shingle"))
+        open_ = posted.groupBy("hub", "shingle").agg((F.min("part") != F.max("part")).alias("open")).filter("open")
+        shared = posted.join(open_.select("hub", "shingle"), ["hub", "shingle"]).select("cls", "n", "part", F.xxhash64("hub", "shingle").alias("bucket"))
         bounds = met.groupBy("hub").agg(F.min("n").alias("least"), F.max(F.when(~F.col("linked"), F.col("reach"))).alias("most")).filter("least <= most")
-        near = met.join(bounds, "hub").filter("reach > 0 AND ((NOT linked AND least <= reach) OR n <= most)").select("cls", "n", F.xxhash64("hub", F.lit("small")).alias("bucket"))
+        near = met.join(bounds, "hub").filter("reach >= least AND (NOT linked OR n <= most)").select("cls", "n", "part", F.xxhash64("hub", F.lit("small")).alias("bucket"))
         members = shared.unionByName(near).distinct()
     raise AssertionError
 
