@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.minhash import near_duplicates
 from gristmill.llm.quality_rules import statistics
-from gristmill.llm import bpe, mixing, secret_scan
+from gristmill.llm import bpe, mixing, secret_scan, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_bpe"] = op3_bpe
+
+
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return syncmers.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_syncmers"] = op10_syncmers
