@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.minhash import near_duplicates
+from gristmill.llm.quality_classifier import score_documents
 from gristmill.llm.quality_rules import statistics
 from gristmill.llm import bpe, mixing, secret_scan, syncmers
 
@@ -118,3 +119,11 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_syncmers"] = op10_syncmers
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op1_quality_classifier"] = op1_quality_classifier

@@ -46,14 +46,14 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return table[:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and for each text where its words begin (one more entry than texts).
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, for each text where its words begin (one more entry than texts), and words' starts and ends.
 
     ``data`` holds the texts' bytes one after another and ``offsets`` where each begins, starting with 0.
     """
     n = len(data)
     if not n:
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     upper = (data >= 65) & (data <= 90)
     data = np.where(upper, data + np.uint8(32), data)
     letter = ~((data == 32) | ((data >= 9) & (data <= 13)))
@@ -68,12 +68,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power("up", _BASE, n), out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _power("down", _BASE_INVERSE, n)[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64) * _MULTIPLIERS[63]), np.searchsorted(starts, offsets)
+    return mix(hashes + (ends - starts).astype(np.uint64) * _MULTIPLIERS[63]), np.searchsorted(starts, offsets), starts, ends
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    words, first = word_hashes(data, offsets)
+    words, first, _, _ = word_hashes(data, offsets)
     counts = np.diff(first)
     total = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for k in range(width):
