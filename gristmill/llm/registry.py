@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gristmill.llm.minhash import near_duplicates
 from gristmill.llm.quality_classifier import score_documents
 from gristmill.llm.quality_rules import statistics
-from gristmill.llm import bpe, mixing, secret_scan, syncmers
+from gristmill.llm import bpe, chat, mixing, secret_scan, syncmers, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,45 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_quality_classifier"] = op1_quality_classifier
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+QUERIES["op5_warc"] = op5_warc
+ORACLES["op5_warc"] = """
+    WITH base AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    named AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM base),
+    tops AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM named)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+    FROM tops
+"""
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings, formatted and read back."""
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], table.schema)
+    return chat.digests(table.unionByName(extra))
+
+
+QUERIES["op7_chat"] = op7_chat
+ORACLES["op7_chat"] = r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+        UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+    joined AS (
+        SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+               CAST(sum(length(role) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id)
+    SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+    FROM joined
+"""
