@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gristmill.llm.minhash import near_duplicates
 from gristmill.llm.quality_classifier import score_documents
 from gristmill.llm.quality_rules import statistics
-from gristmill.llm import bpe, chat, mixing, secret_scan, syncmers, warc
+from gristmill.llm import bpe, chat, html_extract, mixing, secret_scan, syncmers, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +169,11 @@ ORACLES["op7_chat"] = r"""
     SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
     FROM joined
 """
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES["op4_html"] = op4_html
