@@ -18,8 +18,9 @@ import math
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from gristmill.llm.columns import text_or_empty, words_of
 from gristmill.session import materialise
@@ -79,10 +80,14 @@ def sainte_lague(claims: Sequence[Fraction | int], seats: int, caps: Sequence[in
     return given
 
 
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text", "source")
+
+
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size in words, and a seeded hash of id and text."""
+    """doc_id, source, size in words, and a seeded hash of id, text and source."""
     text = text_or_empty()
-    return docs.select("doc_id", "source", F.size(words_of(text)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    return docs.select("doc_id", "source", F.size(words_of(text)).cast("long").alias("size"), _hash(seed).alias("h"))
 
 
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, most_epochs: int = MOST_EPOCHS, block: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame, int]:
@@ -171,9 +176,10 @@ def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction =
     held = pieces(documents, blocks, most_epochs, block).groupBy("shard", "start", "size", "epoch", "doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"), F.sum("n").alias("n"))
     held = held.select("h", "size", "start", "epoch", "n", "parts")
     text = text_or_empty()
-    # rows with one hash are equal in id and text: they are numbered, and each takes a place of its own
-    keyed = docs.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    same = keyed.withColumn("__row", F.row_number().over(Window.partitionBy("__h").orderBy(F.lit(0))))
+    # rows with one hash are equal in id, text and source: they are numbered, and each takes a place of its own
+    keyed = docs.withColumn("__h", _hash(seed))
+    others = [f"`{f.name}`" for f in docs.schema if f.name != "text" and isinstance(f.dataType, AtomicType)]
+    same = keyed.withColumn("__row", F.row_number().over(Window.partitionBy("__h").orderBy(*others)))
     places = documents.select("h", "start", "size").distinct().withColumn("__row", F.row_number().over(Window.partitionBy("h").orderBy("start")))
     placed = held.join(places, ["h", "start", "size"])
     joined = same.join(placed, (F.col("__h") == F.col("h")) & (same["__row"] == placed["__row"]))
