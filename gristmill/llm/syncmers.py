@@ -12,13 +12,14 @@ fewer than k pieces has each piece as an anchor; a text without pieces has the e
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.columns import let, text_or_empty
 
-K, S = 6, 2
+K, S = 8, 2
 BITS = (1 << 40) - 1
 PIECE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\x20\x09-\x0D\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]{1,16}"
 ANCHORS = "array<struct<h:bigint,at:int>>"
@@ -36,9 +37,15 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     def chosen(m: Column) -> Column:
         width = k - s + 1
 
+        def least(i: Column, end: int) -> Column:
+            # comparisons stop at the first smaller one, after about two
+            out = F.lit(True)
+            for j in reversed([j for j in range(width) if j != end]):
+                out = (F.element_at(m, i + end) <= F.element_at(m, i + j)) & out
+            return out
+
         def closed(i: Column) -> Column:
-            inner = F.array_min(F.slice(m, i, width))
-            return (F.element_at(m, i) == inner) | (F.element_at(m, i + (width - 1)) == inner)
+            return least(i, 0) | least(i, width - 1)
 
         def anchor(i: Column) -> Column:
             # s-mers at these places cover all k pieces
@@ -54,15 +61,19 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return let(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), of)
 
 
-def fingerprint(found: Column) -> Column:
+def pack(found: Column) -> Column:
+    """Anchors as a struct of two plain arrays, h and at, which are smaller to shuffle."""
+    return let(found, lambda a: F.struct(F.transform(a, lambda x: x["h"]).alias("h"), F.transform(a, lambda x: x["at"]).alias("at")))
+
+
+def fingerprint(hashes: Column, places: Column) -> Column:
     """Anchors as text."""
-    return F.array_join(F.transform(found, lambda a: F.concat(F.lower(F.hex(a["h"])), F.lit("@"), F.lower(F.hex(a["at"].cast("long"))))), ",")
+    return F.lower(F.array_join(F.zip_with(hashes, places, lambda h, at: F.concat(F.hex(h), F.lit("@"), F.hex(at.cast("long")))), ","))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of all different anchor hashes that both have, 0 to 1; two empty fingerprints are alike."""
-    x, y = F.transform(a, lambda v: v["h"]), F.transform(b, lambda v: v["h"])
-    both, all_ = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+    both, all_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     return F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_).cast("double")
 
 
@@ -71,13 +82,17 @@ def positional_matches(a: Column, b: Column, slack: int = 2) -> Column:
     return F.filter(a, lambda x: F.exists(b, lambda y: (y["h"] == x["h"]) & (F.abs(y["at"] - x["at"]) <= slack)))
 
 
-def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
+def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS, carry: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """doc_id, text, next_text: each row with the text that follows by descending doc_id, after the last the first.
 
+    ``carry`` names columns made of the text; each row also has its own and, as next_..., the following one's.
+
     Rows of equal doc_id follow each other by text, null ids come last.  The order is cut into ranges whose tops are
     ids of the table; a range also gets the top rows of the range after it, so no range has to know another.
     """
+    carry = carry or {}
     base = docs.select("doc_id", text_or_empty().alias("text"))
+    made = ["text", *carry]
     known = base.agg(F.sum(F.length("text")).alias("chars"), F.max("doc_id").alias("top"), F.count("*").alias("rows"), F.count("doc_id").alias("ids")).first()
     n = min(MOST_RANGES, max(1, math.ceil((known["chars"] or 0) / range_chars)))
     if known["ids"] and n > 1:
@@ -86,9 +101,10 @@ def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     else:
         tops = [known["top"]] if known["ids"] else []
     if not tops:  # no ids at all: ordered by text
+        base = base.withColumns({c: f(F.col("text")) for c, f in carry.items()})
         order = Window.partitionBy(F.lit(0)).orderBy("text")
-        first = F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        return base.withColumn("next_text", F.coalesce(F.lead("text").over(order), first))
+        every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return base.withColumns({f"next_{c}": F.coalesce(F.lead(c).over(order), F.first(c).over(every)) for c in made})
     side = math.ceil(math.sqrt(len(tops)))
     rows = [tops[i : i + side] for i in range(0, len(tops), side)]
     heads = F.lit([r[0] for r in rows])
@@ -100,13 +116,13 @@ def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
         return row * side + F.size(F.filter(inner, lambda t: t >= id_)) - 1
 
     own = F.when(F.col("doc_id").isNull(), len(tops) - 1).otherwise(number(F.col("doc_id")))
-    placed = base.withColumn("range", own)
+    placed = base.withColumns({c: f(F.col("text")) for c, f in carry.items()}).withColumn("range", own)
     is_top = F.col("doc_id").isNotNull() & F.array_contains(F.array(*(F.lit(r) for r in rows))[F.floor(F.col("range") / side).cast("int")], F.col("doc_id"))
     before = F.when(F.col("range") == 0, len(tops) - 1).otherwise(F.col("range") - 1)
     halo = F.when(is_top, F.array(F.struct("range", F.lit(False).alias("guest")), F.struct(before.alias("range"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct("range", F.lit(False).alias("guest"))))
-    both = placed.select("doc_id", "text", F.inline(halo))
+    both = placed.select("doc_id", *made, F.inline(halo))
     order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
-    return both.withColumn("next_text", F.lead("text").over(order)).filter(~F.col("guest")).drop("guest", "range")
+    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in made}).filter(~F.col("guest")).drop("guest", "range")
 
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
@@ -120,22 +136,17 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
 
     Null texts count as empty.  Equal texts have equal fingerprints.  Extra columns are ignored.
     """
-    pairs = with_next(docs)
+    pairs = with_next(docs, carry={"own": lambda text: pack(anchors(text, k, s))})
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next_text"), F.lit(1), third))
-    made = pairs.select(
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        edited.alias("edited"),
-        anchors(F.col("text"), k, s).alias("own"),
-        anchors(F.col("next_text"), k, s).alias("next"),
-    ).withColumn("edited_own", anchors(F.col("edited"), k, s))
+    made = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "own", F.col("next_own.h").alias("next"))
+    made = made.withColumn("edited_own", pack(anchors(F.col("edited"), k, s)))
     return made.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("own")).alias("fingerprint"),
-        fingerprint(F.col("edited_own")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited_own")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next")).alias("near_next"),
+        fingerprint(F.col("own.h"), F.col("own.at")).alias("fingerprint"),
+        fingerprint(F.col("edited_own.h"), F.col("edited_own.at")).alias("edited_fingerprint"),
+        likeness(F.col("own.h"), F.col("edited_own.h")).alias("near_edited"),
+        likeness(F.col("own.h"), F.col("next")).alias("near_next"),
     )
