@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions import dates, links, numbers, text
-from gristmill.operators import entity, lifecycle, merging, mining, querying
+from gristmill.functions import adverts, dates, links, numbers, text
+from gristmill.operators import entity, lifecycle, merging, mining, querying, skills
 from gristmill.plans.registry import query, table
 
 DAY = "1997-01-15"
@@ -446,6 +446,38 @@ def parse_dates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH d AS (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 30 YEAR AS DATE) AS day FROM orders)
+    SELECT o_orderkey, CASE WHEN day BETWEEN DATE '2025-01-15' - 120 AND DATE '2025-01-15' + 1095 THEN day END AS starts,
+      CASE WHEN day BETWEEN DATE '2025-01-15' - 365 AND DATE '2025-01-15' + 730 THEN day END AS closes FROM d"""
+)
+def advert_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Starts and deadlines read back from adverts' sentences."""
+    day, today = F.add_months(F.to_date("o_orderdate"), 360), _day("2025-01-15")
+    body = F.concat(F.lit("We are hiring. Closing date: "), F.date_format(day, "EEEE d MMMM yyyy"), F.lit(". Start date: "), F.date_format(day, "MMMM d, yyyy"), F.lit(". Apply soon."))
+    starts = adverts.start_date(F.lit("Analyst"), body, today)
+    return table(spark, d, "orders").select("o_orderkey", starts["date"].alias("starts"), adverts.closing_date(body, today).alias("closes"))
+
+
+@query("SELECT c_custkey, c_name AS title, c_mktsegment AS employer, CAST('1997-01-15' AS DATE) AS posted, n_name || ', ' || c_custkey AS place FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def structured_posting(spark: SparkSession, d: str) -> DataFrame:
+    """Structured postings read back from pages that hold them in a graph."""
+    address = F.struct(F.col("n_name").alias("addressLocality"), F.col("c_custkey").cast("string").alias("postalCode"))
+    node = F.struct(F.lit("JobPosting").alias("@type"), F.col("c_name").alias("title"), F.struct(F.col("c_mktsegment").alias("name")).alias("hiringOrganization"), F.lit(DAY).alias("datePosted"), F.struct(address.alias("address")).alias("jobLocation"))
+    html = F.concat(F.lit('<p>x</p><script type="application/ld+json">{"@graph":['), F.to_json(node), F.lit("]}</script>"))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select("c_custkey", adverts.job_posting(html, _day()).alias("p")).select("c_custkey", "p.title", "p.employer", "p.posted", "p.place")
+
+
+_WORDS = {"and": r"(?i)\band\b", "data": r"(?i)\bdata\b", "que": r"(?i)\bque\b", "der": r"(?i)\bder\b"}
+
+
+@query()
+def skill_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of a dictionary that long texts mention, and in what context."""
+    return skills.mentions(table(spark, d, "documents").select("doc_id", "text"), _WORDS, "doc_id").select("doc_id", "id", "ctx")
+
+
 @query("SELECT event_id, CAST(((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London') AS DATE) AS day FROM events")
 def london_date(spark: SparkSession, d: str) -> DataFrame:
     """The day in London of each event."""
