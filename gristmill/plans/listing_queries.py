@@ -421,11 +421,24 @@ def url_rank(spark: SparkSession, d: str) -> DataFrame:
     FROM orders WHERE floor(o_totalprice) BETWEEN 5000 AND 240000"""
 )
 def parse_salary(spark: SparkSession, d: str) -> DataFrame:
-    """Pay read back from the text that it was written into."""
+    """Pay read back from the text that it was written into, of orders whose amounts are all believed."""
+    return _pay_read_back(table(spark, d, "orders").filter(F.floor("o_totalprice").between(5000, 240000)))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS a, CASE WHEN o_orderkey % 2 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) + 1000 END AS b FROM orders),
+    k AS (SELECT o_orderkey, CASE WHEN a BETWEEN 5000 AND 250000 THEN a END AS a, CASE WHEN b BETWEEN 5000 AND 250000 THEN b END AS b FROM o)
+    SELECT o_orderkey, coalesce(a, b) AS least, CASE WHEN a IS NOT NULL THEN b END AS most FROM k"""
+)
+def parse_salary_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pay read back from the text of every order: an amount outside the believed range is passed over."""
+    return _pay_read_back(table(spark, d, "orders"))
+
+
+def _pay_read_back(orders: DataFrame) -> DataFrame:
     pay = F.floor("o_totalprice")
     written = F.concat(F.lit("£"), F.format_number(pay, 0), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" to £"), F.format_number(pay + 1000, 0))).otherwise(""), F.lit(" per annum"))
-    rows = table(spark, d, "orders").filter(pay.between(5000, 240000)).select("o_orderkey", numbers.parse_salary(written).alias("pay"))
-    return rows.select("o_orderkey", "pay.least", "pay.most")
+    return orders.select("o_orderkey", numbers.parse_salary(written).alias("pay")).select("o_orderkey", "pay.least", "pay.most")
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS slashes, CAST(o_orderdate AS DATE) AS written, DATE '1997-01-15' - CAST(o_orderkey % 20 AS INTEGER) * 7 AS ago, CAST(NULL AS DATE) AS none FROM orders")

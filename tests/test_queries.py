@@ -47,3 +47,13 @@ def test_entry_imports():
     import __spark_entry__
 
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_pay_of_every_order(spark, sf_dir, duck):
+    got = {r.o_orderkey: (r.least, r.most) for r in registry.QUERIES["parse_salary_all"](spark, sf_dir).collect()}
+    orders = duck.execute("SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) FROM orders").fetchall()
+    assert len(got) == len(orders)
+    for key, pay in orders:
+        kept = [v for v in ([pay, pay + 1000] if key % 2 == 0 else [pay]) if 5000 <= v <= 250000]
+        assert got[key] == (kept[0] if kept else None, kept[1] if len(kept) == 2 else None)
+    assert (None, None) in got.values()
