@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -82,3 +83,24 @@ def test_shingle_counts():
     text = "A b c d e f a b c d e\tf é".encode()
     found = shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     assert len(found[0]) == len(shingles(text.decode()))
+
+
+def test_stage_keeps_one_row_of_each_component(spark):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(80)) for _ in range(5)]
+    near = texts[0] + " tail"
+    rows = [(1, texts[0]), (1, texts[0]), (1, near), (2, near)]  # repeated rows, and a copy with the kept row's id
+    rows += [(7, texts[1]), (7, texts[0]), (6, texts[1])]  # id 7 is rejected twice
+    rows += [(None, texts[0]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (None, None), (None, None), (9, ""), (9, texts[4])]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, key string").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, None if r.text == near else r.text) for r in got.collect()]
+    assert [d for d, t in kept if d == 1] == [1]
+    rest = [(6, texts[1]), (None, texts[2]), (None, texts[3]), (None, None), (None, None), (9, ""), (9, texts[4])]
+    assert sorted([k for k in kept if k[0] != 1], key=repr) == sorted(rest, key=repr)
+
+
+def test_stage_meets_pairs_at_its_threshold():
+    """Sets of similarity 0.80 share a band; with 40 bands about one of 1600 pairs has none."""
+    assert (1 - 0.8**corpus_pipeline.ROWS) ** corpus_pipeline.BANDS < 3e-6
