@@ -1,8 +1,9 @@
 """Skills that adverts mention, and whether they ask for them, teach them or list them as work.
 
-An advert is exploded into segments (lines, sentences, list items).  What governs a mention is the last cue before it
-in its segment; else the last cue of the up to twelve segments before, within 1200 characters; else the first cue
-after it; else it is work.  The window is over one advert's segments, so it never holds more than one text.
+An advert is exploded into segments (lines, sentences, list items), and a segment into the places of its cues and
+skills, all of them.  What governs a mention is the last cue in its segment that begins before it or with it; else the
+last cue of the up to twelve segments before, within 1200 characters; else the first cue after it; else it is work.
+The strongest context of all places counts.  The windows are over one advert, so they never hold more than one text.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ def _kind(cue: Column, cues: Mapping[str, str]) -> Column:
 def mentions(adverts: DataFrame, dictionary: Mapping[str, str], key: str = "listing_id", text: str = "text", cues: Mapping[str, str] = CUES) -> DataFrame:
     """``key``, id, ctx (the strongest of asked, taught and job) and quote: a row for each skill that an advert has.
 
-    :param dictionary: skill to its regular expression.  A bounded table; it becomes part of the plan.
+    :param dictionary: skill to its regular expression, which matches no empty text.  A bounded table; it becomes part
+        of the plan.
 
     Texts under 700 characters and null texts give no rows.  Segments with school qualifications are entry
     requirements and are passed over, a mention within a question counts as work.
@@ -64,11 +66,24 @@ def mentions(adverts: DataFrame, dictionary: Mapping[str, str], key: str = "list
     # the budget counts the segments between the heading's and this one
     held = F.when(F.col("chars") - F.length("part") - F.col("heading.until") < BACK_CHARS, F.col("heading.last"))
     first = _kind(F.nullif(F.regexp_extract("part", any_cue, 0), F.lit("")), cues)
-    found = F.array_compact(F.array(*(F.when(F.col("part").rlike(p), F.struct(F.lit(i).alias("place"), F.lit(name).alias("id"), F.regexp_extract("part", rf"(?s)^(.*?)(?:{p})", 1).alias("before"))) for i, (name, p) in enumerate(dictionary.items()))))
-    named = parts.filter(~F.col("part").rlike(QUALIFICATIONS)).select(key, "at", "part", held.alias("held"), first.alias("first"), F.explode(found).alias("m"))
-    context = F.when(F.col("part").rlike(r"\?\s*$"), "job").otherwise(F.coalesce(last_cue(F.col("m.before")), "held", "first", F.lit("job")))
-    known = named.withColumn("ctx", context).filter("ctx != 'ignore'")
+    asked_for = parts.filter(~F.col("part").rlike(QUALIFICATIONS) & F.col("part").rlike("|".join(f"(?:{p})" for p in dictionary.values())))
+
+    def places(pattern: str, id_: str | None) -> Column:
+        """Each match: what it is of, how long it and the text since the match before it are, and a cue's kind."""
+        hits, gaps = F.regexp_extract_all("part", F.lit(pattern), F.lit(0)), F.split("part", pattern, -1)
+        kind = (lambda h: _kind(h, cues)) if id_ is None else (lambda h: F.lit(None).cast("string"))
+        return F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.lit(id_).cast("string").alias("id"), F.length(h).alias("long"), F.length(g).alias("gap"), kind(h).alias("kind")))
+
+    listed = F.concat(places(any_cue, None), *(F.when(F.col("part").rlike(p), places(p, name)).otherwise(F.array()) for name, p in dictionary.items()))
+    met = asked_for.select(key, "advert", "at", "part", held.alias("held"), first.alias("first"), F.posexplode(listed).alias("nth", "m")).select("*", "m.*")
+    # a place is the sum of what comes before it
+    before = Window.partitionBy(key, "advert", "at", "id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("place", F.sum(F.col("gap") + F.col("long")).over(before) - F.col("long"))
+    upto = Window.partitionBy(key, "advert", "at").orderBy("place", F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("own", F.last("kind", ignorenulls=True).over(upto)).filter("id IS NOT NULL")
+    context = F.when(F.col("part").rlike(r"\?\s*$"), "job").otherwise(F.coalesce("own", "held", "first", F.lit("job")))
+    known = met.withColumn("ctx", context).filter("ctx != 'ignore'")
     rank = F.create_map(*(F.lit(x) for k, v in _RANK.items() for x in (k, v)))
-    best = known.groupBy(key, F.col("m.id").alias("id")).agg(F.max_by(F.struct("ctx", "part"), F.struct(F.element_at(rank, F.col("ctx")).alias("r"), (-F.col("at")).alias("a"))).alias("best"))
+    best = known.groupBy(key, "id").agg(F.max_by(F.struct("ctx", "part"), F.struct(F.element_at(rank, F.col("ctx")).alias("r"), (-F.col("at")).alias("a"))).alias("best"))
     quote = F.when(F.length("best.part") > QUOTE_CHARS, F.concat(F.substring("best.part", 1, QUOTE_CHARS - 3), F.lit("…"))).otherwise(F.col("best.part"))
     return best.select(key, "id", F.col("best.ctx").alias("ctx"), quote.alias("quote"))

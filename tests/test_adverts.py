@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +107,59 @@ def test_mentions(spark):
     words = {"python": r"(?i)\bpython\b", "sql": r"(?i)\bsql\b", "team": r"(?i)\bteamwork\b", "excel": r"(?i)\bexcel\b"}
     got = skills.mentions(spark.createDataFrame(rows, "listing_id int, text string"), words).collect()
     assert sorted((r["listing_id"], r["id"], r["ctx"]) for r in got) == [(1, "excel", "job"), (1, "python", "taught"), (1, "sql", "asked")]
+
+
+def plain_mentions(text, words):
+    """Contexts by a loop over all matches."""
+    space = r"[ \t\n\x0b\f\r]"
+    marked = re.sub(r"(?<=[.!?:;])[ \t\x0b\f\r]+(?=[A-Z0-9(])|[ \t\x0b\f\r]*[•▪●◦*][ \t\x0b\f\r]+", "\n", text)
+    parts = [p for p in (re.sub(rf"{space}+", " ", line).strip(" ") for line in re.split(r"\n+", marked)) if p]
+    any_cue = re.compile(r"(?i)\b(?:" + "|".join(skills.CUES.values()) + r")\b")
+    kind = lambda cue: next(k for k, p in skills.CUES.items() if re.fullmatch(f"(?i)(?:{p})", cue))
+    cues = [[(m.start(), kind(m[0])) for m in any_cue.finditer(p)] for p in parts]
+    rank, best = {"job": 0, "taught": 1, "asked": 2}, {}
+    for i, part in enumerate(parts):
+        if re.search(skills.QUALIFICATIONS, part):
+            continue
+        for name, p in words.items():
+            for m in re.finditer(p, part):
+                ctx = next((k for at, k in reversed(cues[i]) if at <= m.start()), None)
+                back, j = 0, i - 1
+                while ctx is None and j >= max(0, i - 12) and back < 1200:
+                    ctx = cues[j][-1][1] if cues[j] else None
+                    back, j = back + len(parts[j]), j - 1
+                ctx = "job" if part.endswith("?") else ctx or (cues[i][0][1] if cues[i] else "job")
+                if ctx != "ignore" and (name not in best or rank[ctx] > rank[best[name]]):
+                    best[name] = ctx
+    return best
+
+
+WORDS = {"python": r"(?i)\bpython\b", "ml": r"(?i)\bmachine learning\b", "training": r"(?i)\b(?:staff )?training\b", "sql": r"SQL", "c": r"\bC\b"}
+
+
+def test_every_place_of_a_skill_counts(spark):
+    filler = "Lorem ipsum dolor sit amet consectetur. " * 20
+    rows = [(1, filler + "You'll learn Python, and it is essential to know Python"), (2, filler + "Benefits include Python lunches, and you must have Python"), (3, filler + "Benefits include Python lunches")]
+    got = skills.mentions(spark.createDataFrame(rows, "listing_id int, text string"), WORDS).collect()
+    assert sorted((r["listing_id"], r["id"], r["ctx"]) for r in got) == [(1, "python", "asked"), (2, "python", "asked")]
+
+
+def test_mentions_equal_plain_loop(spark):
+    rng = random.Random(3)
+    bits = ["python", "Python", "machine learning", "training", "staff training", "SQL", "SQLSQL", "C", "benefits", "about us", "you'll learn", "learning", "essential", "must have", "duties", "this role", "and", "so", "A levels", "thé", "lorem ipsum dolor sit amet", "x" * 150]
+    joins = [" "] * 12 + [", ", ". ", "\n", "? ", " • ", ". A "]
+    rows = [(n, "".join(rng.choice(bits) + rng.choice(joins) for _ in range(rng.randrange(80, 200)))) for n in range(150)]
+    rows = [(n, t) for n, t in rows if len(t) >= skills.LEAST_CHARS]
+    got = skills.mentions(spark.createDataFrame(rows, "listing_id int, text string"), WORDS).collect()
+    want = {(n, k, c) for n, t in rows for k, c in plain_mentions(t, WORDS).items()}
+    assert len(want) > 300
+    assert len(got) == len(want)
+    assert {(r["listing_id"], r["id"], r["ctx"]) for r in got} == want
+
+
+def test_mentions_of_documents_equal_plain_loop(spark, sf_dir):
+    from gristmill.plans import listing_queries, registry
+
+    docs = registry.table(spark, sf_dir, "documents").select("doc_id", "text").distinct().collect()
+    want = {(r.doc_id, k, c) for r in docs if r.text and len(r.text) >= skills.LEAST_CHARS for k, c in plain_mentions(r.text, listing_queries._WORDS).items()}
+    assert {tuple(r) for r in registry.QUERIES["skill_mentions"](spark, sf_dir).collect()} == want
