@@ -29,6 +29,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 FURNITURE = frozenset("nav footer aside form menu dialog button select fieldset".split())
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What can stand in a head; other elements and text close it, as ``</head>`` may be left out.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+#: Of these only the tag is passed over where the end tag is missing.
+SKIPPED_IF_OPEN = frozenset("noscript svg iframe template".split())
 #: Words of class, id and role that tell furniture and content.
 FURNITURE_WORDS = frozenset("ad ads advert advertisement advertising banner bar breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer disqus feedback footer form header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup privacy promo promoted recommended related reply replies respond rss search share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar tracking widget complementary contentinfo dialog alert gdpr paywall outbrain taboola".split())
 CONTENT_WORDS = frozenset("article articlebody content entry main maincontent post postbody postcontent story body text".split())
@@ -84,6 +88,7 @@ def blocks_of(html: str) -> list[Block]:
     found: list[Block] = []
     stack: list[_Open] = []
     pieces: list[tuple[str, bool]] = []
+    unclosed: set[str] = set()  # without an end tag in what is left
 
     def flush() -> None:
         if not pieces:
@@ -96,7 +101,13 @@ def blocks_of(html: str) -> list[Block]:
             found.append(Block(text, words, min(words, links), content, bool(stack) and stack[-1].furniture, any(o.heading for o in stack[-3:])))
         pieces.clear()
 
+    def close_head() -> None:
+        if stack and stack[-1].name == "head":
+            stack.pop()
+
     def add(text: str) -> None:
+        if text.strip():
+            close_head()
         if text and not (stack and stack[-1].silent):
             pieces.append((unescape(text), bool(stack) and stack[-1].link))
 
@@ -111,6 +122,8 @@ def blocks_of(html: str) -> list[Block]:
         if tag.group(1) is None:
             continue
         name, closing = tag.group(1).lower(), html[tag.start() + 1] == "/"
+        if not closing and name not in IN_HEAD:
+            close_head()
         if name == "br":
             add(" ")
             continue
@@ -129,8 +142,10 @@ def blocks_of(html: str) -> list[Block]:
             while stack and stack[-1].name == "p":
                 stack.pop()
         if name in _RAW and not tag.group(2).rstrip().endswith("/"):
-            end = _RAW[name].search(html, at)
-            at = end.end() if end else (at if name == "noscript" else n)
+            end = None if name in unclosed else _RAW[name].search(html, at)
+            if not end:
+                unclosed.add(name)
+            at = end.end() if end else (at if name in SKIPPED_IF_OPEN else n)
             continue
         content, furniture, hidden = _signs(name, tag.group(2))
         above = stack[-1] if stack else _Open("", False, False, False)

@@ -30,6 +30,27 @@ def test_main_text(page, want):
     assert html_extract.main_text(page, TREE) == want
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<html><head><title>T</title><body>",
+        "<head><meta charset=utf-8><link rel=x><style>p{}</style><script>1</script>",
+        "<head><title>T</title><noscript><img></noscript><template><p>no</p></template><img>",
+        "<head><title>T</title></head><body>",
+        "<body><svg><path d=x>",
+        "<body><iframe src=x>",
+        "<body><template>" * 3,
+        "<head><template><body>",
+    ],
+)
+def test_optional_and_missing_end_tags(before):
+    assert html_extract.main_text(f"{before}<p>{LONG}<p>{LONG}", TREE) == f"{LONG}\n\n{LONG}"
+
+
+def test_text_closes_head():
+    assert html_extract.main_text(f"<head><title>T</title>\n{LONG}<p>{LONG}", TREE) == f"{LONG}\n\n{LONG}"
+
+
 def test_extract_odd_rows(spark):
     pages = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>x</p>", 2), (1, "u", "<p>x</p>", 2)], "page_id long, url string, html string, text int")
     assert sorted(((r.page_id, r.text, r.n_chars) for r in html_extract.extract(pages).collect()), key=repr) == [(1, "x", 1), (1, "x", 1), (None, "", 0)]
