@@ -73,12 +73,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a small table inside a loop."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through the file system that holds it."""
     jvm = spark.sparkContext._jvm
@@ -87,6 +81,38 @@ def remove(spark: SparkSession, path: str) -> None:
     _written.pop(path, None)
 
 
+class Scratch:
+    """Tables that a job writes for itself: each can be dropped once it has been read, the rest go at the end.
+
+        with Scratch(spark) as keep:
+            table = keep(df, "table")
+            ...
+            return materialise(result, "result")
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.held: dict[int, tuple[DataFrame, str]] = {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            if id(table) in self.held:
+                remove(self.spark, self.held.pop(id(table))[1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*(t for t, _ in self.held.values()))
+
+
 @atexit.register
 def _clean() -> None:
     for path, spark in list(_written.items()):
