@@ -10,19 +10,24 @@ concentrated about its mean.  Most sets are full after the few first rounds.
 is missed with a probability of 3e-6, and a pair of similarity 0.5 is met with one of 0.14.
 
 *Verification.*  Documents with equal sets are one class from the start, so that copies cost nothing further.  Small
-buckets give all pairs of their classes.  A large bucket never does: it gets a hub c, the class that shares most
-buckets with others among its members and those that they meet elsewhere, and every member x is compared with it exactly (i = |x & c|).  Members linked to the hub are in
-one component.  A pair x, y with x not linked needs |x & y| >= t (|x| + |y|), t = percent / (100 + percent), of
-which at most min(i_x, i_y) lie in c.  Hence
+buckets give all pairs of their classes.  A large bucket never does.  Its members are compared with a reference set R,
+the shingles that most of a sample of them have (any R gives the same links, a good one less work).  Let S be the
+shingles in which a member x differs from R, own ones and missing ones told apart.  The difference of two members has
+|S_x| + |S_y| - 2 |S_x & S_y| shingles, so with slack_x = (100 + percent) |S_x| - (100 - percent) |x| two members are
+linked exactly if
 
-- if i < percent of |x|, x needs shingles outside c in common with any partner: the missing number is known, so a
-  prefix of its sorted remainder, 15 % of the set, is posted as in prefix filtering;
-- other members post their whole remainder, which is at most 15 % of the set;
-- without a common shingle outside c, the partner y of an unlinked x has |y| <= i_x / t - |x| < |c|.  Unlinked
-  members for which such small partners exist form a bucket with them.
+    slack_x + slack_y <= 2 (100 + percent) |S_x & S_y|.
 
-Postings with two to few members give pairs, and long ones are buckets again, with a hub of their own; whatever lies
-within one component by then is left alone.  This loses no link between components that a shared bucket has shown.  All links are confirmed on the full sets.
+Let c be the member with the least slack.  Hence
+
+- x with slack_x + slack_c <= 0 is linked with c; any two members that are linked without a common element of S are;
+- another x needs at least (slack_x + slack_c) / (2 (100 + percent)) elements of S in common with any partner, so a
+  prefix of its sorted S is posted as in prefix filtering, and members of the first kind post all of theirs.
+
+Postings are buckets again, and go the same way, small or large.  Elements outside R that all members have there are
+none, since R would hold them; so every bucket is smaller than the one it comes from, and the rounds end.  What lies
+within one part (members known to be linked through one c) is left alone.  This loses no link between components that
+a shared bucket has shown, and no group is ever gathered.  All links hold for the full sets.
 
 Components are found by alternating large-star and small-star steps over the verified links.
 """
@@ -31,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +45,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.llm.shingles import WIDTH, mix, shingle_sets, text_chunks
-from gristmill.session import cut, materialise, ship
+from gristmill.session import Scratch, materialise, ship
 
 PERCENT = 85
 BANDS, ROWS = 40, 8
-#: Buckets up to this size give all their pairs; larger ones go through their hub.
+#: Buckets up to this size give all their pairs; larger ones go through their reference set.
 SMALL_BUCKET = 12
-#: Rounds of hubs; what is still a large bucket then gives all its pairs.
-HUB_ROUNDS = 3
+#: Members of a bucket, about, from which its reference set is taken.  It decides on work, never on links.
+REFERENCE_MEMBERS = 32
+#: In the first rounds buckets with common members share a reference set; later each has its own.
+SHARED_ROUNDS = 2
+#: Rounds after which something must be wrong: sizes of buckets fall in each.
+MOST_ROUNDS = 60
 
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _FULL = np.uint64(2**64 - 1)
@@ -86,10 +96,10 @@ def set_class(shingles: np.ndarray) -> tuple[int | None, int | None]:
 
 
 def _sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, class with its check, and band keys of each document."""
+    """doc_id, n_shingles, class with its check, and band keys of each document (null where a copy has them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}  # copies often stand close together
+        done: set[int] = set()  # one row of each class is enough to carry its keys
         for batch in batches:
             for at, end, data, offsets in text_chunks(batch.column("text")):
                 sets = shingle_sets(data, offsets, width)
@@ -99,11 +109,13 @@ def _sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     if own is None:
                         keys.append(None)
                         continue
-                    if own not in last:
-                        if len(last) > 2000:
-                            last.clear()
-                        last[own] = band_keys(sketch(s, bands * rows), bands, rows)
-                    keys.append(last[own])
+                    if own in done:
+                        keys.append(None)
+                        continue
+                    if len(done) > 1 << 20:
+                        done.clear()
+                    done.add(own)
+                    keys.append(band_keys(sketch(s, bands * rows), bands, rows))
                 columns = [
                     batch.column("doc_id").slice(at, end - at),
                     pa.array([len(s) for s in sets], pa.int64()),
@@ -151,72 +163,92 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(_linked(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
 
-def _meet_hubs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """hub, cls, n, linked, rest (what to post) and reach (size of the largest partner without a common posting)."""
-    hubs = sets.select(F.col("cls").alias("hub"), F.col("set").alias("hub_set"))
-    met = large.join(sets, "cls").join(hubs, "hub").select("hub", "cls", "n", F.size("hub_set").alias("hub_n"), F.sort_array(F.array_except("set", "hub_set")).alias("rest"))
-    met = met.withColumn("common", F.col("n") - F.size("rest"))
-    met = met.withColumn("linked", _linked(F.col("common"), F.col("n"), F.col("hub_n"), percent))
-    missing = F.ceil(F.col("n") * percent / 100) - F.col("common")  # shingles outside the hub that any partner must share
-    length = F.size("rest") - F.greatest(F.lit(1), missing) + 1
-    reach = F.when(missing <= 0, F.floor(F.col("common") * (100 + percent) / percent) - F.col("n")).otherwise(0)
-    rest = F.slice("rest", 1, F.greatest(F.lit(0), length).cast("int"))
-    return met.select("hub", "cls", "n", "linked", rest.alias("rest"), reach.alias("reach"))
+def _open_members(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one part, with the bucket's size; of buckets with equal members one."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), (F.min("part") != F.max("part")).alias("open"), F.bit_xor(F.xxhash64("cls")).alias("who")).filter("open")
+    return members.join(sizes.groupBy("size", "who").agg(F.min("bucket").alias("bucket")).drop("who"), "bucket")
+
 
+def _placed(large: DataFrame, share: bool) -> DataFrame:
+    """ref, ref_size, cls, n, part, own: which reference set each member of a large bucket is compared with.
 
-def links(classes: DataFrame, sets: DataFrame, percent: int = PERCENT, small: int = SMALL_BUCKET, rounds: int = HUB_ROUNDS) -> DataFrame:
+    With ``share`` a bucket takes that of the largest bucket that any of its members is in, so that the fragments of
+    one group are compared with one set; ``own`` tells the members of the bucket that the set is made of.
+    """
+    if not share:
+        return large.select(F.col("bucket").alias("ref"), F.col("size").alias("ref_size"), "cls", "n", "part", F.lit(True).alias("own"))
+    best = large.groupBy("cls").agg(F.max(F.struct("size", "bucket")).alias("best"))
+    refs = large.join(best, "cls").groupBy("bucket").agg(F.max("best").alias("ref"))
+    met = large.join(refs, "bucket")
+    return met.groupBy(F.col("ref.bucket").alias("ref"), F.col("ref.size").alias("ref_size"), "cls").agg(F.first("n").alias("n"), F.min("part").alias("part"), F.bool_or(F.col("bucket") == F.col("ref.bucket")).alias("own"))
+
+
+def _references(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """ref and the shingles that most of about REFERENCE_MEMBERS of its members have."""
+    some = placed.filter(F.col("own") & (F.pmod(F.xxhash64("ref", "cls"), F.col("ref_size")) < REFERENCE_MEMBERS)).select("ref", "cls")
+    # the null stands for the member itself
+    counted = some.join(sets, "cls").select("ref", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("set"))).alias("e")).groupBy("ref", "e").agg(F.count("*").alias("n"))
+    held = counted.groupBy("ref").agg(F.collect_list(F.struct("e", "n")).alias("all"), F.max(F.when(F.col("e").isNull(), F.col("n"))).alias("members"))
+    most = F.filter("all", lambda x: x["e"].isNotNull() & (2 * x["n"] > F.col("members")))
+    return held.select("ref", F.transform(most, lambda x: x["e"]).alias("ref_set"))
+
+
+def _differences(placed: DataFrame, references: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """ref, cls, n, part, elements (where a member differs from its reference set) and slack."""
+    met = placed.join(sets, "cls").join(references, "ref", "left").withColumn("ref_set", F.coalesce("ref_set", F.array().cast("array<bigint>")))
+    missing = F.transform(F.array_except("ref_set", "set"), lambda e: F.bitwise_not(e))
+    met = met.select("ref", "cls", "n", "part", F.sort_array(F.concat(F.array_except("set", "ref_set"), missing)).alias("elements"))
+    return met.withColumn("slack", F.lit(100 + percent).cast("long") * F.size("elements") - (100 - percent) * F.col("n"))
+
+
+def _posted(differences: DataFrame, percent: int) -> DataFrame:
+    """ref, cls, n, part, centre and posted: the centre where a member is linked with it, and the elements to post."""
+    least = differences.groupBy("ref").agg(F.min("slack").alias("least"), F.min_by(F.struct("cls", "part"), F.struct("slack", "cls")).alias("centre"))
+    met = differences.join(least, "ref")
+    need = F.ceil((F.col("slack") + F.col("least")) / (2 * (100 + percent)))
+    linked = F.col("slack") + F.col("least") <= 0
+    length = F.greatest(F.lit(0), F.size("elements") - F.greatest(F.lit(1), need) + 1)
+    return met.select("ref", "cls", "n", F.when(linked, F.col("centre.part")).otherwise(F.col("part")).alias("part"), F.when(linked, F.col("centre.cls")).alias("centre"), F.slice("elements", 1, length.cast("int")).alias("posted"))
+
+
+def links(members: DataFrame, sets: DataFrame, keep: Scratch, percent: int = PERCENT, small: int = SMALL_BUCKET) -> DataFrame:
     """Verified links between classes.
 
-    :param classes: cls, n (size of the set), keys (its buckets).
-    :param sets: cls, set: the full sets of all classes that share a bucket with another.
+    :param members: bucket, cls, n (size of the set), part, size: classes in buckets that are open.
+    :param sets: cls, set: the full sets of all these classes.
     :return: a, b: linked classes; a pair may come more than once.
     """
-    members = classes.select("cls", "n", F.col("cls").alias("part"), F.explode("keys").alias("bucket"))
-    found = None
-    for step in range(rounds + 1):
-        # part: the component so far; a bucket within one part has nothing more to show
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), (F.min("part") != F.max("part")).alias("open"), F.bit_xor(F.xxhash64("cls")).alias("who")).filter("open")
-        sizes = sizes.groupBy("size", "who").agg(F.min("bucket").alias("bucket")).drop("who")  # one of the buckets with equal members
-        members = materialise(members.join(sizes, "bucket"), f"members{step}")
-        if step == rounds:
-            return found.unionByName(materialise(_verified(_small_pairs(members, percent), sets, percent), "links"))
-        now = _verified(_small_pairs(members.filter(F.col("size") <= small), percent), sets, percent)
+    found: list[DataFrame] = []
+    for step in range(MOST_ROUNDS):
+        found.append(keep(_verified(_small_pairs(members.filter(F.col("size") <= small), percent), sets, percent), f"pairs{step}"))
         large = members.filter(F.col("size") > small)
         if large.isEmpty():
-            now = materialise(now, f"links{step}")
-            return now if found is None else found.unionByName(now)
-        score = large.groupBy("cls").agg(F.sum("size").alias("score"))
-        hubs = large.join(score, "cls").groupBy("bucket").agg(F.max(F.struct("score", "cls")).alias("best"))
-        if not step:  # the best hub that any member meets in any bucket: the fragments of one group get one hub
-            seen = large.join(hubs, "bucket").groupBy("cls").agg(F.max("best").alias("best"))
-            hubs = large.join(seen, "cls").groupBy("bucket").agg(F.max("best").alias("best"))
-        hubs = hubs.select("bucket", F.col("best.cls").alias("hub"))
-        large = large.join(hubs, "bucket").filter("hub != cls").select("hub", "cls", "n").distinct()
-        met = materialise(_meet_hubs(large, sets, percent), f"met{step}")
-        now = materialise(now.unionByName(met.filter("linked").select(F.col("hub").alias("a"), F.col("cls").alias("b"))), f"links{step}")
-        found = now if found is None else found.unionByName(now)
-        parts = components(found)
-        met = met.join(parts, "cls", "left").withColumn("part", F.coalesce("root", "cls")).drop("root")
-        posted = met.select("hub", "cls", "n", "part", F.explode("rest").alias("shingle"))
-        open_ = posted.groupBy("hub", "shingle").agg((F.min("part") != F.max("part")).alias("open")).filter("open")
-        shared = posted.join(open_.select("hub", "shingle"), ["hub", "shingle"]).select("cls", "n", "part", F.xxhash64("hub", "shingle").alias("bucket"))
-        bounds = met.groupBy("hub").agg(F.min("n").alias("least"), F.max(F.when(~F.col("linked"), F.col("reach"))).alias("most")).filter("least <= most")
-        near = met.join(bounds, "hub").filter("reach >= least AND (NOT linked OR n <= most)").select("cls", "n", "part", F.xxhash64("hub", F.lit("small")).alias("bucket"))
-        members = shared.unionByName(near).distinct()
-    raise AssertionError
-
-
-def components(edges: DataFrame) -> DataFrame:
+            keep.drop(members)
+            return reduce(DataFrame.unionByName, found)
+        placed = keep(_placed(large, step < SHARED_ROUNDS), f"placed{step}")
+        differences = keep(_differences(placed, _references(placed, sets), sets, percent), f"differences{step}")
+        posted = keep(_posted(differences, percent), f"posted{step}")
+        keep.drop(members, placed, differences)
+        found.append(keep(posted.filter("centre != cls").select(F.col("centre").alias("a"), F.col("cls").alias("b")), f"centres{step}"))
+        postings = posted.select("ref", "cls", "n", "part", F.explode("posted").alias("e")).select(F.xxhash64("ref", "e").alias("bucket"), "cls", "n", "part")
+        members = keep(_open_members(postings), f"members{step + 1}")
+        keep.drop(posted)
+    raise RuntimeError(f"buckets of more than {small} classes after {MOST_ROUNDS} rounds")
+
+
+def components(edges: DataFrame, keep: Scratch) -> DataFrame:
     """Connected components: cls and root (the component's least class) for every class in ``edges`` (a, b).
 
     Large-star and small-star steps, each a grouping and a join; a class with very many links is only joined, never
     gathered.
     """
-    pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    if pairs.isEmpty():
-        return pairs.select(F.col("u").alias("cls"), F.col("v").alias("root"))
+    pairs = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     state = None
-    for _ in range(64):
+    for step in range(MOST_ROUNDS):
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state or not now[0]:
+            return pairs.select(F.col("u").alias("cls"), F.col("v").alias("root"))
+        state = now
         # large star: every larger neighbour of u goes to the least of u and its neighbours
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -224,13 +256,10 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: u and its smaller neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        pairs = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        pairs = cut(pairs)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return pairs.select(F.col("u").alias("cls"), F.col("v").alias("root"))
+        after = keep(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), f"edges{step}")
+        keep.drop(pairs)
+        pairs = after
+    raise RuntimeError(f"components still change after {MOST_ROUNDS} rounds")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BUCKET) -> DataFrame:
@@ -244,26 +273,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     their own.  A row with null doc_id takes part, but names a component only if no member has an id; its kept
     compares null-safely.  Texts are processed whole.
     """
-    ship(docs.sparkSession)
-    light = materialise(_sketched(docs, width, bands, rows), "sketched")
-    grouped = light.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), (F.min("check") != F.max("check")).alias("mixed"))
-    classes = materialise(grouped, "classes")
-    if not classes.filter("mixed").isEmpty():
-        raise ValueError("two different shingle sets have one 64-bit class")  # about one in 2^65 / n^2 corpora of n texts
-    classes = classes.drop("mixed")
-    # the sets of classes that share a bucket, made again from one text of each class
-    buckets = classes.select("cls", F.explode("keys").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    wanted = materialise(buckets.join(shared, "bucket").groupBy("cls").agg(F.count("*").alias("n_buckets")).join(classes.select("cls", "least"), "cls").select("cls", "least"), "wanted")
-    ids = wanted.select(F.col("least").alias("doc_id")).distinct()
-    some = docs.select("doc_id", "text").join(ids, F.expr("true") & docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    sets = _sets(some, width).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-    sets = materialise(sets, "sets")
-    found = links(classes.join(wanted.select("cls"), "cls", "left_semi"), sets, percent, small)
-    roots = components(found)
-    named = classes.select("cls", "least").join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component"))
-    labels = named.join(names, "root").select("cls", "component")
-    out = light.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    spark = docs.sparkSession
+    ship(spark)
+    with Scratch(spark) as keep:
+        light = keep(_sketched(docs, width, bands, rows), "sketched")
+        grouped = light.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys", ignorenulls=True).alias("keys"), (F.min("check") != F.max("check")).alias("mixed"))
+        classes = keep(grouped, "classes")
+        if not classes.filter("mixed").isEmpty():
+            raise ValueError("two different shingle sets have one 64-bit class")  # about one in 2^65 / n^2 corpora of n texts
+        members = keep(_open_members(classes.select(F.explode("keys").alias("bucket"), "cls", "n", F.col("cls").alias("part"))), "members0")
+        # the sets of classes that share a bucket, made again from one text of each class
+        wanted = keep(classes.select("cls", "least").join(members.select("cls").distinct(), "cls", "left_semi"), "wanted")
+        ids = wanted.select(F.col("least").alias("doc_id")).distinct()
+        some = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+        made = _sets(some, width).join(wanted.select("cls"), "cls", "left_semi")
+        # of texts with one id, or without, several may have one class
+        sets = keep(made.groupBy("cls").agg(F.first("set").alias("set")), "sets")
+        roots = components(links(members, sets, keep, percent, small), keep)
+        named = classes.select("cls", "least").join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+        names = named.groupBy("root").agg(F.min("least").alias("component"))
+        labels = named.join(names, "root").select("cls", "component")
+        out = light.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left")
+        component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+        out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        return materialise(out, "components")

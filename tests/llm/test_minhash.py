@@ -56,9 +56,27 @@ def groups(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "small"), [(1, 2), (2, 12)])
-def test_components_equal_all_pairs(spark, seed, small):
-    rows = groups(seed)
+def lineages(seed):
+    """A base that is not there itself, with copies that are too far from it, cut at one end or changed alike in families."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7)))
+    base = [word() for _ in range(200)]
+    rows = []
+    for family in range(8):
+        own = list(base[: 200 - rng.choice([0, 30, 45])])
+        for _ in range(rng.randrange(2, 7)):
+            own[rng.randrange(len(own))] = word()
+        for _ in range(18):
+            one = list(own)
+            for _ in range(rng.randrange(0, 5)):
+                one[rng.randrange(len(one))] = word()
+            rows.append((len(rows) * 7 % 150 + 150 * family, " ".join(one)))
+    return rows
+
+
+@pytest.mark.parametrize(("make", "seed", "small"), [(groups, 1, 2), (groups, 2, 12), (lineages, 3, 2), (lineages, 4, 12), (lineages, 5, 4)])
+def test_components_equal_all_pairs(spark, make, seed, small):
+    rows = make(seed)
     docs = spark.createDataFrame([(d, t, "x", 1, "y") for d, t in rows], SCHEMA)
     got = minhash.near_duplicates(docs, small=small).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows, 85)
