@@ -21,13 +21,16 @@ linked exactly if
 Let c be the member with the least slack.  Hence
 
 - x with slack_x + slack_c <= 0 is linked with c; any two members that are linked without a common element of S are;
-- another x needs at least (slack_x + slack_c) / (2 (100 + percent)) elements of S in common with any partner, so a
-  prefix of its sorted S is posted as in prefix filtering, and members of the first kind post all of theirs.
+- another x needs (slack_x + slack_c) / (2 (100 + percent)) elements of S in common with any partner, and, sizes of
+  partners being bounded, |S_x| - (100 - percent) |x| / percent of them; so does a member of the first kind, with the
+  least slack of the others in the place of slack_c.
 
-Postings are buckets again, and go the same way, small or large.  Elements outside R that all members have there are
-none, since R would hold them; so every bucket is smaller than the one it comes from, and the rounds end.  What lies
-within one part (members known to be linked through one c) is left alone.  This loses no link between components that
-a shared bucket has shown, and no group is ever gathered.  All links hold for the full sets.
+So a prefix of S is posted as in prefix filtering, the elements that fewest members have first.  Postings with two
+members or more are buckets again, and go the same way, small or large, each with a reference set of its own.  An
+element that all members have outside R is none, since R would hold it; so every bucket is smaller than the one it
+comes from, and the rounds end.  What lies within one part (members known to be linked through one c) is left alone.
+This loses no link between components that a shared bucket has shown, and no group is ever gathered.  All links hold
+for the full sets.
 
 Components are found by alternating large-star and small-star steps over the verified links.
 """
@@ -40,7 +43,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,8 +56,6 @@ BANDS, ROWS = 40, 8
 SMALL_BUCKET = 12
 #: Members of a bucket, about, from which its reference set is taken.  It decides on work, never on links.
 REFERENCE_MEMBERS = 32
-#: In the first rounds buckets with common members share a reference set; later each has its own.
-SHARED_ROUNDS = 2
 #: Rounds after which something must be wrong: sizes of buckets fall in each.
 MOST_ROUNDS = 60
 
@@ -172,7 +173,7 @@ def _open_members(members: DataFrame) -> DataFrame:
 def _placed(large: DataFrame, share: bool) -> DataFrame:
     """ref, ref_size, cls, n, part, own: which reference set each member of a large bucket is compared with.
 
-    With ``share`` a bucket takes that of the largest bucket that any of its members is in, so that the fragments of
+    With ``share``, in the first round, a bucket takes that of the largest bucket that any of its members is in, so that the fragments of
     one group are compared with one set; ``own`` tells the members of the bucket that the set is made of.
     """
     if not share:
@@ -201,14 +202,27 @@ def _differences(placed: DataFrame, references: DataFrame, sets: DataFrame, perc
     return met.withColumn("slack", F.lit(100 + percent).cast("long") * F.size("elements") - (100 - percent) * F.col("n"))
 
 
-def _posted(differences: DataFrame, percent: int) -> DataFrame:
-    """ref, cls, n, part, centre and posted: the centre where a member is linked with it, and the elements to post."""
-    least = differences.groupBy("ref").agg(F.min("slack").alias("least"), F.min_by(F.struct("cls", "part"), F.struct("slack", "cls")).alias("centre"))
-    met = differences.join(least, "ref")
-    need = F.ceil((F.col("slack") + F.col("least")) / (2 * (100 + percent)))
+def _judged(differences: DataFrame, percent: int) -> DataFrame:
+    """``differences`` with centre, where a member is linked with it, and how many elements it has to post."""
+    slack = differences.select("ref", "cls", "part", "slack")
+    least = slack.groupBy("ref").agg(F.min("slack").alias("least"), F.min_by(F.struct("cls", "part"), F.struct("slack", "cls")).alias("centre"))
+    far = slack.join(least, "ref").filter("slack + least > 0").groupBy("ref").agg(F.min("slack").alias("far"))
+    met = differences.join(least.join(far, "ref", "left"), "ref")
     linked = F.col("slack") + F.col("least") <= 0
-    length = F.greatest(F.lit(0), F.size("elements") - F.greatest(F.lit(1), need) + 1)
-    return met.select("ref", "cls", "n", F.when(linked, F.col("centre.part")).otherwise(F.col("part")).alias("part"), F.when(linked, F.col("centre.cls")).alias("centre"), F.slice("elements", 1, length.cast("int")).alias("posted"))
+    need = F.ceil((F.col("slack") + F.when(linked, F.col("far")).otherwise(F.col("least"))) / (2 * (100 + percent)))
+    need = F.greatest(F.lit(1), need, F.size("elements") - F.floor((100 - percent) * F.col("n") / percent))
+    # without members of the second kind nothing is left to find
+    length = F.when(F.col("far").isNull(), 0).otherwise(F.greatest(F.lit(0), F.size("elements") - need + 1))
+    return met.select("ref", "cls", "n", F.when(linked, F.col("centre.part")).otherwise(F.col("part")).alias("part"), F.when(linked, F.col("centre.cls")).alias("centre"), "elements", length.alias("length"))
+
+
+def _postings(judged: DataFrame) -> DataFrame:
+    """bucket, cls, n, part: a bucket for each element that two members or more of a reference set post."""
+    every = judged.filter("length > 0").select("ref", "cls", "n", "part", "length", F.explode("elements").alias("e"))
+    shared = every.groupBy("ref", "e").agg(F.count("*").alias("holders"))
+    rarest = F.row_number().over(Window.partitionBy("ref", "cls").orderBy("holders", "e"))  # of one member's set
+    met = every.join(shared, ["ref", "e"]).withColumn("place", rarest).filter((F.col("place") <= F.col("length")) & (F.col("holders") > 1))
+    return met.select(F.xxhash64("ref", "e").alias("bucket"), "cls", "n", "part")
 
 
 def links(members: DataFrame, sets: DataFrame, keep: Scratch, percent: int = PERCENT, small: int = SMALL_BUCKET) -> DataFrame:
@@ -225,14 +239,13 @@ def links(members: DataFrame, sets: DataFrame, keep: Scratch, percent: int = PER
         if large.isEmpty():
             keep.drop(members)
             return reduce(DataFrame.unionByName, found)
-        placed = keep(_placed(large, step < SHARED_ROUNDS), f"placed{step}")
+        placed = keep(_placed(large, step == 0), f"placed{step}")
         differences = keep(_differences(placed, _references(placed, sets), sets, percent), f"differences{step}")
-        posted = keep(_posted(differences, percent), f"posted{step}")
+        judged = keep(_judged(differences, percent), f"judged{step}")
         keep.drop(members, placed, differences)
-        found.append(keep(posted.filter("centre != cls").select(F.col("centre").alias("a"), F.col("cls").alias("b")), f"centres{step}"))
-        postings = posted.select("ref", "cls", "n", "part", F.explode("posted").alias("e")).select(F.xxhash64("ref", "e").alias("bucket"), "cls", "n", "part")
-        members = keep(_open_members(postings), f"members{step + 1}")
-        keep.drop(posted)
+        found.append(keep(judged.filter("centre != cls").select(F.col("centre").alias("a"), F.col("cls").alias("b")), f"centres{step}"))
+        members = keep(_open_members(_postings(judged)), f"members{step + 1}")
+        keep.drop(judged)
     raise RuntimeError(f"buckets of more than {small} classes after {MOST_ROUNDS} rounds")
 
 
