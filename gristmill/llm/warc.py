@@ -2,12 +2,14 @@
 
 *Writing.*  A record a page, as text files of WARC/1.1 records by Spark's own text writer, whose line separator is
 the blank line pair that ends a record.  Pages with equal payloads are found by their digests; the counts are summed
-before the shuffle, and the join back to the pages is one that Spark may split where one payload is very common.
+before the shuffle, and the join back to the pages is the only exchange of payloads, one that Spark may split where one
+payload is very common.  Archives are written as the join leaves the rows.
 
 *Reading.*  An archive is a row of bytes; a task holds one at a time, and the writer keeps archives near
 ``ARCHIVE_BYTES``.  Each record is checked: version line, header lines, Content-Length, the blank line pair after it
-and the payload digest.  After a failed check the reader looks for the next version line, or in a compressed archive
-for the next gzip member, goes on there, and logs the bytes between as a gap with the reason.
+and the payload digest.  After a failed check the reader looks, over all that is left, for the nearer of the next
+version line and the next gzip member that inflates to one, goes on there, and logs the bytes between as a gap with
+the reason.  So plain and compressed records may stand in one archive, and a record's payload may be compressed.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.session import scratch_path, ship
+from gristmill.session import materialise, remove, scratch_path, ship
 
 VERSION = b"WARC/1.1\r\n"
 MEMBER = b"\x1f\x8b\x08"
@@ -33,6 +35,7 @@ END = "\r\n\r\n"
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 16 << 20
 _START = re.compile(rb"WARC/1\.[01]\r\n")
+_EITHER = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
 @dataclass
@@ -79,51 +82,69 @@ def _record(data: bytes, at: int) -> tuple[Record, int]:
     return Record(at, headers, payload), end + 4
 
 
-def read_plain(data: bytes, base: int = 0) -> Iterator[Record | Gap]:
-    """Records of an uncompressed archive, and gaps where it is damaged."""
-    at = 0
-    while at < len(data):
-        try:
-            record, end = _record(data, at)
-        except ValueError as failed:
-            later = _START.search(data, at + 1)
-            end = later.start() if later else len(data)
-            yield Gap(base + at, base + end, str(failed))
-        else:
-            record.start += base
-            yield record
-        at = end
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
+    """What the gzip member at ``at`` holds and where it ends; none if it can't be read to its end, checksum included."""
+    inflate, out, step = zlib.decompressobj(31), [], 4096
+    try:
+        while not inflate.eof:
+            if at >= len(data):
+                return None
+            out.append(inflate.decompress(data[at : at + step]))
+            at += step
+            step = min(2 * step, 1 << 20)
+    except zlib.error:
+        return None
+    return b"".join(out), min(at, len(data)) - len(inflate.unused_data)
+
+
+def _begins_record(data: memoryview, at: int) -> bool:
+    """Whether the gzip member at ``at`` inflates to a version line at first."""
+    try:
+        return _START.match(zlib.decompressobj(31).decompress(data[at : at + 4096], 16)) is not None
+    except zlib.error:
+        return False
+
+
+def _next(data: bytes, view: memoryview, at: int) -> int:
+    """The next place from ``at`` on where a record may begin, or the end."""
+    for hit in _EITHER.finditer(data, at):
+        if data[hit.start()] != MEMBER[0] or _begins_record(view, hit.start()):
+            return hit.start()
+    return len(data)
 
 
 def read_archive(data: bytes) -> Iterator[Record | Gap]:
-    """Records and gaps of an archive: plain, or a gzip member for each record.
+    """Records and gaps of an archive, whose records are plain or gzip members.
 
-    In a compressed archive offsets are those of the members.  A member that can't be read to its end, checksum
-    included, is a gap up to the next member's magic bytes.
+    A compressed record's start is that of its member.  Whatever fails a check is a gap up to the next place at which
+    a record may begin.  The work is linear in the archive's size.
     """
-    if not data.startswith(MEMBER) and MEMBER not in data[: 1 << 16]:
-        yield from read_plain(data)
-        return
-    at = 0
+    view, at = memoryview(data), 0
     while at < len(data):
-        inflate, reason = zlib.decompressobj(31), "gzip member"
-        try:
-            plain = inflate.decompress(data[at:])
-            whole = inflate.eof
-        except zlib.error:
-            whole = False
-        if whole:
-            end = len(data) - len(inflate.unused_data)
-            for item in read_plain(plain):
-                if isinstance(item, Record):
-                    item.start = at
-                    yield item
+        member = _inflate(view, at) if data.startswith(MEMBER, at) else None
+        if member:
+            plain, end = member
+            inner = 0
+            while inner < len(plain):
+                try:
+                    record, inner = _record(plain, inner)
+                except ValueError as failed:
+                    yield Gap(at, end, str(failed))
+                    later = _START.search(plain, inner + 1)
+                    inner = later.start() if later else len(plain)
                 else:
-                    yield Gap(at, end, item.reason)
+                    record.start = at
+                    yield record
         else:
-            later = data.find(MEMBER, at + 1)
-            end = later if later > 0 else len(data)
-            yield Gap(at, end, reason)
+            try:
+                if data.startswith(MEMBER, at):
+                    raise ValueError("gzip member")
+                record, end = _record(data, at)
+            except ValueError as failed:
+                end = _next(data, view, at + 1)
+                yield Gap(at, end, str(failed))
+            else:
+                yield record
         at = end
 
 
@@ -164,12 +185,12 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return typed.select("page_id", "url", record.alias("record"))
 
 
-def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, least: int = LEAST_REVISIT) -> None:
-    """Write archives of about ``archive_bytes`` each."""
-    size = pages.agg(F.sum(F.octet_length("html") + 600).alias("bytes")).first()["bytes"] or 0
-    n = max(1, math.ceil(size / archive_bytes))
-    dealt = records(pages, least).repartition(n, F.xxhash64("page_id", "url"))
-    dealt.select("record").write.option("lineSep", END).text(path)
+def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, least: int = LEAST_REVISIT) -> int:
+    """Write archives of about ``archive_bytes`` each, where a partition holds so much; the number of records."""
+    size = pages.agg(F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 600).alias("bytes"), F.count("*").alias("rows")).first()
+    rows = max(1, math.ceil(size["rows"] * archive_bytes / max(1, size["bytes"] or 0)))
+    records(pages, least).select("record").write.option("lineSep", END).option("maxRecordsPerFile", rows).text(path)
+    return size["rows"]
 
 
 _FIELDS = T.StructType().add("archive", "string").add("start", "long").add("end", "long").add("reason", "string").add("record_type", "string").add("record_id", "string").add("url", "string").add("digest", "string").add("payload_bytes", "long").add("refers_to", "string").add("payload", "binary")
@@ -208,13 +229,21 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from its archive."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from its archive.
+
+    The archives are removed once they have been read.  A gap in them, or a page that doesn't come back, is an error.
+    Null html is an empty payload; null ids, repeated rows, very long pages and an empty table are no error.
+    """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write(pages, path, archive_bytes, least)
+    written = write(pages, path, archive_bytes, least)
+    found = materialise(read(spark, path).drop("payload"), "warc-read")
+    remove(spark, path)
+    back = found.agg(F.count_if(F.col("reason").isNull()).alias("records"), F.count_if(F.col("reason").isNotNull()).alias("gaps"), F.any_value("reason", F.lit(True)).alias("reason")).first()
+    if back["gaps"] or back["records"] != written:
+        raise ValueError(f"{written} records written, {back['records']} read, {back['gaps']} gaps ({back['reason']})")
     number = F.regexp_extract("record_id", r"^<urn:page:(-?\d+)>$", 1)
     target = F.regexp_extract(F.coalesce("refers_to", F.lit("")), r"^<urn:page:(-?\d+)>$", 1)
-    found = read(spark, path).filter("reason IS NULL")
     kind = pages.schema["page_id"].dataType
     return found.select(
         F.when(number != "", number).cast(kind).alias("page_id"),

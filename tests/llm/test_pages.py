@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import time
 
 import pytest
 
@@ -91,6 +92,30 @@ def test_salvage_members():
     assert [(g.start, g.end) for g in items if isinstance(g, warc.Gap)] == [(len(members[0]), len(members[0]) + len(broken)), (len(data) - len(members[3]) + 5, len(data))]
 
 
+def test_salvage_mixed():
+    body = gzip.compress(b"page " * 400)
+    plain = [record(0, b"a" * 30), record(1, body), record(2, b"c" * 30)]
+    assert [i.payload for i in warc.read_archive(b"".join(plain))] == [b"a" * 30, body, b"c" * 30]
+    members = [gzip.compress(record(i, b"body %d" % i * 20)) for i in range(3)]
+    items = list(warc.read_archive(b"\0" * (1 << 17) + members[0] + plain[1] + b"junk" + members[1] + members[2]))
+    assert [i.headers["warc-record-id"][10] for i in items if isinstance(i, warc.Record)] == list("0112")
+    assert [(g.start, g.end) for g in items if isinstance(g, warc.Gap)] == [(0, 1 << 17), (at := (1 << 17) + len(members[0]) + len(plain[1]), at + 4)]
+    assert [type(i) for i in warc.read_archive(members[0][: len(members[0]) // 2] + plain[1])] == [warc.Gap, warc.Record]
+
+
+def test_many_members():
+    began = time.perf_counter()
+    assert sum(isinstance(i, warc.Record) for i in warc.read_archive(b"".join(gzip.compress(record(i, b"x" * 100)) for i in range(10000)))) == 10000
+    assert time.perf_counter() - began < 20
+
+
+def test_damage_is_told(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "x" * 50)], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "END", "\r\n")
+    with pytest.raises(ValueError, match="gap"):
+        warc.round_trip(pages)
+
+
 def test_round_trip(spark):
     long = "é" * 600
     rows = [(1, "u", long, 1), (5, "v", long, 1), (3, None, long, 1), (5, "v", long, 1), (2, "w", "short", 1), (4, "w", "short", 1), (6, "x\ny", None, 1), (None, "z", long, 1), (7, "q", "WARC/1.1\r\n\r\n" + long, 1)]
