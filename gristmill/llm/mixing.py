@@ -2,13 +2,16 @@
 
 Sources get token targets by weight, none above ``most_epochs`` times its size.  Every source is dealt into shards by
 a hash of its documents, and each shard is a stream: its documents in seeded order, once for every epoch, cut into
-blocks of ``block`` tokens wherever they fall.  The blocks that make up the total are given out by highest quotients
-target / (2 k + 1): first to the sources, then within each source to its shards by their tokens.  These integer
-quotas come before any selection.  Then each shard takes as many blocks as its quota says, those least by a seeded
-hash, so that reruns and lost executors give the same blocks.
-
-Only sources and shards, at most ``MOST_SHARDS`` and one for each source, reach the driver.  No window spans a
-source: the running sums are those of shards.
+blocks of ``block`` tokens wherever they fall, the last one shorter.  The blocks that make up the total are given out
+by highest quotients target / (2 k + 1): first to the sources, then within each source to its shards by their tokens.
+These integer quotas come before any selection.  What a source's quotas are above or below its target, less than a
+block for most, is taken off or added to the tokens of its shards, so that sources smaller than a block get theirs.
+Then each shard takes its blocks in the order of a seeded hash until it has its tokens, the last one cut, so that
+reruns and lost executors give the same blocks.
+
+Only sources and shards, at most ``MOST_SHARDS`` and one for each source, reach the driver; tables of them are broadcast
+up to ``MOST_BROADCAST`` rows and joined by a shuffle beyond.  No window spans a source: the running sums are those of
+shards.
 """
 
 from __future__ import annotations
@@ -18,9 +21,8 @@ import math
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType
 
 from gristmill.llm.columns import text_or_empty, words_of
 from gristmill.session import materialise
@@ -28,7 +30,9 @@ from gristmill.session import materialise
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 MOST_EPOCHS = 2
-MOST_SHARDS = 4096
+MOST_SHARDS = 1 << 16
+#: Rows of a table of sources or shards that are broadcast at most (a few MB).
+MOST_BROADCAST = 100_000
 #: Documents that a shard holds about, until there are MOST_SHARDS.
 SHARD_ROWS = 5000
 #: A block has SMALLEST_BLOCK tokens, and more where a shard would have more than BLOCKS of them.
@@ -80,22 +84,38 @@ def sainte_lague(claims: Sequence[Fraction | int], seats: int, caps: Sequence[in
     return given
 
 
-def _hash(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), "doc_id", "text", "source")
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of so many rows, to be broadcast if they are few."""
+    return F.broadcast(table) if rows <= MOST_BROADCAST else table
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size in words, and a seeded hash of id, text and source."""
+    """key, doc_id, source, size in words, and a seeded hash of id, text and source."""
     text = text_or_empty()
-    return docs.select("doc_id", "source", F.size(words_of(text)).cast("long").alias("size"), _hash(seed).alias("h"))
+    return docs.select("key", "doc_id", "source", F.size(words_of(text)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text", "source").alias("h"))
+
+
+def token_quotas(target: Fraction, quotas: Sequence[int], tokens: Sequence[int], block: int, most_epochs: int) -> list[int]:
+    """Tokens that each shard of a source gives: its blocks' at first, then so changed that they sum up to the target."""
+    caps = [most_epochs * t for t in tokens]
+    given = [min(q * block, cap) for q, cap in zip(quotas, caps, strict=True)]
+    lack = round(target) - sum(given)
+    for k in range(len(given)):
+        change = max(-given[k], min(lack, caps[k] - given[k]))
+        given[k] += change
+        lack -= change
+        if not lack:
+            break
+    return given
 
 
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, most_epochs: int = MOST_EPOCHS, block: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame, int]:
     """Every document's place in its shard's stream, and the blocks that are taken.
 
-    :return: documents (doc_id, source, size, h, shard, start, shard_tokens), blocks (shard, block_no) and the tokens of
-        a block; block b of a shard covers the stream's tokens [b * block, (b + 1) * block), the stream being the shard's tokens repeated
-        ``most_epochs`` times.
+    :param docs: key, doc_id, source, text.
+    :return: documents (key, doc_id, source, size, shard, start, shard_tokens), blocks (shard, block_no, held) and the
+        tokens of a block; block b of a shard gives the stream's tokens from b * block on, ``held`` of them, the stream
+        being the shard's tokens repeated ``most_epochs`` times.
     """
     spark = docs.sparkSession
     sized = materialise(_sized(docs, seed), "sizes")
@@ -108,28 +128,30 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = SH
         n = max(1, round(shards * r["rows"] / rows))
         dealt.append((r["source"], first, n))
         first += n
-    ranges = spark.createDataFrame(dealt, docs.select("source").schema.add("first", "long").add("n", "long"))
-    joined = sized.alias("d").join(F.broadcast(ranges).alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
-    placed = joined.select("d.doc_id", "d.source", "d.size", "d.h", (F.col("first") + F.pmod(F.xxhash64("h", F.lit("shard")), F.col("n"))).alias("shard"))
-    stream = Window.partitionBy("shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
+    ranges = _small(spark.createDataFrame(dealt, docs.select("source").schema.add("first", "long").add("n", "long")), len(dealt))
+    joined = sized.alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
+    placed = joined.select("d.key", "d.doc_id", "d.source", "d.size", "d.h", (F.col("first") + F.pmod(F.xxhash64("h", F.lit("shard")), F.col("n"))).alias("shard"))
+    stream = Window.partitionBy("shard").orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0))).drop("h")
     own = {r["shard"]: r["tokens"] for r in placed.groupBy("shard").agg(F.sum("size").alias("tokens")).collect()}  # bounded: one row a shard
 
     goal = targets({r["source"]: r["tokens"] for r in order}, weights, share, most_epochs)
     claims = [goal[s] for s, _, _ in dealt]
     block = block or max(SMALLEST_BLOCK, math.ceil(max(own.values(), default=0) / BLOCKS))
-    room = [[most_epochs * own.get(k, 0) // block for k in range(at, at + n)] for _, at, n in dealt]
-    seats = round(sum(claims) / block)
-    quotas = sainte_lague(claims, seats, [sum(x) for x in room])
+    room = [[math.ceil(most_epochs * own.get(k, 0) / block) for k in range(at, at + n)] for _, at, n in dealt]
+    quotas = sainte_lague(claims, round(sum(claims) / block), [sum(x) for x in room])
     taken = []
-    for (_, at, n), quota, caps in zip(dealt, quotas, room, strict=True):
-        for k, q in zip(range(at, at + n), sainte_lague([own.get(k, 0) for k in range(at, at + n)], quota, caps), strict=True):
-            taken.append((k, q, most_epochs * own.get(k, 0) // block, own.get(k, 0)))
-    quota = spark.createDataFrame(taken, "shard long, quota long, n_blocks long, shard_tokens long")
-    every = quota.filter("n_blocks > 0").select("shard", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block_no"))
-    rank = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "block_no"), "block_no"))
-    blocks = every.withColumn("rank", rank).filter("rank <= quota").select("shard", "block_no")
-    return placed.join(F.broadcast(quota.select("shard", "shard_tokens")), "shard"), blocks, block
+    for (source, at, n), quota, caps in zip(dealt, quotas, room, strict=True):
+        tokens = [own.get(k, 0) for k in range(at, at + n)]
+        given = token_quotas(goal[source], sainte_lague(tokens, quota, caps), tokens, block, most_epochs)
+        taken += [(k, g, t * most_epochs, t) for k, g, t in zip(range(at, at + n), given, tokens, strict=True)]
+    quota = spark.createDataFrame(taken, "shard long, given long, length long, shard_tokens long")
+    every = quota.filter("given > 0").select("shard", "given", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {block}"))).alias("block_no"))
+    own_tokens = F.least(F.lit(block), F.col("length") - F.col("block_no") * block)
+    before = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "block_no"), "block_no").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("before", F.coalesce(F.sum(own_tokens).over(before), F.lit(0)))
+    blocks = every.select("shard", "block_no", F.least(own_tokens, F.col("given") - F.col("before")).alias("held")).filter("held > 0")
+    return placed.join(_small(quota.select("shard", "shard_tokens"), len(taken)), "shard"), blocks, block
 
 
 def pieces(documents: DataFrame, blocks: DataFrame, most_epochs: int, block: int) -> DataFrame:
@@ -142,8 +164,8 @@ def pieces(documents: DataFrame, blocks: DataFrame, most_epochs: int, block: int
     touched = at.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
     met = touched.join(blocks, ["shard", "block_no"])
     begin = F.greatest(F.col("at"), F.col("block_no") * block)
-    end = F.least(F.col("at") + F.col("size"), (F.col("block_no") + 1) * block)
-    return met.withColumn("first", begin - F.col("at")).withColumn("n", end - begin)
+    end = F.least(F.col("at") + F.col("size"), F.col("block_no") * block + F.col("held"))
+    return met.withColumn("first", begin - F.col("at")).withColumn("n", end - begin).filter("n > 0")
 
 
 def shares(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, most_epochs: int = MOST_EPOCHS, block: int | None = None, seed: int = 11) -> DataFrame:
@@ -152,17 +174,18 @@ def shares(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction =
     :return: doc_id, size, source_size, target (of its source), taken: a row for each row of ``docs``.
 
     Null and empty texts have size 0 and nothing taken; sources without words have target 0.  A null source is a
-    source, the last one.  Rows of equal id, source and text share what is taken of them evenly; no row is dropped.
+    source, the last one.  Each of several equal rows has a place of its own, so what is taken of them may differ; which
+    of them has which place makes no difference.  A source's taken words are its target, rounded.  No row is dropped.
     """
-    documents, blocks, block = plan(docs, weights, share, most_epochs, block, seed)
+    documents, blocks, block = plan(docs.select(F.lit(None).cast("long").alias("key"), "doc_id", "source", "text"), weights, share, most_epochs, block, seed)
     documents = materialise(documents, "placed")
     sums = pieces(documents, blocks, most_epochs, block).groupBy("shard", "start", "size").agg(F.sum("n").alias("taken"))
     sources = documents.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sizes = {r["source"]: r["source_size"] for r in sources.collect()}
+    sizes = {r["source"]: r["source_size"] for r in sources.collect()}  # one row a source
     goal = targets(sizes, weights, share, most_epochs)
     listed = docs.sparkSession.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes], docs.select("source").schema.add("source_size", "long").add("target", "double"))
     # a document with words has a place in its shard to itself
-    out = documents.join(sums, ["shard", "start", "size"], "left").alias("d").join(F.broadcast(listed).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    out = documents.join(sums, ["shard", "start", "size"], "left").alias("d").join(_small(listed, len(sizes)).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     return out.select("d.doc_id", "d.size", "s.source_size", "s.target", F.coalesce("d.taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -170,23 +193,18 @@ def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: Fraction =
     """The mixed documents themselves, with the columns of ``docs``.
 
     A row for each document and epoch of which something is taken; the text is the document's words that the taken
-    blocks hold, each with the white space that follows it.  A document taken whole keeps its text as it is.
+    blocks hold, each with the white space that follows it.  A document taken whole keeps its text as it is.  Rows have
+    a key of their own, written once with them, so equal rows are told apart.  Null, empty and repeated rows are those
+    of ``shares``.
     """
-    documents, blocks, block = plan(docs, weights, share, most_epochs, block, seed)
-    held = pieces(documents, blocks, most_epochs, block).groupBy("shard", "start", "size", "epoch", "doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"), F.sum("n").alias("n"))
-    held = held.select("h", "size", "start", "epoch", "n", "parts")
-    text = text_or_empty()
-    # rows with one hash are equal in id, text and source: they are numbered, and each takes a place of its own
-    keyed = docs.withColumn("__h", _hash(seed))
-    others = [f"`{f.name}`" for f in docs.schema if f.name != "text" and isinstance(f.dataType, AtomicType)]
-    same = keyed.withColumn("__row", F.row_number().over(Window.partitionBy("__h").orderBy(*others)))
-    places = documents.select("h", "start", "size").distinct().withColumn("__row", F.row_number().over(Window.partitionBy("h").orderBy("start")))
-    placed = held.join(places, ["h", "start", "size"])
-    joined = same.join(placed, (F.col("__h") == F.col("h")) & (same["__row"] == placed["__row"]))
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("doc")), "rows")
+    documents, blocks, block = plan(rows.select("key", *(F.col(f"doc.{c}").alias(c) for c in ("doc_id", "source", "text"))), weights, share, most_epochs, block, seed)
+    held = pieces(documents, blocks, most_epochs, block).groupBy("key", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"), F.sum("n").alias("n"))
     # words with the white space that follows them
-    tokens = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    tokens = F.regexp_extract_all("doc.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     joined_text = F.array_join(F.transform("parts", lambda p: F.array_join(F.slice(tokens, (p["first"] + 1).cast("int"), p["n"].cast("int")), "")), "")
-    out = joined.withColumn("text", F.when(F.col("n") < F.col("size"), joined_text).otherwise(F.col("text")))
+    text = F.when(F.col("n") < F.col("size"), joined_text).otherwise(F.col("doc.text"))
+    changed = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(f"`{c}`" for c in docs.columns))
+        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return rows.join(held, "key").select(*(changed.get(c, F.col(f"doc.`{c}`")) for c in docs.columns))

@@ -199,10 +199,8 @@ def test_mix(spark):
     assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, mixing.shares(docs.repartition(3)).collect()), key=repr)
     assert len(out) == len(rows)
     assert all(0 <= r.taken <= 2 * r.size for r in out)
-    targets = {(r.source_size, r.target) for r in out}
-    for size, target in targets:
-        taken = sum(r.taken for r in out if (r.source_size, r.target) == (size, target))
-        assert abs(taken - target) <= max(2 * mixing.SMALLEST_BLOCK, 0.02 * target)
+    for size, target in {(r.source_size, r.target) for r in out}:
+        assert sum(r.taken for r in out if (r.source_size, r.target) == (size, target)) == round(target)
     words = {}
     for r in mixing.mixture(docs).collect():
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
@@ -213,6 +211,65 @@ def test_mix(spark):
     assert mixing.shares(docs.limit(0)).collect() == []
 
 
+def taken_by_hand(documents, blocks, most_epochs, block):
+    """Words taken of each document: the taken tokens of each shard's stream, counted one by one."""
+    shards = {}
+    for r in documents:
+        shards.setdefault(r.shard, []).append(r)
+    out = {}
+    for shard, rows in shards.items():
+        stream = [r.key for _ in range(most_epochs) for r in sorted(rows, key=lambda r: (r.start, r.size)) for _ in range(r.size)]
+        for b in blocks:
+            if b.shard == shard:
+                for key in stream[b.block_no * block : b.block_no * block + b.held]:
+                    out[key] = out.get(key, 0) + 1
+    return out
+
+
+def test_mix_by_hand(spark):
+    """Places, blocks and shares recomputed without Spark, over several shards."""
+    rng = random.Random(9)
+    rows = [(i, i, rng.choice(["a", "a", "b", None]), " ".join(["w"] * rng.randrange(0, 90))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "key long, doc_id long, source string, text string")
+    size = {r[0]: len(r[3].split()) for r in rows}
+    sizes = {}
+    for _, i, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + size[i]
+    goal = mixing.targets(sizes)
+    documents, blocks, block = mixing.plan(docs, block=64)
+    documents, blocks = documents.collect(), blocks.collect()
+    for shard in {r.shard for r in documents}:
+        own = sorted((r for r in documents if r.shard == shard), key=lambda r: (r.start, r.size))
+        assert [r.start for r in own] == [sum(x.size for x in own[:i]) for i in range(len(own))]
+        assert {r.shard_tokens for r in own} == {sum(x.size for x in own)}
+        assert len({r.source for r in own}) == 1
+        used = [b for b in blocks if b.shard == shard]
+        assert len({b.block_no for b in used}) == len(used)
+        assert sum(0 < b.held < min(64, 2 * own[0].shard_tokens - b.block_no * 64) for b in used) <= 1  # one cut block
+    by_hand = taken_by_hand(documents, blocks, 2, block)
+    got = {r.doc_id: r.taken for r in mixing.shares(docs, block=64).collect()}
+    assert got == {i: by_hand.get(i, 0) for i in got}
+    for source, target in goal.items():
+        assert sum(got[r[0]] for r in rows if r[2] == source) == round(target)
+
+
+def test_small_sources_take_their_target(spark):
+    rows = [(1, " ".join(["w"] * 25), "s"), (2, " ".join(["w"] * 90), "t"), (3, "x " * 5000, "u"), (4, "one", "v"), (5, "", "z")]
+    out = {r.doc_id: r for r in mixing.shares(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [(out[i].target, out[i].taken) for i in (1, 2, 4, 5)] == [(50, 50), (180, 180), (2, 2), (0, 0)]
+    assert out[3].taken == round(out[3].target)
+
+
+def test_mixture_with_clashing_and_repeated_rows(spark):
+    rows = [(1, "a b c", "s", 1, 2, 3)] * 4 + [(None, None, None, 1, 1, 1), (2, "", "s", 5, 5, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key int, h int, doc int")
+    got = mixing.mixture(docs)
+    assert got.columns == docs.columns
+    assert sum(len(r.text.split()) for r in got.collect()) == 18
+    assert {(r.key, r.h, r.doc) for r in got.collect()} == {(1, 2, 3)}
+    assert mixing.mixture(docs.limit(0)).collect() == []
+
+
 # ---------------------------------------------------------------- classifier
 
 
