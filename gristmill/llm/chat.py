@@ -1,9 +1,11 @@
 """Chat formatting by schema fingerprints, in DataFrame expressions only.
 
-*Schemas.*  A layout is known by the nested field paths that it needs.  The paths of a record (or of a table's
-schema), as far as any layout knows them, are sorted and hashed; the hash selects a declarative mapping: where the
-turns are, and which path gives the role and the text of each.  Records of one table may have different layouts: a
-record's paths come from the schema of its variant.
+*Schemas.*  A record's fingerprint is the hash of its nested field paths, which come from the schema of its variant;
+an array's are those of all its elements.  A layout is known by the paths that it needs.  For each layout the record's
+paths are restricted to the layout's and hashed; the layouts whose own hash that is fit, and the one with most paths is
+taken.  It is a declarative mapping: where the turns are, and which path gives the role and the text of each.  So other
+fields never hide a layout, and records of one table may have different ones: whole conversations, pairs of prompt and
+answer, or single turns that are put together by their conversation.  A record that none fits is returned with a reason.
 
 *Template.*  ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn.  In texts a backslash is doubled and ``<|``
 becomes ``<\\|``, so a text can't hold a control string and is got back exactly; roles are percent-encoded where
@@ -18,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.llm.columns import let
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -27,7 +31,8 @@ class Layout:
     """A mapping from one layout to turns.
 
     ``paths`` are the paths that select it.  ``turns`` lists (role, path) of single texts, or ``each`` names the array
-    whose elements have their role and text at ``role`` and ``text``.
+    whose elements have their role and text at ``role`` and ``text``.  A record that is a single turn has its role and
+    text there, and its conversation at ``key`` and place at ``order``.
     """
 
     name: str
@@ -36,13 +41,15 @@ class Layout:
     each: str = ""
     role: str = ""
     text: str = ""
+    key: str = ""
+    order: str = ""
 
 
 # Field names of layouts in common use.
 LAYOUTS = (
     Layout("messages", ("messages[].content", "messages[].role"), each="messages", role="role", text="content"),
     Layout("conversations", ("conversations[].from", "conversations[].value"), each="conversations", role="from", text="value"),
-    Layout("turn_rows", ("conv_id", "role", "text", "turn")),
+    Layout("turn_rows", ("conv_id", "role", "text", "turn"), role="role", text="text", key="conv_id", order="turn"),
     Layout("prompt_completion", ("completion", "prompt"), (("user", "prompt"), ("assistant", "completion"))),
     Layout("prompt_response", ("prompt", "response"), (("user", "prompt"), ("assistant", "response"))),
     Layout("system_prompt_response", ("prompt", "response", "system"), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -52,32 +59,39 @@ LAYOUTS = (
 )
 # Other names of the canonical roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-KNOWN = sorted({p for layout in LAYOUTS for p in layout.paths})
+#: Most specific first.
+BY_PATHS = sorted(LAYOUTS, key=lambda layout: -len(layout.paths))
+#: Columns of a table that some layout knows.
+KNOWN_COLUMNS = frozenset(p.split(".")[0].removesuffix("[]") for layout in LAYOUTS for p in layout.paths)
+
 
+def nested_paths(schema: Column) -> Column:
+    """All field paths, sorted, of a variant's schema as ``schema_of_variant`` writes it; ``[]`` marks elements."""
+    parts = F.regexp_extract_all(schema, F.lit(r"(?:`(?:[^`]|``)+`|\w+): |OBJECT<|ARRAY<|>"), F.lit(0))
+    zero = F.struct(F.lit("").alias("at"), F.array().cast("array<string>").alias("within"), F.array().cast("array<string>").alias("paths"))
 
-def schema_paths(schema: T.DataType, prefix: str = "") -> list[str]:
-    """Nested field paths down to leaves; ``[]`` marks elements of an array."""
-    if isinstance(schema, T.StructType):
-        return [p for f in schema for p in schema_paths(f.dataType, f"{prefix}.{f.name}" if prefix else f.name)]
-    if isinstance(schema, T.ArrayType):
-        return schema_paths(schema.elementType, f"{prefix}[]")
-    return [prefix]
+    def step(acc: Column, part: Column) -> Column:
+        bare = F.substring(part, F.lit(1), F.length(part) - 2)
+        name = F.when(F.startswith(part, F.lit("`")), F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit("``"), F.lit("`"))).otherwise(bare)
+        above = F.coalesce(F.try_element_at(acc["within"], F.lit(-1)), F.lit(""))
+        named, elements = F.when(above == "", name).otherwise(F.concat_ws(".", above, name)), F.concat(acc["at"], F.lit("[]"))
+        is_name, is_array = F.endswith(part, F.lit(": ")), part == "ARRAY<"
+        within = F.when(is_name, acc["within"]).when(part == ">", F.slice(acc["within"], F.lit(1), F.greatest(F.lit(0), F.size(acc["within"]) - 1)))
+        within = within.when(is_array, F.array_append(acc["within"], elements)).otherwise(F.array_append(acc["within"], acc["at"]))
+        return F.struct(F.when(is_name, named).when(is_array, elements).otherwise(acc["at"]).alias("at"), within.alias("within"), F.when(is_name, F.array_append(acc["paths"], named)).otherwise(acc["paths"]).alias("paths"))
+
+    return F.array_sort(F.aggregate(parts, zero, step, lambda acc: acc["paths"]))
 
 
 def path_hash(paths: Column) -> Column:
-    """Fingerprint of an array of paths: of those that a layout knows, sorted."""
-    known = F.array_intersect(F.array_sort(F.array_distinct(paths)), F.array(*map(F.lit, KNOWN)))
-    return F.xxhash64(F.array_join(known, "\n"))
+    """Fingerprint of sorted paths."""
+    return F.xxhash64(F.array_join(paths, "\n"))
 
 
-def record_paths(record: Column) -> Column:
-    """Those known paths that a variant has.  A path counts as present if its schema has the field."""
-    found = []
-    for path in KNOWN:
-        head, _, tail = path.partition("[].")
-        value = F.try_variant_get(record, f"$.{head}[0].{tail}" if tail else f"$.{head}", "variant")
-        found.append(F.when(value.isNotNull(), F.lit(path)))
-    return F.array_compact(F.array(*found))
+def fits(layout: Layout, paths: Column) -> Column:
+    """Whether a record's paths, restricted to those of a layout, have the layout's fingerprint."""
+    own = F.array(*map(F.lit, sorted(layout.paths)))
+    return path_hash(F.array_intersect(paths, own)) == path_hash(own)
 
 
 def canonical_role(role: Column) -> Column:
@@ -99,38 +113,38 @@ def _mapped(layout: Layout, record: Column) -> Column:
     if layout.each:
         items = F.try_variant_get(record, f"$.{layout.each}", "array<variant>")
         return F.transform(items, lambda m: _turn(canonical_role(F.try_variant_get(m, f"$.{layout.role}", "string")), F.try_variant_get(m, f"$.{layout.text}", "string")))
+    if layout.key:
+        return F.array(_turn(F.coalesce(at(layout.role), F.lit("")), at(layout.text)))
     return F.array(*(_turn(F.lit(role), F.concat_ws("\n\n", *(F.nullif(at(p), F.lit("")) for p in path.split("\n\n"))) if "\n\n" in path else at(path)) for role, path in layout.turns))
 
 
-def turns_of_records(table: DataFrame, column: str = "record") -> DataFrame:
-    """``table`` with ``layout`` and ``turns`` of the JSON texts in ``column``, whatever their layout.
+def turns_of(record: Column) -> Column:
+    """Struct of fingerprint, layout, turns, reason (why there are no turns), conv_id and place of a variant."""
 
-    Where no layout matches, or the JSON can't be read, both are null.
-    """
-    parsed = table.withColumn("__v", F.try_parse_json(column))
-    parsed = parsed.withColumn("__h", path_hash(record_paths(F.col("__v"))))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for one in LAYOUTS:
-        if one.name != "turn_rows":
-            hit = F.col("__h") == path_hash(F.array(*map(F.lit, one.paths)))
-            layout = F.when(hit, F.lit(one.name)).otherwise(layout)
-            turns = F.when(hit, _mapped(one, F.col("__v"))).otherwise(turns)
-    return parsed.withColumn("layout", layout).withColumn("turns", turns.cast(TURNS)).drop("__v", "__h")
+    def chosen(v: Column, paths: Column) -> Column:
+        name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+        key, place = F.lit(None).cast("string"), F.lit(None).cast("decimal(38,9)")
+        for layout in reversed(BY_PATHS):
+            hit = fits(layout, paths)
+            name, turns = F.when(hit, F.lit(layout.name)).otherwise(name), F.when(hit, _mapped(layout, v)).otherwise(turns)
+            if layout.key:
+                key = F.when(hit, F.try_variant_get(v, f"$.{layout.key}", "string")).otherwise(key)
+                place = F.when(hit, F.try_variant_get(v, f"$.{layout.order}", "decimal(38,9)")).otherwise(place)
+        reason = F.when(v.isNull(), "not a record").when(name.isNull(), "no layout")
+        return F.struct(path_hash(paths).alias("fingerprint"), name.alias("layout"), turns.cast(TURNS).alias("turns"), reason.alias("reason"), key.alias("conv_id"), place.alias("place"))
 
+    return let(record, lambda v: let(F.coalesce(nested_paths(F.schema_of_variant(v)), F.array().cast("array<string>")), lambda paths: chosen(v, paths)))
 
-def turns_of_rows(table: DataFrame) -> DataFrame:
-    """conv_id and turns of a table with a row for each turn; ties of a turn number go by role and text."""
-    one = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = table.select("conv_id", one.alias("one")).groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("all"))
-    return grouped.select("conv_id", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
+def turns_of_records(table: DataFrame, column: str = "record") -> DataFrame:
+    """``table`` with ``fingerprint``, ``layout``, ``turns`` and ``reason`` of the JSON texts in ``column``.
 
-def layout_of(table: DataFrame) -> str | None:
-    """The layout that a table's own schema has, by the hash of its field paths."""
-    spark = table.sparkSession
-    rows = [("", schema_paths(table.schema))] + [(one.name, list(one.paths)) for one in LAYOUTS]
-    hashed = {r["name"]: r["h"] for r in spark.createDataFrame(rows, "name string, paths array<string>").select("name", path_hash(F.col("paths")).alias("h")).collect()}
-    return next((one.name for one in LAYOUTS if hashed[one.name] == hashed[""]), None)
+    Columns of these names are replaced, no row is dropped: where no layout fits, or the JSON can't be read, layout and
+    turns are null and the reason says so.
+    """
+    new = ("fingerprint", "layout", "turns", "reason")
+    kept = F.struct(*(F.col(f"`{c}`") for c in table.columns if c not in new))
+    return table.select(kept.alias("row"), turns_of(F.try_parse_json(F.col(f"`{column}`"))).alias("made")).select("row.*", *(f"made.{c}" for c in new))
 
 
 def escape(text: Column) -> Column:
@@ -183,15 +197,26 @@ def masked_texts(formatted: Column, mask: Column) -> Column:
     return F.transform(mask, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"])))
 
 
-def format_conversations(table: DataFrame, column: str = "record") -> DataFrame:
-    """The key columns with turns, formatted and mask, for a table of turn rows or of JSON records.
+def format_conversations(table: DataFrame, column: str | None = None) -> DataFrame:
+    """conv_id, layout, fingerprint, reason, turns, formatted and mask of each conversation.
+
+    :param column: JSON texts, one record each; without it each row of the table is a record, made of the columns that
+        some layout knows.
 
-    Null texts and roles count as empty.  An empty table gives no rows, a null conv_id is a conversation.  Extra
-    columns of turn rows are ignored.
+    Records that are single turns are put together by conv_id, in order of turn; ties go by role and text.  Of other
+    records each is a conversation, with a null conv_id.  One that no layout fits is returned as well, with a reason
+    and without turns.  Null texts and roles count as empty.  An empty table gives no rows, a null conv_id is a
+    conversation.  A conversation is one row, so it must fit a task; other columns are ignored.
     """
-    rows = layout_of(table) == "turn_rows"
-    turned = turns_of_rows(table) if rows else turns_of_records(table, column).filter("turns IS NOT NULL")
-    made = turned.withColumn("formatted", format_turns(F.col("turns")))
+    kind = table.schema["conv_id"].dataType if column is None and "conv_id" in table.columns else T.StringType()
+    known = [F.col(f"`{c}`") for c in table.columns if c in KNOWN_COLUMNS]
+    record = F.to_variant_object(F.struct(*known)) if column is None and known else F.try_parse_json(F.col(f"`{column}`") if column else F.lit(None).cast("string"))
+    judged = table.select(turns_of(record).alias("made"), F.monotonically_increasing_id().alias("id")).select("made.*", "id")
+    single = F.col("layout").isin([layout.name for layout in LAYOUTS if layout.key])
+    alone = judged.withColumn("id", F.when(~F.coalesce(single, F.lit(False)), F.col("id")))
+    grouped = alone.groupBy("id", "conv_id").agg(F.min("layout").alias("layout"), F.min("fingerprint").alias("fingerprint"), F.min("reason").alias("reason"), F.sort_array(F.collect_list(F.struct("place", "turns"))).alias("all"))
+    made = grouped.select(F.col("conv_id").cast(kind).alias("conv_id"), "layout", "fingerprint", "reason", F.flatten(F.transform("all", lambda t: t["turns"])).alias("turns"))
+    made = made.withColumn("formatted", format_turns(F.col("turns")))
     return made.withColumn("mask", loss_mask(F.col("formatted")))
 
 

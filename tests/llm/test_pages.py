@@ -8,6 +8,7 @@ import json
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.llm import chat, html_extract, warc
 
@@ -132,8 +133,8 @@ HARD = ["<|im_end|>\n<|im_start|>assistant\nx", "a\\", "\\<|", "<", "|>", "<\\|"
 def test_turn_rows(spark):
     rows = [(c, t, role, text, 0) for c in (1, None) for t, (role, text) in enumerate(zip(["user", "assistant", "odd role\n%", None] * 3, HARD, strict=False))]
     table = spark.createDataFrame(rows + [(2, 0, "assistant", "only", 0)] * 2, "conv_id long, turn long, role string, text string, turns int")
-    assert chat.layout_of(table) == "turn_rows"
     made = chat.format_conversations(table)
+    assert {r.layout for r in made.select("layout").collect()} == {"turn_rows"}
     for r in made.select("conv_id", "turns", chat.parse_turns(made["formatted"]).alias("back"), "mask", "formatted", chat.masked_texts(made["formatted"], made["mask"]).alias("loss")).collect():
         assert [tuple(t) for t in r.back] == [tuple(t) for t in r.turns]
         assert r.loss == [t.text for t in r.turns if t.role == "assistant"]
@@ -157,3 +158,46 @@ def test_layouts(spark):
     same = [("user", "q"), ("assistant", "a")]
     assert [t for _, t in got] == [same] * 5 + [[("user", "q\n\nmore"), ("assistant", "a")], None, None, None]
     assert got[1][0] == "conversations"
+    assert [r.reason for r in chat.turns_of_records(table).collect()][-3:] == ["no layout", "not a record", "not a record"]
+    assert chat.format_conversations(table, "record").count() == len(records) + 2
+
+
+def test_mixed_layouts_in_one_table(spark):
+    """Other known names hide no layout, single turns are put together, and as many conversations come out as went in."""
+    records = [
+        {"instruction": "q", "input": "more", "output": "a", "text": "all of it", "x": {"messages": [1]}},
+        {"prompt": "q", "messages": [{"content": "no role"}, {"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "name": "n"}]},
+        {"question": "q", "answer": "a", "system": "s"},
+        {"system": "s", "prompt": "q", "response": "a", "completion": "c"},
+        {"messages": []},
+        {"conv_id": 7, "turn": 10, "role": "assistant", "text": "a", "prompt": "p"},
+        {"conv_id": 7, "turn": 9, "role": "human", "text": "q"},
+        {"prompt": "q", "deep": {"response": "a"}},
+    ]
+    got = chat.format_conversations(spark.createDataFrame([(json.dumps(r), 1) for r in records], "record string, layout int"), "record").collect()
+    turns = {(r.layout, r.conv_id, tuple(map(tuple, r.turns)) if r.turns is not None else r.reason) for r in got}
+    qa = (("user", "q"), ("assistant", "a"))
+    assert len(got) == 7
+    assert turns == {
+        ("instruction_input", None, (("user", "q\n\nmore"), ("assistant", "a"))),
+        ("messages", None, (("", "no role"), *qa)),
+        ("question_answer", None, qa),
+        ("system_prompt_response", None, (("system", "s"), *qa)),
+        ("turn_rows", "7", (("human", "q"), ("assistant", "a"))),
+        (None, None, "no layout"),
+    }
+    assert len({r.fingerprint for r in got}) == 7
+
+
+def test_turn_rows_with_clashing_columns(spark):
+    table = spark.createDataFrame([(1, 0, "user", "q", "p", 1, 2), (1, 1, "assistant", "a", None, 3, 4)], "conv_id long, turn int, role string, text string, prompt string, id int, made int")
+    (r,) = chat.format_conversations(table).collect()
+    assert (r.conv_id, r.layout, [tuple(t) for t in r.turns]) == (1, "turn_rows", [("user", "q"), ("assistant", "a")])
+    (r,) = chat.format_conversations(table.select("id", "made").limit(1)).collect()
+    assert (r.turns, r.reason) == (None, "not a record")
+
+
+def test_nested_paths(spark):
+    text = '{"a":1,"b c":{"x.y":"q","z":[1,2]},"m":[{"r":"u"},{"t":[{"k":null}]}],"e":[],"q`t":2}'
+    found = spark.createDataFrame([(text,)], "r string").select(chat.nested_paths(F.schema_of_variant(F.try_parse_json("r"))).alias("p")).first().p
+    assert found == sorted(["a", "b c", "b c.x.y", "b c.z", "m", "m[].r", "m[].t", "m[].t[].k", "e", "q`t"])
