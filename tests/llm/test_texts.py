@@ -83,6 +83,21 @@ def test_rules(spark):
     assert quality_rules.statistics(table(spark, ["a"]).limit(0)).collect() == []
 
 
+def test_cascade_order(spark):
+    """The order by hand, on what earlier rules leave; the same however the rows are dealt."""
+    clean = "word%d other%d thing%d " * 40
+    texts = [clean % tuple(range(k, k + 120)) for k in range(30)] + ["Up &&& " * 60] * 9 + ["LOUD%d NOISE%d " * 40 % tuple(range(80))] * 4 + ["one two\n" * 40] * 5 + ["short"] * 7 + [None, ""]
+    docs = table(spark, texts)
+    found = quality_rules.measure(docs, rows=10**6)
+    assert [m.rule.name for m in found] == [m.rule.name for m in quality_rules.measure(docs.repartition(5), rows=10**6)]
+    assert found[0].rule.name == "few_words"
+    assert [m.rows for m in found] == [len(texts) + 2 - sum(m.rejected for m in found[:k]) for k in range(len(found))]
+    groups = [{"n": 10, "rejects": [True, True, False], "steps": [100, 10, 10]}, {"n": 1, "rejects": [False, False, True], "steps": [10, 1, 1]}, {"n": 5, "rejects": [True, False, False], "steps": [50, 5, 5]}]
+    assert [m.rule for m in quality_rules.cascade("abc", groups)] == ["b", "c", "a"]
+    assert [(m.rows, m.steps, m.rejected) for m in quality_rules.cascade("abc", groups)] == [(16, 16, 10), (6, 6, 1), (5, 50, 5)]
+    assert [m.rule for m in quality_rules.measure(docs.limit(0))] == list(quality_rules.RULES)
+
+
 # ---------------------------------------------------------------- tokens
 
 
