@@ -9,6 +9,8 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -173,16 +175,61 @@ def test_fingerprints(spark):
     last = [got[(len(texts) - 1 - k) * 3] for k in range(15)]
     assert all(r.near_edited > 0.3 and r.near_next < 0.05 for r in last)
     assert got[0].fingerprint == ""
+    for k, i in enumerate(order):
+        own, after = texts[i // 3] or "", texts[order[(k + 1) % len(order)] // 3] or ""
+        edited = own[: len(own) - len(own) // 3] + after[: len(own) // 3]
+        a, b, c = map(anchors, (own, edited, after))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (written(a), written(b))
+        assert (got[i].near_edited, got[i].near_next) == (pytest.approx(alike(a, b)), pytest.approx(alike(a, c)))
+
+
+PIECE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[^\x20\x09-\x0D\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]{1,16}")
+
+
+def hashed(*values):
+    """Spark's xxhash64 of several columns."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def anchors(text, k=syncmers.K, s=syncmers.S):
+    """Closed syncmers straight from their definition."""
+    pieces = PIECE.findall(text)
+    if len(pieces) < k:
+        return [(hashed(p) & syncmers.BITS, i) for i, p in enumerate(pieces)]
+    inner = [hashed(*pieces[i : i + s]) for i in range(len(pieces) - s + 1)]
+    out = []
+    for i in range(len(pieces) - k + 1):
+        window = inner[i : i + k - s + 1]
+        if min(window) in (window[0], window[-1]):
+            out.append((hashed(*window[::s]) & syncmers.BITS, i))
+    return out
+
+
+def written(found):
+    return ",".join(f"{h:x}@{at:x}" for h, at in found)
+
+
+def alike(a, b):
+    a, b = ({(h, n - at if n is not None else 0) for (h, at), n in zip(x, [*(y for _, y in x[1:]), None], strict=False)} for x in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
 
 
 def test_next_over_ranges(spark):
     rows = [(i, f"text {i}") for i in range(0, 400, 2)] + [(4, "text 4"), (None, "none"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text, r.next_text) for r in syncmers.with_next(docs, range_chars=97).collect()), key=repr)
-    order = sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    order = sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), -hashed(x[1])))
     want = sorted(((d, t, order[(k + 1) % len(order)][1]) for k, (d, t) in enumerate(order)), key=repr)
     assert got == want
     assert syncmers.with_next(docs.limit(0)).collect() == []
+    none = spark.createDataFrame([(None, f"t{i}") for i in range(50)], "doc_id long, text string")
+    got = {r.text: r.next_text for r in syncmers.with_next(none, range_chars=10).collect()}
+    assert (len(got), set(got.values())) == (50, set(got))
+    named = spark.createDataFrame([("b", "x"), ("a", "y"), ("c", None)], "doc_id string, text string")
+    assert {r.doc_id: r.next_text for r in syncmers.with_next(named, range_chars=1).collect()} == {"c": "x", "b": "y", "a": ""}
 
 
 # ---------------------------------------------------------------- mix
