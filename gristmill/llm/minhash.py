@@ -10,7 +10,8 @@ concentrated about its mean.  Most sets are full after the few first rounds.
 is missed with a probability of 3e-6, and a pair of similarity 0.5 is met with one of 0.14.
 
 *Verification.*  Documents with equal sets are one class from the start, so that copies cost nothing further.  Small
-buckets give all pairs of their classes.  A large bucket never does.  Its members are compared with a reference set R,
+buckets give all pairs of their classes that may be linked by their sizes and, later on, by their parity bits: two sets
+differ in at least as many shingles as the XORs of their shingles' places do in bits.  A large bucket never does.  Its members are compared with a reference set R,
 the shingles that most of a sample of them have (any R gives the same links, a good one less work).  Let S be the
 shingles in which a member x differs from R, own ones and missing ones told apart.  The difference of two members has
 |S_x| + |S_y| - 2 |S_x & S_y| shingles, so with slack_x = (100 + percent) |S_x| - (100 - percent) |x| two members are
@@ -21,8 +22,8 @@ linked exactly if
 Let c be the member with the least slack.  Hence
 
 - x with slack_x + slack_c <= 0 is linked with c; any two members that are linked without a common element of S are;
-- another x needs (slack_x + slack_c) / (2 (100 + percent)) elements of S in common with any partner, and, sizes of
-  partners being bounded, |S_x| - (100 - percent) |x| / percent of them; so does a member of the first kind, with the
+- another x needs (slack_x + slack_c) / (2 (100 + percent)) elements of S in common with any partner, and, since two linked sets
+  x and y differ in at most (100 - percent) / (100 + percent) (|x| + |y|) shingles, |S_x| less that many of them; so does a member of the first kind, with the
   least slack of the others in the place of slack_c.
 
 So a prefix of S is posted as in prefix filtering, the elements that fewest members have first.  Postings with two
@@ -54,6 +55,10 @@ PERCENT = 85
 BANDS, ROWS = 40, 8
 #: Buckets up to this size give all their pairs; larger ones go through their reference set.
 SMALL_BUCKET = 12
+#: The same for buckets of shared elements, whose pairs are tested by parity bits first.
+SMALL_LATER = 256
+#: Parity bits of a set, in words of 64.
+PARITY_WORDS = 4
 #: Members of a bucket, about, from which its reference set is taken.  It decides on work, never on links.
 REFERENCE_MEMBERS = 32
 #: Rounds after which something must be wrong: sizes of buckets fall in each.
@@ -130,8 +135,14 @@ def _sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The parity of how many shingles fall in each of 64 * PARITY_WORDS places."""
+    places = (shingles >> np.uint64(40)) % np.uint64(64 * PARITY_WORDS)
+    return np.packbits((np.bincount(places.astype(np.intp), minlength=64 * PARITY_WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """cls and set of each document that has one."""
+    """cls, set and parity bits of each document that has a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,9 +150,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [s for s in shingle_sets(data, offsets, width) if len(s)]
                 ends = np.cumsum([0, *map(len, sets)])
                 values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([set_class(s)[0] for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["cls", "set"])
+                bits = pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([set_class(s)[0] for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), bits], names=["cls", "set", "bits"])
 
-    return docs.select("text").mapInArrow(run, "cls bigint, set array<bigint>")
+    return docs.select("text").mapInArrow(run, "cls bigint, set array<bigint>, bits array<bigint>")
 
 
 def _linked(common: Column, a: Column, b: Column, percent: int) -> Column:
@@ -150,10 +162,19 @@ def _linked(common: Column, a: Column, b: Column, percent: int) -> Column:
 
 
 def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs within each bucket that are in different parts and whose sizes allow a link."""
-    lists = members.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("cls", "n", "part"))).alias("all"))
+    """All pairs within each bucket that are in different parts and whose sizes, and parity bits if there, allow a link."""
+    tested = "bits" in members.columns
+    lists = members.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("cls", "n", "part", *(["bits"] if tested else [])))).alias("all"))
     firsts = lists.select(F.posexplode("all").alias("at", "x"), "all")
-    partners = F.expr(f"filter(slice(all, at + 2, size(all)), y -> x.part != y.part AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n))")
+
+    def possible(x: Column, y: Column) -> Column:
+        out = (x["part"] != y["part"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+        if tested:
+            differ = reduce(Column.__add__, (F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(PARITY_WORDS)))
+            out = out & ((100 + percent) * differ <= (100 - percent) * (x["n"] + y["n"]))
+        return out
+
+    partners = F.filter(F.slice("all", F.col("at") + 2, F.size("all")), lambda y: possible(F.col("x"), y))
     pairs = firsts.select("x", F.explode(partners).alias("y"))
     return pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).filter("a != b").distinct()
 
@@ -195,45 +216,48 @@ def _references(placed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _differences(placed: DataFrame, references: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """ref, cls, n, part, elements (where a member differs from its reference set) and slack."""
+    """ref, cls, n, part, bits, elements (where a member differs from its reference set) and slack."""
     met = placed.join(sets, "cls").join(references, "ref", "left").withColumn("ref_set", F.coalesce("ref_set", F.array().cast("array<bigint>")))
     missing = F.transform(F.array_except("ref_set", "set"), lambda e: F.bitwise_not(e))
-    met = met.select("ref", "cls", "n", "part", F.sort_array(F.concat(F.array_except("set", "ref_set"), missing)).alias("elements"))
+    met = met.select("ref", "cls", "n", "part", "bits", F.sort_array(F.concat(F.array_except("set", "ref_set"), missing)).alias("elements"))
     return met.withColumn("slack", F.lit(100 + percent).cast("long") * F.size("elements") - (100 - percent) * F.col("n"))
 
 
 def _judged(differences: DataFrame, percent: int) -> DataFrame:
     """``differences`` with centre, where a member is linked with it, and how many elements it has to post."""
-    slack = differences.select("ref", "cls", "part", "slack")
-    least = slack.groupBy("ref").agg(F.min("slack").alias("least"), F.min_by(F.struct("cls", "part"), F.struct("slack", "cls")).alias("centre"))
+    slack = differences.select("ref", "cls", "n", "part", "slack")
+    least = slack.groupBy("ref").agg(F.max("n").alias("most"), F.min("slack").alias("least"), F.min_by(F.struct("cls", "part"), F.struct("slack", "cls")).alias("centre"))
     far = slack.join(least, "ref").filter("slack + least > 0").groupBy("ref").agg(F.min("slack").alias("far"))
     met = differences.join(least.join(far, "ref", "left"), "ref")
     linked = F.col("slack") + F.col("least") <= 0
+    # how much the set of a linked partner, which has at most so many shingles, can differ
+    differ = F.floor((100 - percent) * (F.col("n") + F.least(F.col("most"), F.floor(100 * F.col("n") / percent))) / (100 + percent))
     need = F.ceil((F.col("slack") + F.when(linked, F.col("far")).otherwise(F.col("least"))) / (2 * (100 + percent)))
-    need = F.greatest(F.lit(1), need, F.size("elements") - F.floor((100 - percent) * F.col("n") / percent))
+    need = F.greatest(F.lit(1), need, F.size("elements") - differ)
     # without members of the second kind nothing is left to find
     length = F.when(F.col("far").isNull(), 0).otherwise(F.greatest(F.lit(0), F.size("elements") - need + 1))
-    return met.select("ref", "cls", "n", F.when(linked, F.col("centre.part")).otherwise(F.col("part")).alias("part"), F.when(linked, F.col("centre.cls")).alias("centre"), "elements", length.alias("length"))
+    return met.select("ref", "cls", "n", F.when(linked, F.col("centre.part")).otherwise(F.col("part")).alias("part"), F.when(linked, F.col("centre.cls")).alias("centre"), "bits", "elements", length.alias("length"))
 
 
 def _postings(judged: DataFrame) -> DataFrame:
-    """bucket, cls, n, part: a bucket for each element that two members or more of a reference set post."""
-    every = judged.filter("length > 0").select("ref", "cls", "n", "part", "length", F.explode("elements").alias("e"))
+    """bucket, cls, n, part, bits: a bucket for each element that two members or more of a reference set post."""
+    every = judged.filter("length > 0").select("ref", "cls", "n", "part", "bits", "length", F.explode("elements").alias("e"))
     shared = every.groupBy("ref", "e").agg(F.count("*").alias("holders"))
     rarest = F.row_number().over(Window.partitionBy("ref", "cls").orderBy("holders", "e"))  # of one member's set
     met = every.join(shared, ["ref", "e"]).withColumn("place", rarest).filter((F.col("place") <= F.col("length")) & (F.col("holders") > 1))
-    return met.select(F.xxhash64("ref", "e").alias("bucket"), "cls", "n", "part")
+    return met.select(F.xxhash64("ref", "e").alias("bucket"), "cls", "n", "part", "bits")
 
 
-def links(members: DataFrame, sets: DataFrame, keep: Scratch, percent: int = PERCENT, small: int = SMALL_BUCKET) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, keep: Scratch, percent: int = PERCENT, small: int = SMALL_BUCKET, later: int = SMALL_LATER) -> DataFrame:
     """Verified links between classes.
 
     :param members: bucket, cls, n (size of the set), part, size: classes in buckets that are open.
-    :param sets: cls, set: the full sets of all these classes.
+    :param sets: cls, set, bits: the full sets of all these classes, with their parity bits.
     :return: a, b: linked classes; a pair may come more than once.
     """
     found: list[DataFrame] = []
     for step in range(MOST_ROUNDS):
+        small = small if step == 0 else max(small, later)
         found.append(keep(_verified(_small_pairs(members.filter(F.col("size") <= small), percent), sets, percent), f"pairs{step}"))
         large = members.filter(F.col("size") > small)
         if large.isEmpty():
@@ -275,7 +299,7 @@ def components(edges: DataFrame, keep: Scratch) -> DataFrame:
     raise RuntimeError(f"components still change after {MOST_ROUNDS} rounds")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BUCKET, later: int = SMALL_LATER) -> DataFrame:
     """Near-duplicate components of documents.
 
     :param docs: doc_id, text; other columns are ignored.
@@ -301,8 +325,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
         some = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
         made = _sets(some, width).join(wanted.select("cls"), "cls", "left_semi")
         # of texts with one id, or without, several may have one class
-        sets = keep(made.groupBy("cls").agg(F.first("set").alias("set")), "sets")
-        roots = components(links(members, sets, keep, percent, small), keep)
+        sets = keep(made.groupBy("cls").agg(F.first("set").alias("set"), F.first("bits").alias("bits")), "sets")
+        roots = components(links(members, sets, keep, percent, small, later), keep)
         named = classes.select("cls", "least").join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
         names = named.groupBy("root").agg(F.min("least").alias("component"))
         labels = named.join(names, "root").select("cls", "component")
