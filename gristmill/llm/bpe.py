@@ -165,14 +165,18 @@ class Encoder:
 
     def path(self, word: bytes) -> list[int]:
         """The automaton's tokens for the bytes of one word."""
-        if len(self.states) > STATES_KEPT:
-            self._reset()
         state, table, lasts = 0, self.table, []
         end = len(word) - 1
         for i, b in enumerate(word):
             symbol = b if i < end else b + 256
             found = table.get(state << 9 | symbol)
             if found is None:
+                if len(self.states) > STATES_KEPT:  # start anew from this state, even within a very long word
+                    held = self.states[state]
+                    self._reset()
+                    table, state = self.table, self.numbers.setdefault(held, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(held)
                 found = self._step(state, symbol)
             state = found >> 20
             lasts.append(found & 0xFFFFF)
