@@ -1,10 +1,18 @@
 """Main text of web pages from flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at the tags that break a line.  A block has its words, its link density (the share of its
-words that stand in links) and those of its neighbours; and what its open tags say: whether they name an article,
-whether they name page furniture (menus, footers, adverts, forms, comments and the like), and whether it is a
-heading.  A small decision tree decides for each block on its own and its neighbours' figures.  It is fitted here, on
-the labelled table below, by choosing splits of least Gini impurity.
+words that stand in links) and those of the blocks before and after it.  Besides these figures the tree sees
+
+- inside: whether the block stands in the page's main container, which is found by words: the article or main element
+  with most words outside links, if it holds a fair share of the page's, else the innermost element that holds most of
+  them.  So marks that are absent or misleading do no harm.  An article within an article is a comment or a teaser;
+- furniture: whether it stands in an element for menus, footers, sidebars, forms and the like;
+- named: whether class, id or role of an element around it name such a thing; if that element holds the page's title,
+  its name is taken for misleading;
+- heading, and early: before the first heading of a page that has one.
+
+The tree decides for each block.  It is fitted here, on a small labelled table of kinds of blocks and
+their neighbours, by choosing splits of least Gini impurity.  The reader of tags is linear in the page's length.
 
 Within a block white space becomes one space; character references are decoded; blocks are joined by two line feeds.
 """
@@ -12,6 +20,7 @@ Within a block white space becomes one space; character references are decoded;
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from html import unescape
@@ -28,31 +37,44 @@ SILENT = frozenset("script style template noscript svg math iframe object canvas
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button select fieldset".split())
 CONTENT = frozenset("article main".split())
+CONTAINERS = frozenset("html body div section article main form center table tbody tr td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What can stand in a head; other elements and text close it, as ``</head>`` may be left out.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 #: Of these only the tag is passed over where the end tag is missing.
 SKIPPED_IF_OPEN = frozenset("noscript svg iframe template".split())
-#: Words of class, id and role that tell furniture and content.
-FURNITURE_WORDS = frozenset("ad ads advert advertisement advertising banner bar breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer disqus feedback footer form header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup privacy promo promoted recommended related reply replies respond rss search share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar tracking widget complementary contentinfo dialog alert gdpr paywall outbrain taboola".split())
-CONTENT_WORDS = frozenset("article articlebody content entry main maincontent post postbody postcontent story body text".split())
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Elements that a new one of the same name closes.
+ONE_OPEN = frozenset("li dt dd tr td th option".split())
+#: Words of class, id and role that tell furniture.
+FURNITURE_WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus footer login masthead menu modal nav navbar navigation newsletter notice pagination popup promo recommended related replies rss share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
+#: Least share of the page's words of a marked container, and of a container's words for going down to a part of it.
+MARKED_SHARE, INNER_SHARE = 0.2, 0.6
+#: The latter where the title stays outside of the part.
+UNTITLED_SHARE = 0.85
+
+_OPENS = re.compile(r"<(?:!--|!|\?|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_VALUE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_CLOSES = re.compile(r"[\s/=]*>")
 _RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 @dataclass
 class Block:
+    """A text block, its figures, and what the elements around it say."""
+
     text: str
     words: int
     link_words: int
-    content: bool
-    furniture: bool
+    node: int
     heading: bool
+    inside: bool = False
+    furniture: bool = False
+    named: bool = False
+    early: bool = False
 
     @property
     def density(self) -> float:
@@ -60,36 +82,59 @@ class Block:
 
 
 @dataclass
-class _Open:
+class _Node:
+    """An element: its parent's number, and what its own tag says."""
+
     name: str
-    content: bool
-    furniture: bool
-    silent: bool
+    parent: int
+    silent: bool = False
     link: bool = False
-    heading: bool = False
+    furniture: bool = False
+    named: bool = False
+    mass: int = 0  # words outside links, furniture and named parts, of all that it holds
+    titled: bool = False  # holds an h1 or a main element
 
 
-def _signs(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether a tag names content, furniture, or hides what it holds."""
-    content, furniture, hidden = name in CONTENT, name in FURNITURE, name in SILENT
-    for key, value in _ATTRIBUTE.findall(attributes):
+def _signs(attributes: Sequence[tuple[str, str]]) -> tuple[bool, bool]:
+    """Whether a tag's attributes name furniture, or hide what it holds."""
+    named = hidden = False
+    for key, value in attributes:
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN_STYLE.search(value):
             hidden = True
-        elif key in ("class", "id", "role", "itemprop"):
-            words = {w for part in value.split() for w in (*_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", part).lower()), re.sub("[^a-z]", "", part.lower()))}
-            furniture |= bool(words & FURNITURE_WORDS) and name not in ("html", "body", "article", "main")
-            content |= bool(words & CONTENT_WORDS)
-    return content, furniture, hidden
+        elif key in ("class", "id", "role"):
+            named |= not FURNITURE_WORDS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower()))
+    return named, hidden
+
+
+def _attributes(html: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """Attributes of the tag whose name ends at ``at``, whether it closes itself, and where it ends (-1: it doesn't)."""
+    found = []
+    while True:
+        end = _CLOSES.match(html, at)
+        if end:
+            return found, "/" in end.group(), end.end()
+        one = _VALUE.match(html, at)
+        if not one:
+            return found, False, -1
+        found.append((one.group(1), one.group(2) or ""))
+        at = one.end()
 
 
 def blocks_of(html: str) -> list[Block]:
     """Flat text blocks in page order.  One pass over the tags; unclosed and stray tags are no error."""
     found: list[Block] = []
-    stack: list[_Open] = []
+    nodes = [_Node("", -1)]
+    stack = [0]
+    opened: Counter[str] = Counter()
     pieces: list[tuple[str, bool]] = []
     unclosed: set[str] = set()  # without an end tag in what is left
 
+    def pop() -> str:
+        name = nodes[stack.pop()].name
+        opened[name] -= 1
+        return name
+
     def flush() -> None:
         if not pieces:
             return
@@ -97,31 +142,48 @@ def blocks_of(html: str) -> list[Block]:
         if text:
             links = sum(len(p.split()) for p, link in pieces if link)
             words = len(text.split())
-            content = bool(stack) and stack[-1].content
-            found.append(Block(text, words, min(words, links), content, bool(stack) and stack[-1].furniture, any(o.heading for o in stack[-3:])))
+            heading = any(nodes[n].name in HEADINGS for n in stack[-3:])
+            found.append(Block(text, words, min(words, links), stack[-1], heading))
         pieces.clear()
 
     def close_head() -> None:
-        if stack and stack[-1].name == "head":
-            stack.pop()
+        if nodes[stack[-1]].name == "head":
+            pop()
+
+    def close_paragraph() -> None:
+        # also with inline elements left open in it
+        depth = len(stack) - 1
+        while depth and nodes[stack[depth]].name not in BREAKING:
+            depth -= 1
+        if nodes[stack[depth]].name == "p":
+            while pop() != "p":
+                pass
 
     def add(text: str) -> None:
         if text.strip():
             close_head()
-        if text and not (stack and stack[-1].silent):
-            pieces.append((unescape(text), bool(stack) and stack[-1].link))
+        top = nodes[stack[-1]]
+        if text and not top.silent:
+            pieces.append((unescape(text), top.link))
 
     at, n = 0, len(html)
     while at < n:
-        tag = _TAG.search(html, at)
+        tag = _OPENS.search(html, at)
         if not tag:
-            add(html[at:])
             break
-        add(html[at : tag.start()])
-        at = tag.end()
-        if tag.group(1) is None:
+        if tag.group(2) is None:
+            end = html.find("-->" if tag.group() == "<!--" else ">", tag.end())
+            if end < 0 and tag.group() != "<!--":
+                break
+            add(html[at : tag.start()])
+            at = n if end < 0 else end + (3 if tag.group() == "<!--" else 1)
             continue
-        name, closing = tag.group(1).lower(), html[tag.start() + 1] == "/"
+        attributes, alone, end = _attributes(html, tag.end())
+        if end < 0:
+            break
+        add(html[at : tag.start()])
+        at = end
+        name, closing = tag.group(2).lower(), bool(tag.group(1))
         if not closing and name not in IN_HEAD:
             close_head()
         if name == "br":
@@ -130,124 +192,119 @@ def blocks_of(html: str) -> list[Block]:
         if name in BREAKING:
             flush()
         if closing:
-            if any(o.name == name for o in stack):
-                while stack.pop().name != name:
+            if opened[name]:
+                while pop() != name:
                     pass
             continue
         if name in VOID:
             continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].name == name:
-            stack.pop()
-        elif name in BREAKING and name != "p":
-            while stack and stack[-1].name == "p":
-                stack.pop()
-        if name in _RAW and not tag.group(2).rstrip().endswith("/"):
-            end = None if name in unclosed else _RAW[name].search(html, at)
-            if not end:
+        if name in BREAKING and opened["p"]:
+            close_paragraph()
+        if name in ONE_OPEN and nodes[stack[-1]].name == name:
+            pop()
+        if name in _RAW and not alone:
+            raw = None if name in unclosed else _RAW[name].search(html, at)
+            if not raw:
                 unclosed.add(name)
-            at = end.end() if end else (at if name in SKIPPED_IF_OPEN else n)
+            at = raw.end() if raw else (at if name in SKIPPED_IF_OPEN else n)
             continue
-        content, furniture, hidden = _signs(name, tag.group(2))
-        above = stack[-1] if stack else _Open("", False, False, False)
-        if name == "header":
-            furniture = not above.content
-        # what stands in an article is not furniture for what surrounds the article
-        opened = _Open(name, above.content or content, (above.furniture and name not in CONTENT) or furniture, above.silent or hidden, above.link or name == "a", name in HEADINGS)
-        if not tag.group(2).rstrip().endswith("/"):
-            stack.append(opened)
+        if alone:
+            continue
+        named, hidden = _signs(attributes)
+        above = nodes[stack[-1]]
+        in_content = any(opened[c] for c in CONTENT)
+        furniture = name in FURNITURE or name == "header" and not in_content or name == "article" and opened["article"] > 0
+        nodes.append(_Node(name, stack[-1], above.silent or hidden or name in SILENT, above.link or name == "a", furniture, named and name not in ("html", "body", *CONTENT)))
+        nodes[-1].titled = name in ("h1", "main")
+        stack.append(len(nodes) - 1)
+        opened[name] += 1
+    add(html[at:])
     flush()
+    _mark(nodes, found)
     return found
 
 
+def _mark(nodes: list[_Node], blocks: Sequence[Block]) -> None:
+    """Set what blocks take from the elements around them.  A node's number is above its parent's."""
+    for node in reversed(nodes[1:]):
+        nodes[node.parent].titled |= node.titled
+    for node in nodes[1:]:
+        above = nodes[node.parent]
+        # forms and names that are around the whole page mean nothing
+        node.furniture = above.furniture or node.furniture and not (node.name == "form" and node.titled)
+        node.named = above.named or node.named and not node.titled
+    for block in blocks:
+        node = nodes[block.node]
+        block.furniture, block.named = node.furniture, node.named
+        if not (block.furniture or block.named):
+            node.mass += block.words - block.link_words
+    for node in reversed(nodes[1:]):
+        nodes[node.parent].mass += node.mass
+    children: dict[int, list[int]] = {}
+    for i, node in enumerate(nodes[1:], 1):
+        if node.name in CONTAINERS:
+            children.setdefault(node.parent, []).append(i)
+    marked = [i for i, node in enumerate(nodes) if node.name in CONTENT and not node.furniture and not node.named]
+    # among equal ones the outer, first one
+    main = max(marked, key=lambda i: (nodes[i].mass, -i), default=0)
+    if nodes[main].mass < max(1, MARKED_SHARE * nodes[0].mass):
+        main = 0
+    while True:
+        inner = max(children.get(main, ()), key=lambda i: nodes[i].mass, default=0)
+        # a marked container is left for a marked one only
+        share = UNTITLED_SHARE if nodes[main].titled and not nodes[inner].titled else INNER_SHARE
+        if not inner or nodes[inner].mass < share * nodes[main].mass or nodes[main].name in CONTENT and nodes[inner].name not in CONTENT:
+            break
+        main = inner
+    inside = [False] * len(nodes)
+    for i, node in enumerate(nodes):
+        inside[i] = i == main or i > 0 and inside[node.parent]
+    first = next((k for k, b in enumerate(blocks) if b.heading and not b.furniture and not b.named), 0)
+    for k, block in enumerate(blocks):
+        block.inside, block.early = inside[block.node], k < first
+
+
 # ---------------------------------------------------------------- decision tree
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "inside", "outside", "furniture", "heading")
-
-#: The labelled table: words, link density, the same of the block before and after, inside the page's marked content,
-#: outside of it (a page without marked content has neither), in furniture, heading; then 1 for main text.
-TABLE: tuple[tuple[float, ...], ...] = (
-    # pages with a marked article
-    (12, 0.0, 0, 0.0, 40, 0.0, 1, 0, 0, 1, 1),
-    (40, 0.0, 12, 0.0, 35, 0.0, 1, 0, 0, 0, 1),
-    (3, 0.0, 40, 0.0, 60, 0.0, 1, 0, 0, 0, 1),
-    (1, 0.0, 20, 0.0, 5, 0.0, 1, 0, 0, 0, 1),
-    (6, 1.0, 30, 0.1, 25, 0.0, 1, 0, 0, 0, 1),
-    (80, 0.2, 30, 0.0, 9, 0.0, 1, 0, 0, 0, 1),
-    (25, 0.0, 80, 0.2, 12, 0.3, 1, 0, 0, 0, 1),
-    (2, 0.0, 2, 1.0, 30, 0.0, 1, 0, 0, 1, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0, 0),
-    (2, 1.0, 1, 1.0, 12, 0.0, 0, 1, 1, 0, 0),
-    (9, 0.0, 1, 1.0, 12, 0.0, 0, 1, 1, 0, 0),
-    (45, 0.0, 2, 1.0, 30, 0.0, 0, 1, 1, 0, 0),
-    (14, 0.1, 30, 0.0, 0, 0.0, 0, 1, 1, 0, 0),
-    (4, 0.0, 25, 0.0, 3, 1.0, 1, 0, 1, 0, 0),
-    (30, 0.0, 25, 0.0, 28, 0.0, 1, 0, 1, 0, 0),
-    (3, 1.0, 30, 0.0, 3, 1.0, 1, 0, 1, 0, 0),
-    (5, 0.0, 0, 0.0, 3, 1.0, 0, 1, 0, 1, 0),
-    (18, 0.0, 3, 1.0, 20, 0.0, 0, 1, 0, 0, 0),
-    (50, 0.0, 18, 0.0, 60, 0.0, 0, 1, 0, 0, 0),
-    (2, 0.0, 50, 0.0, 1, 1.0, 0, 1, 0, 0, 0),
-    (7, 0.0, 30, 0.0, 22, 0.0, 0, 1, 0, 0, 0),
-    (33, 0.0, 60, 0.0, 45, 0.0, 0, 1, 0, 0, 0),
-    (12, 0.0, 25, 0.0, 18, 0.0, 0, 1, 0, 0, 0),
-    (70, 0.0, 35, 0.0, 0, 0.0, 0, 1, 0, 0, 0),
-    (25, 0.1, 40, 0.0, 30, 0.1, 0, 1, 0, 0, 0),
-    (16, 0.0, 8, 0.0, 60, 0.0, 0, 1, 0, 0, 0),
-    (5, 1.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0, 1),
-    (9, 0.8, 60, 0.0, 4, 1.0, 1, 0, 0, 0, 1),
-    (2, 1.0, 1, 1.0, 14, 0.0, 1, 0, 0, 0, 1),
-    (120, 0.0, 90, 0.0, 75, 0.0, 1, 0, 0, 0, 1),
-    (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 0, 0, 1),
-    (1, 0.0, 2, 0.0, 1, 0.0, 1, 0, 0, 0, 1),
-    (5, 0.0, 0, 0.0, 8, 0.0, 1, 0, 0, 1, 1),
-    (3, 0.0, 3, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
-    (2, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0, 1),
-    (10, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0, 1),
-    # pages without marked content
-    (35, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
-    (60, 0.05, 35, 0.0, 25, 0.0, 0, 0, 0, 0, 1),
-    (8, 0.0, 4, 1.0, 35, 0.0, 0, 0, 0, 1, 1),
-    (10, 0.0, 2, 1.0, 28, 0.0, 0, 0, 0, 1, 1),
-    (4, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 0, 1),
-    (7, 0.0, 40, 0.0, 30, 0.1, 0, 0, 0, 0, 1),
-    (12, 0.0, 25, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
-    (18, 0.1, 20, 0.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (15, 0.0, 6, 0.0, 14, 0.0, 0, 0, 0, 0, 1),
-    (5, 0.0, 20, 0.0, 18, 0.0, 0, 0, 0, 0, 1),
-    (3, 0.0, 22, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (2, 1.0, 2, 1.0, 10, 0.0, 0, 0, 0, 0, 0),
-    (6, 0.9, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 0),
-    (9, 0.7, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0),
-    (30, 0.8, 25, 0.0, 20, 0.9, 0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1, 0),
-    (5, 0.5, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0),
-    (20, 0.0, 3, 1.0, 30, 0.0, 0, 0, 1, 0, 0),
-    (9, 0.0, 30, 0.0, 2, 1.0, 0, 0, 1, 0, 0),
-    (35, 0.0, 40, 0.0, 12, 0.0, 0, 0, 1, 0, 0),
-    (2, 1.0, 12, 0.0, 3, 1.0, 0, 0, 1, 0, 0),
-    (5, 0.0, 12, 0.0, 3, 1.0, 0, 0, 1, 1, 0),
-    (48, 0.0, 40, 0.0, 70, 0.0, 0, 0, 0, 0, 1),
-    (90, 0.0, 60, 0.0, 3, 0.0, 0, 0, 0, 0, 1),
-    (20, 0.0, 18, 0.0, 45, 0.0, 0, 0, 0, 0, 1),
-    (130, 0.1, 5, 0.0, 50, 0.0, 0, 0, 0, 0, 1),
-    (6, 0.0, 90, 0.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (30, 0.0, 12, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
-    (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (20, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (6, 0.0, 0, 0.0, 9, 0.0, 0, 0, 0, 1, 1),
-    (2, 0.0, 1, 0.0, 4, 0.0, 0, 0, 0, 0, 1),
-    (4, 0.0, 2, 1.0, 30, 0.0, 0, 0, 0, 1, 1),
-    (3, 0.0, 1, 1.0, 45, 0.0, 0, 0, 0, 1, 1),
-    (5, 0.0, 3, 1.0, 20, 0.0, 0, 0, 0, 1, 1),
-    (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0, 0),
-    (5, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "inside", "furniture", "named", "heading", "early")
+
+#: Neighbours as (words, link density): text, links, and both with none at all.
+_TEXT = ((2, 0.0), (9, 0.0), (40, 0.0), (90, 0.1))
+_LINKS = ((1, 1.0), (3, 1.0), (8, 0.9))
+_NONE = ((0, 0.0),)
+#: Blocks of text and of links.
+_LINES, _PARAGRAPHS, _ANCHORS = ((1, 0.0), (3, 0.0), (7, 0.0)), ((15, 0.0), (45, 0.2), (120, 0.1)), ((1, 1.0), (4, 1.0), (9, 0.8))
+#: What stands around a block: inside, furniture, named, heading, early.
+_INSIDE, _HEADING, _EARLY = (1, 0, 0, 0, 0), (1, 0, 0, 1, 0), (1, 0, 0, 0, 1)
+
+#: Labelled kinds of blocks: the block's own figures, those before and after, what stands around; 1 for main text.
+KINDS: tuple[tuple, ...] = (
+    (_LINES + _PARAGRAPHS, _TEXT + _NONE, _TEXT + _NONE, _INSIDE, 1),
+    (_LINES + _PARAGRAPHS, _TEXT + _NONE + _LINKS, _TEXT, _HEADING, 1),
+    (_LINES, _TEXT + _LINKS, _LINKS, _HEADING, 0),  # the heading of a list of links
+    (_LINES + _PARAGRAPHS, _TEXT, _LINKS, _INSIDE, 1),
+    (_LINES + _PARAGRAPHS, _LINKS, _TEXT, _INSIDE, 1),
+    (_PARAGRAPHS, _LINKS, _LINKS + _NONE, _INSIDE, 1),
+    (_LINES, _LINKS, _LINKS, _INSIDE, 0),  # what stands between links
+    (_ANCHORS, _TEXT, _TEXT, _INSIDE, 1),  # a link in a line of its own
+    (_ANCHORS, _LINKS + _NONE, _LINKS + _TEXT + _NONE, _INSIDE, 0),
+    (_ANCHORS, _TEXT, _LINKS + _NONE, _INSIDE, 0),
+    (_LINES + ((15, 0.0), (22, 0.0)), _LINKS + _NONE, _TEXT, _EARLY, 0),  # before the title
+    (((45, 0.0), (80, 0.1)), _LINKS + _NONE, _TEXT, _EARLY, 1),
+    (_ANCHORS, _LINKS + _NONE, _LINKS + _TEXT, _EARLY, 0),
+    *((_LINES + _PARAGRAPHS + _ANCHORS, _TEXT + _LINKS, _TEXT + _LINKS + _NONE, signs, 0) for signs in ((0, 0, 0, 0, 0), (0, 0, 0, 1, 0), (0, 0, 0, 0, 1), (1, 1, 0, 0, 0), (0, 1, 0, 0, 1), (1, 1, 0, 1, 0), (1, 0, 1, 0, 0), (1, 0, 1, 1, 0), (0, 0, 1, 0, 0))),
 )
 
 
+def labelled(kinds: Sequence[tuple] = KINDS, every: int = 2) -> list[tuple[float, ...]]:
+    """The labelled table: every second one of each kind's blocks with each of its neighbours, and at least one."""
+    out = []
+    for own, before, after, signs, label in kinds:
+        rows = [(*o, *b, *a, *signs, label) for o in own for b in before for a in after]
+        out += rows[::every]
+    return out
+
+
 @dataclass(frozen=True)
 class Leaf:
     label: int
@@ -261,7 +318,7 @@ class Split:
     high: Leaf | Split
 
 
-def grow(rows: Sequence[Sequence[float]], depth: int = 8) -> Leaf | Split:
+def grow(rows: Sequence[Sequence[float]], depth: int = 12) -> Leaf | Split:
     """A tree over rows whose last value is the label; the first best split wins, so it's the same every time."""
     ones = sum(r[-1] for r in rows)
     if not depth or ones in (0, len(rows)):
@@ -294,14 +351,8 @@ def decide(tree: Leaf | Split, row: Sequence[float]) -> int:
 
 def rows_of(blocks: Sequence[Block]) -> list[tuple[float, ...]]:
     """Features of each block, its neighbours' figures included."""
-    marked = any(b.content and not b.furniture for b in blocks)
-    out = []
-    for i, b in enumerate(blocks):
-        before = blocks[i - 1] if i else None
-        after = blocks[i + 1] if i + 1 < len(blocks) else None
-        near = [x for n in (before, after) for x in ((n.words, n.density) if n else (0, 0.0))]
-        out.append((b.words, b.density, *near, b.content, marked and not b.content, b.furniture, b.heading))
-    return out
+    figures = [(0, 0.0), *((b.words, b.density) for b in blocks), (0, 0.0)]
+    return [(*figures[i + 1], *figures[i], *figures[i + 2], b.inside, b.furniture, b.named, b.heading, b.early) for i, b in enumerate(blocks)]
 
 
 def main_text(html: str, tree: Leaf | Split) -> str:
@@ -310,14 +361,14 @@ def main_text(html: str, tree: Leaf | Split) -> str:
     return "\n\n".join(b.text for b, row in zip(blocks, rows_of(blocks), strict=True) if decide(tree, row))
 
 
-def extract(pages: DataFrame, table: Sequence[Sequence[float]] = TABLE) -> DataFrame:
+def extract(pages: DataFrame, table: Sequence[Sequence[float]] | None = None) -> DataFrame:
     """page_id, url, text, n_chars: the main text of each page.
 
     Null html counts as empty and gives an empty text, as does a page without main text.  Rows of equal id are rows of
-    their own; extra columns are ignored.
+    their own; extra columns are ignored.  Whole pages are read, in time linear in their length.
     """
     ship(pages.sparkSession)
-    tree = grow(table)
+    tree = grow(table or labelled())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import time
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import chat, html_extract, warc
 
-TREE = html_extract.grow(html_extract.TABLE)
+TREE = html_extract.grow(html_extract.labelled())
 LONG = "This is a paragraph of the story with quite a few words in it, as stories have."
 
 
@@ -49,6 +50,53 @@ def test_optional_and_missing_end_tags(before):
     assert html_extract.main_text(f"{before}<p>{LONG}<p>{LONG}", TREE) == f"{LONG}\n\n{LONG}"
 
 
+STORY = f"<h1>A title</h1><p>{LONG}<p>Short.<p>{LONG}"
+WANT = f"A title\n\n{LONG}\n\nShort.\n\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article>{STORY}</article><div id='comments'><article class='comment'><p>{LONG}</article><article class='comment'>{LONG}</article></div>",
+        f"<article>{STORY}<section><article><p>{LONG} says a reader.</article></section></article>",
+        f"<aside><article class='teaser'><h3>Other</h3><p>{LONG}</article></aside><article>{STORY}</article>",
+        f"<form action=x><div class=header-nav><a>Home</a> <a>News</a></div><div>{STORY}</div><div class=related-posts>{LONG}</div></form>",
+        f"<div class='site-header'><h1>A title</h1><p>{LONG}<p>Short.<p>{LONG}</div>",
+        f"<ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>Buy our things now.</p>{STORY}<h3>Related</h3><ul><li><a>One more</a><li><a>Two more</a></ul>",
+        f"<main><div class=share><a>Share</a></div>{STORY}</main><div class=teaser><article><p>Tiny.</article></div>",
+        f"<article></article><div><div>{STORY}</div></div><footer>{LONG}</footer>",
+    ],
+)
+def test_marks_absent_or_misleading(page):
+    assert html_extract.main_text(page, TREE) == WANT
+
+
+def test_tree_looks_at_neighbours():
+    def used(tree):
+        return {tree.feature, *used(tree.low), *used(tree.high)} if isinstance(tree, html_extract.Split) else set()
+
+    names = {html_extract.FEATURES[f] for f in used(TREE)}
+    assert {"words", "density", "words_before", "density_before", "density_after"} <= names
+
+
+@pytest.mark.parametrize("mark", ["div", "section", ""])
+def test_pages_with_marks_stripped(spark, sf_dir, mark):
+    """The same text with the article's mark replaced or left out and without class names."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        html = re.sub(r' class="[^"]*"', "", r.html or "")
+        for old in ("<article>", "</article>"):
+            html = html.replace(old, old.replace("article", mark) if mark else "")
+        inner = re.search("<article>(.*)</article>", r.html or "", re.S)
+        assert html_extract.main_text(html, TREE) == html_extract.main_text(f"<article>{inner.group(1)}</article>" if inner else "", TREE)
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a href=\"x ' ", "<!", "<b>", "<div>", "<p><b>", "</i><b>", "&lt;", "<!-- ", "<p x='"])
+def test_time_is_linear(piece):
+    began = time.perf_counter()
+    html_extract.main_text(piece * ((1 << 20) // len(piece)), TREE)
+    assert time.perf_counter() - began < 10
+
+
 def test_text_closes_head():
     assert html_extract.main_text(f"<head><title>T</title>\n{LONG}<p>{LONG}", TREE) == f"{LONG}\n\n{LONG}"
 
