@@ -124,7 +124,10 @@ def held_out(name: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS) -> np.ndarray:
-    """Fit on labelled rows that aren't held out: at most about ``most_rows`` of each class."""
+    """Fit on labelled rows that aren't held out: about ``most_rows`` ids of each class, and twice that many rows at most.
+
+    Equal rows of one id count once.  Texts are looked at whole.
+    """
     spark = docs.sparkSession
     ship(spark)
     usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("label"))
@@ -133,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
     for value, n in sizes.items():
         share = F.when(F.col("label") == value, min(1.0, most_rows / n)).otherwise(share)
     some = usable.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", F.xxhash64("doc_id", "text").alias("key"), "text")  # bounded by most_rows
+    # about 2 * most_rows ids are broadcast
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", F.xxhash64("doc_id", "text").alias("key"), "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
         return pd.DataFrame({"model": [fit(rows, frame["label"].to_numpy()).tobytes()]})
 
     schema = T.StructType().add("label", some.schema["label"].dataType).add("key", "long").add("places", T.ArrayType(T.IntegerType()))
-    found = texts.mapInArrow(grams, schema).groupBy().applyInPandas(model, "model binary").collect()
+    # rows of one id may be many: those of least hash are kept
+    bounded = texts.mapInArrow(grams, schema).dropDuplicates(["key"]).orderBy("key").limit(2 * most_rows)
+    found = bounded.groupBy().applyInPandas(model, "model binary").collect()
     return np.frombuffer(found[0]["model"], np.float32) if found else fit([], np.empty(0))
 
 
@@ -172,7 +178,8 @@ def classify(docs: DataFrame, model: np.ndarray, threshold: float = THRESHOLD) -
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document, by a model of the rows that aren't held out.
 
-    Without labels of both classes every score is 0.5.  Labels without a document, repeated labels (the higher one
+    Without labels of both classes every score is 0.5.  Null and empty texts are scored like others, whole texts are
+    read however long, rows of equal or null id are rows of their own.  Labels without a document, repeated labels (the higher one
     counts) and null labels are no error.
     """
     return classify(docs, train(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
