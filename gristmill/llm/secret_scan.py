@@ -126,13 +126,9 @@ def trigram_query(pattern: str) -> Query:
 # ---------------------------------------------------------------- index and candidates
 
 
-def _key(docs: DataFrame) -> Column:
-    return F.xxhash64("doc_id", "text")
-
-
 def postings(docs: DataFrame, grams: Sequence[str]) -> DataFrame:
-    """gram, key: which texts contain which trigrams, in lower case."""
-    low = docs.select(_key(docs).alias("key"), F.lower("text").alias("low"))
+    """gram, key: which texts (key, text) contain which trigrams, in lower case."""
+    low = docs.select("key", F.lower("text").alias("low"))
     found = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)))
     return low.select("key", F.explode(found).alias("gram"))
 
@@ -193,22 +189,21 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with ``spans``: array of (start, rank, end, kind), by start and then by the rule's place in ``rules``.
 
     Offsets are code points, the end exclusive.  A null text counts as empty and has no spans; empty texts, repeated
-    rows and null ids are rows like others.  A column ``spans`` in ``docs`` is replaced.
+    rows and null ids are rows like others.  Texts are scanned whole.  A column ``spans`` in ``docs`` is replaced.
     """
-    docs = docs.drop("spans")
-    names = docs.columns
     indexed = [r for r in rules if r.query != ANY]
-    texts = docs.withColumn("text", text_or_empty())
+    # the row as it is stays in one column, so no other can clash
+    row = F.struct(*(text_or_empty().alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "spans"))
+    texts = docs.select(row.alias("row"), text_or_empty().alias("text"), F.xxhash64("doc_id", text_or_empty()).alias("key"))
     full = [(i, r) for i, r in enumerate(rules) if r.query == ANY]
     parts = [rule_spans(F.col("text"), r, i) for i, r in full]
     if indexed:
         grams = sorted({g for r in indexed for a in r.query for g in a})
         index = materialise(postings(texts, grams), "postings")
-        met = candidates(index, indexed).select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds"))
-        texts = texts.withColumn("__key", _key(texts)).join(met, "__key", "left")
-        parts += [F.when(F.array_contains("__kinds", r.kind), rule_spans(F.col("text"), r, i)).otherwise(F.array().cast(_SPANS)) for i, r in enumerate(rules) if r in indexed]
+        texts = texts.join(candidates(index, indexed), "key", "left")
+        parts += [F.when(F.array_contains("kinds", r.kind), rule_spans(F.col("text"), r, i)).otherwise(F.array().cast(_SPANS)) for i, r in enumerate(rules) if r in indexed]
     spans = F.sort_array(F.concat(*parts)) if parts else F.array().cast(_SPANS)
-    return texts.withColumn("spans", spans).select(*(f"`{c}`" for c in names), "spans")
+    return texts.select("row", spans.alias("spans")).select("row.*", "spans")
 
 
 def spans_text(spans: Column) -> Column:

@@ -48,6 +48,12 @@ def test_secrets_equal_plain_regex(spark):
     assert secret_scan.scan(table(spark, ODD).limit(0)).collect() == []
 
 
+def test_secrets_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefgh12", 2, "k", 3, "t")], "doc_id long, text string, key int, kinds string, row int, gram string")
+    (r,) = secret_scan.scan(docs).collect()
+    assert (r.key, r.kinds, r.row, r.gram, len(r.spans)) == (2, "k", 3, "t", 1)
+
+
 def test_queries_are_necessary():
     rng = random.Random(2)
     for rule in secret_scan.RULES:
@@ -344,3 +350,61 @@ def test_classifier(spark):
     assert {r.score for r in odd.collect()} == {0.5}
     assert quality_classifier.score_documents(docs.limit(0), labels).collect() == []
     assert odd.filter(F.col("held_out").isNull()).count() == 0
+
+
+def test_features_are_all_grams():
+    """Distinct places of byte trigrams and of word shapes, straight from their definition."""
+    texts = ["Ab c12 !!! c12 c12", "", "é", "aaaa aaaa", "x" * 300 + " Y\tz"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    got = [set(x.tolist()) for x in quality_classifier.features(data, offsets)]
+    half = int(quality_classifier._HALF)
+    mixed = lambda x: int(quality_classifier.mix(np.array([x % 2**64], np.uint64))[0]) & half
+    for text, places in zip(texts, got, strict=True):
+        b = text.encode()
+        want = {mixed(b[i] << 16 | b[i + 1] << 8 | b[i + 2]) for i in range(len(b) - 2)}
+        words = re.findall(rb"[^\x20\x09-\x0d]+", b)
+        shapes = []
+        for k, w in enumerate(words):
+            ups, nums = sum(65 <= c <= 90 for c in w), any(48 <= c <= 57 for c in w)
+            signs = sum(not (65 <= c <= 90 or 97 <= c <= 122 or 48 <= c <= 57 or c >= 128) for c in w)
+            same = k > 0 and words[k - 1].lower() == w.lower()
+            shapes.append((min(3, len(w) // 4) | min(ups, 2) << 2 | nums << 4 | min(signs, 3) << 5 | (signs == len(w)) << 7 | same << 8) + 1)
+        for k, shape in enumerate(shapes):
+            grams = [shape, shapes[k - 1] << 10 | shape if k else shape, shapes[k - 2] << 20 | shapes[k - 1] << 10 | shape if k > 1 else shape]
+            want |= {mixed(g + 7) + half + 1 for g in grams}
+        assert places == want
+
+
+def test_fit_minimises_the_hinge_loss():
+    """No small step from the fitted weights lessens the objective, and a score is the curve of the margin."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 12) + (10 if i % 3 == 0 else 0)) for i in range(60)]
+    labels = np.array([1 if i % 3 == 0 else 0 for i in range(60)])
+    model = quality_classifier.fit(rows, labels, epochs=3000).astype(float)
+    n = quality_classifier.PLACES
+    ratio2, weight, (bias, slope, shift) = model[:n], model[n : 2 * n], model[-3:]
+    used = np.flatnonzero(ratio2 > 1e-9)
+    y = np.where(labels > 0, 1.0, -1.0)
+    x = np.zeros((60, n))
+    for i, r in enumerate(rows):
+        x[i, r] = np.sqrt(ratio2[r]) / np.sqrt(ratio2[r].sum())
+    x, w = x[:, used], weight[used] / np.sqrt(ratio2[used])
+    limit = np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum()))
+
+    def objective(w, b):
+        return (w @ w + b * b) / 2 + (limit * np.maximum(0, 1 - y * (x @ w + b))).sum()
+
+    best = objective(w, bias)
+    for _ in range(300):
+        step = rng.normal(size=len(w) + 1) * 10 ** rng.uniform(-3, 0)
+        assert objective(w + step[:-1], bias + step[-1]) >= best * (1 - 1e-3)
+    margin = bias + weight[rows[0]].sum() / np.sqrt(ratio2[rows[0]].sum())
+    assert quality_classifier.score(rows[0], model.astype(np.float32)) == pytest.approx(1 / (1 + np.exp(-(slope * margin + shift))), abs=1e-4)
+
+
+def test_fit_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i} of one id") for i in range(500)] + [(i, f"other text {i}") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    assert len(quality_classifier.train(docs, labels, most_rows=10)) == 2 * quality_classifier.PLACES + 3
+    assert {r.score for r in quality_classifier.score_documents(docs.limit(0), labels).collect()} == set()
