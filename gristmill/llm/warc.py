@@ -3,7 +3,8 @@
 *Writing.*  A record a page, as text files of WARC/1.1 records by Spark's own text writer, whose line separator is
 the blank line pair that ends a record.  Pages with equal payloads are found by their digests; the counts are summed
 before the shuffle, and the join back to the pages is the only exchange of payloads, one that Spark may split where one
-payload is very common.  Archives are written as the join leaves the rows.
+payload is very common.  Archives are written as the join leaves the rows, each as one gzip member, since plain ones
+take twice the pages' own space.
 
 *Reading.*  An archive is a row of bytes; a task holds one at a time, and the writer keeps archives near
 ``ARCHIVE_BYTES``.  Each record is checked: version line, header lines, Content-Length, the blank line pair after it
@@ -82,18 +83,18 @@ def _record(data: bytes, at: int) -> tuple[Record, int]:
     return Record(at, headers, payload), end + 4
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """What the gzip member at ``at`` holds and where it ends; none if it can't be read to its end, checksum included."""
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at ``at`` holds and where it ends; no end if it can't be read to it, checksum included."""
     inflate, out, step = zlib.decompressobj(31), [], 4096
     try:
         while not inflate.eof:
             if at >= len(data):
-                return None
+                return b"".join(out), None
             out.append(inflate.decompress(data[at : at + step]))
             at += step
-            step = min(2 * step, 1 << 20)
+            step = min(2 * step, 1 << 18)
     except zlib.error:
-        return None
+        return b"".join(out), None
     return b"".join(out), min(at, len(data)) - len(inflate.unused_data)
 
 
@@ -116,29 +117,38 @@ def _next(data: bytes, view: memoryview, at: int) -> int:
 def read_archive(data: bytes) -> Iterator[Record | Gap]:
     """Records and gaps of an archive, whose records are plain or gzip members.
 
-    A compressed record's start is that of its member.  Whatever fails a check is a gap up to the next place at which
-    a record may begin.  The work is linear in the archive's size.
+    A compressed record's start is that of its member, which may hold several.  Whatever fails a check is a gap up to
+    the next place at which a record may begin.  Of a damaged member, whose checksum says nothing, those records count
+    that another one follows.  The work is linear in the archive's size.
     """
     view, at = memoryview(data), 0
     while at < len(data):
-        member = _inflate(view, at) if data.startswith(MEMBER, at) else None
-        if member:
-            plain, end = member
-            inner = 0
+        if data.startswith(MEMBER, at):
+            plain, end = _inflate(view, at)
+            inner, last = 0, None
             while inner < len(plain):
                 try:
                     record, inner = _record(plain, inner)
                 except ValueError as failed:
-                    yield Gap(at, end, str(failed))
+                    if last:
+                        yield last
+                        last = None
+                    if end:
+                        yield Gap(at, end, str(failed))
                     later = _START.search(plain, inner + 1)
                     inner = later.start() if later else len(plain)
                 else:
                     record.start = at
-                    yield record
+                    if last:
+                        yield last
+                    last = record
+            if last and end:
+                yield last
+            if not end:
+                end = _next(data, view, at + 1)
+                yield Gap(at, end, "gzip member")
         else:
             try:
-                if data.startswith(MEMBER, at):
-                    raise ValueError("gzip member")
                 record, end = _record(data, at)
             except ValueError as failed:
                 end = _next(data, view, at + 1)
@@ -185,11 +195,14 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return typed.select("page_id", "url", record.alias("record"))
 
 
-def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, least: int = LEAST_REVISIT) -> int:
-    """Write archives of about ``archive_bytes`` each, where a partition holds so much; the number of records."""
+def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, least: int = LEAST_REVISIT, compression: str = "gzip") -> int:
+    """Write archives of about ``archive_bytes`` of records each, where a partition holds so much; the number of records.
+
+    A compressed archive is one gzip member; ``none`` leaves it plain.
+    """
     size = pages.agg(F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 600).alias("bytes"), F.count("*").alias("rows")).first()
     rows = max(1, math.ceil(size["rows"] * archive_bytes / max(1, size["bytes"] or 0)))
-    records(pages, least).select("record").write.option("lineSep", END).option("maxRecordsPerFile", rows).text(path)
+    records(pages, least).select("record").write.option("lineSep", END).option("maxRecordsPerFile", rows).option("compression", compression).text(path)
     return size["rows"]
 
 

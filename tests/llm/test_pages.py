@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import random
 import re
 import time
 
@@ -152,6 +153,30 @@ def test_salvage_mixed():
     assert [type(i) for i in warc.read_archive(members[0][: len(members[0]) // 2] + plain[1])] == [warc.Gap, warc.Record]
 
 
+def test_salvage_within_a_member():
+    rng = random.Random(1)
+    whole = [record(i, bytes(rng.randrange(256) for _ in range(3000))) for i in range(40)]
+    member, after = bytearray(gzip.compress(b"".join(whole))), gzip.compress(record(99, b"z"))
+    member[100_000] ^= 255
+    items = list(warc.read_archive(bytes(member) + after))
+    found = [i.headers["warc-record-id"][10:-1] for i in items if isinstance(i, warc.Record)]
+    assert found[-1] == "99"
+    assert found[:-1] == [str(k) for k in range(len(found) - 1)]
+    assert len(found) > 20
+    assert [(g.start, g.end, g.reason) for g in items if isinstance(g, warc.Gap)] == [(0, len(member), "gzip member")]
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_written_archives_read_back(spark, tmp_path, compression):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 7}" * 400) for i in range(90)], "page_id long, url string, html string")
+    assert warc.write(pages, f"{tmp_path}/a", archive_bytes=20_000, compression=compression) == 90
+    found = warc.read(spark, f"{tmp_path}/a", with_payload=True).collect()
+    assert all(r.reason is None for r in found)
+    assert sorted(r.record_id for r in found) == sorted(f"<urn:page:{i}>" for i in range(90))
+    assert sum(r.record_type == "response" for r in found) == 7
+    assert {r.payload.decode() for r in found if r.record_type == "response"} == {f"<p>{k}" * 400 for k in range(7)}
+
+
 def test_many_members():
     began = time.perf_counter()
     assert sum(isinstance(i, warc.Record) for i in warc.read_archive(b"".join(gzip.compress(record(i, b"x" * 100)) for i in range(10000)))) == 10000
