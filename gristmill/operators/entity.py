@@ -2,73 +2,111 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import similar_titles
+from gristmill.session import Scratch, materialise
 
+#: Rounds of the fold after which something must be wrong: each decides a row at least.
+MOST_ROUNDS = 200
 
-def prefix_match(names: DataFrame, known: DataFrame) -> DataFrame:
+
+def prefix_match(names: DataFrame, known: DataFrame, shorter: bool = True) -> DataFrame:
     """name, known_name: the known name that equals a name, else the longest that is a word-wise prefix of it, or of
     which it is one.  Names without a match are left out.
 
-    A word-wise prefix shares the first word, so that is what the join is on.  Names of one word and fewer than six
-    letters match by equality only.
+    :param known: known_name and, if there, alias: another name of it, which is matched in its place.
+    :param shorter: whether a name may be a prefix of a known one.
+
+    Every word-wise prefix is exploded and joined by equality, so no common first word gathers names.  Names of one
+    word and fewer than six letters match by equality only.
     """
-    a = names.select("name", F.substring_index("name", " ", 1).alias("w")).distinct()
-    b = known.select(F.col("known_name"), F.substring_index("known_name", " ", 1).alias("w")).distinct()
-    longer = F.when(F.length("name") >= F.length("known_name"), F.col("name")).otherwise(F.col("known_name"))
-    shorter = F.when(F.length("name") >= F.length("known_name"), F.col("known_name")).otherwise(F.col("name"))
-    long_enough = (F.length(shorter) >= 6) | F.contains(shorter, F.lit(" "))
-    hit = (F.col("name") == F.col("known_name")) | (F.startswith(longer, F.concat(shorter, F.lit(" "))) & long_enough)
-    best = F.max_by("known_name", F.struct(F.col("name") == F.col("known_name"), F.length("known_name"), F.col("known_name")))
-    return a.join(b, "w").filter(hit).groupBy("name").agg(best.alias("known_name"))
+    alias = "alias" if "alias" in known.columns else "known_name"
 
+    def prefixes(c: str) -> Column:
+        words = F.split(c, " ")
+        return F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
 
-def similar_pairs(rows: DataFrame, block: str, id_: str, words: str, least: float) -> DataFrame:
-    """a, b: ids of rows of one block whose word sets are alike.
+    a, b = names.select("name").distinct(), known.select("known_name", F.col(alias).alias("alias")).distinct()
+    met = a.select("name", F.explode(prefixes("name")).alias("alias")).join(b, "alias").select("name", "known_name", "alias")
+    if shorter:
+        longer = b.select("known_name", "alias", F.explode(prefixes("alias")).alias("name"))
+        met = met.unionByName(longer.join(a, "name").select("name", "known_name", "alias"))
+    short = F.when(F.length("name") <= F.length("alias"), F.col("name")).otherwise(F.col("alias"))
+    hit = (F.col("name") == F.col("alias")) | (F.length(short) >= 6) | F.contains(short, F.lit(" "))
+    best = F.max_by("known_name", F.struct(F.col("name") == F.col("alias"), F.length("alias"), F.col("known_name")))
+    return met.filter(hit).groupBy("name").agg(best.alias("known_name"))
 
-    Candidates share a word within the block, so blocks are met word by word.
-    """
-    posted = rows.select(block, id_, words, F.explode(words).alias("__w"))
-    left = posted.select(F.col(block), F.col("__w"), F.col(id_).alias("a"), F.col(words).alias("wa"))
-    right = posted.select(F.col(block), F.col("__w"), F.col(id_).alias("b"), F.col(words).alias("wb"))
-    met = left.join(right, [block, "__w"]).filter("a < b").filter(similar_titles(F.col("wa"), F.col("wb"), least))
-    return met.select("a", "b").distinct()
 
+def similar_pairs(rows: DataFrame, block: str, id_: str, words: str, least: float, carry: Sequence[str] = (), also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """a, b: ids of rows of one block whose word sets are alike, a below b.
 
-def assign_keys(rows: DataFrame, block: str, ordinal: str, key: str, words: str, least: float = 0.7) -> DataFrame:
+    :param carry: columns that ``also`` looks at, in two structs.
+
+    The smaller of two alike sets has one of its rarest words in common with the other: of n words the first
+    n - ceil(least n) + 1 by how many rows have them.  So each row asks by these few words and is found by all of its
+    own, and a common word is asked for by hardly any row.  Rows with equal words and carried columns are one class, and
+    classes are met.
+    """
+    classes = rows.groupBy(block, F.array_sort(words).alias("w"), F.struct(*carry, F.lit(0).alias("none")).alias("with")).agg(F.min(id_).alias("first"))
+    posted = classes.select(block, "first", "w", "with", F.explode("w").alias("word"))
+    counts = posted.groupBy(block, "word").agg(F.count("*").alias("n"))
+    ranked = posted.join(counts, [block, "word"]).groupBy(block, "first").agg(F.min("w").alias("w"), F.first("with").alias("with"), F.array_sort(F.collect_list(F.struct("n", "word"))).alias("by_count"))  # one row's words
+    asked = F.size("w") - F.ceil(F.lit(least) * F.size("w") - 1e-9).cast("int") + 1
+    small = ranked.select(block, F.col("first").alias("x"), F.col("w").alias("wx"), F.col("with").alias("with_x"), F.explode(F.slice("by_count", F.lit(1), asked)).alias("c")).withColumn("word", F.col("c.word"))
+    large = posted.select(block, "word", F.col("first").alias("y"), F.col("w").alias("wy"), F.col("with").alias("with_y"))
+    alike = similar_titles(F.col("wx"), F.col("wy"), least)
+    if also:
+        alike = alike & also(F.col("with_x"), F.col("with_y"))
+    met = small.join(large, [block, "word"]).filter((F.size("wx") <= F.size("wy")) & (F.col("x") != F.col("y"))).filter(alike)
+    met = met.select(block, F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct()
+    # classes back to rows: pairs of two classes, and pairs within one
+    keyed = rows.select(F.col(block), F.array_sort(words).alias("w"), F.struct(*carry, F.lit(0).alias("none")).alias("with"), F.col(id_).alias("id"))
+    own = keyed.join(classes, [block, "w", "with"]).select("first", "id")
+    left, right = own.select(F.col("first").alias("p"), F.col("id").alias("a")), own.select(F.col("first").alias("q"), F.col("id").alias("b"))
+    across = met.join(left, "p").join(right, "q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    itself = similar_titles(F.col("w"), F.col("w"), least)
+    if also:
+        itself = itself & also(F.col("with"), F.col("with"))
+    alone = classes.filter(itself).select(F.col("first").alias("p"))
+    within = alone.join(left, "p").join(own.select(F.col("first").alias("p"), F.col("id").alias("b")), "p").filter("a < b").select("a", "b")
+    return across.unionByName(within)
+
+
+def assign_keys(rows: DataFrame, block: str, ordinal: str, key: str, words: str, least: float = 0.7, carry: Sequence[str] = (), also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``rows`` with ``assigned``: the key of the first earlier row of its block that is alike, else its own key.
 
-    A fold in order, which no closure over pairs gives: a row that takes another's key doesn't attract later ones.
-    Each distinct (block, key) meets the fold once, its repeats get its outcome by a join, so that copies don't grow
-    a group.
+    A fold in order, which no closure over pairs gives: a row that takes another's key doesn't attract later ones.  The
+    alike pairs come from ``similar_pairs``; then in each round those rows are decided whose earlier alike rows are, or
+    that have a deciding one before all undecided ones.  Rounds are joins, no block is gathered.  Each distinct
+    (block, key) meets the fold once, its repeats get its outcome by a join.
+
+    :param ordinal: unique; the order of the fold.
     """
-    firsts = rows.groupBy(block, key).agg(F.min(F.struct(ordinal, words)).alias("__f")).select(block, key, F.col(f"__f.{ordinal}").alias(ordinal), F.col(f"__f.{words}").alias(words))
-
-    def fold(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool: list[tuple[frozenset, str]] = []
-        for frame in groups:
-            out = []
-            for k, w in zip(frame[key], frame[words], strict=True):
-                own = frozenset(w)
-                found = k
-                for other, taken in pool:
-                    common, small = len(own & other), min(len(own), len(other))
-                    if small and (common == small >= 2 or common / len(own | other) >= least):
-                        found = taken
-                        break
-                else:
-                    pool.append((own, k))
-                out.append(found)
-            yield pd.DataFrame({block: frame[block], key: frame[key], "assigned": out})
-
-    def of_block(frame: pd.DataFrame) -> pd.DataFrame:
-        return next(fold(iter([frame.sort_values(ordinal)])))
-
-    schema = f"{block} {rows.schema[block].dataType.simpleString()}, {key} string, assigned string"
-    done = firsts.groupBy(block).applyInPandas(of_block, schema)
+    firsts = rows.groupBy(block, key).agg(F.min_by(F.struct(ordinal, words, *carry), ordinal).alias("f")).select(block, key, "f.*")
+    with Scratch(rows.sparkSession) as keep:
+        firsts = keep(firsts, "firsts")
+        pairs = keep(similar_pairs(firsts, block, ordinal, words, least, carry, also), "pairs")
+        # of: the row whose key is taken, null for a row that keeps its own
+        none = F.lit(None).cast(firsts.schema[ordinal].dataType)
+        decided = keep(firsts.select(F.col(ordinal).alias("id")).join(pairs.select(F.col("b").alias("id")), "id", "left_anti").select("id", none.alias("of")), "decided")
+        open_ = keep(pairs.select("a", "b"), "open")
+        for step in range(MOST_ROUNDS):
+            known = open_.join(decided.select(F.col("id").alias("a"), F.col("of").isNull().alias("keeps")), "a", "left")
+            state = known.groupBy("b").agg(F.min(F.when(F.col("keeps"), F.col("a"))).alias("of"), F.min(F.when(F.col("keeps").isNull(), F.col("a"))).alias("waits"))
+            now = keep(state.filter("waits IS NULL OR of < waits").select(F.col("b").alias("id"), "of"), f"now{step}")
+            rest = keep(open_.join(now.select(F.col("id").alias("b")), "b", "left_anti"), f"open{step}")
+            both = keep(decided.unionByName(now), f"decided{step}")
+            keep.drop(decided, open_, now)
+            decided, open_ = both, rest
+            if open_.isEmpty():
+                break
+        else:
+            raise RuntimeError(f"rows undecided after {MOST_ROUNDS} rounds")
+        keys = firsts.select(F.col(ordinal).alias("of"), F.col(key).alias("taken"))
+        done = firsts.select(block, key, F.col(ordinal).alias("id")).join(decided, "id", "left").join(keys, "of", "left")
+        done = materialise(done.select(block, key, F.coalesce("taken", key).alias("assigned")), "assigned")
     return rows.join(done, [block, key], "left")

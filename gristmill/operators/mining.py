@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,9 +16,28 @@ def weighted_shares(rows: DataFrame, items: str, weight: str) -> DataFrame:
     return sums.join(F.broadcast(whole)).select("item", (F.col("w") / F.col("whole")).alias("share"), "n")
 
 
-def phrases(rows: DataFrame, words: str, owner: str, size: int, owners: int) -> DataFrame:
-    """Phrases of ``size`` words that at least ``owners`` different owners use, and how many do."""
-    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
-    pairs = rows.select(F.col(owner).alias("owner"), F.explode(F.array_distinct(grams)).alias("phrase")).distinct()
-    return pairs.groupBy("phrase").agg(F.count("*").alias("owners")).filter(F.col("owners") >= owners)
+def phrases(rows: DataFrame, words: str, owner: str, sizes: Sequence[int] = (2, 3), owners: int = 3, example: str | None = None) -> DataFrame:
+    """phrase, owners and, if asked for, example: phrases that at least ``owners`` different owners use.
+
+    A phrase within a longer one that the very same owners use is left out.  The example is the least one.
+    """
+
+    # each word with those after it, so that phrases are put together outside of lambdas
+    most = max(sizes)
+    shifted = F.arrays_zip(*(F.slice(words, 1 + k, F.size(words)).alias(f"w{k}") for k in range(most)))
+    each = rows.select(F.col(owner).alias("owner"), *([example] if example else []), F.explode(shifted).alias("w"))
+    phrase = F.explode(F.array(*(F.when(F.col(f"w.w{size - 1}").isNotNull(), F.concat_ws(" ", *(f"w.w{k}" for k in range(size)))) for size in sizes)))
+    one = F.min(example) if example else F.min(F.lit(None))
+    used = each.select("owner", *([example] if example else []), phrase.alias("phrase")).filter("phrase IS NOT NULL").groupBy("owner", "phrase").agg(one.alias("example"))
+    # who: a digest of the set of owners, whatever their order
+    found = used.groupBy("phrase").agg(F.count("*").alias("owners"), F.min("example").alias("example"), F.bit_xor(F.xxhash64("owner")).alias("who")).filter(F.col("owners") >= owners)
+    if len(sizes) > 1:
+        inner = F.split("phrase", " ")
+
+        def within(size: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.size(inner) - size + 1), lambda k: F.array_join(F.slice(inner, k, size), " "))
+
+        parts = F.flatten(F.array(*(within(s) for s in sizes if s < max(sizes))))
+        longer = found.filter(F.size(inner) > min(sizes)).select(F.explode(parts).alias("phrase"), "owners", "who", F.col("phrase").alias("longer")).filter("phrase != longer").select("phrase", "owners", "who").distinct()
+        found = found.join(longer, ["phrase", "owners", "who"], "left_anti")
+    return found.select("phrase", "owners", *(["example"] if example else []))

@@ -16,21 +16,29 @@ from pyspark.sql import functions as F
 # Texts shorter than this are summaries, how far back a heading holds, and how long quotes are.
 LEAST_CHARS, BACK_SEGMENTS, BACK_CHARS, QUOTE_CHARS = 700, 12, 1200, 220
 
-#: Cue kinds, in the order in which they claim a cue, and what shows them; ``ignore`` is talk of the company.
+def phrases(*words: str) -> str:
+    """An expression for any of some words or phrases, longer ones first; one space stands for any white space."""
+    listed = sorted(words, key=lambda w: (-len(w), w))
+    return "|".join(w.replace("'", "['’]").replace(" ", r"\s+") for w in listed)
+
+
+#: Cue kinds, in the order in which they claim a cue, and what shows them; ``ignore`` is talk of the company.  A caller
+#: with a list of their own gives that.
 CUES: dict[str, str] = {
-    "ignore": r"about us|who we are|benefits|what we offer|we offer|our (?:mission|values|culture)|equal opportunit\w*|diversity|inclusion",
-    "taught": r"(?:you(?:'|’)?ll|you will) (?:learn|gain|develop|study)|learn(?:ing)?|taught|train(?:ed|ing)|modules?|curriculum|exposure to",
-    "asked": r"you(?:'|’)?ll need|you (?:will )?need|must(?: be| have)?|essential|requirements?|looking for|desirable|preferred|ability to|experience (?:with|of|in|using)|knowledge of|understanding of|strong|about you",
-    "job": r"what you(?:'|’)?ll (?:do|be doing)|responsibilities|duties|day[- ]to[- ]day|(?:your|the|this) role|responsible for",
+    "ignore": phrases("about us", "who we are", "why join us", "benefits", "perks", "our values", "our mission", "our culture", "diversity"),
+    "taught": phrases("you'll learn", "you will learn", "learn", "learning", "taught", "teach you", "trained", "training", "module", "modules", "course covers"),
+    "asked": phrases("you'll need", "you will need", "you need", "must", "must have", "essential", "desirable", "required", "requirement", "requirements", "we're looking for", "looking for", "strong", "experience of", "experience in", "experience with", "knowledge of", "good understanding of", "able to", "about you"),
+    "job": phrases("what you'll do", "what you will do", "responsibilities", "responsible for", "duties", "day to day", "this role", "your role", "in the role"),
 }
-QUALIFICATIONS = r"(?i)\b(?:GCSEs?|A[- ]?levels?|UCAS|BTEC|T[- ]?levels?|Highers)\b"
+QUALIFICATIONS = rf"(?i)\b(?:{phrases('gcse', 'gcses', 'a level', 'a levels', 'a-level', 'a-levels', 'btec', 'btecs', 't level', 't levels', 'highers', 'ucas points')})\b"
 _RANK = {"asked": 2, "taught": 1, "job": 0}
 
 
 def segments(text: Column) -> Column:
     """Lines, sentences and list items, trimmed, without empty ones."""
-    marked = F.regexp_replace(text, r"(?<=[.!?:;])[^\S\n]+(?=[A-Z0-9(])|[^\S\n]*[•▪●◦*][^\S\n]+", "\n")
-    return F.filter(F.transform(F.split(marked, r"\n+", -1), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+    items = F.regexp_replace(text, r"[^\S\n]*[•▪●◦*][^\S\n]+", "\n")
+    sentences = F.regexp_replace(items, r"([.!?:;])[^\S\n]+([A-Z0-9(])", "$1\n$2")
+    return F.filter(F.transform(F.split(sentences, r"\n+", -1), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
 
 
 def _kind(cue: Column, cues: Mapping[str, str]) -> Column:

@@ -303,12 +303,30 @@ def fuzzy_title_pairs(spark: SparkSession, d: str) -> DataFrame:
     return entity.similar_pairs(rows, "p_brand", "p_partkey", "words", 0.5)
 
 
-@query()
+_NEAR = 12
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT p_brand AS e, p_partkey AS id, p_size % 7 AS site, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))) AS w FROM part),
+    k AS (SELECT *, e || '|' || array_to_string(w, ' ') || '|' || site AS key FROM w),
+    r AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY id) AS n FROM (SELECT e, key, min(id) AS id, any_value(w) AS w, any_value(site) AS site FROM k GROUP BY 1, 2)),
+    fold AS (
+      SELECT e, n, key, key AS assigned, [{{'w': w, 'site': site, 'key': key}}] AS pool FROM r WHERE n = 1
+      UNION ALL
+      SELECT e, n, key, coalesce(hit, key), CASE WHEN hit IS NULL THEN list_append(pool, {{'w': w, 'site': site, 'key': key}}) ELSE pool END
+      FROM (SELECT r.e, r.n, r.key, r.w, r.site, f.pool,
+          list_filter(f.pool, lambda p: abs(p.site - r.site) * 7 <= {_NEAR} AND ((len(list_intersect(p.w, r.w)) = least(len(p.w), len(r.w)) AND least(len(p.w), len(r.w)) >= 2)
+            OR len(list_intersect(p.w, r.w)) / (len(p.w) + len(r.w) - len(list_intersect(p.w, r.w))) >= 0.6))[1].key AS hit
+        FROM fold f JOIN r ON r.e = f.e AND r.n = f.n + 1))
+    SELECT k.id AS p_partkey, k.key, f.assigned FROM k JOIN fold f ON f.e = k.e AND f.key = k.key"""
+)
 def assign_keys_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Each part's key, or that of the first earlier part of its brand with an alike name."""
-    name = F.concat_ws(" ", "p_name", "p_type")
-    rows = table(spark, d, "part").select("p_brand", "p_partkey", text.dedupe_key(F.col("p_brand"), name, F.lit(None).cast("string")).alias("key"), text.tokens(name).alias("words"))
-    return entity.assign_keys(rows, "p_brand", "p_partkey", "key", "words").select("p_partkey", "key", "assigned")
+    """Each part's key, or that of the first earlier part of its brand with an alike name at a site near by."""
+    words = F.array_sort(text.tokens(F.concat_ws(" ", "p_name", "p_type")))
+    rows = table(spark, d, "part").select("p_brand", "p_partkey", words.alias("words"), (F.col("p_size") % 7).alias("site"))
+    rows = rows.withColumn("key", F.concat_ws("|", "p_brand", F.array_join("words", " "), F.col("site").cast("string")))
+    near = lambda a, b: F.abs(a["site"] - b["site"]) * 7 <= _NEAR
+    return entity.assign_keys(rows, "p_brand", "p_partkey", "key", "words", 0.6, ["site"], near).select("p_partkey", "key", "assigned")
 
 
 @query(
@@ -383,14 +401,18 @@ def weighted_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT source, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
-    g AS (SELECT DISTINCT source, w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT source, w, unnest(range(1, len(w))) AS i FROM w))
-    SELECT phrase, count(*) AS owners FROM g GROUP BY 1 HAVING count(*) >= 3"""
+    """WITH w AS (SELECT source, doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
+    p AS (SELECT source, doc_id, w, unnest(range(1, len(w))) AS i FROM w),
+    g AS (SELECT source, doc_id, w[i] || ' ' || w[i + 1] AS phrase FROM p UNION ALL SELECT source, doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM p WHERE i + 2 <= len(w)),
+    s AS (SELECT phrase, count(DISTINCT coalesce(source, '?')) AS owners, min(doc_id) AS example, list_sort(list_distinct(list(coalesce(source, '?')))) AS who FROM g GROUP BY 1 HAVING count(DISTINCT coalesce(source, '?')) >= 3),
+    t AS (SELECT string_split(phrase, ' ') AS p, who FROM s WHERE len(string_split(phrase, ' ')) = 3),
+    inner_ AS (SELECT p[1] || ' ' || p[2] AS phrase, who FROM t UNION SELECT p[2] || ' ' || p[3], who FROM t)
+    SELECT phrase, owners, example FROM s WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.phrase = s.phrase AND i.who = s.who)"""
 )
 def phrase_mining(spark: SparkSession, d: str) -> DataFrame:
-    """Two-word phrases that three sources or more use."""
+    """Phrases of two and three words that three sources or more use, without those within one of the same sources."""
     words = F.array_remove(F.split(F.lower("text"), "[^a-z]+"), "")
-    return mining.phrases(table(spark, d, "documents").select("source", words.alias("words")), "words", "source", 2, 3)
+    return mining.phrases(table(spark, d, "documents").select(F.coalesce("source", F.lit("?")).alias("source"), "doc_id", words.alias("words")), "words", "source", (2, 3), 3, "doc_id")
 
 
 @query(
@@ -441,7 +463,7 @@ def _pay_read_back(orders: DataFrame) -> DataFrame:
     return orders.select("o_orderkey", numbers.parse_salary(written).alias("pay")).select("o_orderkey", "pay.least", "pay.most")
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS slashes, CAST(o_orderdate AS DATE) AS written, DATE '1997-01-15' - CAST(o_orderkey % 20 AS INTEGER) * 7 AS ago, CAST(NULL AS DATE) AS none FROM orders")
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS slashes, CAST(o_orderdate AS DATE) AS day_first, CAST(o_orderdate AS DATE) AS written, CAST(((date_trunc('day', o_orderdate) + INTERVAL 1410 MINUTE) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London' AS DATE) AS instant, DATE '1997-01-15' - CAST(o_orderkey % 20 AS INTEGER) * 7 AS ago, CAST(NULL AS DATE) AS none FROM orders")
 def parse_dates(spark: SparkSession, d: str) -> DataFrame:
     """Days read back from several ways of writing them."""
     day = F.to_date("o_orderdate")
@@ -452,7 +474,9 @@ def parse_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(
         "o_orderkey",
         read(F.date_format(day, "yyyy-MM-dd")).alias("iso"),
-        read(F.date_format(day, "d/M/yyyy")).alias("slashes"),
+        read(F.date_format(day, "M/d/yyyy")).alias("slashes"),
+        dates.parse_day_first(F.date_format(day, "d/M/yyyy"), _day()).alias("day_first"),
+        read(F.date_format(day, "yyyy-MM-dd'T23:30:00Z'")).alias("instant"),
         read(F.date_format(day, "d MMMM yyyy")).alias("written"),
         read(F.concat((F.col("o_orderkey") % 20).cast("string"), F.lit(" weeks ago"))).alias("ago"),
         read(F.lit("31/31/1997")).alias("none"),

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.functions import adverts
+from gristmill.functions import adverts, text
 from gristmill.operators import skills
 
 
@@ -95,15 +95,15 @@ def test_job_posting(spark, html, want):
 
 def test_labels(spark):
     assert [one(spark, (n,), adverts.ordinal, "int") for n in (1, 2, 3, 11, 22, 113)] == ["1st", "2nd", "3rd", "11th", "22nd", "113th"]
-    assert [one(spark, (n,), adverts.display_case) for n in ("ACME TRADING", "McDonald", "IBM")] == ["Acme Trading", "McDonald", "IBM"]
+    assert [one(spark, (n,), text.display_case) for n in ("ACME TRADING OF YORK UK", "McDonald", "IBM", "OF MICE AND MEN")] == ["Acme Trading of York UK", "McDonald", "IBM", "Of Mice and Men"]
     assert one(spark, ("employer:acme",), adverts.source_key) == "employer"
     assert one(spark, ('<a "b"> & c',), adverts.escape_html) == "&lt;a &quot;b&quot;&gt; &amp; c"
 
 
 def test_mentions(spark):
     filler = "Lorem ipsum dolor sit amet consectetur. " * 20
-    text = f"{filler}\nYou will learn:\n• Python and testing\nStrong SQL.\nA level Maths in Python.\nOur values: teamwork.\nDo you like Excel?"
-    rows = [(1, text), (2, "Python, SQL"), (3, None), (1, text)]
+    body = f"{filler}\nYou will learn:\n• Python and testing\nStrong SQL.\nA level Maths in Python.\nOur values: teamwork.\nDo you like Excel?"
+    rows = [(1, body), (2, "Python, SQL"), (3, None), (1, body)]
     words = {"python": r"(?i)\bpython\b", "sql": r"(?i)\bsql\b", "team": r"(?i)\bteamwork\b", "excel": r"(?i)\bexcel\b"}
     got = skills.mentions(spark.createDataFrame(rows, "listing_id int, text string"), words).collect()
     assert sorted((r["listing_id"], r["id"], r["ctx"]) for r in got) == [(1, "excel", "job"), (1, "python", "taught"), (1, "sql", "asked")]

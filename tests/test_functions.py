@@ -15,29 +15,88 @@ def one(spark, value, column, kind="string"):
 
 @pytest.mark.parametrize(
     ("given", "want"),
-    [("£25,000 - £30,000 a year", (25000, 30000)), ("20k", (20000, None)), ("£12 per hour", (23400, None)), ("£500 per week", (26000, None)), ("competitive", (None, None)), ("£1", (None, None)), ("", (None, None))],
+    [("£25,000 - £30,000 a year", (25000, 30000)), ("20k", (20000, None)), ("£12 per hour", (23400, None)), ("£500 per week", (26000, None)), ("£24 k a year", (24000, None)), ("£450 pw", (23400, None)), ("£1,900 p.c.m", (22800, None)), ("£1,234,567", (None, None)), ("19514.00 - 19514.00", (19514, None)), ("£11.44 an hour", (22308, None)), ("competitive", (None, None)), ("£1", (None, None)), ("", (None, None))],
 )
 def test_salary(spark, given, want):
     assert tuple(one(spark, given, numbers.parse_salary)) == want
 
 
 @pytest.mark.parametrize(
-    ("given", "want"), [("2026-03-01", "2026-03-01"), ("1/2/2026", "2026-02-01"), ("3 March 2026", "2026-03-03"), ("yesterday", "2026-05-09"), ("2 weeks ago", "2026-04-26"), ("5 hours ago", "2026-05-10"), ("40/1/2026", None), ("soon", None), (None, None)]
+    ("given", "want"), [("2026-03-01", "2026-03-01"), ("1/2/2026", "2026-01-02"), ("2026-07-01T23:30:00Z", "2026-07-02"), ("2026-99-01T00:00", None), ("Fri Oct 09 02:01:00 UTC 2026", "2026-10-09"), ("Wed, 01 Jul 2026 23:30:00 GMT", "2026-07-02"), ("October 9th, 2026", "2026-10-09"), ("Posted 3+ Days Ago", "2026-05-07"), ("Just posted", "2026-05-10"), ("3 March 2026", "2026-03-03"), ("yesterday", "2026-05-09"), ("2 weeks ago", "2026-04-26"), ("5 hours ago", None), ("40/1/2026", None), ("soon", None), (None, None)]
 )
 def test_dates(spark, given, want):
     got = one(spark, given, lambda c: dates.parse_date(c, F.lit("2026-05-10").cast("date")))
     assert (str(got) if got else None) == want
 
 
+@pytest.mark.parametrize(("given", "want"), [("1/2/2026", "2026-02-01"), ("2 days ago", "2026-05-08"), ("31/31/2026", None), (None, None)])
+def test_day_first(spark, given, want):
+    got = one(spark, given, lambda c: dates.parse_day_first(c, F.lit("2026-05-10").cast("date")))
+    assert (str(got) if got else None) == want
+
+
+def test_hours_ago_are_today(spark):
+    assert str(one(spark, "5 hours ago", lambda c: dates.ago_to_date(c, F.lit("2026-05-10").cast("date")))) == "2026-05-10"
+
+
 def test_london_date_after_midnight(spark):
     assert str(one(spark, "2026-07-01 23:30:00", lambda c: dates.london_date(c.cast("timestamp")))) == "2026-07-02"
 
 
-@pytest.mark.parametrize(("given", "want"), [("Acme & Sons Ltd", "acme and sons"), ("00123 Foo plc", "foo"), ("A B  Group Holdings", "a b"), ("", "")])
+@pytest.mark.parametrize(("given", "want"), [("Acme & Sons Ltd", "acme and sons"), ("00123 Foo plc", "foo"), ("The Acme Company Corp.", "acme"), ("3M UK", "3m"), ("Marks &amp; Co (UK)", "marks and"), ("Theo Inc", "theo"), ("Group", ""), ("A B  Group Holdings", "a b"), ("", "")])
 def test_employer(spark, given, want):
     assert one(spark, given, text.normalise_employer) == want
 
 
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [("&pound;5 &#39;a&#x27; &rsquo;", "£5 'a' ’"), ("&amp;lt;", "&lt;"), ("&AMP; &nope; &#1114112; &#xD800;", "& &nope; &#1114112; &#xD800;"), ("&#x1F600;&hellip;", "😀…"), ("a & b", "a & b"), ("&;&#;&#x;", "&;&#;&#x;"), ("", ""), (None, None)],
+)
+def test_entities(spark, given, want):
+    assert one(spark, given, text.decode_entities) == want
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [("Apprentice Data & AI Analyst L4 Programme", "data and ai analyst"), ("2027 Level 6 Degree Apprenticeship Scheme", "degree"), ("Apprentice", "apprentice"), ("Apprenticeship Scheme", "scheme"), ("Programme Manager", "manager"), ("Level-4 xl4", "level 4 xl4"), ("", "")],
+)
+def test_title(spark, given, want):
+    assert one(spark, given, text.normalise_title) == want
+
+
+@pytest.mark.parametrize(
+    ("given", "places", "want"),
+    [("Data Scientist Apprentice 2027 - York", ["York"], {"science", "data"}), ("Machine Learning Engineers (Level 6)", None, {"machinelearning", "engineer"}), ("Artificial Intelligence & Analytics", [], {"ai", "analysis"}), ("Business glass classes", [None], {"business", "glass", "classe"}), ("Apprentice", None, set())],
+)
+def test_title_tokens(spark, given, places, want):
+    row = spark.createDataFrame([(given, places)], "t string, p array<string>").select(text.title_tokens(F.col("t"), F.col("p")).alias("w")).first()
+    assert set(row.w) == want
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("Join us. Salary: £24,500 per annum. Fees of £9,000.", ("£24,500 per annum", 24500, None)),
+        ("A bonus of £6,000. You will earn £20k to £22k.", ("£20k to £22k", 20000, 22000)),
+        ("Graduates earn an average salary of £52,500", None),
+        ("Turnover is £12,000 million", None),
+        ("£25,200 a year", ("£25,200 a year", 25200, None)),
+        ("We won £30,000", None),
+        ("Pay: £12.50 per hour", ("£12.50 per hour", 24375, None)),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_salary_in_text(spark, given, want):
+    got = one(spark, given, numbers.salary_in_text)
+    assert (tuple(got) if got else None) == want
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [("airbus", "airbus operations", True), ("thales", "thales", True), ("air", "airbus", False), ("", "x", False)])
+def test_same_employer(spark, a, b, want):
+    assert spark.createDataFrame([(a, b)], "a string, b string").select(text.same_employer(F.col("a"), F.col("b")).alias("y")).first().y is want
+
+
 @pytest.mark.parametrize(("given", "want"), [("sw1a1aa", "SW1A 1AA"), ("M1 1AE", "M1 1AE"), ("nowhere", None)])
 def test_postcode(spark, given, want):
     assert one(spark, given, numbers.normalise_postcode) == want
