@@ -60,3 +60,11 @@ def keyed_union(feeds: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return pick(out, keys, "feed")
+
+
+def overlay(old: Column, new: Column) -> Column:
+    """Two maps as one: keys of the new one win, null and empty values of either count for nothing."""
+    told = lambda m: F.map_filter(m, lambda k, v: v.isNotNull() & (v != ""))
+    fresh = told(F.coalesce(new, F.create_map().cast("map<string,string>")))
+    kept = F.map_filter(told(F.coalesce(old, F.create_map().cast("map<string,string>"))), lambda k, v: ~F.map_contains_key(fresh, k))
+    return F.map_concat(kept, fresh)

@@ -8,9 +8,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from gristmill.plans import listing_queries, registry
+from gristmill.plans import listing_queries, registry, rule_queries
 
 assert listing_queries
+assert rule_queries
 
 
 def canonical(value):
