@@ -8,10 +8,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from gristmill.plans import listing_queries, registry, rule_queries
+from gristmill.plans import feed_queries, listing_queries, registry, rule_queries
 
 assert listing_queries
 assert rule_queries
+assert feed_queries
 
 
 def canonical(value):

@@ -45,6 +45,48 @@ def test_ids_from_content_and_unlisted(spark):
     assert [r.source_id for r in feeds.parse(landed(spark, body), "ashby", today()).collect()] == ["b"]
 
 
+def test_ties_between_files_go_by_file(spark):
+    rows = landed(spark, {"results": [{"jobId": 5, "jobTitle": "a"}, {"jobId": 5, "jobTitle": "b"}]}, {"results": [{"jobId": 5, "jobTitle": "c"}]})
+    assert [r.title for r in feeds.parse(rows.repartition(3), "reed", today()).collect()] == ["c"]
+
+
+def test_levels_and_guessed_pay(spark):
+    body = {"vacancies": [{"vacancyReference": k, "title": "T", "course": {"level": c}, "apprenticeshipLevel": a} for k, (c, a) in enumerate([(5, "Degree"), (1, "Higher"), (None, "advanced"), (None, "odd")])]}
+    assert [r.level for r in feeds.parse(landed(spark, body), "faa", today()).orderBy("source_id").collect()] == [5, 4, 3, None]
+    body = {"results": [{"id": 1, "title": "T", "salary_min": 30000, "salary_is_predicted": "1"}, {"id": 2, "title": "T", "salary_min": 30000, "salary_is_predicted": "0"}]}
+    assert [r.salary_min for r in feeds.parse(landed(spark, body), "adzuna", today()).orderBy("source_id").collect()] == [None, 30000]
+    body = {"data": [{"id": 1, "title": "T", "coordinates": "51.5, -3.2", "apprenticeshipLevel": 3}, {"id": 2, "title": "T", "coordinates": "x", "apprenticeshipLevel": 7}]}
+    assert [(r.lat, r.lon, r.level) for r in feeds.parse(landed(spark, body), "wales", today()).orderBy("source_id").collect()] == [(51.5, -3.2, 4), (None, None, None)]
+
+
+def test_xml_feeds(spark, tmp_path):
+    (tmp_path / "p.xml").write_text("<workzag-jobs><position><id>7</id><office>ACME-Leeds </office><name>Data  role</name><createdAt>2026-01-02T03:00:00</createdAt><jobDescriptions><jobDescription><name>Tasks</name><value>&lt;p&gt;Do&lt;/p&gt;</value></jobDescription></jobDescriptions></position><position><id>8</id><name>B</name></position></workzag-jobs>")
+    got = sorted(map(tuple, feeds.xml_positions(spark, str(tmp_path / "p.xml")).collect()))
+    assert [(r[0], r[1], r[2], str(r[3]), r[4]) for r in got] == [("7", "Data role", "Leeds", "2026-01-02", "Tasks Do"), ("8", "B", None, "None", "")]
+    (tmp_path / "r.xml").write_text("<rss><channel><title>x</title><item><title>A &amp;amp; B</title><link>https://e.x/jobs/12-a</link><pubDate>Wed, 01 Jul 2026 23:30:00 GMT</pubDate></item><item><title>C</title><guid>g</guid></item></channel></rss>")
+    assert [(r.source_id, r.title, str(r.posted)) for r in feeds.rss(spark, str(tmp_path / "r.xml"), today()).orderBy("source_id").collect()] == [("12", "A & B", "2026-07-02"), ("g", "C", "None")]
+
+
+def test_anchors(spark):
+    html = """<a class=x href="/a?b=1&amp;c=2">One <b>two</b></a><A HREF='u'>T</A><a name=q>none</a>"""
+    (r,) = spark.createDataFrame([(html,)], "h string").select(feeds.anchors(F.col("h")).alias("a")).collect()
+    assert [tuple(a) for a in r.a] == [("/a?b=1&c=2", "One two"), ("u", "T")]
+
+
+def test_windows_and_first_seen(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    for name, make in (("windows", lambda s: merging.windowed_counts(s, "ts", "event_type", "1 day", "30 days")), ("first", lambda s: merging.first_seen(s.withColumn("ts", F.col("ts")), "user_id", "ts", "900 days"))):
+        stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        query = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    assert {r.user_id for r in spark.table("first").collect()} == {r.user_id for r in events.select("user_id").distinct().collect()}
+    assert spark.table("first").count() == events.select("user_id").distinct().count()
+    want = {(r.start, r.event_type): r.n for r in events.groupBy(F.window("ts", "1 day").start.alias("start"), "event_type").agg(F.count("*").alias("n")).collect()}
+    got = {(r.start, r.event_type): r.n for r in spark.table("windows").collect()}
+    assert all(want[k] == n for k, n in got.items())
+
+
 def test_every_feed_has_known_columns():
     assert all(set(f.paths) <= set(feeds.COLUMNS) for f in feeds.FEEDS.values())
 
