@@ -62,3 +62,45 @@ def transitions(events: DataFrame, key: str, order: list[str], value: str, to: s
     """Rows at which a value becomes ``to`` from something else (or from nothing)."""
     before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
     return events.withColumn("__before", before).filter((F.col(value) == to) & ~F.col("__before").eqNullSafe(to)).withColumnRenamed("__before", "before")
+
+
+def close_below_level(listings: DataFrame, least: int = 4) -> DataFrame:
+    """Close active listings below a level, but those added by hand; an unknown level stays."""
+    below = F.col("is_active") & (F.col("level") < least) & ~F.coalesce("is_manual", F.lit(False))
+    low = F.coalesce(below, F.lit(False))
+    return listings.withColumn("closed_reason", F.when(low, "below_min_level").otherwise(F.col("closed_reason"))).withColumn("is_active", F.col("is_active") & ~low)
+
+
+def close_by_links(listings: DataFrame, sources: DataFrame, today: Column, recent: int = 2) -> DataFrame:
+    """Close active listings whose links are all dead, and those whose application is closed.
+
+    :param listings: listing_id, is_active, closed_reason, apply_status.
+    :param sources: listing_id, link_status, incremental, last_seen.
+
+    A closed application counts only where no full feed has shown the listing within ``recent`` days.
+    """
+    seen = ~F.col("incremental") & (F.col("last_seen") >= F.date_sub(today, recent))
+    held = sources.groupBy("listing_id").agg(F.bool_and(F.coalesce(F.col("link_status") == "dead", F.lit(False))).alias("all_dead"), F.bool_or(F.coalesce(seen, F.lit(False))).alias("sure"))
+    joined = listings.join(held, "listing_id", "left")
+    dead = F.col("is_active") & F.coalesce("all_dead", F.lit(False))
+    shut = F.col("is_active") & ~dead & F.coalesce(F.col("apply_status") == "dead", F.lit(False)) & ~F.coalesce("sure", F.lit(False))
+    reason = F.when(dead, "link_dead").when(shut, "apply_closed").otherwise(F.col("closed_reason"))
+    return joined.withColumn("closed_reason", reason).withColumn("is_active", F.col("is_active") & ~dead & ~shut).drop("all_dead", "sure")
+
+
+def reset_misses(sources: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Sources seen in a run start to count misses anew."""
+    marked = seen.select(*keys).distinct().withColumn("__seen", F.lit(True))
+    return sources.join(marked, keys, "left").withColumn("missed_runs", F.when(F.col("__seen"), 0).otherwise(F.col("missed_runs"))).drop("__seen")
+
+
+def rederived(stored: DataFrame, derived: DataFrame, key: str, columns: list[str], edits: str) -> DataFrame:
+    """Rows whose derived columns differ from the stored ones, with the new values; edited columns stay as they are."""
+    new = derived.select(key, *(F.col(c).alias(f"__{c}") for c in columns))
+    met = stored.join(new, key)
+    edited = {c: F.coalesce(F.map_contains_key(edits, F.lit(c)), F.lit(False)) for c in columns}
+    value = {c: F.when(edited[c], F.col(c)).otherwise(F.col(f"__{c}")) for c in columns}
+    differs = F.lit(False)
+    for c in columns:
+        differs = differs | ~F.col(c).eqNullSafe(value[c])
+    return met.filter(differs).select(key, *(value[c].alias(c) for c in columns))

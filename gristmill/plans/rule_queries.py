@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions import dates, numbers, places, scoring, text
+from gristmill.functions import dates, entry, labels, links, numbers, places, scoring, text
 from gristmill.functions.classify import LevelRule, Rules, classify
-from gristmill.operators import entity, merging, normalising, querying
+from gristmill.operators import entity, lifecycle, merging, normalising, querying, views
 from gristmill.plans.registry import query, table
 
 DAY = "1997-01-15"
@@ -364,3 +364,136 @@ def companies_in_order(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select("c_custkey", "c_name").join(nexts, "c_custkey", "left")
     first = rows.orderBy(*querying.ordering("next_closing", False, [F.col("c_name")])).limit(50)  # a report of fifty
     return first.withColumn("place", F.row_number().over(Window.orderBy(*querying.ordering("next_closing", False, [F.col("c_name")]))).cast("long")).select("c_custkey", "place")
+
+
+# ---------------------------------------------------------------- views, labels, closing rules
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS id, string_agg(l_returnflag || ':' || l_linenumber || ':' || (l_returnflag = 'R'), ',' ORDER BY CAST(l_shipdate AS DATE), l_returnflag, l_linenumber) AS sources FROM lineitem GROUP BY 1),
+    n AS (SELECT user_id AS id, CAST(count(*) AS INTEGER) AS n FROM events GROUP BY 1)
+    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE 'none' END AS status, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS hidden, coalesce(sources, '') AS sources, coalesce(n, 0) AS notes_count,
+      o_orderkey % 5 = 0 AS pre_register, o_orderkey % 7 = 0 AS is_manual, CASE WHEN o_orderkey % 2 = 0 THEN 'a:asked' END AS skills FROM orders LEFT JOIN s ON s.id = o_orderkey LEFT JOIN n ON n.id = o_orderkey"""
+)
+def listings_view(spark: SparkSession, d: str) -> DataFrame:
+    """Listings with tracking, sources in order, notes and flags."""
+    key = F.col("o_orderkey")
+    orders = table(spark, d, "orders")
+    details = F.create_map(F.lit("preRegister"), F.when(key % 5 == 0, "true"), F.lit("manual"), F.when(key % 7 == 0, "true").otherwise("false"), F.lit("other"), F.lit("x"))
+    skills = F.when(key % 2 == 0, F.array(F.struct(F.lit("a").alias("id"), F.lit("asked").alias("ctx"), F.lit("long text").alias("quote"))))
+    tracking = orders.filter("o_orderkey % 3 = 0").select(key.alias("listing_id"), F.col("o_orderpriority").alias("status"), (key % 2 == 0).alias("hidden"), F.lit(None).cast("timestamp").alias("hidden_at"), F.lit(None).cast("timestamp").alias("applied_at"))
+    item = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("listing_id"), F.col("l_returnflag").alias("source"), F.col("l_linenumber").cast("string").alias("url"), F.when(F.col("l_returnflag") == "R", "dead").alias("link_status"), F.to_date("l_shipdate").alias("first_seen_at"))
+    notes = table(spark, d, "events").select(F.col("user_id").alias("listing_id"))
+    seen = views.listings_view(orders.select(key.alias("id"), details.alias("details"), skills.alias("skills")), tracking, item, notes)
+    told = lambda name, one: F.array_join(F.transform(name, one), ",").alias(name)
+    return seen.select("id", "status", "hidden", told("sources", lambda s: F.concat_ws(":", s["source"], s["url"], s["dead"].cast("string"))), "notes_count", "pre_register", "is_manual", told("skills", lambda s: F.concat_ws(":", s["id"], s["ctx"])))
+
+
+@query(
+    f"""WITH l AS (SELECT o_custkey, o_orderstatus <> 'F' AS on_, o_orderkey % 5 = 0 AS reg, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS closing, CAST(o_orderdate AS DATE) - 40 AS first_, CAST(o_orderdate AS DATE) - 3 AS last_ FROM orders)
+    SELECT c_custkey AS id, count(*) FILTER (WHERE on_ AND NOT reg) AS active_listings, count(*) FILTER (WHERE on_ AND reg) AS interest_listings, min(closing) FILTER (WHERE on_ AND closing >= DATE '{DAY}') AS next_closing,
+      min(first_) FILTER (WHERE NOT on_) AS last_season_first_seen, max(coalesce(closing, last_)) FILTER (WHERE NOT on_) AS last_season_closed, coalesce(any_value(n), 0) AS notes_count
+    FROM customer LEFT JOIN l ON o_custkey = c_custkey LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ON user_id = c_custkey GROUP BY 1"""
+)
+def employers_view(spark: SparkSession, d: str) -> DataFrame:
+    """Employers with their open listings, those to register for, and their last season."""
+    day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("employer_id"), (F.col("o_orderstatus") != "F").alias("is_active"), (key % 5 == 0).alias("pre_register"), F.when(key % 3 != 0, day).alias("closing_date"), F.date_sub(day, 40).alias("first_seen_at"), F.date_sub(day, 3).alias("last_seen_at"))
+    return views.employers_view(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), rows, table(spark, d, "events").select(F.col("user_id").alias("employer_id")), _day())
+
+
+@query(
+    f"""WITH k AS (SELECT p_partkey, p_partkey % 40 - 3 AS days, CAST(p_partkey % 900 AS INTEGER) AS back, CASE WHEN p_size % 3 <> 0 THEN p_size % 8 END AS level, p_size % 2 = 0 AS deg, p_retailprice FROM part)
+    SELECT p_partkey, CASE WHEN days < 0 THEN 'Closed' WHEN days = 0 THEN 'Closes today' WHEN days = 1 THEN 'Closes tomorrow' WHEN days <= 30 THEN 'Closes in ' || days || ' days' END AS closing,
+      CASE WHEN level IS NULL THEN CASE WHEN deg THEN 'Degree' ELSE 'Level ?' END ELSE 'L' || level || CASE WHEN deg THEN ' · Degree' ELSE '' END END AS level,
+      CASE WHEN back <= 0 THEN 'today' WHEN back = 1 THEN 'yesterday' WHEN back < 14 THEN back || ' days ago' WHEN year(DATE '{DAY}' - back) = 1997 THEN strftime(DATE '{DAY}' - back, '%-d %b') ELSE strftime(DATE '{DAY}' - back, '%-d %b %Y') END AS seen,
+      CASE p_partkey % 4 WHEN 0 THEN 'Nationwide' WHEN 1 THEN 'A +1' WHEN 2 THEN 'Wales' ELSE 'Location unknown' END AS place, CASE WHEN p_partkey % 5 = 0 THEN '£' || format('{{:,}}', CAST(floor(p_retailprice) AS BIGINT)) WHEN p_partkey % 5 = 1 THEN '£' || format('{{:,}}', CAST(floor(p_retailprice) AS BIGINT)) || '–£' || format('{{:,}}', CAST(floor(p_retailprice) AS BIGINT) + 2000) WHEN p_partkey % 5 = 2 THEN 'Competitive' END AS pay FROM k"""
+)
+def listing_labels(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown of adverts: deadline, level, last seen, place and pay."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    cities = F.when(key % 4 == 1, F.array(F.lit("A"), F.lit("B"), F.lit("A"), F.lit(None))).otherwise(F.array(F.lit(None).cast("string")))
+    floor = F.floor("p_retailprice")
+    return table(spark, d, "part").select(
+        "p_partkey",
+        labels.closing_label(key % 40 - 3).alias("closing"),
+        labels.level_label(F.when(size % 3 != 0, size % 8), size % 2 == 0).alias("level"),
+        labels.ago_label(F.date_sub(_day(), (key % 900).cast("int")), _day()).alias("seen"),
+        labels.place_label(cities, F.lit(None).cast("string"), F.when(key % 4 == 2, "Wales").otherwise("Unknown"), key % 4 == 0).alias("place"),
+        labels.salary_label(F.when(key % 5 < 2, floor).otherwise(0), F.when(key % 5 == 1, floor + 2000), F.when(key % 5 == 2, "Competitive").when(key % 5 == 3, "x" * 50)).alias("pay"),
+    )
+
+
+@query(
+    """SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'grades' WHEN 1 THEN 'points' WHEN 2 THEN 'highers' WHEN 3 THEN 'each' WHEN 4 THEN 'any' WHEN 5 THEN 'count' WHEN 6 THEN 'gcse' END AS kind,
+      CAST(CASE s_suppkey % 8 WHEN 0 THEN 112 WHEN 1 THEN 96 + s_nationkey WHEN 2 THEN 96 WHEN 3 THEN 120 END AS INTEGER) AS points, CASE s_suppkey % 8 WHEN 0 THEN 'Maths' WHEN 1 THEN 'Computer Science,Physics' WHEN 7 THEN NULL ELSE '' END AS subjects, CAST(CASE s_suppkey % 8 WHEN 3 THEN 3 WHEN 5 THEN 2 END AS INTEGER) AS n_levels FROM supplier"""
+)
+def entry_requirements(spark: SparkSession, d: str) -> DataFrame:
+    """What adverts ask for, in the order in which it counts."""
+    key = F.col("s_suppkey") % 8
+    points = (96 + F.col("s_nationkey")).cast("string")
+    written = (
+        F.when(key == 0, "You need ABB-BBC at A level, including Mathematics")
+        .when(key == 1, F.concat(points, F.lit(" UCAS  points, incl. Computer Science, with a B in Physics")))
+        .when(key == 2, "Highers at (BBCC) or like")
+        .when(key == 3, "Three A-Levels at grade B or above")
+        .when(key == 4, "A levels / BTEC welcome")
+        .when(key == 5, "Two A levels please")
+        .when(key == 6, "Five GCSEs with Maths")
+        .otherwise("Nothing asked")
+    )
+    return table(spark, d, "supplier").select("s_suppkey", entry.requirement(written).alias("r")).select("s_suppkey", "r.kind", "r.points", F.array_join("r.subjects", ",").alias("subjects"), "r.n_levels")
+
+
+@query(
+    f"""WITH s AS (SELECT l_orderkey AS id, bool_and(l_returnflag = 'R') AS dead, bool_or(l_returnflag <> 'N' AND CAST(l_shipdate AS DATE) >= DATE '{DAY}' - 2) AS sure FROM lineitem GROUP BY 1),
+    a AS (SELECT o_orderkey AS id, o_orderstatus <> 'F' AS on_, CASE WHEN o_orderkey % 2 = 0 THEN 'dead' END AS apply, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 8 END AS level, o_orderkey % 10 = 1 AS manual, coalesce(dead, false) AS dead, coalesce(sure, false) AS sure FROM orders LEFT JOIN s ON s.id = o_orderkey),
+    b AS (SELECT *, coalesce(on_ AND level < 4 AND NOT manual, false) AS low FROM a), c AS (SELECT *, on_ AND NOT low AS still FROM b)
+    SELECT id AS listing_id, still AND NOT dead AND NOT (coalesce(apply = 'dead', false) AND NOT sure) AS is_active, CASE WHEN still AND dead THEN 'link_dead' WHEN still AND coalesce(apply = 'dead', false) AND NOT sure THEN 'apply_closed' WHEN low THEN 'below_min_level' END AS closed_reason FROM c"""
+)
+def closed_by_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Listings after those below the least level, with dead links, and with closed applications are closed."""
+    key = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(key.alias("listing_id"), (F.col("o_orderstatus") != "F").alias("is_active"), F.lit(None).cast("string").alias("closed_reason"), F.when(key % 2 == 0, "dead").alias("apply_status"), F.when(key % 3 != 0, key % 8).alias("level"), (key % 10 == 1).alias("is_manual"))
+    sources = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("listing_id"), F.when(F.col("l_returnflag") == "R", "dead").alias("link_status"), (F.col("l_returnflag") == "N").alias("incremental"), F.to_date("l_shipdate").alias("last_seen"))
+    return lifecycle.close_by_links(lifecycle.close_below_level(rows), sources, _day()).select("listing_id", "is_active", "closed_reason")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE lower(o_orderstatus) END AS o_orderstatus, o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0"""
+)
+def rederived_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that change when their derived columns are worked out anew, but for what was edited."""
+    key = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    stored = rows.withColumn("edits", F.when(key % 3 == 0, F.create_map(F.lit("o_orderstatus"), F.lit("x"))))
+    derived = rows.select("o_orderkey", F.lower("o_orderstatus").alias("o_orderstatus"), (F.col("o_totalprice") + F.when(key % 2 == 0, 1).otherwise(0)).alias("o_totalprice"))
+    return lifecycle.rederived(stored, derived, "o_orderkey", ["o_orderstatus", "o_totalprice"], "edits")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 0 ELSE l_linenumber END AS INTEGER) AS missed_runs FROM lineitem"""
+)
+def misses_reset(spark: SparkSession, d: str) -> DataFrame:
+    """Misses of sources after a run that has seen some of them."""
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", F.col("l_linenumber").alias("missed_runs"))
+    seen = items.filter("l_returnflag = 'N' AND l_linestatus = 'O'")
+    return lifecycle.reset_misses(items, seen, ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"]).select("l_orderkey", "l_linenumber", "missed_runs")
+
+
+@query(
+    """SELECT page_id, url || '/a?x=1' AS plain, url || '/data-role-' || page_id || '.html?key=***&y=2' AS hidden, 'data,role' AS words, CASE WHEN page_id % 2 = 0 THEN 'own,gov' ELSE 'own,gov,board' END AS ranked FROM (SELECT page_id, 'https://e.x/' || page_id AS url FROM pages)"""
+)
+def link_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """Links without session tokens and keys, the words of their last part, and several in order of their kind."""
+    base = F.concat(F.lit("https://e.x/"), F.col("page_id").cast("string"))
+    slug = F.concat(base, F.lit("/data-role-"), F.col("page_id").cast("string"), F.lit(".html"))
+    one = lambda url, kind, dead=F.lit(False): F.struct(F.lit(url).alias("url"), F.lit(kind).alias("kind"), dead.alias("dead"))
+    found = F.array(one("board", "board"), one("gov", "government"), one("own", "official"), one("board", "board", F.col("page_id") % 2 == 0), one("gov", "government"))
+    return table(spark, d, "pages").select(
+        "page_id",
+        links.strip_session(F.concat(base, F.lit("/a;jsessionid=1F?x=1&sid=9&PHPSESSID=q"))).alias("plain"),
+        links.redact(F.concat(slug, F.lit("?key=secret&y=2")), ["key", "token"]).alias("hidden"),
+        F.array_join(links.slug_words(slug), ",").alias("words"),
+        F.array_join(links.rank_links(found, ["official", "government", "provider", "board"]), ",").alias("ranked"),
+    )
