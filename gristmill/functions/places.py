@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.numbers import EARTH_MILES, haversine_miles
 from gristmill.functions.text import place_key
 
 # Names of the country and its parts, its codes, and names of places abroad.
@@ -61,3 +63,32 @@ def find_places(rows: DataFrame, text: str, gazetteer: DataFrame, most_words: in
     met = keyed.select(*rows.columns, "row", F.explode_outer(runs).alias("run")).select(*rows.columns, "row", "run.*").join(gazetteer_keys(gazetteer), "key", "left")
     best = F.max_by(F.struct("place", "lat", "lon"), F.when(F.col("place").isNotNull(), F.struct("n", (-F.col("i")).alias("i"))))
     return met.groupBy("row", *rows.columns).agg(best.alias("p")).select(*rows.columns, "p.*")
+
+
+def nearest(rows: DataFrame, gazetteer: DataFrame, miles: float) -> DataFrame:
+    """``rows`` (with lat and lon) with ``place`` and ``miles``: the nearest place of a gazetteer within so many miles.
+
+    :param gazetteer: place, place_lat, place_lon.
+
+    Places lie in cells of bands of latitude, about ``miles`` wide; a row meets those of the cells in its reach, by
+    equality, so neither side is gathered or broadcast as a whole.  Nulls, and rows without a place in reach, get null.
+    The date line isn't crossed.
+    """
+    step = math.degrees(miles / EARTH_MILES)
+
+    def width(band: Column, lat: Column | None = None) -> Column:
+        """Degrees of longitude that ``miles`` take at most in a band, and at a latitude of the other side."""
+        far = F.greatest(F.abs(band * step), F.abs((band + 1) * step), *([] if lat is None else [F.abs(lat)]))
+        return step * 1.01 / F.cos(F.radians(F.least(F.lit(89.0), far)))
+
+    band = F.floor(F.col("place_lat") / step)
+    cells = gazetteer.filter("place_lat IS NOT NULL AND place_lon IS NOT NULL").withColumn("band", band).withColumn("cell", F.floor(F.col("place_lon") / width(F.col("band"))))
+    keyed = rows.withColumn("row", F.monotonically_increasing_id())
+    bands = F.sequence(F.floor((F.col("lat") - step) / step), F.floor((F.col("lat") + step) / step))
+    reach = keyed.filter("lat IS NOT NULL AND lon IS NOT NULL").select("row", "lat", "lon", F.explode(bands).alias("band"))
+    wide, own = width(F.col("band"), F.col("lat")), width(F.col("band"))
+    reach = reach.select("row", "lat", "lon", "band", F.explode(F.sequence(F.floor((F.col("lon") - wide) / own), F.floor((F.col("lon") + wide) / own))).alias("cell"))
+    far = haversine_miles(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
+    met = reach.join(cells, ["band", "cell"]).withColumn("miles", far).filter(F.col("miles") <= miles)
+    best = met.groupBy("row").agg(F.min(F.struct("miles", "place")).alias("best"))
+    return keyed.join(best, "row", "left").select(*rows.columns, "best.place", "best.miles")

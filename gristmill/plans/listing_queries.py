@@ -347,8 +347,10 @@ _PLACE = "(n_nationkey * 7 % 60 - 30)", "(n_nationkey * 13 % 90 - 45)"
     SELECT s_suppkey, arg_min(n_name, (round(miles, 3), n_name)) AS place, round(min(miles), 3) AS miles FROM m GROUP BY 1"""
 )
 def haversine_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest place of a gazetteer, which is a bounded table and broadcast."""
+    """The nearest place of a small gazetteer, however far; ``places.nearest`` is for large ones and a given distance."""
     places = table(spark, d, "nation").select("n_name", F.expr(f"double({_PLACE[0]})").alias("nlat"), F.expr(f"double({_PLACE[1]})").alias("nlon"))
+    if places.count() > 10_000:
+        raise ValueError("a gazetteer of more than 10,000 places is not broadcast")
     gazetteer = places.agg(F.collect_list(F.struct("*")).alias("places"))
     rows = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 50 - 25).cast("double").alias("lat"), (F.col("s_suppkey") % 80 - 40).cast("double").alias("lon"))
     met = rows.join(F.broadcast(gazetteer))

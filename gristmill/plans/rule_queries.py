@@ -201,6 +201,19 @@ def places_in_titles(spark: SparkSession, d: str) -> DataFrame:
     return places.find_places(rows, "title", gazetteer).select("p_partkey", "place", "lat")
 
 
+@query(
+    """WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 <> 0 THEN 50 + s_suppkey % 50 * 0.2 END AS lat, s_suppkey % 80 * 0.1 - 5 AS lon FROM supplier), g AS (SELECT n_name AS place, 50 + n_nationkey * 0.4 AS plat, n_nationkey * 7 % 25 * 0.3 - 5 AS plon FROM nation),
+    m AS (SELECT s_suppkey, place, 2 * 3958.8 * asin(sqrt(pow(sin(radians(plat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * pow(sin(radians(plon - lon) / 2), 2))) AS miles FROM s CROSS JOIN g)
+    SELECT s.s_suppkey, arg_min(place, (miles, place)) FILTER (WHERE miles <= 40) AS place, round(min(miles) FILTER (WHERE miles <= 40), 3) AS miles FROM s LEFT JOIN m ON m.s_suppkey = s.s_suppkey GROUP BY 1"""
+)
+def nearest_within(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest place within forty miles, by cells."""
+    key, nation = F.col("s_suppkey"), F.col("n_nationkey")
+    rows = table(spark, d, "supplier").select("s_suppkey", F.when(key % 9 != 0, 50 + key % 50 * 0.2).alias("lat"), (key % 80 * 0.1 - 5).alias("lon"))
+    gazetteer = table(spark, d, "nation").select(F.col("n_name").alias("place"), (50 + nation * 0.4).alias("place_lat"), (nation * 7 % 25 * 0.3 - 5).alias("place_lon"))
+    return places.nearest(rows, gazetteer, 40).select("s_suppkey", "place", F.round("miles", 3).alias("miles"))
+
+
 @query(
     """SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'manual' WHEN c_custkey % 5 = 0 THEN 'blocked' WHEN c_custkey % 4 = 1 THEN CASE WHEN c_custkey % 3 = 0 THEN 'error' ELSE 'open' END WHEN c_custkey % 4 = 2 THEN 'error' WHEN c_acctbal > 5000 THEN 'open' ELSE 'closed' END AS status,
       CAST(CASE WHEN c_custkey % 7 = 0 THEN 30 ELSE least(30, greatest(3, c_nationkey + 2)) END AS INTEGER) AS days FROM customer"""

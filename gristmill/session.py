@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,10 +33,12 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is a temporary folder made and set.
+    Only where a session of one machine names none is a temporary folder made and set; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gristmill-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gristmill.operators.merging import pick
+from gristmill.session import remove
 
 
 def first_seen(events: DataFrame, key: str, time: str, delay: str) -> DataFrame:
@@ -23,7 +24,8 @@ def windowed_counts(events: DataFrame, time: str, by: str, width: str, delay: st
 def upsert_stream(incoming: DataFrame, path: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
     """Keep a Parquet snapshot of the latest row of each key, a new directory for each batch.
 
-    A batch that is run again writes the same directory again, so a lost driver or executor changes nothing.
+    A batch that is run again writes the same directory again, so a lost driver or executor changes nothing.  The
+    snapshots before the last two are removed.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -31,5 +33,7 @@ def upsert_stream(incoming: DataFrame, path: str, key: str, order: str, checkpoi
         if number:
             batch = spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}").unionByName(batch)
         pick(batch, [key], order, last=True).write.mode("overwrite").parquet(f"{path}/{number}")
+        if number > 1:
+            remove(spark, f"{path}/{number - 2}")
 
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
