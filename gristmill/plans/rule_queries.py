@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions import dates, entry, labels, links, numbers, places, scoring, text
+from gristmill.functions import dates, entry, labels, links, numbers, pages, places, scoring, text
 from gristmill.functions.classify import LevelRule, Rules, classify
-from gristmill.operators import entity, lifecycle, merging, normalising, querying, views
+from gristmill.operators import discovery, entity, lifecycle, merging, normalising, querying, views
 from gristmill.plans.registry import query, table
 
 DAY = "1997-01-15"
@@ -510,3 +510,66 @@ def link_repairs(spark: SparkSession, d: str) -> DataFrame:
         F.array_join(links.slug_words(slug), ",").alias("words"),
         F.array_join(links.rank_links(found, ["official", "government", "provider", "board"]), ",").alias("ranked"),
     )
+
+
+# ---------------------------------------------------------------- pages and discovery
+
+
+@query(
+    """SELECT page_id, '<h3>T' || page_id || ' &amp; &lt;x</h3><p>a<br />b</p>' || CASE WHEN page_id % 2 = 0 THEN '<a href="https://e.x/?a=1&amp;b=2" target="_blank" rel="noopener noreferrer nofollow">go</a>' ELSE '<a target="_blank" rel="noopener noreferrer nofollow">go</a>' END || '<ul><li>one</li></ul>' AS html FROM pages"""
+)
+def safe_html(spark: SparkSession, d: str) -> DataFrame:
+    """HTML with simple formatting and links only."""
+    link = F.when(F.col("page_id") % 2 == 0, "https://e.x/?a=1&amp;b=2").otherwise("javascript:alert(1)")
+    html = F.concat(F.lit("<script>x('<p>')</script><h1 class=big>T"), F.col("page_id").cast("string"), F.lit(" &amp; &lt;x</h1><p onclick=y>a<br>b</p><p></p><div><a href='"), link, F.lit("' style=z>go</a></div><ul><li>one</ul><style>p{}</style>"))
+    return table(spark, d, "pages").select("page_id", pages.sanitise(html).alias("html"))
+
+
+@query(
+    """SELECT page_id, CASE page_id % 3 WHEN 2 THEN NULL ELSE 'T ' || page_id END AS title, 'M & ' || page_id AS marked, '{"a":[1,"}"],"b":' || page_id || '}' AS embedded, CASE WHEN page_id % 4 = 0 THEN true WHEN page_id % 4 = 1 THEN true WHEN page_id % 4 = 2 THEN page_id + 1000 > 999 ELSE false END AS gone,
+      'apply for data ' || page_id AS lines FROM pages"""
+)
+def page_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Almost-JSON, embedded JSON, marked fields, headlines, and pages that say their job has gone."""
+    key = F.col("page_id").cast("string")
+    four = F.col("page_id") % 4
+    almost = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('{"title": "T '), key, F.lit('", // the name\n "x": "a\tb"}'))).when(F.col("page_id") % 3 == 1, F.concat(F.lit('{"title":"T '), key, F.lit('"}'))).otherwise("{broken")
+    marked = F.concat(F.lit('<meta itemprop="other" content="no"><span class=x itemprop="title"> M &amp;\n '), key, F.lit("</span>"))
+    script = F.concat(F.lit('<script>var x = 1; window.state = {"a":[1,"}"],"b":'), key, F.lit("};</script>"))
+    hidden = F.concat(F.lit('<div ph-state="expired"><p>has been filled</p></div><p>'), F.when(four == 1, "This job is no longer available").otherwise("Come"), F.lit("</p>"))
+    asked = F.concat(F.lit("https://e.x/jobs/"), (F.col("page_id") + 1000).cast("string"))
+    gone = pages.looks_gone(pages.without_hidden(hidden, 'ph-state="expired"'), F.when(four == 0, 404).otherwise(200), ["no longer available", "has been filled"], asked, F.when(four == 2, "https://e.x/search").otherwise(asked))
+    lines = pages.headlines(F.concat(F.lit("<ul><li>Apply for data "), key, F.lit("</li><li>Other</li></ul><script>apply</script><p>Apply for data "), key), "(?i)apply")
+    return table(spark, d, "pages").select("page_id", F.try_variant_get(pages.lenient_json(almost), "$.title", "string").alias("title"), pages.marked_field(marked, "title").alias("marked"), pages.embedded_json(script, "window.state").alias("embedded"), gone.alias("gone"), F.lower(F.array_join(lines, "|")).alias("lines"))
+
+
+@query(
+    """WITH l AS (SELECT o_custkey AS e, o_orderkey, CAST(floor(o_totalprice / 4000) AS BIGINT) AS score, CASE o_orderkey % 3 WHEN 0 THEN 'https://jobs.' || o_custkey || '.x.org/a/' || o_orderkey WHEN 1 THEN 'https://www.board.com/' || o_orderkey ELSE 'https://acme.greenhouse.io/' || o_orderkey END AS link FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0),
+    k AS (SELECT * FROM l WHERE score >= 45 AND NOT contains(link, 'board.com') AND e % 5 <> 0)
+    SELECT 'c ' || e AS name_norm, arg_max(link, (score, link)) AS url, CASE WHEN contains(arg_max(link, (score, link)), 'greenhouse') THEN 'greenhouse' END AS system, max(score) AS score FROM k GROUP BY e"""
+)
+def employer_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Employers of good adverts that are not watched yet."""
+    key, name = F.col("o_orderkey"), F.concat(F.lit("c "), F.col("o_custkey").cast("string"))
+    link = F.when(key % 3 == 0, F.concat(F.lit("https://jobs."), F.col("o_custkey").cast("string"), F.lit(".x.org/a/"), key.cast("string"))).when(key % 3 == 1, F.concat(F.lit("https://www.board.com/"), key.cast("string"))).otherwise(F.concat(F.lit("https://acme.greenhouse.io/"), key.cast("string")))
+    rows = table(spark, d, "orders").select(F.when(key % 7 == 0, 1).alias("employer_id"), (key % 11 == 0).alias("is_lead"), F.upper(name).alias("employer"), name.alias("employer_norm"), F.floor(F.col("o_totalprice") / 4000).alias("score"), F.lit("https://x.board.com/1").alias("apply_url"), link.alias("url"))
+    ignored = table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.concat(F.lit("c "), F.col("c_custkey").cast("string")).alias("employer_norm"))
+    return discovery.suggestions(rows, ignored, ["board.com"], [("greenhouse", r"greenhouse\.io"), ("lever", r"lever\.co")]).select("name_norm", "url", "system", "score")
+
+
+@query(
+    """SELECT CAST(c_custkey AS VARCHAR) AS name_norm, CASE WHEN c_custkey % 2 = 1 THEN CASE WHEN c_custkey % 4 = 1 THEN 'approved' ELSE 'pending' END WHEN c_custkey % 6 = 0 THEN 'dismissed' WHEN c_custkey % 6 = 2 AND c_custkey % 4 = 0 THEN 'approved' ELSE 'pending' END AS status,
+      CASE WHEN c_custkey % 2 = 1 THEN 'new,both' WHEN c_custkey % 6 = 0 THEN 'both,old' WHEN c_custkey % 4 = 0 THEN 'new,both,old' ELSE 'both,old' END AS evidence,
+      CASE WHEN c_custkey % 2 = 1 THEN 'insert' WHEN c_custkey % 6 <> 0 AND c_custkey % 4 = 0 THEN 'update' ELSE 'keep' END AS change FROM customer
+    WHERE NOT (c_custkey % 6 = 4 AND c_custkey % 4 = 0)
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'watched', 'new,both,old', 'update' FROM customer WHERE c_custkey % 6 = 4 AND c_custkey % 4 = 0"""
+    .replace("ELSE 'pending' END AS status,", "WHEN c_custkey % 6 = 4 THEN 'watched' ELSE 'pending' END AS status,")
+)
+def merged_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Stored suggestions after a run's new ones."""
+    key, name = F.col("c_custkey"), F.col("c_custkey").cast("string").alias("name_norm")
+    rows = table(spark, d, "customer")
+    status = F.when(key % 6 == 0, "dismissed").when(key % 6 == 4, "watched").otherwise("pending")
+    stored = rows.filter("c_custkey % 2 = 0").select(name, status.alias("status"), F.array(F.lit("both"), F.lit("old")).alias("evidence"))
+    fresh = rows.filter("c_custkey % 2 = 1 OR c_custkey % 4 = 0").select(name, (key % 4 < 2).alias("approved"), F.array(F.lit("new"), F.lit("both")).alias("evidence"))
+    return discovery.merge_suggestions(stored, fresh).withColumn("evidence", F.array_join("evidence", ","))
