@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,22 @@ def weighted_shares(rows: DataFrame, items: str, weight: str) -> DataFrame:
     return sums.join(F.broadcast(whole)).select("item", (F.col("w") / F.col("whole")).alias("share"), "n")
 
 
+def skill_shares(rows: DataFrame, skills: str, weight: str, dictionary: DataFrame) -> DataFrame:
+    """id, share of the weight of all rows with a list, n, and how many by each context; ranked by share, count, dictionary.
+
+    :param rows: ``skills`` an array of (id, ctx), null for rows that are no basis.
+    :param dictionary: id, ordinal: ids that aren't in it are left out.
+    """
+    basis = rows.filter(F.col(skills).isNotNull())
+    whole = basis.agg(F.sum(weight).alias("whole"))
+    each = basis.select(F.col(weight).alias("w"), F.explode(F.array_distinct(skills)).alias("s")).select("w", "s.id", "s.ctx")
+    sums = each.groupBy("id").agg(F.sum("w").alias("w"), F.count("*").alias("n"), *(F.count_if(F.col("ctx") == c).alias(c) for c in ("asked", "taught", "job")))
+    met = sums.join(dictionary.select("id", "ordinal"), "id").join(F.broadcast(whole))
+    ranked = met.withColumn("share", F.col("w") / F.col("whole"))
+    # a row for each entry of the dictionary, so the window is small
+    return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("share"), F.desc("n"), "ordinal"))).drop("w", "whole", "ordinal")
+
+
 def phrases(rows: DataFrame, words: str, owner: str, sizes: Sequence[int] = (2, 3), owners: int = 3, example: str | None = None) -> DataFrame:
     """phrase, owners and, if asked for, example: phrases that at least ``owners`` different owners use.
 

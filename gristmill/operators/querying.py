@@ -47,3 +47,37 @@ def facets(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """facet, value, n for several columns in one pass over the rows."""
     pairs = F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns))
     return rows.select(F.inline(pairs)).filter("value IS NOT NULL").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
+#: What each sort of the listings view compares, and whether the smallest comes first.  ``grades`` and ``status`` go by
+#: the order of their values, the rest by the column.
+SORTS: dict[str, tuple[str, bool]] = {
+    "score": ("rank", False),
+    "closing": ("days_to_close", True),
+    "newest": ("first_seen_at", False),
+    "salary": ("pay", False),
+    "distance": ("miles", True),
+    "title": ("title", True),
+    "location": ("place", True),
+    "level": ("level", False),
+    "role": ("role", True),
+    "grades": ("fit", True),
+    "posted": ("posted", False),
+    "start": ("starts", True),
+    "status": ("status", True),
+}
+# The order of how grades fit and of an application's states.
+FITS, STATUSES = ("meets", "close", "below", "subject"), ("offer", "interview", "applied", "saved", "rejected")
+
+
+def listing_order(sort: str, reverse: bool = False, rank: str = "rank", title: str = "title", id_: str = "id") -> list[Column]:
+    """The order of a sort of the listings view: unknown values last either way, then the best rank, title and id."""
+    column, up = SORTS.get(sort, SORTS["score"])
+    listed = {"grades": FITS, "status": STATUSES}.get(sort)
+    value = F.col(column)
+    if listed:
+        value = F.nullif(F.array_position(F.array(*map(F.lit, listed)), value), F.lit(0))
+    elif sort in ("title", "location", "role"):
+        value = F.lower(value)
+    first = value.asc_nulls_last() if up != reverse else value.desc_nulls_last()
+    return [first, F.desc_nulls_last(rank), F.asc_nulls_last(F.lower(F.col(title))), F.asc_nulls_last(id_)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import dates, entry, labels, links, numbers, pages, places, scoring, text
 from gristmill.functions.classify import LevelRule, Rules, classify
-from gristmill.operators import discovery, entity, lifecycle, merging, normalising, querying, views
+from gristmill.operators import discovery, entity, lifecycle, merging, mining, normalising, querying, views
 from gristmill.plans.registry import query, table
 
 DAY = "1997-01-15"
@@ -573,3 +573,37 @@ def merged_suggestions(spark: SparkSession, d: str) -> DataFrame:
     stored = rows.filter("c_custkey % 2 = 0").select(name, status.alias("status"), F.array(F.lit("both"), F.lit("old")).alias("evidence"))
     fresh = rows.filter("c_custkey % 2 = 1 OR c_custkey % 4 = 0").select(name, (key % 4 < 2).alias("approved"), F.array(F.lit("new"), F.lit("both")).alias("evidence"))
     return discovery.merge_suggestions(stored, fresh).withColumn("evidence", F.array_join("evidence", ","))
+
+
+# ---------------------------------------------------------------- orders and shares
+
+
+@query(
+    """WITH r AS (SELECT s_suppkey AS id, s_nationkey AS g, s_suppkey % 17 AS rank, 'T' || s_suppkey % 13 AS title, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS pay, CASE s_suppkey % 5 WHEN 0 THEN 'below' WHEN 1 THEN 'meets' WHEN 2 THEN 'subject' WHEN 3 THEN 'close' END AS fit, CASE s_suppkey % 3 WHEN 0 THEN 'saved' WHEN 1 THEN 'offer' ELSE 'none' END AS status FROM supplier)
+    SELECT id, row_number() OVER (PARTITION BY g ORDER BY rank DESC, lower(title), id) AS by_score, row_number() OVER (PARTITION BY g ORDER BY pay DESC NULLS LAST, rank DESC, lower(title), id) AS by_salary, row_number() OVER (PARTITION BY g ORDER BY pay ASC NULLS LAST, rank DESC, lower(title), id) AS by_salary_up,
+      row_number() OVER (PARTITION BY g ORDER BY lower(title), rank DESC, id) AS by_title, row_number() OVER (PARTITION BY g ORDER BY CASE fit WHEN 'meets' THEN 1 WHEN 'close' THEN 2 WHEN 'below' THEN 3 WHEN 'subject' THEN 4 END ASC NULLS LAST, rank DESC, lower(title), id) AS by_grades,
+      row_number() OVER (PARTITION BY g ORDER BY CASE status WHEN 'offer' THEN 1 WHEN 'saved' THEN 4 END ASC NULLS LAST, rank DESC, lower(title), id) AS by_status FROM r"""
+)
+def listing_sorts(spark: SparkSession, d: str) -> DataFrame:
+    """Places of listings by several sorts, unknown values last either way."""
+    key = F.col("s_suppkey")
+    fit = F.when(key % 5 == 0, "below").when(key % 5 == 1, "meets").when(key % 5 == 2, "subject").when(key % 5 == 3, "close")
+    status = F.when(key % 3 == 0, "saved").when(key % 3 == 1, "offer").otherwise("none")
+    rows = table(spark, d, "supplier").select(key.alias("id"), F.col("s_nationkey").alias("g"), (key % 17).alias("rank"), F.concat(F.lit("T"), (key % 13).cast("string")).alias("title"), F.when(key % 4 != 0, F.col("s_acctbal")).alias("pay"), fit.alias("fit"), status.alias("status"))
+    place = lambda sort, reverse=False: F.row_number().over(Window.partitionBy("g").orderBy(*querying.listing_order(sort, reverse))).cast("long")
+    return rows.select("id", place("score").alias("by_score"), place("salary").alias("by_salary"), place("salary", True).alias("by_salary_up"), place("title").alias("by_title"), place("grades").alias("by_grades"), place("status").alias("by_status"))
+
+
+@query(
+    """WITH r AS (SELECT s_suppkey, s_suppkey % 5 + 1 AS w, CASE WHEN s_suppkey % 6 <> 0 THEN list_distinct([{'id': 'k' || s_suppkey % 4, 'ctx': CASE WHEN s_suppkey % 3 = 0 THEN 'asked' ELSE 'taught' END}, {'id': 'k' || s_suppkey % 7, 'ctx': 'job'}]) END AS s FROM supplier),
+    e AS (SELECT w, unnest(s) AS s FROM r), k AS (SELECT s.id AS id, sum(w) AS w, count(*) AS n, count(*) FILTER (WHERE s.ctx = 'asked') AS asked, count(*) FILTER (WHERE s.ctx = 'taught') AS taught, count(*) FILTER (WHERE s.ctx = 'job') AS job FROM e GROUP BY 1)
+    SELECT id, round(w / (SELECT sum(w) FROM r WHERE s IS NOT NULL), 9) AS share, n, asked, taught, job, CAST(row_number() OVER (ORDER BY w DESC, n DESC, id) AS INTEGER) AS place FROM k WHERE id <> 'k6'"""
+)
+def skill_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Skills by their weighted share among the adverts that list any, with the contexts in which they are named."""
+    key = F.col("s_suppkey")
+    one = lambda n, ctx: F.struct(F.concat(F.lit("k"), (key % n).cast("string")).alias("id"), ctx.alias("ctx"))
+    listed = F.when(key % 6 != 0, F.array(one(4, F.when(key % 3 == 0, "asked").otherwise("taught")), one(7, F.lit("job"))))
+    dictionary = spark.createDataFrame([(f"k{i}", i) for i in range(6)], "id string, ordinal int")
+    rows = table(spark, d, "supplier").select((key % 5 + 1).alias("w"), listed.alias("s"))
+    return mining.skill_shares(rows, "s", "w", dictionary).withColumn("share", F.round("share", 9))
