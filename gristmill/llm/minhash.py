@@ -61,6 +61,8 @@ SMALL_LATER = 256
 PARITY_WORDS = 4
 #: Members of a bucket, about, from which its reference set is taken.  It decides on work, never on links.
 REFERENCE_MEMBERS = 32
+#: Members of a reference set, about, that one part of a join by reference set takes.
+PART_MEMBERS = 64
 #: Rounds after which something must be wrong: sizes of buckets fall in each.
 MOST_ROUNDS = 60
 
@@ -205,30 +207,40 @@ def _placed(large: DataFrame, share: bool) -> DataFrame:
     return met.groupBy(F.col("ref.bucket").alias("ref"), F.col("ref.size").alias("ref_size"), "cls").agg(F.first("n").alias("n"), F.min("part").alias("part"), F.bool_or(F.col("bucket") == F.col("ref.bucket")).alias("own"))
 
 
+def _with_ref(members: DataFrame, by_ref: DataFrame) -> DataFrame:
+    """``members`` (ref, ref_size, cls and others) with what ``by_ref`` has for their reference set, null where nothing.
+
+    A reference set of many members is dealt into parts, so no key is one task's.
+    """
+    parts = 1 + F.floor(F.col("ref_size") / PART_MEMBERS)
+    spread = by_ref.withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return members.withColumn("part_no", F.pmod(F.xxhash64("cls"), parts)).join(spread, ["ref", "ref_size", "part_no"], "left").drop("part_no")
+
+
 def _references(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """ref and the shingles that most of about REFERENCE_MEMBERS of its members have."""
-    some = placed.filter(F.col("own") & (F.pmod(F.xxhash64("ref", "cls"), F.col("ref_size")) < REFERENCE_MEMBERS)).select("ref", "cls")
+    """ref, ref_size and the shingles that most of about REFERENCE_MEMBERS of its members have."""
+    some = placed.filter(F.col("own") & (F.pmod(F.xxhash64("ref", "cls"), F.col("ref_size")) < REFERENCE_MEMBERS)).select("ref", "ref_size", "cls")
     # the null stands for the member itself
-    counted = some.join(sets, "cls").select("ref", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("set"))).alias("e")).groupBy("ref", "e").agg(F.count("*").alias("n"))
-    held = counted.groupBy("ref").agg(F.collect_list(F.struct("e", "n")).alias("all"), F.max(F.when(F.col("e").isNull(), F.col("n"))).alias("members"))
+    counted = some.join(sets, "cls").select("ref", "ref_size", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.col("set"))).alias("e")).groupBy("ref", "ref_size", "e").agg(F.count("*").alias("n"))
+    held = counted.groupBy("ref", "ref_size").agg(F.collect_list(F.struct("e", "n")).alias("all"), F.max(F.when(F.col("e").isNull(), F.col("n"))).alias("members"))
     most = F.filter("all", lambda x: x["e"].isNotNull() & (2 * x["n"] > F.col("members")))
-    return held.select("ref", F.transform(most, lambda x: x["e"]).alias("ref_set"))
+    return held.select("ref", "ref_size", F.transform(most, lambda x: x["e"]).alias("ref_set"))
 
 
 def _differences(placed: DataFrame, references: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """ref, cls, n, part, bits, elements (where a member differs from its reference set) and slack."""
-    met = placed.join(sets, "cls").join(references, "ref", "left").withColumn("ref_set", F.coalesce("ref_set", F.array().cast("array<bigint>")))
+    """ref, ref_size, cls, n, part, bits, elements (where a member differs from its reference set) and slack."""
+    met = _with_ref(placed.join(sets, "cls"), references).withColumn("ref_set", F.coalesce("ref_set", F.array().cast("array<bigint>")))
     missing = F.transform(F.array_except("ref_set", "set"), lambda e: F.bitwise_not(e))
-    met = met.select("ref", "cls", "n", "part", "bits", F.sort_array(F.concat(F.array_except("set", "ref_set"), missing)).alias("elements"))
+    met = met.select("ref", "ref_size", "cls", "n", "part", "bits", F.sort_array(F.concat(F.array_except("set", "ref_set"), missing)).alias("elements"))
     return met.withColumn("slack", F.lit(100 + percent).cast("long") * F.size("elements") - (100 - percent) * F.col("n"))
 
 
 def _judged(differences: DataFrame, percent: int) -> DataFrame:
     """``differences`` with centre, where a member is linked with it, and how many elements it has to post."""
-    slack = differences.select("ref", "cls", "n", "part", "slack")
-    least = slack.groupBy("ref").agg(F.max("n").alias("most"), F.min("slack").alias("least"), F.min_by(F.struct("cls", "part"), F.struct("slack", "cls")).alias("centre"))
-    far = slack.join(least, "ref").filter("slack + least > 0").groupBy("ref").agg(F.min("slack").alias("far"))
-    met = differences.join(least.join(far, "ref", "left"), "ref")
+    slack = differences.select("ref", "ref_size", "cls", "n", "part", "slack")
+    least = slack.groupBy("ref", "ref_size").agg(F.max("n").alias("most"), F.min("slack").alias("least"), F.min_by(F.struct("cls", "part"), F.struct("slack", "cls")).alias("centre"))
+    far = _with_ref(slack, least.select("ref", "ref_size", "least")).filter("slack + least > 0").groupBy("ref", "ref_size").agg(F.min("slack").alias("far"))
+    met = _with_ref(differences, least.join(far, ["ref", "ref_size"], "left"))
     linked = F.col("slack") + F.col("least") <= 0
     # how much the set of a linked partner, which has at most so many shingles, can differ
     differ = F.floor((100 - percent) * (F.col("n") + F.least(F.col("most"), F.floor(100 * F.col("n") / percent))) / (100 + percent))
