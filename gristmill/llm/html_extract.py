@@ -264,7 +264,7 @@ def _mark(nodes: list[_Node], blocks: Sequence[Block]) -> None:
         block.inside, block.early = inside[block.node], k < first
 
 
-# ---------------------------------------------------------------- decision tree
+# decision tree
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "inside", "furniture", "named", "heading", "early")
 

@@ -59,7 +59,7 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
-# ---------------------------------------------------------------- Boolean trigram queries
+# Boolean trigram queries
 
 
 def _simple(query: Query) -> Query:
@@ -123,7 +123,7 @@ def trigram_query(pattern: str) -> Query:
     return ANY if frozenset() in query or len(query) > MOST else query
 
 
-# ---------------------------------------------------------------- index and candidates
+# index and candidates
 
 
 def postings(docs: DataFrame, grams: Sequence[str]) -> DataFrame:
@@ -160,7 +160,7 @@ def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return held.select("key", F.array_compact(F.array(*kinds)).alias("kinds")).filter(F.size("kinds") > 0)
 
 
-# ---------------------------------------------------------------- verification
+# verification
 
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 

@@ -25,7 +25,7 @@ def table(spark, texts):
     return spark.createDataFrame(rows + rows[:2], "doc_id long, text string, lang string, source string, n_chars long, spans string, words string")
 
 
-# ---------------------------------------------------------------- secrets
+# secrets
 
 
 def spans(text):
@@ -75,7 +75,7 @@ def test_redact(spark):
     assert "clean" in got
 
 
-# ---------------------------------------------------------------- rules
+# rules
 
 
 def test_rules(spark):
@@ -106,7 +106,7 @@ def test_cascade_order(spark):
     assert [m.rule for m in quality_rules.measure(docs.limit(0))] == list(quality_rules.RULES)
 
 
-# ---------------------------------------------------------------- tokens
+# tokens
 
 
 def test_tokens_equal_library(spark):
@@ -159,7 +159,7 @@ def test_automaton_on_small_alphabets():
             assert accepted == [merged]
 
 
-# ---------------------------------------------------------------- fingerprints
+# fingerprints
 
 
 def test_fingerprints(spark):
@@ -238,7 +238,7 @@ def test_next_over_ranges(spark):
     assert {r.doc_id: r.next_text for r in syncmers.with_next(named, range_chars=1).collect()} == {"c": "x", "b": "y", "a": ""}
 
 
-# ---------------------------------------------------------------- mix
+# mix
 
 
 def test_targets():
@@ -338,7 +338,7 @@ def test_mixture_with_clashing_and_repeated_rows(spark):
     assert mixing.mixture(docs.limit(0)).collect() == []
 
 
-# ---------------------------------------------------------------- classifier
+# classifier
 
 
 def test_classifier(spark):
