@@ -85,10 +85,10 @@ def nearest(rows: DataFrame, gazetteer: DataFrame, miles: float) -> DataFrame:
     cells = gazetteer.filter("place_lat IS NOT NULL AND place_lon IS NOT NULL").withColumn("band", band).withColumn("cell", F.floor(F.col("place_lon") / width(F.col("band"))))
     keyed = rows.withColumn("row", F.monotonically_increasing_id())
     bands = F.sequence(F.floor((F.col("lat") - step) / step), F.floor((F.col("lat") + step) / step))
-    reach = keyed.filter("lat IS NOT NULL AND lon IS NOT NULL").select("row", "lat", "lon", F.explode(bands).alias("band"))
+    reach = keyed.select("row", *rows.columns, F.explode_outer(F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), bands)).alias("band"))
     wide, own = width(F.col("band"), F.col("lat")), width(F.col("band"))
-    reach = reach.select("row", "lat", "lon", "band", F.explode(F.sequence(F.floor((F.col("lon") - wide) / own), F.floor((F.col("lon") + wide) / own))).alias("cell"))
+    reach = reach.select("row", *rows.columns, "band", F.explode_outer(F.sequence(F.floor((F.col("lon") - wide) / own), F.floor((F.col("lon") + wide) / own))).alias("cell"))
+    met = reach.join(cells, ["band", "cell"], "left")
     far = haversine_miles(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
-    met = reach.join(cells, ["band", "cell"]).withColumn("miles", far).filter(F.col("miles") <= miles)
-    best = met.groupBy("row").agg(F.min(F.struct("miles", "place")).alias("best"))
-    return keyed.join(best, "row", "left").select(*rows.columns, "best.place", "best.miles")
+    best = F.min(F.when(far <= miles, F.struct(far.alias("miles"), F.col("place"))))
+    return met.groupBy("row", *rows.columns).agg(best.alias("best")).select(*rows.columns, "best.place", "best.miles")

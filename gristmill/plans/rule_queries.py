@@ -17,7 +17,7 @@ def _day() -> Column:
     return F.lit(DAY).cast("date")
 
 
-# ---------------------------------------------------------------- rules and scores
+# rules and scores
 
 #: Invented rules for the parts' names.
 RULES = Rules(
@@ -143,7 +143,7 @@ def best_ranks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", best["rank"].alias("rank"), best["table"].alias("table"))
 
 
-# ---------------------------------------------------------------- places, normalising, states
+# places, normalising, states
 
 _COUNTRIES = ["GB", "england", "FR", "", None, "Ireland", "BS1 4DJ"]
 _TEXTS = ["Belfast, Northern Ireland", "Dublin", "Leeds, UK", "Somewhere", None]
@@ -227,7 +227,7 @@ def employer_statuses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", status.alias("status"), days.alias("days"))
 
 
-# ---------------------------------------------------------------- texts
+# texts
 
 @query("SELECT c_custkey, c_name || ' & £5 ''q'' ’ 😀 &nope; &lt; –' AS decoded FROM customer")
 def decoded_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +276,7 @@ def vacancy_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.dedupe_key(F.col("p_brand"), title, town).alias("key"))
 
 
-# ---------------------------------------------------------------- smaller joins, windows and maps
+# smaller joins, windows and maps
 
 @query(
     """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(date_trunc('year', o_orderdate) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE) WHEN 2 THEN last_day(CAST(o_orderdate AS DATE)) ELSE CAST(o_orderdate AS DATE) END AS sorts_as FROM orders"""
@@ -379,7 +379,7 @@ def companies_in_order(spark: SparkSession, d: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy(*querying.ordering("next_closing", False, [F.col("c_name")]))).cast("long")).select("c_custkey", "place")
 
 
-# ---------------------------------------------------------------- views, labels, closing rules
+# views, labels, closing rules
 
 
 @query(
@@ -512,7 +512,7 @@ def link_repairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# ---------------------------------------------------------------- pages and discovery
+# pages and discovery
 
 
 @query(
@@ -575,7 +575,7 @@ def merged_suggestions(spark: SparkSession, d: str) -> DataFrame:
     return discovery.merge_suggestions(stored, fresh).withColumn("evidence", F.array_join("evidence", ","))
 
 
-# ---------------------------------------------------------------- orders and shares
+# orders and shares
 
 
 @query(
