@@ -63,6 +63,8 @@ PARITY_WORDS = 4
 REFERENCE_MEMBERS = 32
 #: Members of a reference set, about, that one part of a join by reference set takes.
 PART_MEMBERS = 64
+#: Parts into which the join of members with their buckets deals each bucket.
+BUCKET_PARTS = 8
 #: Rounds after which something must be wrong: sizes of buckets fall in each.
 MOST_ROUNDS = 60
 
@@ -188,9 +190,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_members(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one part, with the bucket's size; of buckets with equal members one."""
+    """Members of buckets that hold more than one part, with the bucket's size; of buckets with equal members one.
+
+    The join deals each bucket into some parts, so that a very large one isn't one task's.
+    """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), (F.min("part") != F.max("part")).alias("open"), F.bit_xor(F.xxhash64("cls")).alias("who")).filter("open")
-    return members.join(sizes.groupBy("size", "who").agg(F.min("bucket").alias("bucket")).drop("who"), "bucket")
+    kept = sizes.groupBy("size", "who").agg(F.min("bucket").alias("bucket")).drop("who")
+    spread = kept.withColumn("part_no", F.explode(F.sequence(F.lit(0), F.lit(BUCKET_PARTS - 1))))
+    return members.withColumn("part_no", F.pmod(F.xxhash64("cls"), F.lit(BUCKET_PARTS)).cast("int")).join(spread, ["bucket", "part_no"]).drop("part_no")
 
 
 def _placed(large: DataFrame, share: bool) -> DataFrame:
