@@ -31,6 +31,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -43,7 +44,7 @@ from pyspark.sql import types as T
 from gristmill.session import ship
 
 START = -1
-WORDS_KEPT, STATES_KEPT = 200_000, 300_000
+WORDS_KEPT, STATES_KEPT = 150_000, 220_000
 #: Characters for which Python's normalisation and the regex module agree with the tokenizers library.
 PLAIN = re.compile("[\x00-΢Τ-՗ -₎₠-鿿가-힣]*")
 
@@ -55,6 +56,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
 
+def _pack(pairs: list[tuple[int, int]]) -> bytes:
+    return array("Q", [before - START << 32 | node for before, node in pairs]).tobytes()
+
+
 class MergeAutomaton:
     """The automaton over tokens, built merge by merge."""
 
@@ -142,13 +147,15 @@ class Encoder:
 
     def _reset(self) -> None:
         self.table: dict[int, int] = {}
-        self.states: list[tuple[tuple[int, int], ...]] = [((START, 0),)]
+        # a state lists (token before, place in the trie), packed, since there are many
+        self.states: list[bytes] = [_pack([(START, 0)])]
         self.numbers = {self.states[0]: 0}
 
     def _step(self, state: int, symbol: int) -> int:
         """Work out a transition that isn't in the table: next state and the token that ends here."""
         alive, last = [], None
-        for before, node in self.states[state]:
+        for packed in array("Q", self.states[state]):
+            before, node = (packed >> 32) + START, packed & 0xFFFFFFFF
             to = self.trie.get(node << 9 | symbol)
             if to is None:
                 continue
@@ -156,7 +163,7 @@ class Encoder:
             if token is not None and self.arc(before, token):
                 last = token
             alive.append((before, to))
-        new = (*alive, (last, 0))
+        new = _pack([*alive, (last, 0)])
         number = self.numbers.setdefault(new, len(self.states))
         if number == len(self.states):
             self.states.append(new)
