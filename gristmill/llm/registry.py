@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gristmill.llm.minhash import near_duplicates
 from gristmill.llm.quality_classifier import score_documents
 from gristmill.llm.quality_rules import statistics
-from gristmill.llm import bpe, chat, html_extract, mixing, secret_scan, syncmers, warc
+from gristmill.llm import alignment, bpe, chat, collocations, html_extract, mixing, secret_scan, sharding, syncmers, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +177,29 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_html"] = op4_html
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens that two tokenizers give for all documents."""
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op11_alignment"] = op11_alignment
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equal weight, and where 25 would put them."""
+    shards = sharding.equal_weights(sharding.SHARDS)
+    placed = sharding.numbered(_table(spark, sf_dir, "documents"), shards, sharding.equal_weights(len(shards) + 1))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+QUERIES["op12_sharding"] = op12_sharding
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language of all documents."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_collocations"] = op13_collocations
