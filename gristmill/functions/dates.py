@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
 def london_date(instant: Column) -> Column:
     """The day in London of a UTC instant."""
     return F.to_date(F.from_utc_timestamp(instant.cast("timestamp"), "Europe/London"))

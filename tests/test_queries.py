@@ -8,11 +8,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from gristmill.plans import feed_queries, listing_queries, registry, rule_queries
+from gristmill.plans import feed_queries, listing_queries, registry, rule_queries, source_queries
 
 assert listing_queries
 assert rule_queries
 assert feed_queries
+assert source_queries
 
 
 def canonical(value):
