@@ -55,14 +55,43 @@ def gazetteer_keys(gazetteer: DataFrame) -> DataFrame:
 def find_places(rows: DataFrame, text: str, gazetteer: DataFrame, most_words: int = 3) -> DataFrame:
     """``rows`` with ``place``, ``lat`` and ``lon``: of the gazetteer's names in a text the longest, the first on a tie.
 
-    Every run of up to ``most_words`` words is exploded and joined by equality, so no text meets the whole gazetteer.
+    Every run of up to ``most_words`` words is exploded and joined by equality, so no text meets the whole gazetteer.  A
+    row itself goes along once, with its first run; the others have its number only.  Columns of ``rows`` with these
+    names are replaced.
     """
-    keyed = rows.withColumn("row", F.monotonically_increasing_id())
-    words = F.split(place_key(F.col(text)), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size(words) - i + 1)), lambda n: F.struct(F.array_join(F.slice(words, i, n), " ").alias("key"), n.alias("n"), i.alias("i")))))
-    met = keyed.select(*rows.columns, "row", F.explode_outer(runs).alias("run")).select(*rows.columns, "row", "run.*").join(gazetteer_keys(gazetteer), "key", "left")
-    best = F.max_by(F.struct("place", "lat", "lon"), F.when(F.col("place").isNotNull(), F.struct("n", (-F.col("i")).alias("i"))))
-    return met.groupBy("row", *rows.columns).agg(best.alias("p")).select(*rows.columns, "p.*")
+    names = [c for c in rows.columns if c not in ("place", "lat", "lon")]
+    words = F.split(place_key(F.col(f"`{text}`")), " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size(words) - i + 1)), lambda n: F.struct(F.array_join(F.slice(words, i, n), " ").alias("key"), n.alias("n"), (-i).alias("i")))))
+    numbered = rows.select(F.monotonically_increasing_id().alias("number"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), runs.alias("runs"))
+    spread = numbered.select("number", "doc", F.posexplode("runs").alias("at", "run")).select("number", F.when(F.col("at") == 0, F.col("doc")).alias("doc"), "run.*")
+    met = spread.join(gazetteer_keys(gazetteer), "key", "left")
+    best = F.max_by(F.struct("place", "lat", "lon"), F.when(F.col("place").isNotNull(), F.struct("n", "i")))
+    found = met.groupBy("number").agg(F.first("doc", ignorenulls=True).alias("doc"), best.alias("p"))
+    return found.select(*(F.col(f"doc.`{c}`") for c in names), "p.*")
+
+
+def _width(band: Column, step: float, lat: Column | None = None) -> Column:
+    """Degrees of longitude that ``step`` degrees of latitude take at most in a band, and at a latitude beside it."""
+    far = F.greatest(F.abs(band * step), F.abs((band + 1) * step), *([] if lat is None else [F.abs(lat)]))
+    return step * 1.01 / F.cos(F.radians(F.least(F.lit(89.0), far)))
+
+
+def cell_of(lat: Column, lon: Column, miles: float) -> Column:
+    """The cell of a grid, about ``miles`` wide, that a point lies in, as a text: band of latitude, cell of the band."""
+    step = math.degrees(miles / EARTH_MILES)
+    band = F.floor(lat / step)
+    return F.concat_ws(":", band.cast("string"), F.floor(lon / _width(band, step)).cast("string"))
+
+
+def cells_in_reach(lat: Column, lon: Column, miles: float) -> Column:
+    """All cells that points within ``miles`` may lie in; the date line isn't crossed."""
+    step = math.degrees(miles / EARTH_MILES)
+
+    def of_band(band: Column) -> Column:
+        wide, own = _width(band, step, lat), _width(band, step)
+        return F.transform(F.sequence(F.floor((lon - wide) / own), F.floor((lon + wide) / own)), lambda cell: F.concat_ws(":", band.cast("string"), cell.cast("string")))
+
+    return F.flatten(F.transform(F.sequence(F.floor((lat - step) / step), F.floor((lat + step) / step)), of_band))
 
 
 def nearest(rows: DataFrame, gazetteer: DataFrame, miles: float) -> DataFrame:
@@ -70,25 +99,14 @@ def nearest(rows: DataFrame, gazetteer: DataFrame, miles: float) -> DataFrame:
 
     :param gazetteer: place, place_lat, place_lon.
 
-    Places lie in cells of bands of latitude, about ``miles`` wide; a row meets those of the cells in its reach, by
-    equality, so neither side is gathered or broadcast as a whole.  Nulls, and rows without a place in reach, get null.
-    The date line isn't crossed.
+    Places lie in cells; a row meets those of the cells in its reach, by equality, so neither side is gathered or
+    broadcast as a whole.  Nulls, and rows without a place in reach, get null.  The date line isn't crossed.
     """
-    step = math.degrees(miles / EARTH_MILES)
-
-    def width(band: Column, lat: Column | None = None) -> Column:
-        """Degrees of longitude that ``miles`` take at most in a band, and at a latitude of the other side."""
-        far = F.greatest(F.abs(band * step), F.abs((band + 1) * step), *([] if lat is None else [F.abs(lat)]))
-        return step * 1.01 / F.cos(F.radians(F.least(F.lit(89.0), far)))
-
-    band = F.floor(F.col("place_lat") / step)
-    cells = gazetteer.filter("place_lat IS NOT NULL AND place_lon IS NOT NULL").withColumn("band", band).withColumn("cell", F.floor(F.col("place_lon") / width(F.col("band"))))
+    cells = gazetteer.filter("place_lat IS NOT NULL AND place_lon IS NOT NULL").withColumn("cell", cell_of(F.col("place_lat"), F.col("place_lon"), miles))
     keyed = rows.withColumn("row", F.monotonically_increasing_id())
-    bands = F.sequence(F.floor((F.col("lat") - step) / step), F.floor((F.col("lat") + step) / step))
-    reach = keyed.select("row", *rows.columns, F.explode_outer(F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), bands)).alias("band"))
-    wide, own = width(F.col("band"), F.col("lat")), width(F.col("band"))
-    reach = reach.select("row", *rows.columns, "band", F.explode_outer(F.sequence(F.floor((F.col("lon") - wide) / own), F.floor((F.col("lon") + wide) / own))).alias("cell"))
-    met = reach.join(cells, ["band", "cell"], "left")
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    reach = keyed.select("row", *rows.columns, F.explode_outer(F.when(known, cells_in_reach(F.col("lat"), F.col("lon"), miles))).alias("cell"))
+    met = reach.join(cells, "cell", "left")
     far = haversine_miles(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
     best = F.min(F.when(far <= miles, F.struct(far.alias("miles"), F.col("place"))))
     return met.groupBy("row", *rows.columns).agg(best.alias("best")).select(*rows.columns, "best.place", "best.miles")

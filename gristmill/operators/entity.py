@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import similar_titles
+from gristmill.functions.numbers import haversine_miles
+from gristmill.functions.places import cell_of, cells_in_reach, gazetteer_keys
+from gristmill.functions.text import place_key, similar_titles
 from gristmill.session import Scratch, materialise
 
-#: Rounds of the fold after which something must be wrong: each decides a row at least.
-MOST_ROUNDS = 200
+#: Rounds of joins, after which blocks that have this many undecided pairs or fewer are decided in one go each.
+ROUNDS, BLOCK_PAIRS = 5, 1_000_000
+#: Places that are one site.
+NEAR_MILES = 12
 
 
 def prefix_match(names: DataFrame, known: DataFrame, shorter: bool = True) -> DataFrame:
@@ -41,72 +46,251 @@ def prefix_match(names: DataFrame, known: DataFrame, shorter: bool = True) -> Da
     return met.filter(hit).groupBy("name").agg(best.alias("known_name"))
 
 
-def similar_pairs(rows: DataFrame, block: str, id_: str, words: str, least: float, carry: Sequence[str] = (), also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """a, b: ids of rows of one block whose word sets are alike, a below b.
+def _asked(size: Column, least: float) -> Column:
+    """How many of its rarest words a set asks by: one of them is in any larger set that is alike."""
+    return size - F.ceil(F.lit(least) * size - 1e-9).cast("int") + 1
 
-    :param carry: columns that ``also`` looks at, in two structs.
 
-    The smaller of two alike sets has one of its rarest words in common with the other: of n words the first
-    n - ceil(least n) + 1 by how many rows have them.  So each row asks by these few words and is found by all of its
-    own, and a common word is asked for by hardly any row.  Rows with equal words and carried columns are one class, and
-    classes are met.
-    """
-    classes = rows.groupBy(block, F.array_sort(words).alias("w"), F.struct(*carry, F.lit(0).alias("none")).alias("with")).agg(F.min(id_).alias("first"))
-    posted = classes.select(block, "first", "w", "with", F.explode("w").alias("word"))
+def _by_rareness(classes: DataFrame, block: str) -> DataFrame:
+    """id and its words as an array of (n, word), the rarest of the block first."""
+    posted = classes.select(block, "id", F.explode("w").alias("word"))
     counts = posted.groupBy(block, "word").agg(F.count("*").alias("n"))
-    ranked = posted.join(counts, [block, "word"]).groupBy(block, "first").agg(F.min("w").alias("w"), F.first("with").alias("with"), F.array_sort(F.collect_list(F.struct("n", "word"))).alias("by_count"))  # one row's words
-    asked = F.size("w") - F.ceil(F.lit(least) * F.size("w") - 1e-9).cast("int") + 1
-    small = ranked.select(block, F.col("first").alias("x"), F.col("w").alias("wx"), F.col("with").alias("with_x"), F.explode(F.slice("by_count", F.lit(1), asked)).alias("c")).withColumn("word", F.col("c.word"))
-    large = posted.select(block, "word", F.col("first").alias("y"), F.col("w").alias("wy"), F.col("with").alias("with_y"))
-    alike = similar_titles(F.col("wx"), F.col("wy"), least)
-    if also:
-        alike = alike & also(F.col("with_x"), F.col("with_y"))
-    met = small.join(large, [block, "word"]).filter((F.size("wx") <= F.size("wy")) & (F.col("x") != F.col("y"))).filter(alike)
-    met = met.select(block, F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct()
-    # classes back to rows: pairs of two classes, and pairs within one
-    keyed = rows.select(F.col(block), F.array_sort(words).alias("w"), F.struct(*carry, F.lit(0).alias("none")).alias("with"), F.col(id_).alias("id"))
-    own = keyed.join(classes, [block, "w", "with"]).select("first", "id")
-    left, right = own.select(F.col("first").alias("p"), F.col("id").alias("a")), own.select(F.col("first").alias("q"), F.col("id").alias("b"))
-    across = met.join(left, "p").join(right, "q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return posted.join(counts, [block, "word"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("by_count"))  # one row's words
+
+
+def _classes(rows: DataFrame, block: str, id_: str, words: str, least: float, carry: Sequence[str], also: Callable[[Column, Column], Column] | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of one block with equal words and carried columns as classes, named by their first row.
+
+    :return: classes (block, id, w, with, alone: whether its rows are alike among themselves), members (id, member).
+    """
+    keyed = rows.select(F.col(f"`{block}`").alias("block"), F.array_sort(words).alias("w"), F.struct(*carry, F.lit(0).alias("none")).alias("with"), F.col(f"`{id_}`").alias("member"))
+    classes = keyed.groupBy("block", "w", "with").agg(F.min("member").alias("id"))
     itself = similar_titles(F.col("w"), F.col("w"), least)
     if also:
         itself = itself & also(F.col("with"), F.col("with"))
-    alone = classes.filter(itself).select(F.col("first").alias("p"))
-    within = alone.join(left, "p").join(own.select(F.col("first").alias("p"), F.col("id").alias("b")), "p").filter("a < b").select("a", "b")
+    members = keyed.join(classes, ["block", "w", "with"]).select("id", "member")
+    return classes.withColumn("alone", ~F.coalesce(itself, F.lit(False))), members
+
+
+def _alike_classes(classes: DataFrame, least: float, also: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """p, q: classes of one block that are alike, p the first.
+
+    The smaller of two alike sets has one of its rarest words in common with the other: of n words the first
+    n - ceil(least n) + 1 by how many classes have them.  So each asks by these few words and is found by all of its own,
+    and a common word is asked for by hardly any.  Only ids and sizes are posted; what is compared is joined to the
+    candidates.
+    """
+    ranked = _by_rareness(classes, "block")
+    sized = classes.select("block", "id", F.size("w").alias("n"), "w")
+    small = ranked.join(sized.select("id", "block", "n"), "id").select("block", F.col("id").alias("x"), F.col("n").alias("nx"), F.explode(F.transform(F.slice("by_count", F.lit(1), _asked(F.col("n"), least)), lambda c: c["word"])).alias("word"))
+    large = sized.select("block", F.col("id").alias("y"), F.col("n").alias("ny"), F.explode("w").alias("word"))
+    met = small.join(large, ["block", "word"]).filter("nx <= ny AND x <> y").select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct()
+    left, right = (classes.select(F.col("id").alias(k), F.struct("w", "with").alias(f"of_{k}")) for k in ("p", "q"))
+    alike = similar_titles(F.col("of_p.w"), F.col("of_q.w"), least)
+    if also:
+        alike = alike & also(F.col("of_p.with"), F.col("of_q.with"))
+    return met.join(left, "p").join(right, "q").filter(alike).select("p", "q")
+
+
+def similar_pairs(rows: DataFrame, block: str, id_: str, words: str, least: float, carry: Sequence[str] = (), also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """a, b: ids of rows of one block whose word sets are alike, a below b: every pair, so as many as there are.
+
+    :param carry: columns that ``also`` looks at, in two structs.
+    """
+    classes, members = _classes(rows, block, id_, words, least, carry, also)
+    met = _alike_classes(classes, least, also)
+    left, right = members.select(F.col("id").alias("p"), F.col("member").alias("a")), members.select(F.col("id").alias("q"), F.col("member").alias("b"))
+    across = met.join(left, "p").join(right, "q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    same = classes.filter("NOT alone").select(F.col("id").alias("p"))
+    within = same.join(left, "p").join(members.select(F.col("id").alias("p"), F.col("member").alias("b")), "p").filter("a < b").select("a", "b")
     return across.unionByName(within)
 
 
+def _in_order(pairs: pd.DataFrame) -> pd.DataFrame:
+    """What is left of one block, decided one row after another."""
+    done: dict = {}
+    out = []
+    for b, own in pairs.sort_values(["b", "a"]).groupby("b", sort=True):
+        of, hit = None, False
+        for a, kind, status in zip(own["a"], own["kind"], own["status"], strict=True):
+            status = done.get(a, status)
+            if kind == "key":
+                hit = hit or status in ("keeps", "key")
+            elif of is None and status == "keeps":
+                of = a
+        done[b] = "key" if hit else "keeps" if of is None else "alike"
+        out.append((b, done[b], of))
+    return pd.DataFrame(out, columns=["id", "status", "of"]).astype({"of": object})
+
+
+def first_alike(ids: DataFrame, pairs: DataFrame, keep: Scratch) -> DataFrame:
+    """The outcome of a fold in order over alike rows: id, status, of.
+
+    :param ids: id, sure (whether the row stays whatever is alike).
+    :param pairs: a, b (a below b), block, kind: "like" where the rows are alike; "key" where a is the row before b with
+        its key.
+    :return: status is keeps, alike (an earlier row that keeps is alike: ``of`` is the first), or key (an earlier row
+        with its key keeps; ``of`` is the first alike that keeps, if any).
+
+    No closure over pairs gives this, since a row that doesn't keep attracts none.  In a round of joins those rows are
+    decided whose earlier rows are, or that have a deciding one before all undecided ones.  Most are within a few
+    rounds; a chain, in which each row is alike only to the one before, has one row a round.  So after ``ROUNDS`` the
+    blocks with few pairs left are decided row by row, each in a group of its own; others go on in rounds, however many.
+    """
+    order = ids.schema["id"].dataType.simpleString()
+    none = F.lit(None).cast(order)
+    met = pairs.join(ids.filter("sure").select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "block", "kind")
+    open_ = keep(met, "open")
+    first = ids.join(open_.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    decided = keep(first.select("id", F.lit("keeps").alias("status"), none.alias("of")), "decided")
+    step = 0
+    while not open_.isEmpty():
+        step += 1
+        known = open_.join(decided.select(F.col("id").alias("a"), "status"), "a", "left")
+        like, key = F.col("kind") == "like", F.col("kind") == "key"
+        if step % (ROUNDS + 1) == 0:
+            small = open_.groupBy("block").count().filter(F.col("count") <= BLOCK_PAIRS).select("block")
+            now = known.join(small, "block", "left_semi").groupBy("block").applyInPandas(_in_order, f"id {order}, status string, of {order}")
+        else:
+            state = known.groupBy("b").agg(
+                F.min(F.when(like & (F.col("status") == "keeps"), F.col("a"))).alias("of"),
+                F.min(F.when(like & F.col("status").isNull(), F.col("a"))).alias("waits"),
+                F.coalesce(F.max(F.when(key, F.col("status").isin("keeps", "key"))), F.lit(False)).alias("hit"),
+                F.coalesce(F.max(F.when(key, F.col("status").isNull())), F.lit(False)).alias("key_waits"),
+            )
+            status = F.when(F.col("hit"), "key").when(F.col("of").isNotNull(), "alike").otherwise("keeps")
+            now = state.filter("NOT key_waits AND (waits IS NULL OR of < waits)").select(F.col("b").alias("id"), status.alias("status"), "of")
+        now = keep(now, f"now{step}")
+        rest = keep(open_.join(now.select(F.col("id").alias("b")), "b", "left_anti"), f"open{step}")
+        both = keep(decided.unionByName(now), f"decided{step}")
+        keep.drop(decided, open_, now)
+        decided, open_ = both, rest
+    return decided
+
+
 def assign_keys(rows: DataFrame, block: str, ordinal: str, key: str, words: str, least: float = 0.7, carry: Sequence[str] = (), also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``rows`` with ``assigned``: the key of the first earlier row of its block that is alike, else its own key.
 
-    A fold in order, which no closure over pairs gives: a row that takes another's key doesn't attract later ones.  The
-    alike pairs come from ``similar_pairs``; then in each round those rows are decided whose earlier alike rows are, or
-    that have a deciding one before all undecided ones.  Rounds are joins, no block is gathered.  Each distinct
-    (block, key) meets the fold once, its repeats get its outcome by a join.
+    A fold in order: a row that takes another's key doesn't attract later ones.  Each distinct (block, key) meets the
+    fold once, its repeats get its outcome by a join.  So do rows with equal words and carried columns, all of which
+    have the outcome of the first: no pairs within them are made.
 
     :param ordinal: unique; the order of the fold.
     """
     firsts = rows.groupBy(block, key).agg(F.min_by(F.struct(ordinal, words, *carry), ordinal).alias("f")).select(block, key, "f.*")
     with Scratch(rows.sparkSession) as keep:
         firsts = keep(firsts, "firsts")
-        pairs = keep(similar_pairs(firsts, block, ordinal, words, least, carry, also), "pairs")
-        # of: the row whose key is taken, null for a row that keeps its own
-        none = F.lit(None).cast(firsts.schema[ordinal].dataType)
-        decided = keep(firsts.select(F.col(ordinal).alias("id")).join(pairs.select(F.col("b").alias("id")), "id", "left_anti").select("id", none.alias("of")), "decided")
-        open_ = keep(pairs.select("a", "b"), "open")
-        for step in range(MOST_ROUNDS):
-            known = open_.join(decided.select(F.col("id").alias("a"), F.col("of").isNull().alias("keeps")), "a", "left")
-            state = known.groupBy("b").agg(F.min(F.when(F.col("keeps"), F.col("a"))).alias("of"), F.min(F.when(F.col("keeps").isNull(), F.col("a"))).alias("waits"))
-            now = keep(state.filter("waits IS NULL OR of < waits").select(F.col("b").alias("id"), "of"), f"now{step}")
-            rest = keep(open_.join(now.select(F.col("id").alias("b")), "b", "left_anti"), f"open{step}")
-            both = keep(decided.unionByName(now), f"decided{step}")
-            keep.drop(decided, open_, now)
-            decided, open_ = both, rest
-            if open_.isEmpty():
-                break
-        else:
-            raise RuntimeError(f"rows undecided after {MOST_ROUNDS} rounds")
+        classes, members = _classes(firsts, block, ordinal, words, least, carry, also)
+        # rows that aren't alike to their equals are classes of their own
+        classes, members = keep(classes, "classes"), keep(members, "members")
+        met = _alike_classes(classes, least, also).withColumn("kind", F.lit("like"))
+        single = members.join(classes.filter("alone").select("id", "block"), "id")
+        spread = members.withColumnRenamed("member", "m")
+        lone = classes.filter("alone").select(F.col("id").alias("p"))
+        met_a = met.join(lone.join(spread.withColumnRenamed("id", "p"), "p"), "p", "left").withColumn("a", F.coalesce("m", "p")).drop("m")
+        lone_q = lone.withColumnRenamed("p", "q").join(spread.withColumnRenamed("id", "q"), "q")
+        pairs = met_a.join(lone_q, "q", "left").withColumn("b", F.coalesce("m", "q")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "p", "kind")
+        pairs = pairs.join(classes.select(F.col("id").alias("p"), "block"), "p").select("a", "b", "block", "kind")
+        ids = classes.filter("NOT alone").select("id").unionByName(single.select(F.col("member").alias("id"))).withColumn("sure", F.lit(False))
+        decided = first_alike(ids, pairs, keep)
+        own = members.join(classes.select("id", "alone"), "id").select("member", F.when(F.col("alone"), F.col("member")).otherwise(F.col("id")).alias("id"))
+        of = own.join(decided, "id").select(F.col("member").alias(ordinal), F.coalesce("of", "id").alias("of"))
         keys = firsts.select(F.col(ordinal).alias("of"), F.col(key).alias("taken"))
-        done = firsts.select(block, key, F.col(ordinal).alias("id")).join(decided, "id", "left").join(keys, "of", "left")
+        done = firsts.select(block, key, ordinal).join(of, ordinal, "left").join(keys, "of", "left")
         done = materialise(done.select(block, key, F.coalesce("taken", key).alias("assigned")), "assigned")
     return rows.join(done, [block, key], "left")
+
+
+def _prefixes(name: Column) -> Column:
+    """The word-wise prefixes of a name, itself included."""
+    parts = F.split(name, " ")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), " "))
+
+
+def _vacancy_pairs(classes: DataFrame, least: float, miles: float) -> DataFrame:
+    """a, b, block, kind: alike classes of vacancies.
+
+    :param classes: id, employer, block (its first word), w (not empty), sites (array of key, lat, lon).
+
+    Two classes meet on an employer's name, a rare word and a spot at once.  The name is that of one and a prefix of the
+    other's.  The word is one of the rarest of the smaller set.  The spot is a place's name or a cell of a grid: the
+    smaller set asks by its own cells and the other is found by all cells in reach of its places.  A class without
+    places meets all of its name and word.  So neither a large employer, nor a common title in many towns, nor a busy
+    town is paired with itself as a whole.
+    """
+    ranked = _by_rareness(classes.select("block", "id", "w"), "block")
+    own = lambda s: F.concat(F.lit("c"), cell_of(s["lat"], s["lon"], miles))
+    named = F.transform("sites", lambda s: F.concat(F.lit("k"), s["key"]))
+    points = F.filter("sites", lambda s: s["lat"].isNotNull())
+    cells, reach = F.transform(points, own), F.flatten(F.transform(points, lambda s: F.transform(cells_in_reach(s["lat"], s["lon"], miles), lambda c: F.concat(F.lit("c"), c))))
+    nowhere = F.size("sites") == 0
+    sized = classes.withColumn("n", F.size("w"))
+    at = lambda names, tag: F.transform(names, lambda x: F.concat(F.lit(tag), x))
+    above = F.filter(_prefixes(F.col("employer")), lambda x: x != F.col("employer"))
+    asks = sized.join(ranked, "id").select(
+        F.col("id").alias("x"), F.col("n").alias("nx"),
+        F.explode(F.transform(F.slice("by_count", F.lit(1), _asked(F.col("n"), least)), lambda c: c["word"])).alias("word"),
+        F.concat(F.array(F.concat(F.lit("o"), F.col("employer"))), at(above, "p")).alias("names"),
+        F.array_distinct(F.when(nowhere, F.array(F.lit("*"))).otherwise(F.concat(named, cells, F.array(F.lit("-"))))).alias("spots"),
+    )
+    posts = sized.select(
+        F.col("id").alias("y"), F.col("n").alias("ny"),
+        F.explode("w").alias("word"),
+        F.concat(at(_prefixes(F.col("employer")), "o"), F.array(F.concat(F.lit("p"), F.col("employer")))).alias("names"),
+        F.array_distinct(F.when(nowhere, F.array(F.lit("*"), F.lit("-"))).otherwise(F.concat(named, reach, F.array(F.lit("*"))))).alias("spots"),
+    )
+    spread = lambda df: df.withColumn("name", F.explode("names")).withColumn("spot", F.explode("spots")).drop("names", "spots")
+    met = spread(asks).join(spread(posts), ["name", "word", "spot"]).filter("nx <= ny AND x <> y")
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left, right = (classes.select(F.col("id").alias(k), F.struct("w", "sites", "block").alias(f"of_{k}")) for k in ("a", "b"))
+    one, two = F.col("of_a.sites"), F.col("of_b.sites")
+    near = F.exists(one, lambda s: F.exists(two, lambda t: (s["key"] == t["key"]) | F.coalesce(haversine_miles(s["lat"], s["lon"], t["lat"], t["lon"]) <= miles, F.lit(False))))
+    alike = similar_titles(F.col("of_a.w"), F.col("of_b.w"), least) & ((F.size(one) == 0) | (F.size(two) == 0) | near)
+    return met.join(left, "a").join(right, "b").filter(alike).select("a", "b", F.col("of_a.block").alias("block"), F.lit("like").alias("kind"))
+
+
+def assign_vacancies(rows: DataFrame, gazetteer: DataFrame, least: float = 0.7, miles: float = NEAR_MILES) -> DataFrame:
+    """``rows`` with ``assigned``: the key of the vacancy that each advert is one of.
+
+    :param rows: ordinal (unique, the order of the fold), key (of ``dedupe_key``: made of employer, title words and
+        town), employer (normalised), words (of the title), places (array of names), stored; other columns stay.
+    :param gazetteer: place, names (array), is_point, lat, lon.
+
+    An advert has the key of an earlier one that keeps its own: first of one with the same key, else of the first whose
+    employer is the same or a word-wise prefix, whose title is alike, and which is at the same place or one within
+    ``miles``; no places on one side are no hindrance.  Stored adverts keep their keys.  Adverts without title words
+    keep theirs, as do those without an employer's name unless another has none.  Null places, and those that the
+    gazetteer lacks, count by name.  Equal adverts take part as one.
+    """
+    with Scratch(rows.sparkSession) as keep:
+        places = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("places", F.array().cast("array<string>")), lambda p: place_key(p)), lambda p: p != "")))
+        cut = keep(rows.select("ordinal", "key", F.coalesce("employer", F.lit("")).alias("employer"), F.array_sort(F.array_distinct("words")).alias("w"), places.alias("keys"), F.coalesce("stored", F.lit(False)).alias("stored")), "adverts")
+        worded = cut.filter("size(w) > 0")
+        classes = keep(worded.groupBy("employer", "w", "keys").agg(F.min("ordinal").alias("id"), F.min_by(F.struct("key", "stored"), "ordinal").alias("f")).select("id", "employer", F.substring_index("employer", " ", 1).alias("block"), "w", "keys", "f.*"), "classes")
+        known = gazetteer_keys(gazetteer).select("key", "lat", "lon")
+        sites = classes.select("id", F.explode("keys").alias("key")).join(known, "key", "left").groupBy("id").agg(F.collect_list(F.struct("key", "lat", "lon")).alias("sites"))  # one advert's places
+        sited = keep(classes.join(sites, "id", "left").select("id", "employer", "block", "w", F.coalesce("sites", F.array().cast("array<struct<key:string,lat:double,lon:double>>")).alias("sites")), "sited")
+        like = _vacancy_pairs(sited, least, miles)
+        # the row before of the same key, among the classes' first rows; stored keys come before all
+        chain = F.lag("id").over(_by_key())
+        first_stored = cut.filter("stored").groupBy("key").agg(F.min("ordinal").alias("stored_at"))
+        keyed = classes.withColumn("before", chain).select(F.col("before").alias("a"), F.col("id").alias("b"), "block", F.lit("key").alias("kind")).filter("a IS NOT NULL")
+        by_stored = classes.join(first_stored, "key").filter("NOT stored AND stored_at < id").select(F.col("stored_at").alias("a"), F.col("id").alias("b"), "block", F.lit("key").alias("kind"))
+        pairs = like.unionByName(keyed.join(by_stored.select("b"), "b", "left_anti")).unionByName(by_stored)
+        ids = classes.select("id", F.col("stored").alias("sure")).unionByName(by_stored.select(F.col("a").alias("id"), F.lit(True).alias("sure"))).groupBy("id").agg(F.max("sure").alias("sure"))
+        decided = first_alike(ids, pairs, keep)
+        keepers = decided.filter("status = 'keeps'").select(F.col("id").alias("ordinal")).unionByName(cut.filter("stored").select("ordinal")).distinct()
+        first_keeper = cut.join(keepers, "ordinal").groupBy("key").agg(F.min("ordinal").alias("kept_at"))
+        outcome = classes.select("id", "employer", "w", "keys").join(decided, "id")
+        met = cut.join(first_keeper, "key", "left").join(outcome, ["employer", "w", "keys"], "left")
+        own = F.col("stored") | F.col("id").isNull() | F.coalesce(F.col("kept_at") <= F.col("ordinal"), F.lit(False))
+        of = F.when(~own, F.when(F.col("status") == "keeps", F.col("id")).otherwise(F.col("of")))
+        keys = cut.select(F.col("ordinal").alias("of_row"), F.col("key").alias("taken"))
+        done = met.select("ordinal", "key", of.alias("of_row")).join(keys, "of_row", "left").select("ordinal", F.coalesce("taken", "key").alias("assigned"))
+        done = materialise(done, "assigned")
+    return rows.join(done, "ordinal", "left")
+
+
+def _by_key() -> WindowSpec:
+    """Classes of one key in order: a lag over them, however many there are."""
+    return Window.partitionBy("key").orderBy("id")
