@@ -1,14 +1,17 @@
 """Phrase collocations by count tries.
 
 A shard's texts (about ``SHARD_BYTES`` of one language) are read into a count trie whose nodes are phrases: a node of
-depth d has a parent, its first d - 1 words, and a suffix link, its last d - 1 words.  In a shard a node is the pair of
-its parent's and its link's number, both nodes of depth d - 1, and every place of the text knows the node that begins
-there.  The trie grows by one depth a round, five at most:
-
-- Each shard counts the nodes of the next depth and hands them over as rows sorted by phrase.
-- The shards' sorted rows meet in ranges of phrases, where equal ones are summed up.
-- Nodes that come up often enough are joined back to the shards that have them.  A phrase can't come up more often
-  than a part of it, so a next node needs a parent and a link that are both left, and what is dropped is never asked for.
+depth d has a parent, its first d - 1 words, and a suffix link, its last d - 1 words.  Within a shard a node is the pair
+of its parent's and its link's number, both nodes of depth d - 1, numbered in the order of their phrases; every place of
+the text knows the node that begins there.  The trie grows by one depth a round, five at most:
+
+- Each shard counts its nodes of the next depth and hands them over sorted: a row for each parent, with its children's
+  words in order and their counts.
+- The shards' rows meet in ranges of parents, in order, and are merged: the children of one parent are summed up over all
+  shards.  A parent that comes up very often is dealt into parts by its children, so that none is one task's.
+- Those that come up often enough go back to the shards as positions in their own rows.  A phrase can't come up more
+  often than a part of it, so a next node needs a parent and a link that are both left, and what is dropped is never
+  asked for.
 
 On what is left, walking down from the root gives each node the counts of its left parts: its parent's and its parent's
 own.  Following suffix links gives those of its right parts.  Both are joins of one depth with the one before.
@@ -20,7 +23,8 @@ unless Spark finds its written table small.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +41,51 @@ DEPTH, LEAST = 5, 100
 TOP = 2000
 #: Bytes of text that a task holds about, over all its languages; a longer text is a shard of its own.
 SHARD_BYTES = 24 << 20
+#: Languages that a task has open at most.
+OPEN_LANGS = 256
+#: Occurrences of a parent that its children in one part have at most, about.
+PART = 1 << 20
 #: Groups that a language is dealt into before its best phrases are put together.
 DEALT = 256
 #: A word that stands for the end of a piece; it can't be in a text, since it is cut there.
 BREAK = b"."
 #: The characters that end pieces (as BREAK), and the tab as a space.
 CUTS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", BREAK * 10 + b" ")
-ROWS = "shard long, lang string, phrase string, n long, parent int, link int, places binary"
-NAMES = [field.split(" ")[0] for field in ROWS.split(", ")]
-TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+#: Words of shards, and a row for each shard's places (word null).
+WORDS = "shard long, lang string, word string, n long, local int, places binary"
+#: Parents with their children, in rows of shards, and a row for each shard's state (parent null).
+TRIES = "shard long, lang string, parent string, part int, base int, children string, counts binary, places binary, phrases string, weights binary"
+#: Nodes that are left (lang, phrase, a), and where shards have them (shard, at, weights).
+MERGED = "lang string, phrase string, a long, shard long, at binary, weights binary"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(ddl: str, rows: int, **columns: object) -> pa.RecordBatch:
+    """Rows of a schema; columns that aren't given are null, single values are repeated."""
+    fields = [f.split(" ") for f in ddl.split(", ")]
+
+    def column(name: str, kind: pa.DataType) -> pa.Array:
+        value = columns.get(name)
+        if isinstance(value, pa.ChunkedArray):
+            value = value.combine_chunks()
+        if isinstance(value, (pa.Array, np.ndarray)):
+            return (value if isinstance(value, pa.Array) else pa.array(value)).cast(kind)
+        return pa.nulls(rows, kind) if value is None else pa.array([value] * rows, kind)
+
+    return pa.RecordBatch.from_arrays([column(n, _KINDS[k]) for n, k in fields], names=[n for n, _ in fields])
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from -1 on, compressed byte plane by byte plane."""
+    planes = (numbers + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64) - 1
 
 
 class _Numbers(dict):
@@ -57,7 +97,7 @@ class _Numbers(dict):
 
 
 class _Shard:
-    """Words of one language's texts, numbered; pieces end with number 0."""
+    """Words of one language's texts, numbered; pieces end with BREAK."""
 
     def __init__(self) -> None:
         self.held, self.numbers, self.places = 0, _Numbers({BREAK: 0}), [np.zeros(1, np.int32)]
@@ -69,34 +109,17 @@ class _Shard:
         self.places.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
         self.places.append(self.places[0])
 
-    def nodes(self) -> tuple[np.ndarray, pa.Array]:
-        """The node of depth 1 that begins at each place, -1 at ends of pieces, and the phrases of the nodes."""
-        words = pa.array(itertools.islice(self.numbers, 1, None), pa.binary()).cast(pa.string())
-        return np.concatenate(self.places) - 1, words
-
-
-def _packed(places: np.ndarray) -> bytes:
-    """Numbers from -1 on, in two bytes each where they fit: the first byte says how many."""
-    narrow = places.max(initial=0) < (1 << 16) - 1
-    return bytes([2 if narrow else 4]) + (places + 1).astype("<u2" if narrow else "<u4").tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype(np.int64) - 1
-
-
-def _rows(shard: int, lang: str, places: np.ndarray, phrases: pa.Array, counts: np.ndarray, parent: np.ndarray, link: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A shard's nodes sorted by phrase, and a row that holds its places."""
-    n = len(phrases)
-    order = pc.sort_indices(phrases)
-    columns = [phrases.take(order), *(pa.array(x, kind).take(order) for x, kind in ((counts, pa.int64()), (parent, pa.int32()), (link, pa.int32())))]
-    named = [pa.array([shard] * n, pa.int64()), pa.array([lang] * n, pa.string())]
-    yield pa.RecordBatch.from_arrays([*named, *columns, pa.nulls(n, pa.binary())], names=NAMES)
-    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([lang]), *(pa.nulls(1, x.type) for x in columns), pa.array([_packed(places)], pa.binary())], names=NAMES)
+    def nodes(self) -> tuple[np.ndarray, list[bytes]]:
+        """The node of depth 1 that begins at each place, -1 at ends of pieces, and the words in order."""
+        met = list(self.numbers)
+        order = sorted(range(1, len(met)), key=met.__getitem__)
+        rank = np.full(len(met), -1, np.int64)
+        rank[order] = np.arange(len(order))
+        return rank[np.concatenate(self.places)], [met[i] for i in order]
 
 
 def words(docs: DataFrame) -> DataFrame:
-    """Depth 1 of each shard's trie: rows of words (a node is its own parent), and one of its places.
+    """Depth 1 of each shard's trie: rows of words, and one of its places.
 
     Numbers of shards are those of partitions, so the table has to be written before it is read twice.
     """
@@ -107,9 +130,11 @@ def words(docs: DataFrame) -> DataFrame:
         open_: dict[str, _Shard] = {}
 
         def close(lang: str) -> Iterator[pa.RecordBatch]:
-            places, phrases = open_.pop(lang).nodes()
-            own = np.arange(len(phrases), dtype=np.int32)
-            yield from _rows(next(counter), lang, places, phrases, np.bincount(places[places >= 0], minlength=len(phrases)), own, own)
+            places, met = open_.pop(lang).nodes()
+            shard, n = next(counter), len(met)
+            counts = np.bincount(places[places >= 0], minlength=n)
+            yield _batch(WORDS, n, shard=shard, lang=lang, word=pa.array(met, pa.binary()).cast(pa.string()), n=counts, local=np.arange(n))
+            yield _batch(WORDS, 1, shard=shard, lang=lang, places=_packed(places))
 
         held = 0
         for batch in batches:
@@ -122,55 +147,164 @@ def words(docs: DataFrame) -> DataFrame:
                     largest = max(open_, key=lambda x: open_[x].held)
                     held -= open_[largest].held
                     yield from close(largest)
-                    if len(open_) > 256:  # many languages of few texts each
-                        for lang_ in list(open_):
-                            yield from close(lang_)
-                        held = 0
+                if len(open_) > OPEN_LANGS or held > SHARD_BYTES:  # many languages, or many short texts
+                    for other in list(open_):
+                        yield from close(other)
+                    held = 0
         for lang in list(open_):
             yield from close(lang)
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(run, ROWS)
-
-
-def _next_depth(own: pa.Table, left: pa.Table) -> pa.Table:
-    """A shard's nodes of the next depth.
-
-    :param own: one row: the places with nodes of depth d - 1.
-    :param left: the shard's nodes of depth d that are left: parent and link (nodes of depth d - 1) and phrase.
-    """
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(run, WORDS)
+
+
+def _last_words(phrases: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(phrases, r"(?s)^.* ", "")
+
+
+class _Level:
+    """A shard's live nodes of one depth: at each place, their phrases in order, their occurrences over all shards."""
+
+    def __init__(self, places: np.ndarray, phrases: pa.Array, weights: np.ndarray) -> None:
+        self.places, self.phrases, self.weights = places, phrases, weights
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """parent, link, part, count and last word of the nodes one deeper, in order of parent, part and last word."""
+        if len(self.places) < 2:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, pa.array([], pa.string())
+        both = np.flatnonzero((self.places[:-1] >= 0) & (self.places[1:] >= 0))
+        found, counts = np.unique(self.places[both] << 32 | self.places[both + 1], return_counts=True)
+        parent, link = found >> 32, found & 0xFFFFFFFF
+        ends = _last_words(self.phrases).take(pa.array(link))
+        parts, part = 1 + self.weights[parent] // PART, np.zeros(len(parent), np.int64)
+        many = np.flatnonzero(parts > 1)
+        if len(many):
+            part[many] = np.array([zlib.crc32(w.encode()) for w in ends.take(pa.array(many)).to_pylist()], np.int64) % parts[many]
+            order = np.lexsort((link, part, parent))
+            parent, link, part, counts, ends = parent[order], link[order], part[order], counts[order], ends.take(pa.array(order))
+        return parent, link, part, counts, ends
+
+    def deeper(self, at: np.ndarray, weights: np.ndarray) -> _Level:
+        """The nodes one deeper that are left, by their positions in ``pairs``."""
+        parent, link, _, _, ends = self.pairs()
+        order = np.argsort(at)
+        at, weights = at[order], weights[order]
+        keys = parent[at] << 32 | link[at]
+        phrases = pc.binary_join_element_wise(self.phrases.take(pa.array(parent[at])), ends.take(pa.array(at)), " ")
+        order = np.argsort(keys)  # of parent and link, so of phrases
+        keys, phrases, weights = keys[order], phrases.take(pa.array(order)), weights[order]
+        if not len(keys):
+            return _Level(np.full(max(0, len(self.places) - 1), -1, np.int64), phrases, weights)
+        pair = self.places[:-1] << 32 | self.places[1:]
+        near = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        return _Level(np.where((self.places[:-1] >= 0) & (self.places[1:] >= 0) & (keys[near] == pair), near, -1), phrases, weights)
+
+    def rows(self, shard: int, lang: str) -> pa.Table:
+        """Its own state, and the children of each of its nodes."""
+        parent, _, part, counts, ends = self.pairs()
+        first = np.flatnonzero(np.append(True, (parent[1:] != parent[:-1]) | (part[1:] != part[:-1]))) if len(parent) else np.zeros(0, np.int64)
+        offsets = np.append(first, len(parent)).astype(np.int32)
+        n = len(first)
+        children = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), ends), "\n")
+        blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets * 4), pa.py_buffer(counts.astype("<u4").tobytes())])
+        own = _batch(TRIES, 1, shard=shard, lang=lang, places=_packed(self.places), phrases="\n".join(self.phrases.to_pylist()), weights=self.weights.astype("<i8").tobytes())
+        below = _batch(TRIES, n, shard=shard, lang=lang, parent=self.phrases.take(pa.array(parent[first])), part=part[first], base=first, children=children, counts=blobs)
+        return pa.Table.from_batches([own, below])
+
+
+def _nothing() -> pa.Table:
+    return pa.Table.from_batches([_batch(TRIES, 0)])
+
+
+def _from_words(own: pa.Table, left: pa.Table) -> pa.Table:
+    """Depth 1 with the words that are left (local, word, a), and the nodes of depth 2."""
+    if not own.num_rows or not left.num_rows:
+        return _nothing()
+    local = left.column("local").to_numpy()
+    order = np.argsort(local)
+    places, number = _unpacked(own.column("places")[0].as_py()), local[order]
+    now = np.minimum(np.searchsorted(number, places), len(number) - 1)
+    places = np.where((places >= 0) & (number[now] == places), now, -1)
+    level = _Level(places, left.column("word").combine_chunks().take(pa.array(order)), left.column("a").to_numpy()[order])
+    return level.rows(own.column("shard")[0].as_py(), own.column("lang")[0].as_py())
+
+
+def _from_state(own: pa.Table, left: pa.Table) -> pa.Table:
+    """The next depth with the nodes that are left (at, weights), and those one deeper."""
     if not own.num_rows or not left.num_rows:
-        return pa.table([pa.nulls(0, t) for t in TYPES], names=NAMES)
-    places = _unpacked(own.column("places")[0].as_buffer())
-    keys = left.column("parent").to_numpy().astype(np.int64) << 32 | left.column("link").to_numpy()
-    order = np.argsort(keys)
-    keys, phrases = keys[order], left.column("phrase").combine_chunks().take(pa.array(order))
-    if left.column("depth")[0].as_py() == 1:  # a word is its own parent
-        pair, ends = places << 32 | places, places >= 0
-    else:
-        pair, ends = places[:-1] << 32 | places[1:], (places[:-1] >= 0) & (places[1:] >= 0)
-    at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-    now = np.where(ends & (keys[at] == pair), at, -1)  # the node of depth d at each place
-    del pair, at, places
-    met = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0))
-    found, counts = np.unique(now[met] << 32 | now[met + 1], return_counts=True)
-    parent, link = (found >> 32).astype(np.int32), (found & 0xFFFFFFFF).astype(np.int32)
-    longer = pc.binary_join_element_wise(phrases.take(pa.array(parent)), pc.replace_substring_regex(phrases, r"(?s)^.* ", "").take(pa.array(link)), " ")
-    shard, lang = own.column("shard")[0].as_py(), own.column("lang")[0].as_py()
-    return pa.Table.from_batches(list(_rows(shard, lang, now, longer, counts, parent, link)))
-
-
-def merged(tries: DataFrame) -> DataFrame:
-    """Shards' sorted rows brought together by ranges of phrases: lang, phrase, a (its occurrences)."""
-    rows = tries.filter("phrase IS NOT NULL").select("lang", "phrase", "n")
-    return rows.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
-
-
-def grown(tries: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """The shards' tries one deeper than ``depth``, from their rows and the nodes of that depth that are left."""
-    rows = tries.filter("phrase IS NOT NULL").select(F.col("shard").alias("of"), "lang", "phrase", "parent", "link", F.lit(depth).alias("depth"))
-    left = rows.join(nodes.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select("of", "phrase", "parent", "link", "depth")
-    state = tries.filter("phrase IS NULL").select("shard", "lang", "places")
-    return state.groupBy("shard").cogroup(left.groupBy("of")).applyInArrow(_next_depth, ROWS)
+        return _nothing()
+    above = _Level(_unpacked(own.column("places")[0].as_py()), pa.array(own.column("phrases")[0].as_py().split("\n")), np.frombuffer(own.column("weights")[0].as_py(), "<i8"))
+    at, weights = (np.frombuffer(b"".join(left.column(c).to_pylist()), kind).astype(np.int64) for c, kind in (("at", "<u4"), ("weights", "<i8")))
+    return above.deeper(at, weights).rows(own.column("shard")[0].as_py(), own.column("lang")[0].as_py())
+
+
+def _sums(rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+    """Children of whole parents, summed up over shards: nodes that are left, and where shards have them."""
+    same = np.ones(max(0, rows.num_rows - 1), bool)
+    for name in ("lang", "parent", "part"):
+        column = rows.column(name).combine_chunks()
+        same &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    group = np.append(0, np.cumsum(~same))
+    lists = pc.split_pattern(rows.column("children").combine_chunks(), "\n")
+    lengths = lists.value_lengths().to_numpy()
+    row = np.repeat(np.arange(rows.num_rows), lengths)
+    coded = lists.flatten().dictionary_encode()
+    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4")
+    keys, which = np.unique(group[row] * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, which, counts.astype(np.int64))
+    kept = np.flatnonzero(sums >= least)
+    if not len(kept):
+        return
+    first = np.flatnonzero(np.append(True, ~same))
+    of, code = first[keys[kept] // len(coded.dictionary)], pa.array(keys[kept] % len(coded.dictionary))
+    phrase = pc.binary_join_element_wise(rows.column("parent").combine_chunks().take(pa.array(of)), coded.dictionary.take(code), " ")
+    yield _batch(MERGED, len(kept), lang=rows.column("lang").combine_chunks().take(pa.array(of)), phrase=phrase, a=sums[kept])
+    live = np.flatnonzero(sums[which] >= least)
+    begins = np.append(0, np.cumsum(lengths))
+    at = rows.column("base").to_numpy()[row[live]] + live - begins[row[live]]
+    shard = rows.column("shard").to_numpy()[row[live]]
+    order = np.argsort(shard, kind="stable")
+    shard, at, weights = shard[order], at[order].astype("<u4"), sums[which[live]][order].astype("<i8")
+    starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    offsets = np.append(starts, len(shard)).astype(np.int32)
+    blob = lambda x, width: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets * width), pa.py_buffer(x.tobytes())])
+    yield _batch(MERGED, len(starts), shard=shard[starts], at=blob(at, 4), weights=blob(weights, 8))
+
+
+def _merge(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Merges rows that come in order of lang, parent and part; a group's rows are held until it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = lambda b, i: tuple(b.column(c)[i].as_py() for c in (1, 2, 3))
+            last, cut = key(batch, batch.num_rows - 1), batch.num_rows - 1
+            low = 0  # the first row of the last group
+            while low < cut:
+                mid = (low + cut) // 2
+                low, cut = (low, mid) if key(batch, mid) == last else (mid + 1, cut)
+            if low:
+                yield from _sums(pa.Table.from_batches([*held, batch.slice(0, low)]), least)
+                held = [batch.slice(low)]
+            elif held and key(held[-1], held[-1].num_rows - 1) != last:
+                yield from _sums(pa.Table.from_batches(held), least)
+                held = [batch]
+            else:
+                held.append(batch)
+        if held:
+            yield from _sums(pa.Table.from_batches(held), least)
+
+    return run
+
+
+def merged(tries: DataFrame, least: int) -> DataFrame:
+    """Shards' rows brought together in ranges of parents and merged in order."""
+    rows = tries.filter("parent IS NOT NULL").select("shard", "lang", "parent", "part", "base", "children", "counts")
+    by = ["lang", "parent", "part"]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_merge(least), MERGED)
 
 
 def phrases(docs: DataFrame, keep: Scratch, depth: int = DEPTH, least: int = LEAST) -> tuple[DataFrame, list[DataFrame]]:
@@ -178,24 +312,35 @@ def phrases(docs: DataFrame, keep: Scratch, depth: int = DEPTH, least: int = LEA
 
     A phrase's row has lang, phrase, a, lefts (counts of its first 1, 2, ... words) and rights (of what follows these).
     """
-    tries = keep(words(docs), "words")
-    counts = keep(merged(tries), "counts")
-    sizes = keep(counts.groupBy("lang").agg(F.sum("a").alias("n")), "sizes")
+    read = keep(words(docs), "words")
+    met = read.filter("word IS NOT NULL").select("shard", "lang", "word", "n", "local")
+    sizes = keep(met.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    # a word has a row for each shard at most
+    often = met.withColumn("a", F.sum("n").over(Window.partitionBy("lang", "word"))).filter(F.col("a") >= least)
+    left = keep(often.select("shard", "lang", "word", "a", "local"), "left1")
     none = F.array().cast("array<bigint>")
-    levels = [keep(counts.filter(F.col("a") >= least).select("lang", "phrase", "a", none.alias("lefts"), none.alias("rights")), "phrases1")]
+    first = left.groupBy("lang", F.col("word").alias("phrase")).agg(F.max("a").alias("a"))
+    levels = [keep(first.select("lang", "phrase", "a", none.alias("lefts"), none.alias("rights")), "phrases1")]
+    state = read.filter("word IS NULL").select("shard", "lang", "places")
+    tries = keep(state.groupBy("shard").cogroup(left.select(F.col("shard").alias("of"), "word", "a", "local").groupBy("of")).applyInArrow(_from_words, TRIES), "tries2")
+    keep.drop(read, left)
     for d in range(2, depth + 1):
-        deeper = keep(grown(tries, levels[-1], d - 1), f"tries{d}")
-        keep.drop(tries)
-        tries = deeper
-        found = merged(tries).filter(F.col("a") >= least)
+        found = keep(merged(tries, least), f"merged{d}")
         parent = F.expr("left(phrase, length(phrase) - length(substring_index(phrase, ' ', -1)) - 1)")
         link = F.expr("substring(phrase, length(substring_index(phrase, ' ', 1)) + 2)")
         above = levels[-1]
         up = above.select("lang", F.col("phrase").alias("parent"), F.concat("lefts", F.array("a")).alias("lefts"))
         across = above.select("lang", F.col("phrase").alias("link"), F.concat(F.array("a"), "rights").alias("rights"))
-        walked = found.withColumns({"parent": parent, "link": link}).join(up, ["lang", "parent"]).join(across, ["lang", "link"])
-        levels.append(keep(walked.select("lang", "phrase", "a", "lefts", "rights", "parent", "link"), f"phrases{d}"))
-    keep.drop(tries, counts)
+        nodes = found.filter("shard IS NULL").select("lang", "phrase", "a", parent.alias("parent"), link.alias("link"))
+        levels.append(keep(nodes.join(up, ["lang", "parent"]).join(across, ["lang", "link"]).select("lang", "phrase", "a", "lefts", "rights", "parent", "link"), f"phrases{d}"))
+        if d < depth:
+            state = tries.filter("parent IS NULL").select("shard", "lang", "places", "phrases", "weights")
+            left = found.filter("shard IS NOT NULL").select(F.col("shard").alias("of"), "at", "weights")
+            deeper = keep(state.groupBy("shard").cogroup(left.groupBy("of")).applyInArrow(_from_state, TRIES), f"tries{d + 1}")
+            keep.drop(tries, found)
+            tries = deeper
+        else:
+            keep.drop(tries, found)
     return sizes, levels
 
 
