@@ -84,39 +84,43 @@ def sanitise(html: Column) -> Column:
     return _mapped(html, _safe)
 
 
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+
 def lenient_json(c: Column) -> Column:
-    """A variant of JSON, or of what is JSON but for comments and raw control characters; null of anything else."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"(?m)^\s*//.*$|/\*[\s\S]*?\*/", ""), r"([,{\[])[ \t]*//[^\n\"]*(?=\n)", "$1")
+    """A variant of JSON, or of what is JSON but for comments and raw control characters; null of anything else.
+
+    Strings are matched first, so what looks like a comment in one stays.
+    """
+    bare = F.regexp_replace(c, rf"(?s)({_STRING})|//[^\r\n]*+|/\*.*?\*/", "$1")
     return F.coalesce(F.try_parse_json(c), F.try_parse_json(F.regexp_replace(bare, r"[\x00-\x1f]+", " ")))
 
 
-def _balanced(text: str, marker: str) -> str | None:
-    at = text.find(marker)
-    begin = min((i for i in (text.find("{", at), text.find("[", at)) if i >= 0), default=-1) if at >= 0 else -1
-    depth, quoted, i = 0, False, begin
-    while 0 <= i < len(text):
-        c = text[i]
-        if quoted:
-            i += c == "\\"
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        else:
-            depth += (c in "{[") - (c in "}]")
-            if not depth:
-                return text[begin : i + 1]
-        i += 1
-    return None
+def object_at(c: Column, begin: Column) -> Column:
+    """The object or array that begins at a place of a text (counted from 1), up to the bracket that closes it; or null.
 
+    One pass over strings' quotes, escapes, brackets and what lies between, keeping place, depth and the end.
+    """
+    rest = F.substring(c, begin, F.length(c))
+    tokens = F.regexp_extract_all(rest, F.lit(r"(?s)(\\.|[\"{}\[\]]|[^\"\\{}\[\]]+)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("end"))
 
-def embedded_json(c: Column, marker: str) -> Column:
-    """The text of the first object or array after a marker in a page's script, by matching its braces; null without."""
-    return _mapped(c, lambda text: _balanced(text, marker))
+    def step(state: Column, t: Column) -> Column:
+        quote = t == '"'
+        turn = F.when(state["quoted"], 0).when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+        at, depth = state["at"] + F.length(t), state["depth"] + turn
+        end = F.when(state["end"] > 0, state["end"]).when((depth == 0) & (turn < 0), at).otherwise(0)
+        return F.struct(at.alias("at"), depth.alias("depth"), F.when(quote, ~state["quoted"]).otherwise(state["quoted"]).alias("quoted"), end.alias("end"))
+
+    end = F.aggregate(tokens, start, step, lambda s: s["end"])
+    return F.when(rest.rlike(r"^[{\[]") & (end > 0), F.substring(rest, F.lit(1), end))
 
 
-def without_hidden(html: Column, mark: str) -> Column:
-    """A page without the innermost div and section elements whose tag has ``mark``, which a script would show."""
-    return F.regexp_replace(html, rf"(?is)<(div|section)\b[^>]*{mark}[^>]*>(?:(?!</?\1\b).)*</\1\s*>", " ")
+def embedded_json(c: Column, marker: str) -> Column:
+    """The text of the first object or array after a marker in a page's script, by matching its brackets; null without."""
+    at = F.locate(marker, c)
+    ahead = F.regexp_instr(F.substring(c, at, F.length(c)), F.lit(r"[{\[]"))
+    return F.when((at > 0) & (ahead > 0), object_at(c, at + ahead - 1))
 
 
 def looks_gone(html: Column, status: Column, phrases: Sequence[str], asked: Column, landed: Column) -> Column:

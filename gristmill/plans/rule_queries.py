@@ -9,6 +9,7 @@ from gristmill.functions import dates, entry, labels, links, numbers, pages, pla
 from gristmill.functions.classify import LevelRule, Rules, classify
 from gristmill.operators import discovery, entity, lifecycle, merging, mining, normalising, querying, views
 from gristmill.plans.registry import query, table
+from gristmill.sources import markup
 
 DAY = "1997-01-15"
 
@@ -538,9 +539,10 @@ def page_parts(spark: SparkSession, d: str) -> DataFrame:
     script = F.concat(F.lit('<script>var x = 1; window.state = {"a":[1,"}"],"b":'), key, F.lit("};</script>"))
     hidden = F.concat(F.lit('<div ph-state="expired"><p>has been filled</p></div><p>'), F.when(four == 1, "This job is no longer available").otherwise("Come"), F.lit("</p>"))
     asked = F.concat(F.lit("https://e.x/jobs/"), (F.col("page_id") + 1000).cast("string"))
-    gone = pages.looks_gone(pages.without_hidden(hidden, 'ph-state="expired"'), F.when(four == 0, 404).otherwise(200), ["no longer available", "has been filled"], asked, F.when(four == 2, "https://e.x/search").otherwise(asked))
+    gone = pages.looks_gone(F.col("seen"), F.when(four == 0, 404).otherwise(200), ["no longer available", "has been filled"], asked, F.when(four == 2, "https://e.x/search").otherwise(asked))
     lines = pages.headlines(F.concat(F.lit("<ul><li>Apply for data "), key, F.lit("</li><li>Other</li></ul><script>apply</script><p>Apply for data "), key), "(?i)apply")
-    return table(spark, d, "pages").select("page_id", F.try_variant_get(pages.lenient_json(almost), "$.title", "string").alias("title"), pages.marked_field(marked, "title").alias("marked"), pages.embedded_json(script, "window.state").alias("embedded"), gone.alias("gone"), F.lower(F.array_join(lines, "|")).alias("lines"))
+    shown = markup.without_hidden(table(spark, d, "pages").select("page_id", hidden.alias("seen")), "seen", 'ph-state="expired"')
+    return shown.select("page_id", F.try_variant_get(pages.lenient_json(almost), "$.title", "string").alias("title"), pages.marked_field(marked, "title").alias("marked"), pages.embedded_json(script, "window.state").alias("embedded"), gone.alias("gone"), F.lower(F.array_join(lines, "|")).alias("lines"))
 
 
 @query(

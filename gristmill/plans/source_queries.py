@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.plans.registry import query, table
-from gristmill.sources import printed
+from gristmill.sources import details, flight, markup, printed
 
 _EDITION = printed.Table(
     head=r"\bEmployer\s+Role\s+Level\s+Location",
@@ -53,3 +53,79 @@ def printed_listings(spark: SparkSession, d: str) -> DataFrame:
     own = F.regexp_extract("link", "([0-9]+)", 1).cast("long")
     opened = printed.month_of(F.col("opens"), edition)
     return rows.select(own.alias("p_partkey"), "section", "employer", "role", "level", "location", "salary", opened.alias("opens_on"), F.col("closing_date").alias("closes_on"), F.col("apply_url").isNotNull().alias("by_mail"))
+
+
+# pages
+
+
+@query(
+    """WITH b AS (SELECT page_id, replace(replace(html, '<', '('), '>', ')') AS body FROM pages)
+    SELECT page_id, sha256('<div class="x"> kept ' || page_id || CASE WHEN page_id % 3 = 0 THEN '<section>shown</section>' ELSE ' ' END || '</div>') AS shown, CAST(length(body) AS BIGINT) AS hidden_chars FROM b"""
+)
+def hidden_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose own text is in hidden elements that hold others of their name."""
+    body = F.translate("html", "<>", "()")
+    key = F.col("page_id").cast("string")
+    mark = F.when(F.col("page_id") % 3 == 0, "").otherwise(' state="expired"')
+    page = F.concat(F.lit('<div class="x"><div state="expired"><div>'), body, F.lit("</div><div state='expired'><div>b</div></div> more</div> kept").substr(F.lit(1), F.lit(1000)), F.lit(" "), key, F.lit("<section"), mark, F.lit(">shown</section></div>"))
+    pages = table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("hidden_chars"), page.alias("page"))
+    return markup.without_hidden(pages, "page", "state=[\"']expired[\"']").select("page_id", F.sha2(F.regexp_replace("page", '^<div class="x"> +kept', '<div class="x"> kept'), 256).alias("shown"), "hidden_chars")
+
+
+@query(
+    """WITH b AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(html, '<', '('), '>', ')'), '&', '+'), '\\s+', ' ', 'g')) AS body FROM pages)
+    SELECT page_id, 'Advert ' || page_id AS title, CASE WHEN page_id % 4 = 0 THEN 'json' ELSE 'microdata' END AS via, CASE WHEN page_id % 4 <> 3 THEN 'Works ' || page_id % 7 END AS employer,
+      CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Town ' || page_id % 5 || ', GB' WHEN 2 THEN 'at Town here' END AS place, CAST(DATE '2026-01-01' + CAST(page_id % 300 AS INTEGER) AS DATE) AS closes, CASE WHEN page_id % 4 = 0 THEN NULL ELSE sha256(body) END AS text FROM b"""
+)
+def page_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Adverts of pages that give structured data, microdata with scopes in scopes, or microdata without."""
+    key = F.col("page_id").cast("string")
+    four = F.col("page_id") % 4
+    body = F.translate("html", "<>&", "()+")
+    day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("page_id") % 300).cast("int")).cast("string")
+    works = F.concat(F.lit("Works "), (F.col("page_id") % 7).cast("string"))
+    data = F.concat(F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"Advert '), key, F.lit('","hiringOrganization":{"name":"'), works, F.lit('"},"validThrough":"'), day, F.lit('"}</script>'))
+    town = F.concat(F.lit('<div itemprop="jobLocation" itemscope><div itemprop="address" itemscope><b itemprop="addressLocality">Town '), (F.col("page_id") % 5).cast("string"), F.lit('</b><i itemprop="addressCountry">GB</i></div></div>'))
+    where = F.when(four == 1, town).when(four == 2, F.lit('<div itemprop="jobLocation">at <i>Town</i> here</div>')).otherwise("")
+    who = F.when(four == 3, "").when(four == 1, F.concat(F.lit('<span itemprop="hiringOrganization" itemscope><u itemprop="title">no</u><u itemprop="name">'), works, F.lit("</u></span>"))).otherwise(F.concat(F.lit('<span itemprop="hiringOrganization">'), works, F.lit("</span>")))
+    job = F.concat(F.lit('<div itemscope itemtype="https://schema.org/WebPage"><i itemprop="title">page</i><div itemscope itemtype="http://schema.org/JobPosting">'), who, where, F.lit('<h1 itemprop="title">Advert '), key, F.lit('</h1><meta itemprop="validThrough" content="'), day, F.lit('"><div itemprop="description"><div>'), body, F.lit("</div></div></div></div>"))
+    page = F.when(four == 0, F.concat(data, job)).otherwise(job)
+    read = details.postings(table(spark, d, "pages").select("page_id", page.alias("page")), "page", F.lit("2026-01-01").cast("date"))
+    p = F.col("posting")
+    return read.select("page_id", p["title"].alias("title"), p["via"].alias("via"), p["employer"].alias("employer"), F.nullif(p["place"], F.lit("")).alias("place"), p["closes"].alias("closes"), F.when(p["via"] == "microdata", F.sha2(details.plain_description(p), 256)).alias("text"))
+
+
+@query(
+    """WITH i AS (SELECT o_custkey AS source, o_orderkey AS id, o_orderstatus AS sig, o_orderkey % 3 = 0 AS has, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS old, o_orderkey % 2 = 0 AS unwanted, o_orderkey % 7 <> 0 AS stored FROM orders),
+    f AS (SELECT *, has AND sig = old AND (unwanted OR stored) AS same FROM i)
+    SELECT CAST(source AS VARCHAR) AS source, CAST(id AS VARCHAR) AS id, CASE WHEN same THEN 'cached' WHEN row_number() OVER (PARTITION BY source, same ORDER BY id) <= 3 THEN 'ask' ELSE 'left' END AS how FROM f"""
+)
+def detail_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Which pages each source asks for: three a run, none that is remembered."""
+    key = F.col("o_orderkey")
+    items = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("source"), key.cast("string").alias("id"), F.col("o_orderstatus").alias("sig"), key.alias("place"))
+    cache = table(spark, d, "orders").filter(key % 3 == 0).select(F.col("o_custkey").cast("string").alias("source"), key.cast("string").alias("id"), F.when(key % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("sig"), F.when(key % 2 != 0, "old").alias("listing"))
+    known = items.filter("place % 7 <> 0").select("source", "id")
+    return details.plan(items, cache, known, 3).select("source", "id", "how")
+
+
+@query(
+    """WITH b AS (SELECT page_id, url, translate(html, '"\\', ''' ') AS body FROM pages)
+    SELECT page_id, 'Advert {' || page_id || '}' AS title, url, sha256(trim(regexp_replace(body, '[\\x00-\\x20]+', ' ', 'g'))) AS text, CAST(page_id % 9 AS BIGINT) AS total, page_id % 9 <= 1 AS complete FROM pages JOIN b USING (page_id, url)"""
+)
+def pushed_listings(spark: SparkSession, d: str) -> DataFrame:
+    """Records of page data that is pushed in pieces, cut at a place of its own in each page, with references."""
+    key = F.col("page_id").cast("string")
+    body = F.to_json(F.struct(F.translate("html", '"\\', "' ").alias("t")))
+    text = F.regexp_extract(body, r"(?s)^\{\"t\":(.*)\}$", 1)
+    told = F.concat(F.lit('0:["$1"]\n1:{"opportunity":{"title":"Advert {'), key, F.lit('}","more":"$2","url":"$a"}}\n2:{"text":'), text, F.lit('}\na:"'), F.col("url"), F.lit('"\n'))
+    cut = (F.col("page_id") * 37 % 90 + 1).cast("int")
+    pushed = lambda a: F.concat(F.lit("<script>self.__next_f.push("), F.to_json(F.array(F.lit("1"), a)), F.lit(")</script>"))
+    listed = F.concat(F.lit('<script type="application/ld+json">{"@type":"ItemList","name":"'), (F.col("page_id") % 9).cast("string"), F.lit(' Opportunities","itemListElement":[{"url":"'), F.col("url"), F.lit('"}]}</script>'))
+    page = F.concat(listed, pushed(F.substring(told, F.lit(1), cut)), F.lit("<p>x</p>"), pushed(F.substring(told, cut + 1, F.length(told))))
+    docs = table(spark, d, "pages").select("page_id", "url", page.alias("page"))
+    rows = flight.resolved(flight.lines(docs, "page", "page_id"), ["1"]).select(F.col("key").alias("page_id"), flight.record(F.col("value"), "opportunity").alias("o"))
+    search = docs.select("page_id", flight.item_list(F.col("page")).alias("s"))
+    get = lambda path: F.try_variant_get("o", path, "string")
+    plain = F.trim(F.regexp_replace(get("$.more.text"), r"[\x00-\x20]+", " "))
+    return rows.join(search, "page_id").select("page_id", get("$.title").alias("title"), get("$.url").alias("url"), F.sha2(plain, 256).alias("text"), F.col("s.total").alias("total"), flight.is_complete(F.size("s.items").cast("long"), F.col("s.total"), F.lit(False)).alias("complete"))
