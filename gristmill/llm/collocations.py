@@ -5,10 +5,10 @@ depth d has a parent, its first d - 1 words, and a suffix link, its last d - 1 w
 of its parent's and its link's number, both nodes of depth d - 1, numbered in the order of their phrases; every place of
 the text knows the node that begins there.  The trie grows by one depth a round, five at most:
 
-- Each shard counts its nodes of the next depth and hands them over sorted: a row for each parent, with its children's
-  words in order and their counts.
-- The shards' rows meet in ranges of parents, in order, and are merged: the children of one parent are summed up over all
-  shards.  A parent that comes up very often is dealt into parts by its children, so that none is one task's.
+- Each shard counts its nodes of the next depth and hands them over sorted: a row for each stem (a word at depth 2, the
+  first d - 2 words below), with what follows it in order and how often.
+- The shards' rows meet in ranges of stems, in order, and are merged: what follows one stem is summed up over all shards.
+  A stem that comes up very often is dealt into parts by what follows, so that none is one task's.
 - Those that come up often enough go back to the shards as positions in their own rows.  A phrase can't come up more
   often than a part of it, so a next node needs a parent and a link that are both left, and what is dropped is never
   asked for.
@@ -43,7 +43,7 @@ TOP = 2000
 SHARD_BYTES = 24 << 20
 #: Languages that a task has open at most.
 OPEN_LANGS = 256
-#: Occurrences of a parent that its children in one part have at most, about.
+#: Occurrences of a stem that one part of what follows it has at most, about.
 PART = 1 << 20
 #: Groups that a language is dealt into before its best phrases are put together.
 DEALT = 256
@@ -54,8 +54,8 @@ CUTS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", BREAK * 10 + b" ")
 
 #: Words of shards, and a row for each shard's places (word null).
 WORDS = "shard long, lang string, word string, n long, local int, places binary"
-#: Parents with their children, in rows of shards, and a row for each shard's state (parent null).
-TRIES = "shard long, lang string, parent string, part int, base int, children string, counts binary, places binary, phrases string, weights binary"
+#: Stems and what follows them, in rows of shards, and a row for each shard's state (stem null).
+TRIES = "shard long, lang string, stem string, part int, base int, follows string, counts binary, places binary, phrases string, weights binary"
 #: Nodes that are left (lang, phrase, a), and where shards have them (shard, at, weights).
 MERGED = "lang string, phrase string, a long, shard long, at binary, weights binary"
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
@@ -76,16 +76,33 @@ def _batch(ddl: str, rows: int, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column(n, _KINDS[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, compressed byte plane by byte plane, after their length."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    data = pa.compress(planes, codec="zstd", asbytes=True)
+    return len(planes).to_bytes(8, "little") + len(data).to_bytes(8, "little") + data
+
+
+def _of_planes(data: bytes) -> tuple[np.ndarray, bytes]:
+    """The numbers, and the bytes after them."""
+    n, held = (int.from_bytes(data[i : i + 8], "little") for i in (0, 8))
+    planes = np.frombuffer(pa.decompress(data[16 : 16 + held], decompressed_size=n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64), data[16 + held :]
+
+
 def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers from -1 on, compressed byte plane by byte plane."""
-    planes = (numbers + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    """Numbers from -1 on: first which they are, the most common first, then their places in that list."""
+    counts = np.bincount(numbers + 1)
+    order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    rank = np.zeros(len(counts), np.int64)
+    rank[order] = np.arange(len(order))
+    return _planes(order) + _planes(rank[numbers + 1])
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64) - 1
+    order, rest = _of_planes(data)
+    places, _ = _of_planes(rest)
+    return order[places] - 1
 
 
 class _Numbers(dict):
@@ -110,12 +127,8 @@ class _Shard:
         self.places.append(self.places[0])
 
     def nodes(self) -> tuple[np.ndarray, list[bytes]]:
-        """The node of depth 1 that begins at each place, -1 at ends of pieces, and the words in order."""
-        met = list(self.numbers)
-        order = sorted(range(1, len(met)), key=met.__getitem__)
-        rank = np.full(len(met), -1, np.int64)
-        rank[order] = np.arange(len(order))
-        return rank[np.concatenate(self.places)], [met[i] for i in order]
+        """The word that begins at each place, -1 at ends of pieces, and the words as they were numbered."""
+        return np.concatenate(self.places).astype(np.int64) - 1, list(self.numbers)[1:]
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -133,7 +146,9 @@ def words(docs: DataFrame) -> DataFrame:
             places, met = open_.pop(lang).nodes()
             shard, n = next(counter), len(met)
             counts = np.bincount(places[places >= 0], minlength=n)
-            yield _batch(WORDS, n, shard=shard, lang=lang, word=pa.array(met, pa.binary()).cast(pa.string()), n=counts, local=np.arange(n))
+            spelled = pa.array(met, pa.binary()).cast(pa.string())
+            order = pc.sort_indices(spelled)
+            yield _batch(WORDS, n, shard=shard, lang=lang, word=spelled.take(order), n=counts[order.to_numpy()], local=order)
             yield _batch(WORDS, 1, shard=shard, lang=lang, places=_packed(places))
 
         held = 0
@@ -162,53 +177,70 @@ def _last_words(phrases: pa.Array) -> pa.Array:
 
 
 class _Level:
-    """A shard's live nodes of one depth: at each place, their phrases in order, their occurrences over all shards."""
+    """A shard's live nodes of one depth: at each place, their phrases in order, their occurrences over all shards.
 
-    def __init__(self, places: np.ndarray, phrases: pa.Array, weights: np.ndarray) -> None:
+    :param loads: occurrences of each node's stem.
+    """
+
+    def __init__(self, places: np.ndarray, phrases: pa.Array, weights: np.ndarray, loads: np.ndarray | None = None) -> None:
         self.places, self.phrases, self.weights = places, phrases, weights
+        self.loads = weights if loads is None else loads
+        self.ends = _last_words(phrases)
+
+    def stems(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """The stem of each node's children, numbered in order, its phrase, and what stands before a child's last word."""
+        deep = pc.match_substring(self.phrases, " ")
+        stems = pc.replace_substring_regex(self.phrases, r"(?s) [^ ]*$", "")
+        before = pc.if_else(deep, pc.binary_join_element_wise(self.ends, "", " "), "")
+        changed = pc.not_equal(stems[1:], stems[:-1]).to_numpy(zero_copy_only=False) if len(stems) else np.zeros(0, bool)
+        return np.append(0, np.cumsum(changed))[: len(stems)], stems, before
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """parent, link, part, count and last word of the nodes one deeper, in order of parent, part and last word."""
+        """parent, link, part, count and what follows the stem, of the nodes one deeper, in order of stem and part."""
         if len(self.places) < 2:
             none = np.zeros(0, np.int64)
             return none, none, none, none, pa.array([], pa.string())
         both = np.flatnonzero((self.places[:-1] >= 0) & (self.places[1:] >= 0))
         found, counts = np.unique(self.places[both] << 32 | self.places[both + 1], return_counts=True)
         parent, link = found >> 32, found & 0xFFFFFFFF
-        ends = _last_words(self.phrases).take(pa.array(link))
-        parts, part = 1 + self.weights[parent] // PART, np.zeros(len(parent), np.int64)
+        group, _, before = self.stems()
+        follows = pc.binary_join_element_wise(before.take(pa.array(parent)), self.ends.take(pa.array(link)), "")
+        parts, part = 1 + self.loads[parent] // PART, np.zeros(len(parent), np.int64)
         many = np.flatnonzero(parts > 1)
         if len(many):
-            part[many] = np.array([zlib.crc32(w.encode()) for w in ends.take(pa.array(many)).to_pylist()], np.int64) % parts[many]
-            order = np.lexsort((link, part, parent))
-            parent, link, part, counts, ends = parent[order], link[order], part[order], counts[order], ends.take(pa.array(order))
-        return parent, link, part, counts, ends
+            part[many] = np.array([zlib.crc32(w.encode()) for w in follows.take(pa.array(many)).to_pylist()], np.int64) % parts[many]
+            order = np.lexsort((link, parent, part, group[parent]))
+            parent, link, part, counts, follows = parent[order], link[order], part[order], counts[order], follows.take(pa.array(order))
+        return parent, link, part, counts, follows
 
     def deeper(self, at: np.ndarray, weights: np.ndarray) -> _Level:
         """The nodes one deeper that are left, by their positions in ``pairs``."""
-        parent, link, _, _, ends = self.pairs()
-        order = np.argsort(at)
-        at, weights = at[order], weights[order]
+        parent, link, _, _, _ = self.pairs()
         keys = parent[at] << 32 | link[at]
-        phrases = pc.binary_join_element_wise(self.phrases.take(pa.array(parent[at])), ends.take(pa.array(at)), " ")
         order = np.argsort(keys)  # of parent and link, so of phrases
-        keys, phrases, weights = keys[order], phrases.take(pa.array(order)), weights[order]
+        keys, weights = keys[order], weights[order]
+        parent, link = keys >> 32, keys & 0xFFFFFFFF
+        phrases = pc.binary_join_element_wise(self.phrases.take(pa.array(parent)), self.ends.take(pa.array(link)), " ")
         if not len(keys):
             return _Level(np.full(max(0, len(self.places) - 1), -1, np.int64), phrases, weights)
         pair = self.places[:-1] << 32 | self.places[1:]
         near = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-        return _Level(np.where((self.places[:-1] >= 0) & (self.places[1:] >= 0) & (keys[near] == pair), near, -1), phrases, weights)
+        places = np.where((self.places[:-1] >= 0) & (self.places[1:] >= 0) & (keys[near] == pair), near, -1)
+        return _Level(places, phrases, weights, self.weights[parent])
 
     def rows(self, shard: int, lang: str) -> pa.Table:
-        """Its own state, and the children of each of its nodes."""
-        parent, _, part, counts, ends = self.pairs()
-        first = np.flatnonzero(np.append(True, (parent[1:] != parent[:-1]) | (part[1:] != part[:-1]))) if len(parent) else np.zeros(0, np.int64)
+        """Its own state, and what follows each stem."""
+        parent, _, part, counts, follows = self.pairs()
+        group, stems, _ = self.stems()
+        of = group[parent]
+        first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (part[1:] != part[:-1]))) if len(parent) else np.zeros(0, np.int64)
         offsets = np.append(first, len(parent)).astype(np.int32)
         n = len(first)
-        children = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), ends), "\n")
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), follows), "\n")
         blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets * 4), pa.py_buffer(counts.astype("<u4").tobytes())])
-        own = _batch(TRIES, 1, shard=shard, lang=lang, places=_packed(self.places), phrases="\n".join(self.phrases.to_pylist()), weights=self.weights.astype("<i8").tobytes())
-        below = _batch(TRIES, n, shard=shard, lang=lang, parent=self.phrases.take(pa.array(parent[first])), part=part[first], base=first, children=children, counts=blobs)
+        numbers = np.concatenate([self.weights, self.loads]).astype("<i8").tobytes()
+        own = _batch(TRIES, 1, shard=shard, lang=lang, places=_packed(self.places), phrases="\n".join(self.phrases.to_pylist()), weights=numbers)
+        below = _batch(TRIES, n, shard=shard, lang=lang, stem=stems.take(pa.array(parent[first])), part=part[first], base=first, follows=joined, counts=blobs)
         return pa.Table.from_batches([own, below])
 
 
@@ -220,12 +252,12 @@ def _from_words(own: pa.Table, left: pa.Table) -> pa.Table:
     """Depth 1 with the words that are left (local, word, a), and the nodes of depth 2."""
     if not own.num_rows or not left.num_rows:
         return _nothing()
-    local = left.column("local").to_numpy()
-    order = np.argsort(local)
-    places, number = _unpacked(own.column("places")[0].as_py()), local[order]
-    now = np.minimum(np.searchsorted(number, places), len(number) - 1)
-    places = np.where((places >= 0) & (number[now] == places), now, -1)
-    level = _Level(places, left.column("word").combine_chunks().take(pa.array(order)), left.column("a").to_numpy()[order])
+    met = left.column("word").combine_chunks()
+    order = pc.sort_indices(met)
+    places, local = _unpacked(own.column("places")[0].as_py()), left.column("local").to_numpy()[order.to_numpy()]
+    rank = np.full(max(places.max(initial=0), local.max(initial=0)) + 2, -1, np.int64)
+    rank[local] = np.arange(len(local))  # the last entry stands for -1
+    level = _Level(rank[places], met.take(order), left.column("a").to_numpy()[order.to_numpy()])
     return level.rows(own.column("shard")[0].as_py(), own.column("lang")[0].as_py())
 
 
@@ -233,19 +265,20 @@ def _from_state(own: pa.Table, left: pa.Table) -> pa.Table:
     """The next depth with the nodes that are left (at, weights), and those one deeper."""
     if not own.num_rows or not left.num_rows:
         return _nothing()
-    above = _Level(_unpacked(own.column("places")[0].as_py()), pa.array(own.column("phrases")[0].as_py().split("\n")), np.frombuffer(own.column("weights")[0].as_py(), "<i8"))
+    weights, loads = np.frombuffer(own.column("weights")[0].as_py(), "<i8").astype(np.int64).reshape(2, -1)
+    above = _Level(_unpacked(own.column("places")[0].as_py()), pa.array(own.column("phrases")[0].as_py().split("\n")), weights, loads)
     at, weights = (np.frombuffer(b"".join(left.column(c).to_pylist()), kind).astype(np.int64) for c, kind in (("at", "<u4"), ("weights", "<i8")))
     return above.deeper(at, weights).rows(own.column("shard")[0].as_py(), own.column("lang")[0].as_py())
 
 
 def _sums(rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
-    """Children of whole parents, summed up over shards: nodes that are left, and where shards have them."""
+    """What follows whole stems, summed up over shards: nodes that are left, and where shards have them."""
     same = np.ones(max(0, rows.num_rows - 1), bool)
-    for name in ("lang", "parent", "part"):
+    for name in ("lang", "stem", "part"):
         column = rows.column(name).combine_chunks()
         same &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
     group = np.append(0, np.cumsum(~same))
-    lists = pc.split_pattern(rows.column("children").combine_chunks(), "\n")
+    lists = pc.split_pattern(rows.column("follows").combine_chunks(), "\n")
     lengths = lists.value_lengths().to_numpy()
     row = np.repeat(np.arange(rows.num_rows), lengths)
     coded = lists.flatten().dictionary_encode()
@@ -258,7 +291,7 @@ def _sums(rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
         return
     first = np.flatnonzero(np.append(True, ~same))
     of, code = first[keys[kept] // len(coded.dictionary)], pa.array(keys[kept] % len(coded.dictionary))
-    phrase = pc.binary_join_element_wise(rows.column("parent").combine_chunks().take(pa.array(of)), coded.dictionary.take(code), " ")
+    phrase = pc.binary_join_element_wise(rows.column("stem").combine_chunks().take(pa.array(of)), coded.dictionary.take(code), " ")
     yield _batch(MERGED, len(kept), lang=rows.column("lang").combine_chunks().take(pa.array(of)), phrase=phrase, a=sums[kept])
     live = np.flatnonzero(sums[which] >= least)
     begins = np.append(0, np.cumsum(lengths))
@@ -273,7 +306,7 @@ def _sums(rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Merges rows that come in order of lang, parent and part; a group's rows are held until it ends."""
+    """Merges rows that come in order of lang, stem and part; a group's rows are held until it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -301,9 +334,9 @@ def _merge(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 
 def merged(tries: DataFrame, least: int) -> DataFrame:
-    """Shards' rows brought together in ranges of parents and merged in order."""
-    rows = tries.filter("parent IS NOT NULL").select("shard", "lang", "parent", "part", "base", "children", "counts")
-    by = ["lang", "parent", "part"]
+    """Shards' rows brought together in ranges of stems and merged in order."""
+    rows = tries.filter("stem IS NOT NULL").select("shard", "lang", "stem", "part", "base", "follows", "counts")
+    by = ["lang", "stem", "part"]
     return rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_merge(least), MERGED)
 
 
@@ -334,7 +367,7 @@ def phrases(docs: DataFrame, keep: Scratch, depth: int = DEPTH, least: int = LEA
         nodes = found.filter("shard IS NULL").select("lang", "phrase", "a", parent.alias("parent"), link.alias("link"))
         levels.append(keep(nodes.join(up, ["lang", "parent"]).join(across, ["lang", "link"]).select("lang", "phrase", "a", "lefts", "rights", "parent", "link"), f"phrases{d}"))
         if d < depth:
-            state = tries.filter("parent IS NULL").select("shard", "lang", "places", "phrases", "weights")
+            state = tries.filter("stem IS NULL").select("shard", "lang", "places", "phrases", "weights")
             left = found.filter("shard IS NOT NULL").select(F.col("shard").alias("of"), "at", "weights")
             deeper = keep(state.groupBy("shard").cogroup(left.groupBy("of")).applyInArrow(_from_state, TRIES), f"tries{d + 1}")
             keep.drop(tries, found)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -181,23 +184,48 @@ def test_collocations_equal_plain_counts(spark, least, top):
 
 
 def test_collocations_over_documents_in_small_shards(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(collocations, "SHARD_BYTES", 1 << 30)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = plain_collocations([(r.text, r.lang) for r in docs.collect()], 8)
     assert sorted(map(tuple, collocations.collocations(docs.repartition(9), least=8).collect())) == want
-    assert sorted(map(tuple, collocations.collocations(docs, least=8).collect())) == want
     assert collocations.collocations(docs.limit(0)).collect() == []
 
 
-def test_shards_close_when_full(monkeypatch):
+def test_shards_number_words():
     shard = collocations._Shard()
-    shard.add("One two. ONE")
+    shard.add("Two one. TWO")
     places, words = shard.nodes()
-    assert words.to_pylist() == ["one", "two"] and places.tolist() == [-1, 0, 1, -1, 0, -1]
-    assert collocations._unpacked(collocations._packed(places)).tolist() == places.tolist()
-    wide = places.astype("int64") * 70_000
-    wide[wide < 0] = -1
-    assert collocations._unpacked(collocations._packed(wide)).tolist() == wide.tolist()
+    assert words == [b"two", b"one"] and places.tolist() == [-1, 0, 1, -1, 0, -1]
+    for numbers in (places, places * 70_000 * (places > 0) - (places < 0), places[:0]):
+        assert collocations._unpacked(collocations._packed(numbers)).tolist() == numbers.tolist()
+
+
+def test_merge_over_batches_and_parts(monkeypatch):
+    """Groups that end in the middle of a batch, fill several, or are dealt into parts give the same sums."""
+    monkeypatch.setattr(collocations, "PART", 4)
+    rng, shards, want = random.Random(4), [], Counter()
+    for number in range(6):
+        shard = collocations._Shard()
+        texts = [" ".join(rng.choices("abcdefgh", k=30)) for _ in range(5)]
+        for t in texts:
+            shard.add(t)
+            want.update(zip(t.split(), t.split()[1:], strict=False))
+        places, words = shard.nodes()
+        rank = np.append(np.argsort(np.argsort(words)), -1)
+        level = collocations._Level(rank[places], pa.array(sorted(words), pa.binary()).cast(pa.string()), np.arange(len(words)) * 3)
+        shards.append((level, level.rows(number, "en")))
+    rows = pa.concat_tables([t.slice(1) for _, t in shards]).sort_by([(c, "ascending") for c in ("lang", "stem", "part")])
+    rows = rows.select(["shard", "lang", "stem", "part", "base", "follows", "counts"])
+    for size in (1, 3, 7, 1000):
+        out = list(collocations._merge(12)(iter(rows.to_batches(max_chunksize=size))))
+        found = {p: a for b in out for p, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if p}
+        assert found == {" ".join(p): a for p, a in want.items() if a >= 12}
+        for number, (level, _) in enumerate(shards):
+            at = np.frombuffer(b"".join(a for b in out for s, a in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True) if s == number), "<u4").astype(int)
+            weights = np.frombuffer(b"".join(a for b in out for s, a in zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True) if s == number), "<i8")
+            deeper = level.deeper(at, weights)
+            assert deeper.phrases.to_pylist() == sorted(p for p in found if p in set(deeper.phrases.to_pylist()))
+            assert dict(zip(deeper.phrases.to_pylist(), deeper.weights.tolist(), strict=True)).items() <= found.items()
+            assert all(deeper.phrases[int(x)].as_py() in found for x in deeper.places if x >= 0)
 
 
 def test_large_products_are_exact(spark):
