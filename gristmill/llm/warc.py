@@ -15,6 +15,7 @@ the reason.  So plain and compressed records may stand in one archive, and a rec
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -36,6 +37,8 @@ END = "\r\n\r\n"
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 16 << 20
 _START = re.compile(rb"WARC/1\.[01]\r\n")
+#: The end of a record's headers, or the next record's version line before it.
+_HEADERS_END = re.compile(rb"\r\n\r\n|\r\n(?=WARC/1\.[01]\r\n)")
 _EITHER = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
@@ -57,13 +60,28 @@ class Gap:
     reason: str
 
 
+def digest_holds(stated: str, data: bytes) -> bool:
+    """Whether a digest such as ``sha1:...`` is that of some bytes: in hexadecimal of either case or in base32, as its
+    length tells.  An algorithm that isn't known here, or another spelling, can't be checked and holds."""
+    name, _, value = stated.strip().partition(":")
+    if name.lower() not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return True
+    made = hashlib.new(name.lower(), data).digest()
+    value = value.strip().rstrip("=")
+    if len(value) == 2 * len(made):
+        return value.lower() == made.hex()
+    base = base64.b32encode(made).decode().rstrip("=")
+    return value.upper() == base if len(value) == len(base) else True
+
+
 def _record(data: bytes, at: int) -> tuple[Record, int]:
     """The record at ``at`` and where it ends; ValueError names the failed check."""
     if not _START.match(data, at):
         raise ValueError("version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
+    found = _HEADERS_END.search(data, at + len(VERSION) - 2)
+    if not found or found.end() - found.start() < 4:
         raise ValueError("headers end")
+    stop = found.start()
     headers = {}
     for line in data[at:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -77,8 +95,11 @@ def _record(data: bytes, at: int) -> tuple[Record, int]:
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("record end")
     payload = data[begin:end]
-    digest = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "response" and digest.startswith("sha1:") and digest[5:] != hashlib.sha1(payload).hexdigest():
+    if not digest_holds(headers.get("warc-block-digest", ""), payload):
+        raise ValueError("block digest")
+    # of an HTTP message the payload is a part, coded as its own headers say; a revisit's is another record's
+    whole = headers.get("warc-type") in ("response", "resource", "conversion") and not headers.get("content-type", "").lower().startswith("application/http")
+    if whole and not digest_holds(headers.get("warc-payload-digest", ""), payload):
         raise ValueError("payload digest")
     return Record(at, headers, payload), end + 4
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
@@ -274,3 +275,46 @@ def test_nested_paths(spark):
     text = '{"a":1,"b c":{"x.y":"q","z":[1,2]},"m":[{"r":"u"},{"t":[{"k":null}]}],"e":[],"q`t":2}'
     found = spark.createDataFrame([(text,)], "r string").select(chat.nested_paths(F.schema_of_variant(F.try_parse_json("r"))).alias("p")).first().p
     assert found == sorted(["a", "b c", "b c.x.y", "b c.z", "m", "m[].r", "m[].t", "m[].t[].k", "e", "q`t"])
+
+
+def written(payload, **headers):
+    lines = {"WARC-Type": "response", "WARC-Record-ID": "<urn:x>", "Content-Length": str(len(payload)), **{k.replace("_", "-"): v for k, v in headers.items()}}
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + b"\r\n" + payload + b"\r\n\r\n"
+
+
+def test_records_of_other_writers():
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+    sha1 = hashlib.sha1(b"<p>x</p>").digest()
+    base32 = base64.b32encode(sha1).decode()
+    block = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    sound = [
+        written(b"<p>x</p>", WARC_Payload_Digest=f"sha1:{base32}"),
+        written(b"<p>x</p>", WARC_Payload_Digest=f"sha1:{base32.lower()}"),
+        written(b"<p>x</p>", WARC_Payload_Digest=f"SHA1:{sha1.hex().upper()}"),
+        written(b"<p>x</p>", WARC_Payload_Digest=f"sha256:{hashlib.sha256(b'<p>x</p>').hexdigest()}"),
+        written(b"<p>x</p>", WARC_Payload_Digest="blake3:abc"),
+        written(body, Content_Type="application/http;msgtype=response", WARC_Payload_Digest=f"sha1:{base32}", WARC_Block_Digest=f"sha1:{block}"),
+        written(b"", WARC_Type="revisit", WARC_Payload_Digest=f"sha1:{base32}"),
+        written(b"WARC/1.0\r\nnot a record\r\n"),
+    ]
+    read = list(warc.read_archive(b"".join(sound)))
+    assert [type(r) for r in read] == [warc.Record] * len(sound)
+    broken = [
+        written(b"<p>y</p>", WARC_Payload_Digest=f"sha1:{base32}"),
+        written(b"<p>y</p>", WARC_Payload_Digest=f"sha1:{sha1.hex()}"),
+        written(body + b"!", Content_Type="application/http", WARC_Block_Digest=f"sha1:{block}"),
+    ]
+    for one in broken:
+        gap, after = warc.read_archive(one + sound[0])
+        assert (gap.start, gap.end, after.start) == (0, len(one), len(one)) and gap.reason.endswith("digest")
+
+
+def test_version_lines_without_records_take_linear_time():
+    def took(data):
+        began = time.perf_counter()
+        found = list(warc.read_archive(data))
+        assert all(isinstance(x, warc.Gap) for x in found)
+        return time.perf_counter() - began
+
+    for line in (b"WARC/1.0\r\n", b"WARC/1.0\r\nContent-Length: 5\r\n"):
+        assert took(line * 100_000) < 5
