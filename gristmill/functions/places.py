@@ -12,29 +12,26 @@ from pyspark.sql import functions as F
 from gristmill.functions.numbers import EARTH_MILES, haversine_miles
 from gristmill.functions.text import place_key
 
-# Names of the country and its parts, its codes, and names of places abroad.
+# Names of the country and its parts, and its codes.
 UK_NAMES = ("united kingdom", "great britain", "england", "scotland", "wales", "northern ireland")
 UK_CODES = ("GB", "GBR", "UK")
-ABROAD = (
-    "united states, usa, u.s., canada, india, ireland, france, germany, spain, portugal, italy, netherlands, belgium, poland, hungary, romania, czech, switzerland, austria, sweden, norway, denmark, finland, singapore, hong kong, china, japan, australia, new zealand, south africa, brazil, mexico, uae, united arab emirates, dubai, philippines, malaysia, israel, luxembourg, "
-    "new york, new jersey, texas, california, illinois, massachusetts, ontario, bangalore, bengaluru, mumbai, pune, hyderabad, chennai, gurugram, budapest, warsaw, krakow, bucharest, madrid, paris, berlin, munich, frankfurt, amsterdam, dublin, sydney, melbourne, toronto"
-).split(", ")
 
 
 def _named(words: Sequence[str]) -> str:
     return r"(?i)\b(?:" + "|".join(map(re.escape, words)) + r")\b"
 
 
-def is_uk(country: Column, text: Column, known: Column) -> Column:
+def is_uk(country: Column, text: Column, known: Column, abroad: Sequence[str] = ()) -> Column:
     """True for a place in the United Kingdom, false for one abroad, null where nothing tells.
 
     :param known: whether a gazetteer or a postcode places ``text`` there.
+    :param abroad: names of countries and towns elsewhere, matched as whole words; of the caller's own table.
     """
     country, text = F.trim(F.coalesce(country, F.lit(""))), F.coalesce(text, F.lit(""))
-    of_country = F.when(F.lower(country).isin(*UK_NAMES, *(c.lower() for c in UK_CODES)), True).when(country.rlike("^[A-Z]{2,3}$") | country.rlike(_named(ABROAD)), False)
-    abroad = F.regexp_replace(text, "(?i)northern ireland", "").rlike(_named(ABROAD))
-    of_text = F.when(text.rlike(_named(UK_NAMES)) | text.rlike(r"\b(?:" + "|".join(UK_CODES) + r")\b"), True).when(abroad, False).when(F.coalesce(known, F.lit(False)) & (text != ""), True)
-    return F.coalesce(of_country, of_text)
+    elsewhere = (lambda c: c.rlike(_named(abroad))) if abroad else (lambda c: F.lit(False))
+    own = F.when(text.rlike(_named(UK_NAMES)) | text.rlike(r"\b(?:" + "|".join(UK_CODES) + r")\b"), True)
+    of_country = F.when(F.lower(country).isin(*UK_NAMES, *(c.lower() for c in UK_CODES)), True).when(country.rlike("^[A-Z]{2,3}$") | elsewhere(country), False)
+    return F.coalesce(of_country, own, F.when(elsewhere(text), False), F.when(F.coalesce(known, F.lit(False)) & (text != ""), True))
 
 
 def all_abroad(places: Column) -> Column:

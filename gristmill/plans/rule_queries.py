@@ -157,7 +157,7 @@ _TEXTS = ["Belfast, Northern Ireland", "Dublin", "Leeds, UK", "Somewhere", None]
 def uk_places(spark: SparkSession, d: str) -> DataFrame:
     """Whether places are in the country: true, false or null where nothing tells."""
     pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
-    known = places.is_uk(pick(_COUNTRIES, F.col("s_suppkey") % 7), pick(_TEXTS, F.col("s_nationkey") % 5), F.col("s_suppkey") % 2 == 0)
+    known = places.is_uk(pick(_COUNTRIES, F.col("s_suppkey") % 7), pick(_TEXTS, F.col("s_nationkey") % 5), F.col("s_suppkey") % 2 == 0, ("Dublin", "Ireland"))
     return table(spark, d, "supplier").select("s_suppkey", known.alias("in_uk"))
 
 
@@ -186,7 +186,7 @@ def normalised_listings(spark: SparkSession, d: str) -> DataFrame:
         where.alias("locations"),
     )
     providers = spark.createDataFrame([("The Brand#1 Company",), ("BRAND#2 plc",)], "name string")
-    return normalising.normalise(raw, RULES, _day(), providers, ["board"]).select("p_partkey", "employer_norm", "pay.least", "closing_date")
+    return normalising.normalise(raw, RULES, _day(), providers, ["board"], ("Paris", "Berlin")).select("p_partkey", "employer_norm", "pay.least", "closing_date")
 
 
 @query(
@@ -223,7 +223,7 @@ def employer_statuses(spark: SparkSession, d: str) -> DataFrame:
     """The state of employers after a run, and how far a feed is read back."""
     key = F.col("c_custkey")
     error = F.when(key % 4 == 1, "HTTP 503").when(key % 4 == 2, "bad config")
-    status = normalising.employer_status(F.when(key % 6 == 0, "manual").otherwise("feed"), key % 5 == 0, error, F.when(key % 3 == 0, "unknown").otherwise("open"), F.when(F.col("c_acctbal") > 5000, 2).otherwise(0))
+    status = normalising.employer_status(F.when(key % 6 == 0, "manual").otherwise("feed"), key % 5 == 0, error, F.when(key % 3 == 0, "unknown").otherwise("open"), F.when(F.col("c_acctbal") > 5000, 2).otherwise(0), ("(?i)http 5[0-9]{2}",))
     days = normalising.look_back_days(F.when(key % 7 != 0, F.date_sub(_day(), F.col("c_nationkey"))), _day())
     return table(spark, d, "customer").select("c_custkey", status.alias("status"), days.alias("days"))
 

@@ -7,8 +7,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.functions import places, scoring
-from gristmill.functions.classify import Rules, classify, registers_interest
+from gristmill.functions import entry, places, scoring
+from gristmill.functions.classify import Rules, classify, matches_any
 from gristmill.operators import normalising
 
 SPEC = {
@@ -19,6 +19,7 @@ SPEC = {
     "dataWords": "statistic",
     "level": {"title": [{"re": "\\blevel\\s*([2-7])\\b", "group": 1}, {"re": "degree", "level": 6}], "text": [{"re": "\\blevel\\s*([2-7])\\b", "group": 1}]},
     "degree": {"title": "degree", "text": "honours"},
+    "interest": ["register your interest", "expression of interest", "\\bpre-?register\\b"],
 }
 
 
@@ -52,7 +53,8 @@ def test_source_and_standard_come_first(spark):
 
 @pytest.mark.parametrize(("title", "want"), [("Register your interest - Data", True), ("Expression of interest", True), ("Pre-register now", True), ("An interesting role", False)])
 def test_registers_interest(spark, title, want):
-    assert spark.range(1).select(registers_interest(F.lit(title)).alias("y")).first().y is want
+    rules = Rules.from_json(json.dumps(SPEC))
+    assert spark.range(1).select(matches_any(F.lit(title), rules.interest).alias("y")).first().y is want
 
 
 @pytest.mark.parametrize(
@@ -61,7 +63,7 @@ def test_registers_interest(spark, title, want):
 )
 def test_is_uk(spark, country, text, known, want):
     df = spark.createDataFrame([(country, text, known)], "c string, t string, k boolean")
-    assert df.select(places.is_uk(F.col("c"), F.col("t"), F.col("k")).alias("y")).first().y is want
+    assert df.select(places.is_uk(F.col("c"), F.col("t"), F.col("k"), ("Paris", "Ireland")).alias("y")).first().y is want
 
 
 @pytest.mark.parametrize(("given", "want"), [([False, False], True), ([False, None], False), ([], False), ([True, False], False)])
@@ -89,4 +91,50 @@ def test_highers(spark):
 )
 def test_employer_status(spark, connector, blocked, error, before, relevant, want):
     df = spark.createDataFrame([(connector, blocked, error, before, relevant)], "c string, b boolean, e string, s string, n int")
-    assert df.select(normalising.employer_status(*(F.col(c) for c in "cbesn")).alias("y")).first().y == want
+    assert df.select(normalising.employer_status(*(F.col(c) for c in "cbesn"), passing=("(?i)http 5[0-9]{2}", "(?i)timed out")).alias("y")).first().y == want
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "points", "summary"),
+    [
+        ("You'll want ABB-BBC at A-Level, with B in Maths. Statistics would be nice.", "grades", 112, "ABB–BBC at A level, incl. Maths"),
+        ("a minimum of 112 UCAS points, or BBC at A level", "grades", 112, "112 UCAS points (BBC at A level)"),
+        ("At least 96 UCAS tariff points from three subjects", "points", 96, "96 UCAS points"),
+        ("UCAS points of 128 including Computer Science", "points", 128, "128 UCAS points, incl. Computer Science"),
+        ("999 UCAS points", None, None, None),
+        ("104 UCAS points (A Level BCC) or like", "grades", 104, "104 UCAS points (BCC at A level)"),
+        ("SQA Highers at ABBB including Maths and English.", "highers", 114, "ABBB at Higher, incl. Maths"),
+        ("Four Highers (BBCC) including Maths or Computing", "highers", 96, "BBCC at Higher, incl. Maths"),
+        ("3 A-Levels as grade C/4 or above, with at least one in Maths, Sciences and IT", "each", 96, "3 A levels at C or above"),
+        ("Two A Levels Grade B or above or, BTEC Extended Diploma (DDM)", "each", 80, "2 A levels at B or above"),
+        ("Three A levels at grade B or above in Maths", "each", None, "3 A levels, incl. Maths at B or above"),
+        ("A Levels Three A Levels Grade C or above in Physics At least one other", "each", None, "3 A levels, incl. Physics at C or above"),
+        ("Level 3 Qualification (Apprenticeship/A Levels/BTEC etc.) or work", "any", None, "Any Level 3 (A levels, BTEC…)"),
+        ("You will need 2 A levels.", "count", None, "2 A levels (any grades)"),
+        ("Five GCSEs including English and Maths.", "gcse", None, "GCSEs only"),
+        ("A great place to join our data team. ABC Ltd", None, None, None),
+        ("", None, None, None),
+        (None, None, None, None),
+    ],
+)
+def test_requirement(spark, text, kind, points, summary):
+    r = spark.createDataFrame([(text,)], "t string").select(entry.requirement(F.col("t")).alias("r")).first().r
+    assert (r.kind, r.points, r.summary) == (kind, points, summary) if kind else r is None
+
+
+@pytest.mark.parametrize(
+    ("listed", "want"),
+    [
+        ([("A Level", "Maths", "BBC", None)], ("grades", 112, None, None, None)),
+        ([("A Level", "Any x3", "A-D", "Essential")], ("listed", None, 3, "D", None)),
+        ([("GCSE", "Maths", "4", None), ("A Level", "ICT", "C, or above", "Essential")], ("listed", None, None, "C", ["ICT"])),
+        ([("A Level", "Maths, Science or similar", "B", "Desired")], ("listed", None, None, None, None)),
+        ([("GCSE or equivalent", "English", "4", "Essential")], ("gcse", None, None, None, None)),
+        ([], None),
+        (None, None),
+    ],
+)
+def test_listed_qualifications(spark, listed, want):
+    df = spark.createDataFrame([(None, listed)], f"t string, q {entry.QUALIFICATION}")
+    r = df.select(entry.requirement(F.col("t"), F.col("q")).alias("r")).first().r
+    assert (r and (r.kind, r.points, r.n_levels, r.least_grade, r.grade_subjects)) == want
