@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions import text
+from gristmill.operators import entity, snapshots
 from gristmill.plans.registry import query, table
 from gristmill.sources import details, flight, markup, printed
+from gristmill.streaming import state
 
 _EDITION = printed.Table(
     head=r"\bEmployer\s+Role\s+Level\s+Location",
@@ -129,3 +132,73 @@ def pushed_listings(spark: SparkSession, d: str) -> DataFrame:
     get = lambda path: F.try_variant_get("o", path, "string")
     plain = F.trim(F.regexp_replace(get("$.more.text"), r"[\x00-\x20]+", " "))
     return rows.join(search, "page_id").select("page_id", get("$.title").alias("title"), get("$.url").alias("url"), F.sha2(plain, 256).alias("text"), F.col("s.total").alias("total"), flight.is_complete(F.size("s.items").cast("long"), F.col("s.total"), F.lit(False)).alias("complete"))
+
+
+# state and runs
+
+
+@query(
+    """SELECT event_id, user_id, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 DAYS, true) AS fresh FROM (SELECT *, CAST(ts AS TIMESTAMP) AS t FROM events)"""
+)
+def seen_lately(spark: SparkSession, d: str) -> DataFrame:
+    """Events of users who weren't met within two days before."""
+    return state.unseen_lately(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 2)
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS id, o_orderpriority AS service, CAST(o_orderdate AS DATE) AS day, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 10 WHEN '5-LOW' THEN NULL ELSE 5 END AS budget FROM orders),
+    t AS (SELECT *, row_number() OVER (PARTITION BY service, date_trunc('month', day) ORDER BY day, id) AS turn FROM r)
+    SELECT id, service, CAST(least(turn, coalesce(budget, 0)) AS BIGINT) AS used, turn <= coalesce(budget, 0) AS granted, least(turn, coalesce(budget, 0)) * 100 >= coalesce(budget, 0) * 80 AS alert FROM t"""
+)
+def monthly_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Requests that a month's budget grants, refuses, or nearly uses up."""
+    requests = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("service"), F.to_date("o_orderdate").alias("day"))
+    limits = requests.select("service").distinct().filter("service <> '5-LOW'").withColumn("limit", F.expr("CASE service WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 10 ELSE 5 END"))
+    return state.within_budget(requests, limits, "service", "day", "id").select("id", "service", "used", "granted", "alert")
+
+
+@query(
+    """SELECT o_orderstatus AS source, count(*) AS rows, count(*) FILTER (WHERE o_totalprice > 100000) AS relevant FROM orders GROUP BY 1"""
+)
+def run_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A run's counts by source, gathered while its rows are written."""
+    orders = table(spark, d, "orders")
+    known = [r[0] for r in orders.select("o_orderstatus").distinct().collect()]  # a run's sources: three here
+    flags = {"rows": F.lit(True), "relevant": F.col("o_totalprice") > 100000}
+    watched, seen = snapshots.counted(orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), "raw", flags, "o_orderstatus", known)
+    watched.write.format("noop").mode("overwrite").save()
+    row = snapshots.run_row("today", {"raw": seen})
+    told = spark.createDataFrame([(row["run"], row["totals"], row["sources"])], snapshots.RUNS)
+    listed = told.select(F.explode("sources").alias("source", "n"))
+    return listed.select("source", F.col("n")["raw_rows"].alias("rows"), F.col("n")["raw_relevant"].alias("relevant"))
+
+
+@query(
+    """WITH RECURSIVE w AS (SELECT p_partkey AS id, 'b' || substr(p_brand, 7, 1) || CASE WHEN p_partkey % 3 = 0 THEN ' works' ELSE '' END AS e, substr(p_brand, 7, 1) AS block,
+        list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))) AS w,
+        CASE WHEN p_partkey % 11 = 0 THEN [] WHEN p_partkey % 4 = 0 THEN [p_size % 25, p_size * 3 % 25] ELSE [p_size % 25] END AS sites, p_partkey % 17 = 0 AS stored FROM part),
+    k AS (SELECT *, e || '|' || array_to_string(w, ' ') || '|' || coalesce(CAST(sites[1] AS VARCHAR), '') AS key FROM w),
+    r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY NOT stored, id) AS n FROM k),
+    fold AS (
+      SELECT block, n, id, key, key AS assigned, [{'e': e, 'w': w, 'sites': sites, 'key': key}] AS pool, [key] AS keys FROM r WHERE n = 1
+      UNION ALL
+      SELECT block, n, id, key, coalesce(hit, key), CASE WHEN hit IS NULL AND (stored OR NOT known) THEN list_append(pool, {'e': e, 'w': w, 'sites': sites, 'key': key}) ELSE pool END, CASE WHEN hit IS NULL AND NOT known THEN list_append(keys, key) ELSE keys END
+      FROM (SELECT r.block, r.n, r.id, r.key, r.e, r.w, r.sites, r.stored, f.pool, f.keys, list_contains(f.keys, r.key) AS known,
+          CASE WHEN r.stored OR list_contains(f.keys, r.key) THEN NULL ELSE list_filter(f.pool, lambda p: (p.e = r.e OR starts_with(p.e, r.e || ' ') OR starts_with(r.e, p.e || ' '))
+            AND (len(p.sites) = 0 OR len(r.sites) = 0 OR len(list_filter(p.sites, lambda s: len(list_filter(r.sites, lambda q: abs(s - q) <= 1)) > 0)) > 0)
+            AND ((len(list_intersect(p.w, r.w)) = least(len(p.w), len(r.w)) AND least(len(p.w), len(r.w)) >= 2) OR len(list_intersect(p.w, r.w)) / (len(p.w) + len(r.w) - len(list_intersect(p.w, r.w))) >= 0.7))[1].key END AS hit
+        FROM fold f JOIN r ON r.block = f.block AND r.n = f.n + 1))
+    SELECT id AS p_partkey, key, assigned FROM fold"""
+)
+def vacancy_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The vacancy that each advert is one of: employers by prefix, titles by words, places a degree's tenth apart."""
+    key = F.col("p_partkey")
+    brand = F.substring("p_brand", 7, 1)
+    site = lambda c: F.concat(F.lit("Site "), c.cast("string"))
+    first, second = F.col("p_size") % 25, F.col("p_size") * 3 % 25
+    places = F.when(key % 11 == 0, F.array().cast("array<string>")).when(key % 4 == 0, F.array(site(first), site(second))).otherwise(F.array(site(first)))
+    words = F.array_sort(text.tokens(F.concat_ws(" ", "p_name", "p_type")))
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("b"), brand, F.when(key % 3 == 0, " works").otherwise("")).alias("employer"), words.alias("words"), places.alias("places"), (key % 17 == 0).alias("stored"), F.when(key % 11 != 0, first.cast("string")).otherwise("").alias("town"))
+    rows = rows.withColumn("key", F.concat_ws("|", "employer", F.array_join("words", " "), "town")).withColumn("ordinal", F.when(F.col("stored"), key).otherwise(key + (1 << 40)))
+    gazetteer = spark.range(25).select(site(F.col("id")).alias("place"), F.array(site(F.col("id"))).alias("names"), F.lit(True).alias("is_point"), (50 + F.col("id") * 0.1).alias("lat"), F.lit(0.0).alias("lon"))
+    return entity.assign_vacancies(rows, gazetteer).select("p_partkey", "key", "assigned")
