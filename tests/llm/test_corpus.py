@@ -202,6 +202,7 @@ def test_shards_number_words():
 def test_merge_over_batches_and_parts(monkeypatch):
     """Groups that end in the middle of a batch, fill several, or are dealt into parts give the same sums."""
     monkeypatch.setattr(collocations, "PART", 4)
+    monkeypatch.setattr(collocations, "PACKED", 8)
     rng, shards, want = random.Random(4), [], Counter()
     for number in range(6):
         shard = collocations._Shard()
@@ -211,7 +212,7 @@ def test_merge_over_batches_and_parts(monkeypatch):
             want.update(zip(t.split(), t.split()[1:], strict=False))
         places, words = shard.nodes()
         rank = np.append(np.argsort(np.argsort(words)), -1)
-        level = collocations._Level(rank[places], pa.array(sorted(words), pa.binary()).cast(pa.string()), np.arange(len(words)) * 3)
+        level = collocations._Level(rank[places], pa.array(sorted(words), pa.binary()).cast(pa.string()), np.arange(len(words)) * 3, packs=2)
         shards.append((level, level.rows(number, "en")))
     rows = pa.concat_tables([t.slice(1) for _, t in shards]).sort_by([(c, "ascending") for c in ("lang", "stem", "part")])
     rows = rows.select(["shard", "lang", "stem", "part", "base", "follows", "counts"])
@@ -223,7 +224,7 @@ def test_merge_over_batches_and_parts(monkeypatch):
             at = np.frombuffer(b"".join(a for b in out for s, a in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True) if s == number), "<u4").astype(int)
             weights = np.frombuffer(b"".join(a for b in out for s, a in zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True) if s == number), "<i8")
             deeper = level.deeper(at, weights)
-            assert deeper.phrases.to_pylist() == sorted(p for p in found if p in set(deeper.phrases.to_pylist()))
+            assert deeper.packs == 2 and deeper.phrases.to_pylist() == sorted(p for p in found if p in set(deeper.phrases.to_pylist()))
             assert dict(zip(deeper.phrases.to_pylist(), deeper.weights.tolist(), strict=True)).items() <= found.items()
             assert all(deeper.phrases[int(x)].as_py() in found for x in deeper.places if x >= 0)
 
