@@ -6,7 +6,8 @@ of its parent's and its link's number, both nodes of depth d - 1, numbered in th
 the text knows the node that begins there.  The trie grows by one depth a round, five at most:
 
 - Each shard counts its nodes of the next depth and hands them over sorted: a row for each stem (a word at depth 2, the
-  first d - 2 words below), with what follows it in order and how often.
+  first d - 2 words below), with what follows it in order and how often.  At depth 2 words that aren't very common are
+  packed together, by a hash of theirs, into as many rows as they fill.
 - The shards' rows meet in ranges of stems, in order, and are merged: what follows one stem is summed up over all shards.
   A stem that comes up very often is dealt into parts by what follows, so that none is one task's.
 - Those that come up often enough go back to the shards as positions in their own rows.  A phrase can't come up more
@@ -45,6 +46,8 @@ SHARD_BYTES = 24 << 20
 OPEN_LANGS = 256
 #: Occurrences of a stem that one part of what follows it has at most, about.
 PART = 1 << 20
+#: Words that come up less often are packed at depth 2.
+PACKED = PART // 8
 #: Groups that a language is dealt into before its best phrases are put together.
 DEALT = 256
 #: A word that stands for the end of a piece; it can't be in a text, since it is cut there.
@@ -172,6 +175,10 @@ def words(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(run, WORDS)
 
 
+def _hashes(texts: pa.Array) -> np.ndarray:
+    return np.array([zlib.crc32(t.encode()) for t in texts.to_pylist()], np.int64)
+
+
 def _last_words(phrases: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(phrases, r"(?s)^.* ", "")
 
@@ -180,20 +187,26 @@ class _Level:
     """A shard's live nodes of one depth: at each place, their phrases in order, their occurrences over all shards.
 
     :param loads: occurrences of each node's stem.
+    :param packs: into how many parts the packed words of the language are dealt.
     """
 
-    def __init__(self, places: np.ndarray, phrases: pa.Array, weights: np.ndarray, loads: np.ndarray | None = None) -> None:
-        self.places, self.phrases, self.weights = places, phrases, weights
+    def __init__(self, places: np.ndarray, phrases: pa.Array, weights: np.ndarray, loads: np.ndarray | None = None, packs: int = 1) -> None:
+        self.places, self.phrases, self.weights, self.packs = places, phrases, weights, packs
         self.loads = weights if loads is None else loads
         self.ends = _last_words(phrases)
 
+    def packed(self) -> np.ndarray:
+        """Which nodes are words that are packed, with the empty stem."""
+        return ~pc.match_substring(self.phrases, " ").to_numpy(zero_copy_only=False) & (self.weights < PACKED)
+
     def stems(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """The stem of each node's children, numbered in order, its phrase, and what stands before a child's last word."""
-        deep = pc.match_substring(self.phrases, " ")
-        stems = pc.replace_substring_regex(self.phrases, r"(?s) [^ ]*$", "")
-        before = pc.if_else(deep, pc.binary_join_element_wise(self.ends, "", " "), "")
+        packed = self.packed()
+        whole = pc.or_(pc.match_substring(self.phrases, " "), pa.array(packed))
+        stems = pc.if_else(pa.array(packed), "", pc.replace_substring_regex(self.phrases, r"(?s) [^ ]*$", ""))
+        before = pc.if_else(whole, pc.binary_join_element_wise(self.ends, "", " "), "")
         changed = pc.not_equal(stems[1:], stems[:-1]).to_numpy(zero_copy_only=False) if len(stems) else np.zeros(0, bool)
-        return np.append(0, np.cumsum(changed))[: len(stems)], stems, before
+        return np.where(packed, -1, np.append(0, np.cumsum(changed))[: len(stems)]), stems, before
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """parent, link, part, count and what follows the stem, of the nodes one deeper, in order of stem and part."""
@@ -205,10 +218,14 @@ class _Level:
         parent, link = found >> 32, found & 0xFFFFFFFF
         group, _, before = self.stems()
         follows = pc.binary_join_element_wise(before.take(pa.array(parent)), self.ends.take(pa.array(link)), "")
-        parts, part = 1 + self.loads[parent] // PART, np.zeros(len(parent), np.int64)
+        packed = self.packed()
+        parts, part = np.where(packed, 0, 1 + self.loads // PART)[parent], np.zeros(len(parent), np.int64)
         many = np.flatnonzero(parts > 1)
-        if len(many):
-            part[many] = np.array([zlib.crc32(w.encode()) for w in follows.take(pa.array(many)).to_pylist()], np.int64) % parts[many]
+        part[many] = _hashes(follows.take(pa.array(many))) % parts[many]
+        own = np.zeros(len(self.phrases), np.int64)
+        own[packed] = _hashes(self.phrases.filter(pa.array(packed))) % self.packs
+        part = np.where(packed[parent], own[parent], part)
+        if len(parent):
             order = np.lexsort((link, parent, part, group[parent]))
             parent, link, part, counts, follows = parent[order], link[order], part[order], counts[order], follows.take(pa.array(order))
         return parent, link, part, counts, follows
@@ -226,7 +243,7 @@ class _Level:
         pair = self.places[:-1] << 32 | self.places[1:]
         near = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
         places = np.where((self.places[:-1] >= 0) & (self.places[1:] >= 0) & (keys[near] == pair), near, -1)
-        return _Level(places, phrases, weights, self.weights[parent])
+        return _Level(places, phrases, weights, self.weights[parent], self.packs)
 
     def rows(self, shard: int, lang: str) -> pa.Table:
         """Its own state, and what follows each stem."""
@@ -238,7 +255,7 @@ class _Level:
         n = len(first)
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), follows), "\n")
         blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets * 4), pa.py_buffer(counts.astype("<u4").tobytes())])
-        numbers = np.concatenate([self.weights, self.loads]).astype("<i8").tobytes()
+        numbers = np.concatenate([[self.packs], self.weights, self.loads]).astype("<i8").tobytes()
         own = _batch(TRIES, 1, shard=shard, lang=lang, places=_packed(self.places), phrases="\n".join(self.phrases.to_pylist()), weights=numbers)
         below = _batch(TRIES, n, shard=shard, lang=lang, stem=stems.take(pa.array(parent[first])), part=part[first], base=first, follows=joined, counts=blobs)
         return pa.Table.from_batches([own, below])
@@ -257,7 +274,7 @@ def _from_words(own: pa.Table, left: pa.Table) -> pa.Table:
     places, local = _unpacked(own.column("places")[0].as_py()), left.column("local").to_numpy()[order.to_numpy()]
     rank = np.full(max(places.max(initial=0), local.max(initial=0)) + 2, -1, np.int64)
     rank[local] = np.arange(len(local))  # the last entry stands for -1
-    level = _Level(rank[places], met.take(order), left.column("a").to_numpy()[order.to_numpy()])
+    level = _Level(rank[places], met.take(order), left.column("a").to_numpy()[order.to_numpy()], packs=own.column("packs")[0].as_py())
     return level.rows(own.column("shard")[0].as_py(), own.column("lang")[0].as_py())
 
 
@@ -265,8 +282,9 @@ def _from_state(own: pa.Table, left: pa.Table) -> pa.Table:
     """The next depth with the nodes that are left (at, weights), and those one deeper."""
     if not own.num_rows or not left.num_rows:
         return _nothing()
-    weights, loads = np.frombuffer(own.column("weights")[0].as_py(), "<i8").astype(np.int64).reshape(2, -1)
-    above = _Level(_unpacked(own.column("places")[0].as_py()), pa.array(own.column("phrases")[0].as_py().split("\n")), weights, loads)
+    numbers = np.frombuffer(own.column("weights")[0].as_py(), "<i8").astype(np.int64)
+    weights, loads = numbers[1:].reshape(2, -1)
+    above = _Level(_unpacked(own.column("places")[0].as_py()), pa.array(own.column("phrases")[0].as_py().split("\n")), weights, loads, int(numbers[0]))
     at, weights = (np.frombuffer(b"".join(left.column(c).to_pylist()), kind).astype(np.int64) for c, kind in (("at", "<u4"), ("weights", "<i8")))
     return above.deeper(at, weights).rows(own.column("shard")[0].as_py(), own.column("lang")[0].as_py())
 
@@ -291,7 +309,9 @@ def _sums(rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
         return
     first = np.flatnonzero(np.append(True, ~same))
     of, code = first[keys[kept] // len(coded.dictionary)], pa.array(keys[kept] % len(coded.dictionary))
-    phrase = pc.binary_join_element_wise(rows.column("stem").combine_chunks().take(pa.array(of)), coded.dictionary.take(code), " ")
+    stem = rows.column("stem").combine_chunks().take(pa.array(of))
+    between = pc.if_else(pc.equal(stem, ""), "", " ")  # packed words have the empty stem
+    phrase = pc.binary_join_element_wise(pc.binary_join_element_wise(stem, between, ""), coded.dictionary.take(code), "")
     yield _batch(MERGED, len(kept), lang=rows.column("lang").combine_chunks().take(pa.array(of)), phrase=phrase, a=sums[kept])
     live = np.flatnonzero(sums[which] >= least)
     begins = np.append(0, np.cumsum(lengths))
@@ -354,9 +374,12 @@ def phrases(docs: DataFrame, keep: Scratch, depth: int = DEPTH, least: int = LEA
     none = F.array().cast("array<bigint>")
     first = left.groupBy("lang", F.col("word").alias("phrase")).agg(F.max("a").alias("a"))
     levels = [keep(first.select("lang", "phrase", "a", none.alias("lefts"), none.alias("rights")), "phrases1")]
-    state = read.filter("word IS NULL").select("shard", "lang", "places")
-    tries = keep(state.groupBy("shard").cogroup(left.select(F.col("shard").alias("of"), "word", "a", "local").groupBy("of")).applyInArrow(_from_words, TRIES), "tries2")
-    keep.drop(read, left)
+    # how many parts the packed words fill: a number for each language
+    packs = keep(levels[0].filter(F.col("a") < PACKED).groupBy("lang").agg(F.ceil(F.sum("a") / (PART // 2)).cast("long").alias("packs")), "packs")
+    state = read.filter("word IS NULL").join(packs, "lang", "left").select("shard", "lang", "places", F.coalesce("packs", F.lit(1)).alias("packs"))
+    dealt = left.select(F.col("shard").alias("of"), "word", "a", "local")
+    tries = keep(state.groupBy("shard").cogroup(dealt.groupBy("of")).applyInArrow(_from_words, TRIES), "tries2")
+    keep.drop(read, left, packs)
     for d in range(2, depth + 1):
         found = keep(merged(tries, least), f"merged{d}")
         parent = F.expr("left(phrase, length(phrase) - length(substring_index(phrase, ' ', -1)) - 1)")
