@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.adverts import job_posting
 from gristmill.functions.dates import parse_date
 from gristmill.functions.links import slug_words
-from gristmill.functions.text import collapse_spaces, decode_entities, html_to_text
+from gristmill.functions.text import collapse_spaces, decode_entities, html_to_text, let
 from gristmill.sources.markup import microdata, posting
 
 KEYS = ["source", "id"]
@@ -104,12 +104,11 @@ def postings(pages: DataFrame, html: str, today: Column) -> DataFrame:
     """
     data = job_posting(F.col(f"`{html}`"), today)
     read = microdata(pages.withColumn("structured posting", data), html)
-    marked = posting(F.col("items"))
     day = lambda c: parse_date(c, today)
-    second = F.struct(marked["title"].alias("title"), marked["description"].alias("description"), day(marked["posted"]).alias("posted"), day(marked["closes"]).alias("closes"), marked["place"].alias("place"), marked["employer"].alias("employer"), F.lit("microdata").alias("via"))
+    second = lambda marked: F.struct(marked["title"].alias("title"), marked["description"].alias("description"), day(marked["posted"]).alias("posted"), day(marked["closes"]).alias("closes"), marked["place"].alias("place"), marked["employer"].alias("employer"), F.lit("microdata").alias("via"))
     j = F.col("`structured posting`")
     first = F.struct(j["title"].alias("title"), j["description"].alias("description"), j["posted"].alias("posted"), j["closing"].alias("closes"), j["place"].alias("place"), j["employer"].alias("employer"), F.lit("json").alias("via"))
-    told = F.when(j["title"].isNotNull(), first).when(marked.isNotNull(), second)
+    told = F.when(j["title"].isNotNull(), first).otherwise(let(posting(F.col("items")), lambda m: F.when(m.isNotNull(), second(m))))
     return read.select(*(F.col(f"`{c}`") for c in pages.columns if c not in ("posting", "items")), told.alias("posting"))
 
 

@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import collapse_spaces, decode_entities, html_to_text
+from gristmill.functions.text import collapse_spaces, decode_entities, html_to_text, let
 
 _TAG = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|</?[a-z][^>]*>"
 #: Elements that hold nothing and are never closed.
@@ -147,19 +147,27 @@ def posting(items: Column) -> Column:
     The employer's name and the address are looked for in the items that these properties are, else in their texts.
     """
     job = F.get(F.filter(items, lambda i: F.rlike(F.coalesce(i["types"], F.lit("")), F.lit(r"(?i)schema\.org/JobPosting\b"))), F.lit(0))
+
+    def around(j: Column) -> Column:
+        """The items that a job's place and employer are."""
+        where, org, number = _of(j, "jobLocation"), _of(j, "hiringOrganization"), _of(j, "identifier")
+        place = _item(items, where["item"])
+        return F.struct(where.alias("where"), org.alias("org"), place.alias("place"), F.coalesce(_item(items, _of(place, "address")["item"]), place, j).alias("address"), _item(items, org["item"]).alias("who"), number.alias("number"), _item(items, number["item"]).alias("numbered"))
+
+    return let(job, lambda j: F.when(j.isNotNull(), let(around(j), lambda k: _fields(j, k))))
+
+
+def _fields(job: Column, known: Column) -> Column:
     text = lambda name: _of(job, name)["value"]
-    org, where = _of(job, "hiringOrganization"), _of(job, "jobLocation")
-    place = _item(items, where["item"])
-    address = F.coalesce(_item(items, _of(place, "address")["item"]), place, job)
+    org, where, place, address = (known[n] for n in ("org", "where", "place", "address"))
     part = lambda name: _of(address, name)["value"]
     parts = [part(n) for n in ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")]
     written = F.nullif(F.array_join(F.array_distinct(F.array_compact(F.array(*parts))), ", "), F.lit(""))
     told = F.coalesce(written, _of(place, "address")["value"], where["value"], F.when(where["item"].isNotNull(), F.nullif(html_to_text(where["html"]), F.lit(""))))
-    name = F.coalesce(_of(_item(items, org["item"]), "name")["value"], org["value"], F.nullif(html_to_text(org["html"]), F.lit("")))
-    number = _of(job, "identifier")
+    name = F.coalesce(_of(known["who"], "name")["value"], org["value"], F.nullif(html_to_text(org["html"]), F.lit("")))
     fields = {
         "title": text("title"), "description": F.coalesce(F.trim(_of(job, "description")["html"]), text("description")), "posted": text("datePosted"), "closes": text("validThrough"),
         "place": told, "city": parts[1], "region": parts[2], "postcode": parts[3], "country": parts[4], "employer": name,
-        "identifier": F.coalesce(_of(_item(items, number["item"]), "value")["value"], number["value"]), "url": text("url"),
+        "identifier": F.coalesce(_of(known["numbered"], "value")["value"], known["number"]["value"]), "url": text("url"),
     }
-    return F.when(job.isNotNull(), F.struct(*(c.alias(n) for n, c in fields.items())))
+    return F.struct(*(c.alias(n) for n, c in fields.items()))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gristmill.functions.dates import MONTH_NAMES
-from gristmill.functions.text import collapse_spaces, slugify
+from gristmill.functions.text import collapse_spaces, let, slugify
 
 _RUN = r"\S+(?: \S+)*"
 _YEAR = "(?:19|20)[0-9]{2}"
@@ -140,42 +140,55 @@ def _opened(line: Column, cells: Column, head: Column, t: Table) -> Column:
     """A row's first line: level, link and parts (field, text, col); null for other lines."""
     names = t.fields
     number = {name: F.lit(i) for i, name in enumerate(names)}
-    fits = F.transform(cells, lambda s, k: F.when((k > 0) & s["text"].rlike(f"(?i){t.opener_text}") & (s["col"] >= head[t.opener] - 6) & (s["col"] <= head[t.middle[0]] + 1), k))
-    at = F.array_min(fits)
     part = lambda name, text, col: F.struct(number[name].alias("f"), F.trim(text).alias("text"), col.alias("col"))
-    one = F.get(cells, F.lit(0))
-    # the last space before the second field's column, where both ran together
-    cut = F.length(F.regexp_extract(F.substring(one["text"], F.lit(1), F.greatest(F.lit(0), head[t.left[1]] - one["col"]) + 1), r"^(.*) ", 1))
-    torn = F.array(part(t.left[0], F.substring(one["text"], F.lit(1), cut), one["col"]), part(t.left[1], F.substring(one["text"], cut + 2, F.length(one["text"])), one["col"] + cut + 1))
-    whole = F.transform(F.slice(cells, F.lit(1), at), lambda s, k: F.struct(F.when(k == 0, number[t.left[0]]).otherwise(number[t.left[1]]).alias("f"), s["text"].alias("text"), s["col"].alias("col")))
-    left = F.when(at >= 2, whole).when(cut > 0, torn)
-
-    opener = F.get(cells, at)
-    offset = opener["col"] + F.length(opener["text"])
-    tail = F.substring(line, offset + 1, F.length(line))
+    fits = F.transform(cells, lambda s, k: F.when((k > 0) & s["text"].rlike(f"(?i){t.opener_text}") & (s["col"] >= head[t.opener] - 6) & (s["col"] <= head[t.middle[0]] + 1), k))
+
+    def left_of(at: Column) -> Column:
+        """The two fields before the opener; torn at the last space before the second one's column if they ran together."""
+        one = F.get(cells, F.lit(0))
+        cut = F.length(F.regexp_extract(F.substring(one["text"], F.lit(1), F.greatest(F.lit(0), head[t.left[1]] - one["col"]) + 1), r"^(.*) ", 1))
+        torn = let(cut, lambda c: F.when(c > 0, F.array(part(t.left[0], F.substring(one["text"], F.lit(1), c), one["col"]), part(t.left[1], F.substring(one["text"], c + 2, F.length(one["text"])), one["col"] + c + 1))))
+        whole = F.transform(F.slice(cells, F.lit(1), at), lambda s, k: F.struct(F.when(k == 0, number[t.left[0]]).otherwise(number[t.left[1]]).alias("f"), s["text"].alias("text"), s["col"].alias("col")))
+        return F.when(at >= 2, whole).otherwise(torn)
+
     when = _when()
     pattern = rf"(?i)^(.*?)(\s*)\b({when})(\s+)({when})(\s+)({when})(\s+)({LINK})\s*$"
-    piece = [F.regexp_extract(tail, pattern, g) for g in range(1, 10)]
-    mid = piece[0]
-    within, money = runs(mid), F.regexp_instr(mid, F.lit(f"(?i){t.money}"))
-    first = F.get(within, F.lit(0))
-    by_money = F.array(part(t.middle[0], F.substring(mid, F.lit(1), money - 1), offset + F.coalesce(first["col"], F.lit(0))), part(t.middle[1], F.substring(mid, money, F.length(mid)), offset + money - 1))
-    by_gap = F.transform(within, lambda s, k: F.struct(F.when((F.size(within) > 1) & (k == F.size(within) - 1), number[t.middle[1]]).otherwise(number[t.middle[0]]).alias("f"), s["text"].alias("text"), (s["col"] + offset).alias("col")))
-    col, days = offset, []
-    for g in range(8):
-        if g in (2, 4, 6):
-            days.append(part(t.dates[g // 2 - 1], piece[g], col))
-        col = col + F.length(piece[g])
-    known = F.concat(F.when(money > 0, by_money).otherwise(by_gap), F.array(*days))
-    # other wording: each run goes to the nearest column of the head
-    places = F.array(*(F.struct(number[f].alias("f"), head[f].alias("c")) for f in names[2:]))
-    loose = F.transform(runs(tail), lambda s: F.struct(s["text"].alias("text"), (s["col"] + offset).alias("col")))
-    is_link = lambda s: s["text"].rlike(f"(?i)^{LINK}$") & (s["col"] >= F.coalesce(head[t.dates[2]], F.lit(-1)))
-    guessed = F.transform(F.filter(loose, lambda s: ~is_link(s)), lambda s: F.struct(_nearest(s["col"], places).alias("f"), s["text"].alias("text"), s["col"].alias("col")))
-    printed = F.get(F.filter(loose, is_link), F.lit(0))["text"]
-    full = F.rlike(tail, F.lit(pattern))
-    parts = F.filter(F.concat(left, F.when(full, known).otherwise(guessed)), lambda p: p["text"] != "")
-    return F.when(at.isNotNull() & left.isNotNull(), F.struct(top_level(opener["text"]).alias("level"), F.when(full, piece[8]).otherwise(printed).alias("link"), parts.alias("parts")))
+
+    def as_usual(piece: Column, offset: Column) -> Column:
+        """Fields of a line that ends in three dates and a link: pieces of the line in order."""
+        mid = piece[0]
+
+        def middle(within: Column, money: Column) -> Column:
+            first = F.get(within, F.lit(0))
+            by_money = F.array(part(t.middle[0], F.substring(mid, F.lit(1), money - 1), offset + F.coalesce(first["col"], F.lit(0))), part(t.middle[1], F.substring(mid, money, F.length(mid)), offset + money - 1))
+            by_gap = F.transform(within, lambda s, k: F.struct(F.when((F.size(within) > 1) & (k == F.size(within) - 1), number[t.middle[1]]).otherwise(number[t.middle[0]]).alias("f"), s["text"].alias("text"), (s["col"] + offset).alias("col")))
+            return F.when(money > 0, by_money).otherwise(by_gap)
+
+        col, days = offset, []
+        for g in range(8):
+            if g in (2, 4, 6):
+                days.append(part(t.dates[g // 2 - 1], piece[g], col))
+            col = col + F.length(piece[g])
+        fields = let(runs(mid), lambda w: let(F.regexp_instr(mid, F.lit(f"(?i){t.money}")), lambda m: middle(w, m)))
+        return F.struct(piece[8].alias("link"), F.concat(fields, F.array(*days)).alias("parts"))
+
+    def loosely(found: Column, offset: Column) -> Column:
+        """Other wording: each run goes to the nearest column of the head."""
+        places = F.array(*(F.struct(number[f].alias("f"), head[f].alias("c")) for f in names[2:]))
+        is_link = lambda s: s["text"].rlike(f"(?i)^{LINK}$") & (s["col"] + offset >= F.coalesce(head[t.dates[2]], F.lit(-1)))
+        guessed = F.transform(F.filter(found, lambda s: ~is_link(s)), lambda s: F.struct(_nearest(s["col"] + offset, places).alias("f"), s["text"].alias("text"), (s["col"] + offset).alias("col")))
+        return F.struct(F.get(F.filter(found, is_link), F.lit(0))["text"].alias("link"), guessed.alias("parts"))
+
+    def read(at: Column) -> Column:
+        opener = F.get(cells, at)
+        offset = opener["col"] + F.length(opener["text"])
+        tail = F.substring(line, offset + 1, F.length(line))
+        pieces = lambda x: F.when(F.rlike(x, F.lit(pattern)), F.array(*(F.regexp_extract(x, pattern, g) for g in range(1, 10))))
+        right = let(offset, lambda o: let(tail, lambda x: let(pieces(x), lambda p: F.when(p.isNotNull(), as_usual(p, o)).otherwise(let(runs(x), lambda r: loosely(r, o))))))
+        whole = lambda left, r: F.struct(top_level(opener["text"]).alias("level"), r["link"].alias("link"), F.filter(F.concat(left, r["parts"]), lambda p: p["text"] != "").alias("parts"))
+        return let(left_of(at), lambda left: F.when(left.isNotNull(), let(right, lambda r: whole(left, r))))
+
+    return let(F.array_min(fits), lambda at: F.when(at.isNotNull(), read(at)))
 
 
 def _filled(opened: Column, below: Column, head: Column, t: Table) -> Column:
@@ -187,7 +200,7 @@ def _filled(opened: Column, below: Column, head: Column, t: Table) -> Column:
     def own_col(i: int) -> Column:
         return F.coalesce(F.get(F.filter(opened["parts"], lambda p: p["f"] == i), F.lit(0))["col"], head[names[i]])
 
-    places = F.array(*(F.struct(F.lit(i).alias("f"), own_col(i).alias("c")) for i in range(len(names))))
+    places_ = F.array(*(F.struct(F.lit(i).alias("f"), own_col(i).alias("c")) for i in range(len(names))))
 
     def pieces(s: Column) -> Column:
         """Two cells in one run: pay after a place, years side by side."""
@@ -204,13 +217,13 @@ def _filled(opened: Column, below: Column, head: Column, t: Table) -> Column:
     bare = F.array_compact(F.array(*(F.when(is_bare(i), F.lit(i)) for i in days)))
     begin = F.struct(given.alias("parts"), bare.alias("bare"))
 
-    def add(state: Column, s: Column) -> Column:
+    def add(state: Column, s: Column, places: Column) -> Column:
         year = s["text"].rlike(f"^{_YEAR}$")
         f = F.when(year, _nearest(s["col"], places, state["bare"])).when(s["text"].startswith("£"), F.lit(names.index(t.middle[1]))).otherwise(_nearest(s["col"], places))
         parts = F.when(f.isNull(), state["parts"]).otherwise(F.concat(state["parts"], F.array(F.struct(f.alias("f"), s["text"].alias("text")))))
         return F.struct(parts.alias("parts"), F.filter(state["bare"], lambda b: f.isNull() | (b != f)).alias("bare"))
 
-    return F.aggregate(more, begin, add)["parts"]
+    return let(places_, lambda places: F.aggregate(more, begin, lambda state, s: add(state, s, places)))["parts"]
 
 
 def table_entries(lines: DataFrame, t: Table) -> DataFrame:
