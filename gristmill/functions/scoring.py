@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.dates import days_between
+from gristmill.functions.dates import days_between, period_end
 from gristmill.functions.numbers import clamp, round_half_up
 
 # Tariff points of grades, best first.
@@ -143,15 +143,84 @@ def at_least(grade: Column, least: Column) -> Column:
     return F.array_position(order, grade) <= F.array_position(order, least)
 
 
-def grade_fit(points: Column, least_grade: Column, n_levels: Column, no_grades: Column, predicted: Column) -> Column:
-    """meets, close, below or null: predicted grades against what an advert asks for.
+def takes(mine: Column, asked: Column) -> Column:
+    """Whether one of a person's A levels satisfies a subject that is asked for.
+
+    Any kind of maths is maths, computer science is computing, IT and ICT, and the natural sciences are sciences.
+    """
+    want = F.lower(asked)
+
+    def one(h: Column) -> Column:
+        own = F.lower(h)
+        maths, computing = own.contains("math"), own == "computer science"
+        science = own.isin("physics", "chemistry", "biology")
+        return (
+            F.when(want.isin("maths", "mathematics"), maths)
+            .when(want.isin("ict", "it", "computing", "computer science"), computing)
+            .when(want.contains("stem"), maths | science | computing)
+            .when(want.contains("science"), science | computing)
+            .otherwise(own == want)
+        )
+
+    return F.exists(mine, one)
+
+
+def grade_fit(points: Column, least_grade: Column, n_levels: Column, no_grades: Column, predicted: Column, subjects: Column | None = None, grade_subjects: Column | None = None, mine: Column | None = None) -> Column:
+    """meets, close, below, subject or null: predicted grades against what an advert asks for.
 
     :param points: tariff points asked for; ``least_grade`` of each of ``n_levels`` A levels (three if null).
+    :param subjects: subjects asked for; ``grade_subjects`` those that the grade is about, one of which will do.
+    :param mine: the person's subjects; unknown (null, empty) ones are no hindrance.
+
+    A grade in one subject is met for certain only if all predicted grades reach it, and missed only if none does.
     """
-    mine = split_grades(predicted)
-    count, gap = F.size(mine), points - grades_to_points(mine)
-    reached, need = F.size(F.filter(mine, lambda g: at_least(g, least_grade))), F.least(F.coalesce(n_levels, F.lit(3)), F.size(mine))
+    none = F.array().cast("array<string>")
+    own, asked_for, about = (F.coalesce(none if c is None else c, none) for c in (mine, subjects, grade_subjects))
+    grades = split_grades(F.coalesce(predicted, F.lit("")))
+    count, gap = F.size(grades), points - grades_to_points(grades)
+    known = F.size(own) > 0
+    lacks_maths = F.exists(asked_for, lambda x: F.lower(x).contains("math")) & ~F.exists(own, lambda x: F.lower(x).contains("math"))
+    lacks = known & (lacks_maths | ((F.size(about) > 0) & ~F.exists(about, lambda x: takes(own, x))))
+    levels = F.greatest(count, F.size(own))
+    reached, need = F.size(F.filter(grades, lambda g: at_least(g, least_grade))), F.least(F.coalesce(n_levels, F.lit(3)), count)
     by_points = F.when(gap <= 0, "meets").when(gap <= CLOSE_POINTS, "close").when(gap.isNotNull(), "below")
-    by_grade = F.when(reached >= need, "meets").when(reached == need - 1, "close").otherwise("below")
-    asked = F.when((n_levels > count) & (count > 0), "below").when(least_grade.isNotNull() & (count > 0), by_grade).when(n_levels <= count, "meets")
-    return F.when(points.isNotNull(), by_points).when(F.coalesce(no_grades, F.lit(False)), F.when(count > 0, "meets")).otherwise(asked)
+    in_one = F.when(reached == count, "meets").when(reached == 0, "below")
+    by_grade = F.when(F.size(about) > 0, in_one).when(reached >= need, "meets").when(reached == need - 1, "close").otherwise("below")
+    by_levels = F.when((n_levels > levels) & (levels > 0), "below").when(least_grade.isNotNull() & (count > 0), by_grade).when((n_levels <= levels), "meets")
+    return F.when(lacks, "subject").when(points.isNotNull(), by_points).when(F.coalesce(no_grades, F.lit(False)), F.when((count > 0) | known, "meets")).otherwise(by_levels)
+
+
+#: Days that an advert is new.
+NEW_DAYS = 3
+
+
+def own_parts(fit: Column, is_degree: Column, start: Column, pay: Column, employer: Column, weights: Mapping[str, int], prefer_degree: Column, earliest_start: Column, least_pay: Column, favourites: Column, rank: Column | None = None, bands: Sequence[tuple[int, int]] = (), band_weight: Column | None = None) -> list[tuple[str, Column]]:
+    """Parts of a person's own score beyond the base: (label, points), null where one doesn't apply.
+
+    :param start: struct of date and precision; all of it must be before ``earliest_start`` to be too early.
+    :param weights: points for meets, close, below, subject, degree, early, low_pay, favourite.
+    :param rank: of the advert's university, with the bands (most rank, points) it may lie in.
+    """
+    def worth(name: str) -> Column:
+        return F.lit(weights[name])
+
+    grades = F.when(fit == "meets", worth("meets")).when(fit == "close", worth("close")).when(fit == "below", worth("below")).when(fit == "subject", worth("subject"))
+    parts = [
+        ("grades", grades),
+        ("degree", F.when(prefer_degree & is_degree, worth("degree"))),
+        ("early", F.when(period_end(start["date"], start["precision"]) < earliest_start, worth("early"))),
+        ("low_pay", F.when((pay > 0) & (pay < least_pay), worth("low_pay"))),
+        ("favourite", F.when(F.array_contains(favourites, employer), worth("favourite"))),
+    ]
+    if rank is not None and bands:
+        points = F.lit(None).cast("int")
+        for most, p in reversed(bands):
+            points = F.when(rank <= most, p).otherwise(points)
+        weighed = F.floor(points * (F.lit(1.0) if band_weight is None else band_weight) + 0.5).cast("int")
+        parts.insert(0, ("university", F.nullif(weighed, F.lit(0))))
+    return parts
+
+
+def derived(rows: DataFrame, today: Column, closing: str, first_seen: str) -> DataFrame:
+    """``rows`` with days_to_close and is_new; an advert without a closing date has null days."""
+    return rows.withColumns({"days_to_close": F.datediff(F.col(closing), today), "is_new": F.coalesce(F.datediff(today, F.col(first_seen)) <= NEW_DAYS, F.lit(False))})
