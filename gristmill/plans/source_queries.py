@@ -27,7 +27,7 @@ def _columns(*cells: tuple[Column | str, int]) -> Column:
 
 
 @query(
-    """SELECT p_partkey, 'Listing of size ' || p_size AS section, split_part(p_brand, '#', 1) || ' works ' || split_part(p_brand, '#', 2) AS employer, p_name || ' apprentice' || CASE WHEN p_partkey % 4 = 0 THEN ' ' || p_partkey ELSE '' END AS role, CAST(4 + p_partkey % 3 AS INTEGER) AS level,
+    """SELECT p_partkey, 'Listing of size ' || p_size AS section, split_part(p_brand, '#', 1) || ' works ' || split_part(p_brand, '#', 2) AS employer, p_name || ' apprentice' || CASE WHEN p_partkey % 4 = 0 THEN ' no' || p_partkey ELSE '' END AS role, CAST(4 + p_partkey % 3 AS INTEGER) AS level,
       CASE WHEN p_partkey % 2 = 0 THEN 'York' ELSE 'Newcastle-under-Lyme' END AS location, '£' || CAST(20000 + p_partkey AS VARCHAR) || CASE WHEN p_partkey % 5 = 0 THEN ' with bonus' ELSE '' END AS salary,
       make_date(CASE WHEN p_partkey % 12 + 1 >= 2 THEN 2026 ELSE 2027 END, CAST(p_partkey % 12 + 1 AS INTEGER), 1) AS opens_on, last_day(make_date(2026, CAST(p_partkey % 7 + 6 AS INTEGER), 1)) AS closes_on, p_partkey % 4 = 0 AS by_mail FROM part"""
 )
@@ -42,7 +42,7 @@ def printed_listings(spark: SparkSession, d: str) -> DataFrame:
     number = F.substring_index("p_brand", "#", -1)
     link = F.when(key % 4 == 0, F.concat(F.lit("jobs"), key, F.lit("@example.org"))).otherwise(F.concat(F.lit("example.org/jobs/"), key))
     first = _columns(("", 1), (F.substring_index("p_brand", "#", 1), 20), (F.get(words, F.lit(0)), 40), ((4 + key % 3).cast("string"), 8), (F.when(odd, "Newcastle-under-").otherwise("York"), 24), (F.concat(F.lit("£"), (20000 + key).cast("string")), 16), (opens, 12), (closes, 12), ("Spring", 12), (link, 40))
-    rest = F.concat_ws(" ", F.slice(words, 2, 9), F.lit("apprentice"), F.when(key % 4 == 0, key.cast("string")))
+    rest = F.concat_ws(" ", F.slice(words, 2, 9), F.lit("apprentice"), F.when(key % 4 == 0, F.concat(F.lit("no"), key.cast("string"))))
     second = _columns(("", 1), (F.concat(F.lit("works "), number), 20), (rest, 40), ("", 8), (F.when(odd, "Lyme").otherwise(""), 24), (F.when(key % 5 == 0, "with bonus").otherwise(""), 16), ("", 12), ("2026", 12), ("2027", 12))
     head = _columns(("", 1), ("Employer", 20), ("Role", 40), ("Level", 8), ("Location", 24), ("Salary", 16), ("Applications", 24), ("Start Date", 12), ("Link", 4))
     below = _columns(("", 109), ("Open", 12), ("Close", 12))

@@ -183,7 +183,9 @@ def _opened(line: Column, cells: Column, head: Column, t: Table) -> Column:
         opener = F.get(cells, at)
         offset = opener["col"] + F.length(opener["text"])
         tail = F.substring(line, offset + 1, F.length(line))
-        pieces = lambda x: F.when(F.rlike(x, F.lit(pattern)), F.array(*(F.regexp_extract(x, pattern, g) for g in range(1, 10))))
+        # all groups by one match; a line that doesn't match stays whole
+        groups = "\x01".join(f"${g}" for g in range(1, 10))
+        pieces = lambda x: let(F.split(F.regexp_replace(x, pattern, groups), "\x01", -1), lambda p: F.when(F.size(p) == 9, p))
         right = let(offset, lambda o: let(tail, lambda x: let(pieces(x), lambda p: F.when(p.isNotNull(), as_usual(p, o)).otherwise(let(runs(x), lambda r: loosely(r, o))))))
         whole = lambda left, r: F.struct(top_level(opener["text"]).alias("level"), r["link"].alias("link"), F.filter(F.concat(left, r["parts"]), lambda p: p["text"] != "").alias("parts"))
         return let(left_of(at), lambda left: F.when(left.isNotNull(), let(right, lambda r: whole(left, r))))
