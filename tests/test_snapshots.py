@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.operators import merging, snapshots
+from gristmill.streaming import merging as streams
 
 SCHEMA = "key long, title string, seen int"
 
@@ -88,3 +89,24 @@ def test_counts_are_gathered_with_the_write(spark, tmp_path):
     snapshots.append_run(spark, str(tmp_path / "runs"), row)
     snapshots.append_run(spark, str(tmp_path / "runs"), {**row, "run": "2026-01-02"})
     assert sorted(r.run for r in snapshots.runs(spark, str(tmp_path / "runs")).collect()) == ["2026-01-01", "2026-01-02"]
+
+
+def test_a_stream_equals_one_merge(spark, tmp_path):
+    batches = [[(i, f"a{i}", i % 5) for i in range(40)], [(3, "late", 1), (4, "new", 9), (90, "x", None)], [(4, "older", 8), (90, "y", 0), (7, "same", 2)]]
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    t = table(spark, tmp_path, 16)
+    for k, items in enumerate(batches):
+        rows(spark, items).coalesce(1).write.parquet(str(tmp_path / f"land{k}"))
+        (file,) = (tmp_path / f"land{k}").glob("*.parquet")
+        file.rename(inbox / f"{k}.parquet")
+        stream = spark.readStream.schema(t.schema).parquet(str(inbox))
+        streams.snapshot_stream(stream, t, "seen", str(tmp_path / "check")).awaitTermination(120)
+    want = {}
+    for items in batches:
+        for key, title, seen in items:
+            if key not in want or (-1 if seen is None else seen) > (-1 if want[key][1] is None else want[key][1]):
+                want[key] = (title, seen)
+    assert {r.key: (r.title, r.seen) for r in t.read().collect()} == want
+    assert {(r.key, r.change) for r in t.changes(2).collect()} == {(4, "update"), (90, "insert")}
+    assert {(r.key, r.change) for r in t.changes(3).collect()} == {(90, "update")}
