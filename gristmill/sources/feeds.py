@@ -177,13 +177,14 @@ def rss(spark: SparkSession, path: str, today: Column) -> DataFrame:
     return read.select(F.coalesce(number, F.trim("guid"), F.trim("link")).alias("source_id"), F.trim("link").alias("url"), collapse_spaces(decode_entities(F.col("title"))).alias("title"), parse_date(F.col("pubDate"), today).alias("posted"), html_to_text(decode_entities(F.col("description"))).alias("description"))
 
 
-def changed_pages(pages: DataFrame, stored: DataFrame) -> DataFrame:
-    """url and hash of pages whose text isn't the stored one's; scripts, styles and white space don't count.
+def changed_pages(pages: DataFrame, stored: DataFrame, key: str = "url") -> DataFrame:
+    """``pages`` whose text isn't a stored one's, with hash in place of html; scripts, styles and white space don't count.
 
-    :param pages: url, html; ``stored`` url, hash.
+    :param pages: ``key``, html and what else they have; ``stored`` ``key``, hash.  Where a URL has several pages,
+        another key tells them apart.
     """
-    hashed = pages.select("url", F.sha2(html_to_text(F.coalesce("html", F.lit(""))), 256).alias("hash"))
-    return hashed.join(stored.select("url", "hash"), ["url", "hash"], "left_anti")
+    hashed = pages.withColumn("hash", F.sha2(html_to_text(F.coalesce("html", F.lit(""))), 256)).drop("html")
+    return hashed.join(stored.select(key, "hash"), [key, "hash"], "left_anti")
 
 
 def by_hand(typed: DataFrame, pages: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import json
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from gristmill.plans import feed_queries, listing_queries, registry
 from gristmill.sources import feeds
 from gristmill.streaming import merging
 
+assert feed_queries
+assert listing_queries
 
 
 def today():
@@ -109,3 +114,21 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.user_id: r.event_id for r in spark.read.parquet(str(tmp_path / "out" / str(last))).collect()}
     assert last == 2
     assert got == {r.user_id: r.e for r in events.groupBy("user_id").agg(F.max("event_id").alias("e")).collect()}
+
+
+def several_pages(spark, folder):
+    """Pages of which two and two share a URL, two of those also their text; titles with references."""
+    rows = [(0, "u", "<title>A &quot;b&quot; &amp; c</title>x"), (1, "u", "<title>\u00a0A &AMP; b</title>x &pound;1 &lt;"), (2, "v", "<p>y</p>"), (3, "v", "<p>z</p>"), (4, "w", "<p>y</p>"), (5, "w", "<p>y</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["changed_boards"])
+def test_several_pages_of_one_url(spark, tmp_path, name):
+    con = several_pages(spark, tmp_path)
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(registry.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(want.fetchall())
