@@ -187,11 +187,14 @@ def changed_pages(pages: DataFrame, stored: DataFrame, key: str = "url") -> Data
     return hashed.join(stored.select(key, "hash"), [key, "hash"], "left_anti")
 
 
-def by_hand(typed: DataFrame, pages: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Adverts added by hand: what was typed counts, else what their page says (both by url)."""
-    read = pages.select("url", *(F.col(c).alias(f"page_{c}") for c in columns))
-    met = typed.join(read, "url", "left")
-    return met.select("url", *(F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"page_{c}")).alias(c) for c in columns))
+def by_hand(typed: DataFrame, pages: DataFrame, columns: tuple[str, ...], key: str = "url") -> DataFrame:
+    """Adverts added by hand, one row for each: what was typed counts, else what their page says (both by ``key``).
+
+    Of several pages of one key the least counts, by what they say in the order of ``columns``; nulls come first.
+    """
+    read = pages.groupBy(key).agg(F.min(F.struct(*columns)).alias("page"))
+    met = typed.join(read, key, "left")
+    return met.select(key, *(F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"page.{c}")).alias(c) for c in columns))
 
 
 def sitemap(spark: SparkSession, path: str) -> DataFrame:

@@ -125,10 +125,16 @@ def several_pages(spark, folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["changed_boards"])
+@pytest.mark.parametrize("name", ["changed_boards", "jobs_by_hand"])
 def test_several_pages_of_one_url(spark, tmp_path, name):
     con = several_pages(spark, tmp_path)
     df = registry.QUERIES[name](spark, str(tmp_path))
     want = con.execute(registry.ORACLES[name])
     columns = [c[0] for c in want.description]
     assert sorted(map(tuple, df.select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_pages_by_url(spark):
+    pages = spark.createDataFrame([("u", "b"), ("u", "a"), ("v", None)], "url string, title string")
+    typed = spark.createDataFrame([("u", ""), ("u", "t"), ("v", None), ("x", None)], "url string, title string")
+    assert sorted((r.url, r.title or "-") for r in feeds.by_hand(typed, pages, ("title",)).collect()) == [("u", "a"), ("u", "t"), ("v", "-"), ("x", "-")]
