@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import let
+
 # Texts shorter than this are summaries, how far back a heading holds, and how long quotes are.
 LEAST_CHARS, BACK_SEGMENTS, BACK_CHARS, QUOTE_CHARS = 700, 12, 1200, 220
 
@@ -59,13 +61,14 @@ def mentions(adverts: DataFrame, dictionary: Mapping[str, str], key: str = "list
     """
     any_cue = r"(?i)\b(?:" + "|".join(cues.values()) + r")\b"
 
-    def last_cue(c: Column) -> Column:
-        found = F.regexp_extract_all(c, F.lit(any_cue), F.lit(0))
-        return F.when(F.size(found) > 0, _kind(F.get(found, F.size(found) - 1), cues))
+    def ends(c: Column) -> Column:
+        """The kinds of a segment's first and last cue: its cues are looked for once."""
+        kind = lambda at: let(at, lambda cue: _kind(cue, cues))
+        return let(F.regexp_extract_all(c, F.lit(any_cue), F.lit(0)), lambda found: F.when(F.size(found) > 0, F.struct(kind(F.get(found, F.lit(0))).alias("first"), kind(F.get(found, F.size(found) - 1)).alias("last"))))
 
     # equal rows count once, different texts of one key each by itself
     rows = adverts.filter(F.length(text) >= LEAST_CHARS).select(F.col(key), F.xxhash64(key, text).alias("advert"), segments(F.col(text)).alias("parts"))
-    parts = rows.distinct().select(key, "advert", F.posexplode("parts").alias("at", "part")).withColumn("last", last_cue(F.col("part")))
+    parts = rows.distinct().select(key, "advert", F.posexplode("parts").alias("at", "part")).withColumn("cue", ends(F.col("part"))).select("*", F.col("cue.last").alias("last"))
     order = Window.partitionBy(key, "advert").orderBy("at")
     parts = parts.withColumn("chars", F.sum(F.length("part")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     seen = F.when(F.col("last").isNotNull(), F.struct("last", F.col("chars").alias("until")))
@@ -73,7 +76,6 @@ def mentions(adverts: DataFrame, dictionary: Mapping[str, str], key: str = "list
     parts = parts.withColumn("heading", heading)
     # the budget counts the segments between the heading's and this one
     held = F.when(F.col("chars") - F.length("part") - F.col("heading.until") < BACK_CHARS, F.col("heading.last"))
-    first = _kind(F.nullif(F.regexp_extract("part", any_cue, 0), F.lit("")), cues)
     asked_for = parts.filter(~F.col("part").rlike(QUALIFICATIONS) & F.col("part").rlike("|".join(f"(?:{p})" for p in dictionary.values())))
 
     def places(pattern: str, id_: str | None) -> Column:
@@ -82,8 +84,8 @@ def mentions(adverts: DataFrame, dictionary: Mapping[str, str], key: str = "list
         kind = (lambda h: _kind(h, cues)) if id_ is None else (lambda h: F.lit(None).cast("string"))
         return F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.lit(id_).cast("string").alias("id"), F.length(h).alias("long"), F.length(g).alias("gap"), kind(h).alias("kind")))
 
-    listed = F.concat(places(any_cue, None), *(F.when(F.col("part").rlike(p), places(p, name)).otherwise(F.array()) for name, p in dictionary.items()))
-    met = asked_for.select(key, "advert", "at", "part", held.alias("held"), first.alias("first"), F.posexplode(listed).alias("nth", "m")).select("*", "m.*")
+    listed = F.concat(F.when(F.col("cue").isNotNull(), places(any_cue, None)).otherwise(F.array()), *(F.when(F.col("part").rlike(p), places(p, name)).otherwise(F.array()) for name, p in dictionary.items()))
+    met = asked_for.select(key, "advert", "at", "part", held.alias("held"), F.col("cue.first").alias("first"), F.posexplode(listed).alias("nth", "m")).select("*", "m.*")
     # a place is the sum of what comes before it
     before = Window.partitionBy(key, "advert", "at", "id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     met = met.withColumn("place", F.sum(F.col("gap") + F.col("long")).over(before) - F.col("long"))

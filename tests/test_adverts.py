@@ -163,3 +163,11 @@ def test_mentions_of_documents_equal_plain_loop(spark, sf_dir):
     docs = registry.table(spark, sf_dir, "documents").select("doc_id", "text").distinct().collect()
     want = {(r.doc_id, k, c) for r in docs if r.text and len(r.text) >= skills.LEAST_CHARS for k, c in plain_mentions(r.text, listing_queries._WORDS).items()}
     assert {tuple(r) for r in registry.QUERIES["skill_mentions"](spark, sf_dir).collect()} == want
+
+
+def test_cues_of_a_segment_are_looked_for_once(spark):
+    """Once for a segment's first and last cue, and for their places by matches and gaps in segments with skills."""
+    rows = [(1, "You zzneed data. " + "x " * 400), (2, "Here you zzlearn things.\nThen data. " + "x " * 400)]
+    got = skills.mentions(spark.createDataFrame(rows, "k int, text string"), {"data": r"\bdata\b"}, "k", cues={"asked": "zzneed", "taught": "zzlearn"})
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("zzneed|zzlearn") <= 4
+    assert sorted((r.k, r.id, r.ctx) for r in got.collect()) == [(1, "data", "asked"), (2, "data", "taught")]
