@@ -132,3 +132,22 @@ def test_stage_keeps_one_row_of_each_component(spark):
 def test_stage_meets_pairs_at_its_threshold():
     """Sets of similarity 0.80 share a band; with 40 bands about one of 1600 pairs has none."""
     assert (1 - 0.8**corpus_pipeline.ROWS) ** corpus_pipeline.BANDS < 3e-6
+
+
+def test_a_bucket_lent_as_reference_has_a_set_of_its_own(spark):
+    """The middle one of three buckets is compared with the largest, and is itself the reference of the least."""
+    held = {1: range(4), 2: range(3, 9), 3: range(8, 20)}
+    large = spark.createDataFrame([(b, c, 10, c, len(held[b])) for b in held for c in held[b]], "bucket long, cls long, n int, part long, size long")
+    sets = spark.createDataFrame([(c, [100, 200, c]) for c in range(20)], "cls long, set array<long>")
+    placed = minhash._placed(large, True)
+    assert {r["ref"] for r in placed.select("ref").collect()} == {2, 3}
+    made = {r["ref"]: sorted(r["ref_set"]) for r in minhash._references(placed, large, sets).collect()}
+    assert made == {2: [100, 200], 3: [100, 200]}
+
+
+def test_few_texts_are_exchanged_for_sets_and_none_that_is_wanted_is_lost(spark):
+    rows = spark.range(20000).selectExpr("id AS doc_id", "'t' AS text").unionByName(spark.sql("SELECT CAST(NULL AS bigint) AS doc_id, 'null' AS text"))
+    ids = spark.range(0, 20000, 40).selectExpr("id AS doc_id").unionByName(spark.sql("SELECT CAST(NULL AS bigint) AS doc_id"))
+    left = [r["doc_id"] for r in minhash._likely(rows, ids).collect()]
+    assert None in left and set(range(0, 20000, 40)) <= set(left)
+    assert len(left) < 600
