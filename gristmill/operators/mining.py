@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.session import materialise
+
 
 def weighted_shares(rows: DataFrame, items: str, weight: str) -> DataFrame:
     """item, share of the weight of all rows that have a list, and count.  Rows with a null list are no basis."""
@@ -48,6 +50,7 @@ def phrases(rows: DataFrame, words: str, owner: str, sizes: Sequence[int] = (2,
     # who: a digest of the set of owners, whatever their order
     found = used.groupBy("phrase").agg(F.count("*").alias("owners"), F.min("example").alias("example"), F.bit_xor(F.xxhash64("owner")).alias("who")).filter(F.col("owners") >= owners)
     if len(sizes) > 1:
+        found = materialise(found, "phrases")  # read twice below, and far smaller than what it is made of
         inner = F.split("phrase", " ")
 
         def within(size: int) -> Column:

@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.operators import mining
 from gristmill.functions import entry, places, scoring
 from gristmill.functions.classify import Rules, classify, matches_any
 from gristmill.operators import normalising
@@ -138,3 +139,11 @@ def test_listed_qualifications(spark, listed, want):
     df = spark.createDataFrame([(None, listed)], f"t string, q {entry.QUALIFICATION}")
     r = df.select(entry.requirement(F.col("t"), F.col("q")).alias("r")).first().r
     assert (r and (r.kind, r.points, r.n_levels, r.least_grade, r.grade_subjects)) == want
+
+
+def test_phrases_are_made_from_the_texts_once(spark, tmp_path):
+    """What is found is read twice, so it is written first: the result no longer reads the texts."""
+    spark.createDataFrame([("a", 1, ["x", "y", "z"]), ("b", 2, ["x", "y", "z"]), ("c", 3, ["x", "y"])], "owner string, id long, words array<string>").write.parquet(f"{tmp_path}/rows")
+    got = mining.phrases(spark.read.parquet(f"{tmp_path}/rows"), "words", "owner", (2, 3), 2, "id")
+    assert sorted(map(tuple, got.collect())) == [("x y", 3, 1), ("x y z", 2, 1)]
+    assert got.inputFiles() and not [f for f in got.inputFiles() if str(tmp_path) in f]
