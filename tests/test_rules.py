@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,14 @@ def test_phrases_are_made_from_the_texts_once(spark, tmp_path):
     got = mining.phrases(spark.read.parquet(f"{tmp_path}/rows"), "words", "owner", (2, 3), 2, "id")
     assert sorted(map(tuple, got.collect())) == [("x y", 3, 1), ("x y z", 2, 1)]
     assert got.inputFiles() and not [f for f in got.inputFiles() if str(tmp_path) in f]
+
+
+def test_phrases_travel_as_packed_hashes(spark):
+    """Few packs whatever the number of phrases; owners, examples and null ones as by the plain count."""
+    rows = [("a", 5, ["p", "q", "p", "q"]), (None, 3, ["p", "q", "r"]), ("b", None, ["p", "q", "r"]), ("c", 4, ["q", "r", "s"]), ("c", 4, ["q", "r", "s"]), ("d", None, ["t", "u"]), (None, None, ["t", "u"]), ("e", 9, []), ("e", 9, ["p"])]
+    got = mining.phrases(spark.createDataFrame(rows, "owner string, id long, words array<string>"), "words", "owner", (2, 3), 2, "id")
+    assert sorted(map(tuple, got.collect())) == [("p q", 3, 3), ("p q r", 2, 3), ("q r", 3, 3), ("t u", 2, None)]
+    few = np.array([7, -3, 7, 7], np.int64)
+    assert mining._unpack_few(mining._pack_few(few)).tolist() == few.tolist()
+    many = np.arange(4000, dtype=np.int64) % 20 * (1 << 58)
+    assert len(mining._pack_few(many)) < 4000
