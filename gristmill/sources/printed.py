@@ -22,6 +22,7 @@ from gristmill.functions.dates import MONTH_NAMES
 from gristmill.functions.text import collapse_spaces, let, slugify
 
 _RUN = r"\S+(?: \S+)*"
+_WHITE = " \t\n\x0b\f\r"  # what \s is
 _YEAR = "(?:19|20)[0-9]{2}"
 SEASONS = ("Spring", "Summer", "Autumn", "Winter")
 #: Words that stand where a month could.
@@ -91,9 +92,14 @@ class Cards:
 
 def runs(line: Column) -> Column:
     """Runs of text that two spaces or more divide: array of col (from 0) and text."""
-    found, gaps = F.regexp_extract_all(line, F.lit(_RUN), F.lit(0)), F.split(line, _RUN, -1)
-    before = lambda x, n: F.length(F.array_join(F.slice(x, F.lit(1), n), ""))
-    return F.transform(found, lambda text, k: F.struct((before(gaps, k + 1) + before(found, k)).alias("col"), text.alias("text")))
+    # each with the white space before it: the line is cut once, and only its end is left out
+    cut = F.regexp_extract_all(F.rtrim(line, F.lit(_WHITE)), F.lit(rf"\s*{_RUN}"), F.lit(0))
+
+    def placed(found: Column) -> Column:
+        ends = lambda k: F.length(F.array_join(F.slice(found, F.lit(1), k + 1), ""))
+        return F.transform(found, lambda x, k: let(F.ltrim(x, F.lit(_WHITE)), lambda text: F.struct((ends(k) - F.length(text)).alias("col"), text.alias("text"))))
+
+    return let(cut, placed)
 
 
 def join_wrapped(parts: Column) -> Column:
@@ -141,7 +147,7 @@ def _opened(line: Column, cells: Column, head: Column, t: Table) -> Column:
     names = t.fields
     number = {name: F.lit(i) for i, name in enumerate(names)}
     part = lambda name, text, col: F.struct(number[name].alias("f"), F.trim(text).alias("text"), col.alias("col"))
-    fits = F.transform(cells, lambda s, k: F.when((k > 0) & s["text"].rlike(f"(?i){t.opener_text}") & (s["col"] >= head[t.opener] - 6) & (s["col"] <= head[t.middle[0]] + 1), k))
+    fits = F.transform(cells, lambda s, k: F.when((k > 0) & (s["col"] >= head[t.opener] - 6) & (s["col"] <= head[t.middle[0]] + 1) & s["text"].rlike(f"(?i){t.opener_text}"), k))
 
     def left_of(at: Column) -> Column:
         """The two fields before the opener; torn at the last space before the second one's column if they ran together."""
@@ -206,26 +212,30 @@ def _filled(opened: Column, below: Column, head: Column, t: Table) -> Column:
 
     def pieces(s: Column) -> Column:
         """Two cells in one run: pay after a place, years side by side."""
-        texts = F.split(s["text"], rf" (?=£)| (?={_YEAR}$)", -1)
-        return F.transform(texts, lambda x, k: F.struct((s["col"] + F.length(F.array_join(F.slice(texts, F.lit(1), k), " ")) + F.when(k > 0, 1).otherwise(0)).alias("col"), x.alias("text")))
+        divided = F.split(s["text"], rf" (?=£)| (?={_YEAR}$)", -1)
+        return let(divided, lambda texts: F.transform(texts, lambda x, k: F.struct((s["col"] + F.length(F.array_join(F.slice(texts, F.lit(1), k), " ")) + F.when(k > 0, 1).otherwise(0)).alias("col"), x.alias("text"))))
 
     more = F.flatten(F.transform(F.flatten(below), pieces))
-    given = F.transform(opened["parts"], lambda p: F.struct(p["f"].alias("f"), p["text"].alias("text")))
+    given_ = F.transform(opened["parts"], lambda p: F.struct(p["f"].alias("f"), p["text"].alias("text")))
 
-    def is_bare(i: int) -> Column:
-        own = F.filter(given, lambda p: p["f"] == i)
-        return (F.size(own) == 1) & F.get(own, F.lit(0))["text"].rlike(bare_month)
+    def begin(given: Column) -> Column:
+        def is_bare(i: int) -> Column:
+            return let(F.filter(given, lambda p: p["f"] == i), lambda own: (F.size(own) == 1) & F.get(own, F.lit(0))["text"].rlike(bare_month))
 
-    bare = F.array_compact(F.array(*(F.when(is_bare(i), F.lit(i)) for i in days)))
-    begin = F.struct(given.alias("parts"), bare.alias("bare"))
+        bare = F.array_compact(F.array(*(F.when(is_bare(i), F.lit(i)) for i in days)))
+        return F.struct(given.alias("parts"), bare.alias("bare"))
 
     def add(state: Column, s: Column, places: Column) -> Column:
         year = s["text"].rlike(f"^{_YEAR}$")
-        f = F.when(year, _nearest(s["col"], places, state["bare"])).when(s["text"].startswith("£"), F.lit(names.index(t.middle[1]))).otherwise(_nearest(s["col"], places))
-        parts = F.when(f.isNull(), state["parts"]).otherwise(F.concat(state["parts"], F.array(F.struct(f.alias("f"), s["text"].alias("text")))))
-        return F.struct(parts.alias("parts"), F.filter(state["bare"], lambda b: f.isNull() | (b != f)).alias("bare"))
+        field_ = F.when(year, _nearest(s["col"], places, state["bare"])).when(s["text"].startswith("£"), F.lit(names.index(t.middle[1]))).otherwise(_nearest(s["col"], places))
+
+        def added(f: Column) -> Column:
+            parts = F.when(f.isNull(), state["parts"]).otherwise(F.concat(state["parts"], F.array(F.struct(f.alias("f"), s["text"].alias("text")))))
+            return F.struct(parts.alias("parts"), F.filter(state["bare"], lambda b: f.isNull() | (b != f)).alias("bare"))
 
-    return let(places_, lambda places: F.aggregate(more, begin, lambda state, s: add(state, s, places)))["parts"]
+        return let(field_, added)
+
+    return let(places_, lambda places: let(given_, lambda given: F.aggregate(more, begin(given), lambda state, s: add(state, s, places))))["parts"]
 
 
 def table_entries(lines: DataFrame, t: Table) -> DataFrame:
@@ -255,13 +265,19 @@ def table_entries(lines: DataFrame, t: Table) -> DataFrame:
         F.min_by("head.cols", "i").alias("cols"),
         F.array_sort(F.collect_list(F.when(F.col("i") > F.col("row"), F.struct("i", "cells")))).alias("below"),  # one entry's lines
     )
-    parts = rows.withColumn("parts", _filled(F.col("opened"), F.transform("below", lambda b: b["cells"]), F.col("cols"), t))
 
-    def cell(name: str) -> Column:
-        return F.nullif(join_wrapped(F.transform(F.filter("parts", lambda p: p["f"] == t.fields.index(name)), lambda p: p["text"])), F.lit(""))
+    def entry(parts: Column) -> Column:
+        def cell(name: str) -> Column:
+            text = join_wrapped(F.transform(F.filter(parts, lambda p: p["f"] == t.fields.index(name)), lambda p: p["text"]))
+            return let(text, lambda x: F.when(x != "", x))
+
+        days = zip(t.dates, ("opens", "closes", "start"), strict=True)
+        return F.struct(clean_name(cell(t.left[0])).alias("employer"), cell(t.left[1]).alias("role"), F.col("opened.level").alias("level"), F.coalesce(cell(t.middle[0]), F.lit("")).alias("location"), cell(t.middle[1]).alias("salary"), *(cell(d).alias(n) for d, n in days), F.col("opened.link").alias("link"))
 
-    out = parts.select("doc", "key", F.col("row").alias("i"), "section", clean_name(cell(t.left[0])).alias("employer"), cell(t.left[1]).alias("role"), F.col("opened.level").alias("level"), F.coalesce(cell(t.middle[0]), F.lit("")).alias("location"), cell(t.middle[1]).alias("salary"), *(cell(d).alias(n) for d, n in zip(t.dates, ("opens", "closes", "start"), strict=True)), F.col("opened.link").alias("link"))
-    return out.filter("employer IS NOT NULL AND role IS NOT NULL")
+    # taken out of an array, since a filter on fields would have the optimizer work them out again for each condition
+    filled = let(_filled(F.col("opened"), F.transform("below", lambda b: b["cells"]), F.col("cols"), t), entry)
+    named = F.filter(F.array(filled), lambda e: e["employer"].isNotNull() & e["role"].isNotNull())
+    return rows.select("doc", "key", F.col("row").alias("i"), "section", F.explode(named).alias("e")).select("doc", "key", "i", "section", "e.*")
 
 
 def _blanked(line: Column, at: Column, length: Column) -> Column:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.plans import source_queries
 from gristmill.sources import printed
 from gristmill.sources.printed import Cards, Table
 
@@ -112,6 +115,32 @@ def test_runs_and_joined_cells(spark):
     assert r.j == "a-b/c 1- 2"
 
 
+def test_runs_equal_a_loop(spark):
+    rng = random.Random(3)
+    lines = ["".join(rng.choice(["a", "bc", "£1", "\x1c", "\u2003", " ", " ", "  ", "   ", "\t", "\x0b", "\r"]) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["", " ", "\t ", "x" + " " * 50000, None]
+    docs = spark.createDataFrame(list(enumerate(lines)), "i int, x string")
+    got = {r.i: r.r and [tuple(c) for c in r.r] for r in docs.select("i", printed.runs(F.col("x")).alias("r")).collect()}
+    white = r"[^ \t\n\x0b\f\r]"
+    for i, line in enumerate(lines):
+        assert (got[i] or []) == [(m.start(), m.group()) for m in re.finditer(f"{white}+(?: {white}+)*", line or "")], line
+
+
+def test_a_row_is_put_together_once(spark):
+    """No filter works the fold over a row's runs out again."""
+    docs = spark.createDataFrame([("d", PAGE)], "name string, text string")
+    plan = printed.entries(docs, "text", "name", TABLE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
+def test_editions_of_a_larger_table_are_no_longer(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size = 1").limit(2)
+    many = part.crossJoin(spark.range(300).withColumnRenamed("id", "again")).withColumn("p_partkey", F.col("p_partkey") + F.col("again") * 50000).drop("again")
+    sizes = source_queries._editions(many).select(F.size(F.split("text", "\n")).alias("n"))
+    # two adverts in a window of 50,000 keys, so four or so in one of 100,000, each of two lines
+    assert sizes.agg(F.max("n")).first()[0] < 20
+    assert source_queries._editions(many).agg(F.sum(F.size(F.split("text", "jobs[/0-9]")) - 1)).first()[0] == many.count()
+
+
 @pytest.mark.parametrize(
     "text,year,month,want",
     [("May 2026", 2026, 1, "2026-05-01"), ("March", 2026, 4, "2026-03-01"), ("mid-Feb", 2026, 4, "2027-02-01"), ("Sept", 2026, 1, "2026-09-01"), ("Ongoing", 2026, 1, None), (None, 2026, 1, None), ("January", None, None, None), ("January 2027", None, None, "2027-01-01")],
