@@ -108,7 +108,8 @@ def postings(pages: DataFrame, html: str, today: Column) -> DataFrame:
     second = lambda marked: F.struct(marked["title"].alias("title"), marked["description"].alias("description"), day(marked["posted"]).alias("posted"), day(marked["closes"]).alias("closes"), marked["place"].alias("place"), marked["employer"].alias("employer"), F.lit("microdata").alias("via"))
     j = F.col("`structured posting`")
     first = F.struct(j["title"].alias("title"), j["description"].alias("description"), j["posted"].alias("posted"), j["closing"].alias("closes"), j["place"].alias("place"), j["employer"].alias("employer"), F.lit("json").alias("via"))
-    told = F.when(j["title"].isNotNull(), first).otherwise(let(posting(F.col("items")), lambda m: F.when(m.isNotNull(), second(m))))
+    # items are named once, so those of pages with structured data needn't be read
+    told = F.when(j["title"].isNotNull(), first).otherwise(let(F.col("items"), lambda items: let(posting(items), lambda m: F.when(m.isNotNull(), second(m)))))
     return read.select(*(F.col(f"`{c}`") for c in pages.columns if c not in ("posting", "items")), told.alias("posting"))
 
 

@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import collapse_spaces, decode_entities, html_to_text, let
+from gristmill.functions.text import collapse_spaces, decode_entities, filled, html_to_text, let
 
 _TAG = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|</?[a-z][^>]*>"
 #: Elements that hold nothing and are never closed.
@@ -121,19 +121,26 @@ def microdata(pages: DataFrame, html: str) -> DataFrame:
     held = lambda m: F.when(m["end"].isNotNull(), F.array_join(F.slice(F.col("pieces"), 2 * m["k"] + 3, 2 * (m["end"] - m["k"]) - 1), ""))
 
     def prop(m: Column) -> Column:
-        inner = held(m)
-        value = F.when(m["stated"].isNotNull(), collapse_spaces(decode_entities(m["stated"]))).when(~m["is_item"], html_to_text(inner))
-        return F.struct(m["name"].alias("name"), F.nullif(value, F.lit("")).alias("value"), inner.alias("html"), F.when(m["is_item"], m["k"]).alias("item"), m["parent"].alias("of"))
+        def of(inner: Column) -> Column:
+            value = F.when(m["stated"].isNotNull(), collapse_spaces(decode_entities(m["stated"]))).when(~m["is_item"], html_to_text(inner))
+            return F.struct(m["name"].alias("name"), filled(value).alias("value"), inner.alias("html"), F.when(m["is_item"], m["k"]).alias("item"), m["parent"].alias("of"))
 
-    found = found.withColumn("props", F.transform(F.filter("marked", lambda m: m["name"].isNotNull() & m["parent"].isNotNull()), prop))
-    own = lambda k: F.transform(F.filter("props", lambda p: p["of"] == k), lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"), p["html"].alias("html"), p["item"].alias("item")))
-    items = F.transform(F.filter("marked", lambda m: m["is_item"]), lambda m: F.struct(m["k"].alias("k"), F.when(m["name"].isNotNull(), m["parent"]).alias("parent"), m["types"].alias("types"), own(m["k"]).alias("props")))
+        return let(held(m), of)
+
+    def listed(props: Column) -> Column:
+        own = lambda k: F.transform(F.filter(props, lambda p: p["of"] == k), lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"), p["html"].alias("html"), p["item"].alias("item")))
+        return F.transform(F.filter("marked", lambda m: m["is_item"]), lambda m: F.struct(m["k"].alias("k"), F.when(m["name"].isNotNull(), m["parent"]).alias("parent"), m["types"].alias("types"), own(m["k"]).alias("props")))
+
+    # all properties are read before they are dealt to their items: a column of its own would be put into each item's
+    props = F.transform(F.filter("marked", lambda m: m["name"].isNotNull() & m["parent"].isNotNull()), prop)
+    items = let(props, listed)
     return found.select(*(F.col(f"doc.`{c}`") for c in pages.columns if c != "items"), items.alias("items"))
 
 
 def _of(item: Column, name: str) -> Column:
     """An item's first property of a name."""
-    return F.get(F.filter(item["props"], lambda p: F.array_contains(F.split(p["name"], r"\s+"), name)), F.lit(0))
+    # most names are one word, and hold the name or not
+    return F.get(F.filter(item["props"], lambda p: F.contains(p["name"], F.lit(name)) & ((p["name"] == name) | F.array_contains(F.split(p["name"], r"\s+"), name))), F.lit(0))
 
 
 def _item(items: Column, k: Column) -> Column:
@@ -150,9 +157,12 @@ def posting(items: Column) -> Column:
 
     def around(j: Column) -> Column:
         """The items that a job's place and employer are."""
-        where, org, number = _of(j, "jobLocation"), _of(j, "hiringOrganization"), _of(j, "identifier")
-        place = _item(items, where["item"])
-        return F.struct(where.alias("where"), org.alias("org"), place.alias("place"), F.coalesce(_item(items, _of(place, "address")["item"]), place, j).alias("address"), _item(items, org["item"]).alias("who"), number.alias("number"), _item(items, number["item"]).alias("numbered"))
+        own = F.struct(_of(j, "jobLocation").alias("where"), _of(j, "hiringOrganization").alias("org"), _of(j, "identifier").alias("number"))
+
+        def told(o: Column, place: Column) -> Column:
+            return F.struct(o["where"].alias("where"), o["org"].alias("org"), place.alias("place"), F.coalesce(_item(items, _of(place, "address")["item"]), place, j).alias("address"), _item(items, o["org"]["item"]).alias("who"), o["number"].alias("number"), _item(items, o["number"]["item"]).alias("numbered"))
+
+        return let(own, lambda o: let(_item(items, o["where"]["item"]), lambda place: told(o, place)))
 
     return let(job, lambda j: F.when(j.isNotNull(), let(around(j), lambda k: _fields(j, k))))
 
@@ -162,9 +172,9 @@ def _fields(job: Column, known: Column) -> Column:
     org, where, place, address = (known[n] for n in ("org", "where", "place", "address"))
     part = lambda name: _of(address, name)["value"]
     parts = [part(n) for n in ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")]
-    written = F.nullif(F.array_join(F.array_distinct(F.array_compact(F.array(*parts))), ", "), F.lit(""))
-    told = F.coalesce(written, _of(place, "address")["value"], where["value"], F.when(where["item"].isNotNull(), F.nullif(html_to_text(where["html"]), F.lit(""))))
-    name = F.coalesce(_of(known["who"], "name")["value"], org["value"], F.nullif(html_to_text(org["html"]), F.lit("")))
+    written = filled(F.array_join(F.array_distinct(F.array_compact(F.array(*parts))), ", "))
+    told = F.coalesce(written, _of(place, "address")["value"], where["value"], F.when(where["item"].isNotNull(), filled(html_to_text(where["html"]))))
+    name = F.coalesce(_of(known["who"], "name")["value"], org["value"], filled(html_to_text(org["html"])))
     fields = {
         "title": text("title"), "description": F.coalesce(F.trim(_of(job, "description")["html"]), text("description")), "posted": text("datePosted"), "closes": text("validThrough"),
         "place": told, "city": parts[1], "region": parts[2], "postcode": parts[3], "country": parts[4], "employer": name,

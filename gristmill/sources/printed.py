@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gristmill.functions.dates import MONTH_NAMES
-from gristmill.functions.text import collapse_spaces, let, slugify
+from gristmill.functions.text import collapse_spaces, filled, let, slugify
 
 _RUN = r"\S+(?: \S+)*"
 _WHITE = " \t\n\x0b\f\r"  # what \s is
@@ -269,14 +269,14 @@ def table_entries(lines: DataFrame, t: Table) -> DataFrame:
     def entry(parts: Column) -> Column:
         def cell(name: str) -> Column:
             text = join_wrapped(F.transform(F.filter(parts, lambda p: p["f"] == t.fields.index(name)), lambda p: p["text"]))
-            return let(text, lambda x: F.when(x != "", x))
+            return filled(text)
 
         days = zip(t.dates, ("opens", "closes", "start"), strict=True)
         return F.struct(clean_name(cell(t.left[0])).alias("employer"), cell(t.left[1]).alias("role"), F.col("opened.level").alias("level"), F.coalesce(cell(t.middle[0]), F.lit("")).alias("location"), cell(t.middle[1]).alias("salary"), *(cell(d).alias(n) for d, n in days), F.col("opened.link").alias("link"))
 
     # taken out of an array, since a filter on fields would have the optimizer work them out again for each condition
-    filled = let(_filled(F.col("opened"), F.transform("below", lambda b: b["cells"]), F.col("cols"), t), entry)
-    named = F.filter(F.array(filled), lambda e: e["employer"].isNotNull() & e["role"].isNotNull())
+    read = let(_filled(F.col("opened"), F.transform("below", lambda b: b["cells"]), F.col("cols"), t), entry)
+    named = F.filter(F.array(read), lambda e: e["employer"].isNotNull() & e["role"].isNotNull())
     return rows.select("doc", "key", F.col("row").alias("i"), "section", F.explode(named).alias("e")).select("doc", "key", "i", "section", "e.*")
 
 

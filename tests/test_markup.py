@@ -37,6 +37,19 @@ def test_nested_scopes(spark):
     assert [r.job for r in rows[3:]] == [None] * 3 and all(not r["items"] for r in rows[3:])
 
 
+def test_texts_of_properties_are_read_once(spark):
+    """Not for each item, nor again for each condition on them."""
+    docs = spark.createDataFrame([(1, JOB)], "id int, html string")
+    plan = markup.microdata(docs, "html")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<(script|style)[^>]*>") == 1
+    n = 600
+    page = "".join(f'<div itemscope><b itemprop="name">N {i}</b><p itemprop="about">{"about <i>it</i> " * 20}</p></div>' for i in range(n))
+    began = time.perf_counter()
+    (r,) = markup.microdata(spark.createDataFrame([(page,)], "html string"), "html").collect()
+    assert [[p.value for p in i.props] for i in r["items"]] == [[f"N {i}", " ".join(["about it"] * 20)] for i in range(n)]
+    assert time.perf_counter() - began < 20
+
+
 def plain_hidden(html, mark):
     """The outermost marked div or section goes, its end found by counting tags of its name."""
     out, at = [], 0
