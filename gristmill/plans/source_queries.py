@@ -32,7 +32,7 @@ def _columns(*cells: tuple[Column | str, int]) -> Column:
       make_date(CASE WHEN p_partkey % 12 + 1 >= 2 THEN 2026 ELSE 2027 END, CAST(p_partkey % 12 + 1 AS INTEGER), 1) AS opens_on, last_day(make_date(2026, CAST(p_partkey % 7 + 6 AS INTEGER), 1)) AS closes_on, p_partkey % 4 = 0 AS by_mail FROM part"""
 )
 def printed_listings(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of printed editions, one for each size and 100,000 keys: cells wrapped onto further lines, months with years
+    """Entries of printed editions, one for each size and 10,000 keys: cells wrapped onto further lines, months with years
     below them or none at all, runs that touch."""
     found = printed.entries(_editions(table(spark, d, "part")), "text", "p_size", _EDITION)
     edition = F.struct(F.lit(2026).alias("year"), F.lit(3).alias("month"))
@@ -43,7 +43,8 @@ def printed_listings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _editions(p: DataFrame) -> DataFrame:
-    """p_size and text.  A larger table gives more editions, not longer ones: each is read by one task."""
+    """p_size and text.  A larger table gives more editions, not longer ones: each is read by one task, whose
+    windows keep up to 4096 lines without asking for memory that a sort beside them may hold."""
     key = F.col("p_partkey")
     words = F.split("p_name", " ")
     months = F.array(*map(F.lit, printed.MONTH_NAMES))
@@ -56,7 +57,7 @@ def _editions(p: DataFrame) -> DataFrame:
     second = _columns(("", 1), (F.concat(F.lit("works "), number), 20), (rest, 40), ("", 8), (F.when(odd, "Lyme").otherwise(""), 24), (F.when(key % 5 == 0, "with bonus").otherwise(""), 16), ("", 12), ("2026", 12), ("2027", 12))
     head = _columns(("", 1), ("Employer", 20), ("Role", 40), ("Level", 8), ("Location", 24), ("Salary", 16), ("Applications", 24), ("Start Date", 12), ("Link", 4))
     below = _columns(("", 109), ("Open", 12), ("Close", 12))
-    lines = p.groupBy("p_size", (key - F.pmod(key, F.lit(100000))).alias("from")).agg(F.array_sort(F.collect_list(F.struct(key, F.concat_ws("\n", first, second).alias("rows")))).alias("lines"))
+    lines = p.groupBy("p_size", (key - F.pmod(key, F.lit(10000))).alias("from")).agg(F.array_sort(F.collect_list(F.struct(key, F.concat_ws("\n", first, second).alias("rows")))).alias("lines"))
     title = F.concat(F.lit("Listing of size "), F.col("p_size").cast("string"))
     page = F.concat_ws("\n", F.lit("Vacancy Listing: March 2026\n"), title, head, below, F.array_join(F.transform("lines", lambda x: x["rows"]), "\n"), F.lit("Notes for readers\n 7"))
     return lines.select("p_size", page.alias("text"))
